@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +83,37 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         after = scratch.table(small)
         scratch.drop(links)
         links = after
+
+
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables of whole groups: rows must come with equal keys side by side; a table ends where a batch's last group begins.
+
+    Each table holds one or more whole groups, so at most a batch and one group are in memory.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        t = new if held is None else pa.concat_tables([held, new])
+        last = np.ones(len(t), dtype=bool)
+        for k in keys:
+            c = t[k].to_numpy()
+            last &= c == c[-1]
+        whole = 0 if last.all() else len(t) - int(last[::-1].argmin())
+        if whole:
+            yield t.slice(0, whole)
+        held = t.slice(whole)
+    if held is not None and len(held):
+        yield held
+
+
+def starts_of(t: pa.Table, *keys: str) -> list[tuple[int, int]]:
+    """(first, end) of each group in a table of ``groups``."""
+    new = np.zeros(len(t), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        c = t[k].to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new).tolist()
+    return list(zip(at, [*at[1:], len(t)], strict=True))

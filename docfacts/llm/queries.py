@@ -27,6 +27,18 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import embedding_near_duplicates
+
+    return embedding_near_duplicates(spark, _read(spark, sf_dir, "embeddings"))
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(spark, _read(spark, sf_dir, "documents"), k=2)
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -36,6 +48,8 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_toxicity": _op4,
     "op5_packing": _op5,
+    "op6_embedding_near_dedup": _op6,
+    "op7_minhash_near_dedup": _op7,
     "op9_quality": _op9,
 }
 
