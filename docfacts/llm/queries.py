@@ -13,6 +13,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii
+
+    return pii(_read(spark, sf_dir, "documents"), key="docfacts")
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import labelled_pages, url_filter
+
+    pages = _read(spark, sf_dir, "pages")
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    return url_filter(spark, pages, labelled_pages(pages, _read(spark, sf_dir, "labels")), rules)
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -39,18 +53,36 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _read(spark, sf_dir, "documents"), k=2)
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .vptree import nearest
+
+    return nearest(spark, _read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
     return quality(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_pii": _op2,
+    "op3_url_filter": _op3,
     "op4_toxicity": _op4,
     "op5_packing": _op5,
     "op6_embedding_near_dedup": _op6,
     "op7_minhash_near_dedup": _op7,
+    "op8_nearest_neighbours": _op8,
     "op9_quality": _op9,
+    "op10_warc": _op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
