@@ -259,3 +259,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     out = rows.join(named, ["hi", "lo"], "left")
     comp = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest doc_id of each component; one row of each doc_id that stays.
+
+    Rows with a null doc_id all stay. Columns are those of ``docs``.
+    """
+    found = Scratch(spark, "kept").table(near_duplicates(spark, docs, k, num, den).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone"))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    if found.where("n > 1").isEmpty():
+        return left
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))

@@ -23,7 +23,8 @@ TREES, DEPTH, LASSO = 12, 3, 0.002
 
 #: Characters whose counts are statistics, with the name of each.
 MARKS = {"bang": "!", "dollar": "$", "percent": "%", "amp": "&", "hash": "#", "star": "*", "pipe": "|"}
-STATS = ["n_chars", "n_words", "distinct_share", "word_length", "repeat_share", "capital_share", "mark_share", *(f"{k}_share" for k in MARKS)]
+#: Prefixed, so that they do not clash with columns of the documents.
+STATS = [f"stat_{x}" for x in ("n_chars", "n_words", "distinct_share", "word_length", "repeat_share", "capital_share", "mark_share", *(f"{k}_share" for k in MARKS))]
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -32,31 +33,25 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     Shares are per word (marks, repeats of the word before) or per character (capitals A-Z).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    a = docs.select(*keep, text.alias("text"), F.split(F.trim(F.translate(text, "\n\t", "  ")), " ", -1).alias("w"))
-    chars = F.length("text").cast("double")
-    count = lambda c: (F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))).cast("double")
-    b = a.select(
-        *keep,
-        chars.alias("n_chars"),
-        F.size("w").cast("double").alias("n_words"),
-        F.size(F.array_distinct("w")).cast("double").alias("distinct"),
-        # a word equal to the one before it leaves a marker
-        F.aggregate("w", F.struct(F.lit("").alias("last"), F.lit(0).alias("n")), lambda s, x: F.struct(x.alias("last"), (s["n"] + (x == s["last"]).cast("int")).alias("n")), lambda s: s["n"]).cast("double").alias("repeats"),
-        F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("double").alias("capitals"),
+    a = docs.select(*keep, text.alias("stat_t"), F.split(F.trim(F.translate(text, "\n\t", "  ")), " ", -1).alias("stat_w"))
+    t, w = F.col("stat_t"), F.col("stat_w")
+    count = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double")
+    # a word equal to the one before it counts as a repeat
+    repeat = F.aggregate(w, F.struct(F.lit("").alias("last"), F.lit(0).alias("n")), lambda s, x: F.struct(x.alias("last"), (s["n"] + (x == s["last"]).cast("int")).alias("n")), lambda s: s["n"])
+    sums = F.struct(
+        F.length(t).cast("double").alias("chars"),
+        F.size(w).cast("double").alias("words"),
+        F.size(F.array_distinct(w)).cast("double").alias("distinct"),
+        repeat.cast("double").alias("repeats"),
+        F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("double").alias("capitals"),
         *(count(c).alias(k) for k, c in MARKS.items()),
     )
-    per_word = lambda c: F.col(c) / F.col("n_words")
-    return b.select(
-        *keep,
-        "n_chars",
-        "n_words",
-        per_word("distinct").alias("distinct_share"),
-        per_word("n_chars").alias("word_length"),
-        per_word("repeats").alias("repeat_share"),
-        (F.col("capitals") / F.greatest("n_chars", F.lit(1.0))).alias("capital_share"),
-        (reduce(lambda x, y: x + y, (F.col(k) for k in MARKS)) / F.col("n_words")).alias("mark_share"),
-        *(per_word(k).alias(f"{k}_share") for k in MARKS),
-    )
+    s = a.select(*keep, sums.alias("stat"))
+    of = lambda c: F.col(f"stat.{c}")
+    per_word = lambda c: of(c) / of("words")
+    marks = reduce(lambda x, y: x + y, (of(k) for k in MARKS)) / of("words")
+    values = [of("chars"), of("words"), per_word("distinct"), per_word("chars"), per_word("repeats"), of("capitals") / F.greatest(of("chars"), F.lit(1.0)), marks, *map(per_word, MARKS)]
+    return s.select(*keep, *(v.alias(name) for v, name in zip(values, STATS, strict=True)))
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_wfst import encode
+
+    return encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pii
 
@@ -74,6 +82,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": _op1,
     "op2_pii": _op2,
     "op3_url_filter": _op3,
     "op4_toxicity": _op4,
