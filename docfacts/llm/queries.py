@@ -94,4 +94,35 @@ QUERIES: dict[str, Query] = {
     "op10_warc": _op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Each states the operator's result by brute force; the Spark plans reach it by other means.
+ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS k FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n.k, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, vec_id <= coalesce(c.m, vec_id) AS kept FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.a
+""",
+    "op7_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS h, s FROM s WHERE len(s) > 0),
+r AS (SELECT h, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM k GROUP BY h),
+u AS (SELECT id, n, unnest(s) AS x FROM r), f AS (SELECT x, count(*) AS c FROM u GROUP BY 1 HAVING count(*) > 1),
+o AS (SELECT u.id, u.n, u.x, row_number() OVER (PARTITION BY u.id ORDER BY coalesce(f.c, 1), u.x) AS pos FROM u LEFT JOIN f ON u.x = f.x),
+p AS (SELECT id, n, x FROM o WHERE pos <= n - ceil(0.8 * n) + 1),
+cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n),
+links AS (SELECT a, b FROM cand JOIN r x ON x.id = a JOIN r y ON y.id = b WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM sym UNION SELECT r.a, l.b FROM reach r JOIN sym l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(least(r.id, c.m), s.doc_id) AS component_id, s.doc_id = coalesce(least(r.id, c.m), s.doc_id) AS kept FROM s LEFT JOIN k ON s.doc_id = k.doc_id LEFT JOIN r ON k.h = r.h LEFT JOIN c ON c.a = r.id
+""",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS x FROM p),
+d AS (SELECT page_id, n, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), 'string_agg', '') AS digest FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+""",
+}
