@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as E
 from ..operators import extraction as X
 from ..operators.lexing import lexemes
 from ..sources.html import html_offset, html_to_document
@@ -144,4 +145,42 @@ def _(spark, sf_dir):
     return docs.select("page_id", F.sha2("text", 256).alias("doc_sha256"), F.length("text").cast("long").alias("n_chars"), F.size("lines").cast("long").alias("n_lines"), html_offset(F.col("runs"), F.lit(0)).cast("long").alias("first_offset"))
 
 
+GOLD = """
+g AS (SELECT o_orderkey AS gold_id, 'A' || (o_custkey % 97) AS accession, CASE o_orderkey % 3 WHEN 0 THEN 'discount_rate' WHEN 1 THEN 'exit_multiple' ELSE 'terminal_growth' END AS field, (o_orderkey % 50) / 2.0::DOUBLE AS low, o_orderkey % 10 = 0 AS gone, o_orderkey % 8 = 0 AS twice FROM orders)
+"""
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labels, and predictions that miss every tenth and repeat every eighth; spans do not overlap across labels."""
+    k = F.col("o_orderkey")
+    g = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("gold_id"), F.concat(F.lit("A"), (F.col("o_custkey") % 97).cast("string")).alias("accession"),
+        F.when(k % 3 == 0, "discount_rate").when(k % 3 == 1, "exit_multiple").otherwise("terminal_growth").alias("field"),
+        ((k % 50) / 2).alias("low"), ((k % 50) / 2).alias("high"), (k * 10).alias("span_start"), (k * 10 + 5).alias("span_end"),
+    )
+    once = g.where("gold_id % 10 <> 0").withColumn("predicted_id", F.col("gold_id") * 2).withColumn("span_start", F.col("span_start") + 2)
+    twice = g.where("gold_id % 8 = 0").withColumn("predicted_id", F.col("gold_id") * 2 + 1)
+    return g, once.unionByName(twice).drop("gold_id")
+
+
+@add("match_greedy", f"""WITH {GOLD} SELECT accession, field, gold_id, CASE WHEN NOT gone THEN gold_id * 2 WHEN twice THEN gold_id * 2 + 1 END AS predicted_id FROM g UNION ALL SELECT accession, field, NULL, gold_id * 2 + 1 FROM g WHERE twice AND NOT gone""")
+def _(spark, sf_dir):
+    return E.match(*_gold(spark, sf_dir))
+
+
+@add("evaluate_by_field", f"""WITH {GOLD}, c AS (SELECT field, count(*) FILTER (WHERE NOT gone OR twice) AS tp, count(*) FILTER (WHERE twice AND NOT gone) AS fp, count(*) FILTER (WHERE gone AND NOT twice) AS fn FROM g GROUP BY 1)
+  SELECT field, tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM c""")
+def _(spark, sf_dir):
+    out = E.evaluate(E.match(*_gold(spark, sf_dir)))
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@add("quote_occurrences", r"SELECT doc_id, strpos(text, substr(text, 41, 30)) - 1 AS start, strpos(text, substr(text, 41, 30)) + 29 AS end_ FROM documents WHERE length(text) >= 70 AND regexp_matches(substr(text, 41, 30), '^[^ \n]([^ \n]| [^ \n])*$')")
+def _(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") >= 70).withColumn("quote", F.substring("text", 41, 30)).where(F.col("quote").rlike(r"^[^ \n]([^ \n]| [^ \n])*\z"))
+    rows = d.select(F.col("doc_id").alias("accession"), "quote", F.lit(1).alias("occurrence"))
+    found = E.locate_quotes(rows, d.select(F.col("doc_id").alias("accession"), "text"))
+    return found.select(F.col("accession").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"))
+
+
 __all__ = ["QUERIES"]
