@@ -108,14 +108,15 @@ def lex(text: str) -> list[dict]:
     return out
 
 
-def lexemes(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+def lexemes(docs: DataFrame, text: str, *keep: str, prefilter: bool = True) -> DataFrame:
     """One row for each lexeme: columns ``keep``, n (its number in the document) and the fields of a lexeme.
 
     A null or empty text has none, nor has one without any word or sign that could open a value: a native test keeps
-    such texts from the helper. The text itself goes no further than this step.
+    such texts from the helper (``prefilter``; houses of other texts are then not found). The text itself goes no further than this step.
     """
     whole = F.col(text).cast("string")
-    whole = F.when(whole.rlike(ANCHORS), whole)
+    if prefilter:
+        whole = F.when(whole.rlike(ANCHORS), whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

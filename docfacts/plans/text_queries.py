@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import extraction as X
+from ..operators import sections as S
 from ..operators.lexing import lexemes
 from ..sources.html import html_offset, html_to_document
 from .queries import QUERIES, add
@@ -145,6 +146,17 @@ def _(spark, sf_dir):
     return docs.select("page_id", F.sha2("text", 256).alias("doc_sha256"), F.length("text").cast("long").alias("n_chars"), F.size("lines").cast("long").alias("n_lines"), html_offset(F.col("runs"), F.lit(0)).cast("long").alias("first_offset"))
 
 
+@add("segments", f"""WITH {NUMBERS}, t AS (SELECT *, 'Background of the Merger' AS h1, 'Opinion of the Financial Advisor' AS h2, house || ' made an analysis.' AS l2, 'Risk Factors' AS h3 FROM d),
+  s AS (SELECT o_orderkey, house, length('Preamble') + 1 AS a, length('Preamble') + 1 + length(h1) + 1 + length('Talks.') + 1 AS b, length('Preamble') + 1 + length(h1) + 1 + length('Talks.') + 1 + length(h2) + 1 + length(l2) + 1 AS c, length(h3) AS e FROM t)
+  SELECT o_orderkey, 'other' AS kind, 0 AS start, a AS end_, 'unattributed' AS advisor FROM s UNION ALL SELECT o_orderkey, 'background', a, b, 'unattributed' FROM s UNION ALL SELECT o_orderkey, 'opinion', b, c, house FROM s UNION ALL SELECT o_orderkey, 'other', c, c + e + 1, 'unattributed' FROM s""")
+def _(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    html = _join("<p>Preamble</p><h2>Background of the Merger</h2><p>Talks.</p><h2>Opinion of the Financial Advisor</h2><p>", F.col("house"), " made an analysis.</p><h2>Risk Factors</h2>")
+    docs = html_to_document(d.select("o_orderkey", html.alias("html")), "html", "o_orderkey")
+    mentions = lexemes(docs, "text", "o_orderkey", prefilter=False).where("kind = 'house'")
+    return S.segments(docs, mentions, "o_orderkey").select("o_orderkey", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"), "advisor")
+
+
 GOLD = """
 g AS (SELECT o_orderkey AS gold_id, 'A' || (o_custkey % 97) AS accession, CASE o_orderkey % 3 WHEN 0 THEN 'discount_rate' WHEN 1 THEN 'exit_multiple' ELSE 'terminal_growth' END AS field, (o_orderkey % 50) / 2.0::DOUBLE AS low, o_orderkey % 10 = 0 AS gone, o_orderkey % 8 = 0 AS twice FROM orders)
 """
