@@ -167,16 +167,19 @@ def bootstrap_median(pairs: DataFrame, draws: int = 2000, seed: int = 0, confide
 def block_bootstrap_slope(rates: DataFrame, y: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """(low, high): percentile interval of the pooled slope when filing years are resampled.
 
-    Years are reduced to their sums first; the draws need only those few rows, which one pandas group holds.
+    Years are reduced to their sums first; the draws need only those few rows, which one partition holds.
     """
     by = rates.where(F.col(y).isNotNull()).groupBy("year").agg(F.count("*").alias("n"), F.sum("y10").alias("x"), F.sum(y).alias("y"), F.sum(F.col("y10") * F.col("y10")).alias("xx"), F.sum(F.col("y10") * F.col(y)).alias("xy"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.sort_values("year")[["n", "x", "y", "xx", "xy"]].to_numpy(float)
+        if not len(s):
+            return pd.DataFrame({"low": [np.nan], "high": [np.nan]})
         pick = np.random.default_rng(seed).integers(0, len(s), (draws, len(s)))
         n, x, v, xx, xy = s[pick].sum(axis=1).T
         var = xx - x * x / n
         b = (xy - x * v / n)[var > 1e-12] / var[var > 1e-12]
         return pd.DataFrame({"low": [np.quantile(b, 0.025)], "high": [np.quantile(b, 0.975)]}) if len(b) else pd.DataFrame({"low": [np.nan], "high": [np.nan]})
 
-    return by.groupBy(F.lit(0)).applyInPandas(lambda pdf: draw(pdf), "low double, high double")
+    # a row for each year: one partition is bounded by the calendar
+    return by.coalesce(1).mapInPandas(lambda parts: iter([draw(pd.concat(list(parts)))]), "low double, high double")
