@@ -4,13 +4,12 @@ Method. A document's shingles are hashed to 64 bits; for each of ``PERMUTATIONS`
 value over its set is its minimum. Runs of ``BAND_ROWS`` minima make a band key; documents that share a key are
 candidates. Of each minimum only ``BITS`` low bits are kept, packed; the share of equal fields, corrected for
 chance collisions, estimates the similarity of candidates, and those far below the threshold are dropped.
-All others are confirmed on their full sets.
 
 Documents with equal sets are one class from the start (a map-side combined minimum), so groups of exact copies cost
-nothing later. A band's candidates are not expanded into pairs: first every class is compared with the best of
-its bands' smallest members, which joins most near copies into components; then only bands that
-still hold several components are looked at, and within those only pairs across components. So no link between
-different components is lost, and no group's pairs are ever written out.
+nothing later. A band's candidates are not expanded into pairs: a spanning forest of those whose estimate is high enough
+is all that leaves it. Its components, families of loosely similar documents, are then compared exactly on full sets, in
+blocks, and again only a spanning forest of the exact links is written. So no link between components is lost, and the
+rows written grow with the documents, not with the square of a group.
 """
 
 from __future__ import annotations
@@ -30,8 +29,8 @@ BANDS, BAND_ROWS, BITS = 25, 5, 4
 PERMUTATIONS = 128
 #: Estimates below the threshold by this much or more are dropped (over four standard errors of the estimate).
 MARGIN = 0.16
-#: A band's members are compared in blocks of at most this many.
-BLOCK = 2048
+#: A band's members, and those of a family, are compared in blocks of about this many.
+BLOCK, FAMILY = 2048, 512
 CACHE_WORDS = 1_000_000
 
 _M = np.uint64
@@ -137,71 +136,94 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCH)
 
 
-def _est_column(a: str, b: str):
-    @F.pandas_udf("double")
-    def est(x, y):
-        rows = lambda s: np.frombuffer(b"".join(s), dtype=np.uint64).reshape(len(s), -1)
-        import pandas as pd
-
-        return pd.Series(estimate(rows(x), rows(y)) if len(x) else [], dtype=float)
-
-    return est(a, b)
-
-
-def _across(threshold: float):
-    """Candidate pairs (a, b) of different components from rows sorted by (key, block) that hold id, comp, sig, side."""
-
-    def group(ids, comps, sigs, sides) -> list[tuple[int, int]]:
-        out = []
-        if len(ids) == 2:
-            if comps[0] != comps[1] and estimate(sigs[0], sigs[1]) >= threshold:
-                out.append((ids[0], ids[1]))
-            return out
-        # members of the largest component are only compared with the others
-        kinds, inverse, counts = np.unique(comps, return_inverse=True, return_counts=True)
-        order = np.argsort(counts[inverse], kind="stable")
-        ids, inverse, sigs, sides = ids[order], inverse[order], sigs[order], sides[order]
-        largest, two = counts.max(), bool((sides != sides[0]).any())
-        for i in range(len(ids)):
-            if counts[inverse[i]] == largest and (inverse[i:] == inverse[i]).all():
-                break
-            j = i + 1 + np.flatnonzero(inverse[i + 1 :] != inverse[i])
-            if two:  # a pair of blocks: only across them
-                j = j[sides[j] != sides[i]]
-            if len(j):
-                j = j[estimate(sigs[j], sigs[i]) >= threshold]
-                out += [(ids[i], x) for x in ids[j]]
-        return out
+def _forest(linked, n: int) -> list[tuple[int, int]]:
+    """Links (earlier, later) of a spanning forest of n rows; ``linked(i, rest)`` says which of ``rest`` row i links to."""
+    rest, out = np.arange(n), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            hit = linked(i, rest)
+            found = rest[hit]
+            rest = rest[~hit]
+            out += [(i, int(j)) for j in found]
+            queue += found.tolist()
+    return out
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _loose(threshold: float):
+    """Spanning forests (a, b) of a band's members by estimated similarity; rows come by (key, block) with id and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "key", "block"):
-            ids, comps, sides = (t[c].to_numpy() for c in ("id", "comp", "side"))
+            ids = t["id"].to_numpy()
             sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-            pairs = {(min(p), max(p)) for s, e in starts_of(t, "key", "block") if e - s > 1 for p in group(ids[s:e], comps[s:e], sigs[s:e], sides[s:e])}
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            at = starts_of(t, "key", "block")
+            two = np.array([s for s, e in at if e - s == 2], dtype=np.int64)
+            two = two[estimate(sigs[two], sigs[two + 1]) >= threshold] if len(two) else two
+            out = set(zip(ids[two].tolist(), ids[two + 1].tolist(), strict=True))
+            for s, e in at:
+                if e - s > 2:
+                    own, mine = sigs[s:e], ids[s:e].tolist()
+                    out.update((mine[i], mine[j]) for i, j in _forest(lambda i, rest, own=own: estimate(own[rest], own[i]) >= threshold, e - s))
+            yield _pairs_batch([p for p in out if p[0] != p[1]])
 
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of class representatives whose sets have den * intersection >= num * union."""
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all two sets, by products of their incidence over shared hashes."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # hashes of one set only meet nothing
+    keep = count[column] > 1
+    owner, column = owner[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n))
+    width = 4096
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
+    for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = np.zeros((n, width), dtype=np.float32)
+        part[owner[s:e], column[s:e] - k * width] = 1
+        out += part @ part.T
+    return out
+
+
+def _exact(k: int, num: int, den: int):
+    """Spanning forests (a, b) of exact links of families; rows come by (comp, block) with id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, held = a[i], shingle_set(left[i], k)
-                other = shingle_set(right[i], k)
-                both = np.intersect1d(held, other, assume_unique=True).size
-                keep.append(den * both >= num * (held.size + other.size - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(c, keep, strict=True) if y], pa.int64()) for c in (a, b)], names=["a", "b"])
-
-    both = pairs.join(texts.selectExpr("id AS b", "text AS right"), "b").join(texts.selectExpr("id AS a", "text AS left"), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+        for t in groups(batches, "comp", "block"):
+            out = []
+            for s, e in starts_of(t, "comp", "block"):
+                part = t.slice(s, e - s)
+                ids, sets = part["id"].to_pylist(), [shingle_set(x, k) for x in part["text"].to_pylist()]
+                size = np.array([len(x) for x in sets], dtype=float)
+                both = intersections(sets)
+                hit = (den * both >= num * (size[:, None] + size[None, :] - both)) & (both > 0)
+                out += [(ids[i], ids[j]) for i, j in _forest(lambda i, rest, hit=hit: hit[i, rest], e - s) if ids[i] != ids[j]]
+            yield _pairs_batch(out)
+
+    return run
+
+
+def _blocks(rows: DataFrame, key: str, count: str, size: int) -> DataFrame:
+    """``rows`` with ``block``: a group of ``count`` rows is cut into parts by a hash of id, and every two parts meet in a block.
+
+    A group of at most ``size`` rows is one block; larger ones are repeated once for each part.
+    """
+    parts = F.ceil(F.col(count) / size).cast("long")
+    rows = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), "parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    block = F.least("side", "other") * F.col("parts") + F.greatest("side", "other")
+    return rows.withColumn("other", other).withColumn("block", block).drop("parts", "side", "other", count)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -219,41 +241,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     classes = some.groupBy("hi", "lo").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "bands", "sig"), "doc_id").alias("m"))
     members = scratch.table(classes.select("hi", "lo", "m.*"))
     bands = members.select("id", F.explode("bands").alias("key"))
-    keys = scratch.table(bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    shared = scratch.table(bands.join(keys.select("key", "leader"), "key"))
-
-    # first each class with the leader that resembles it most
-    sigs = members.select("id", "sig")
-    star = shared.where("leader < id").select("id", "leader").distinct()
-    star = star.join(sigs, "id").join(sigs.selectExpr("id AS leader", "sig AS other"), "leader").withColumn("est", _est_column("sig", "other"))
-    floor = num / den - MARGIN
-    best = star.where(F.col("est") >= floor).groupBy("id").agg(F.max_by("leader", F.struct("est", -F.col("leader"))).alias("leader"))
-    best = scratch.table(best.selectExpr("id AS b", "leader AS a"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-
-    def text_of(pairs: DataFrame) -> DataFrame:
-        named = pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct()
-        return scratch.table(texts.join(named, "id", "left_semi"))
+    keys = scratch.table(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = scratch.table(bands.join(keys, "key"))
 
-    first = scratch.table(_confirm(best, named := text_of(best), k, num, den))
-    scratch.drop(named)
-    joined = components(first, scratch)
-
-    # then pairs across components in the bands that still hold several
-    at = scratch.table(shared.select("key", "id").join(joined.selectExpr("id", "component AS c"), "id", "left").selectExpr("key", "id", "coalesce(c, id) AS comp"))
-    scratch.drop(shared)
-    mixed = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y").select("key", "m")
-    mixed = scratch.table(mixed)
-    left = at.join(mixed, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("side", F.pmod(F.xxhash64("id"), "blocks"))
-    # a pair of blocks (i, j), i <= j, holds both blocks' rows; one block is the usual case
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.withColumn("o", other).withColumn("block", F.least("side", "o") * F.col("blocks") + F.greatest("side", "o"))
-    left = left.join(sigs, "id").select("key", "block", "id", "comp", "side", "sig")
+    # families: components of band neighbours whose estimate is near the threshold or above
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = left.repartition(parts, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_across(floor), "a long, b long").distinct()
-    pairs = scratch.table(pairs)
-    second = _confirm(pairs, text_of(pairs), k, num, den)
-    final = components(joined.selectExpr("id AS a", "component AS b").unionByName(second), scratch)
+    near = _blocks(shared, "key", "n", BLOCK).join(members.select("id", "sig"), "id").select("key", "block", "id", "sig")
+    near = near.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
+    loose = components(near.mapInArrow(_loose(num / den - MARGIN), "a long, b long"), scratch)
+    scratch.drop(shared)
+    family = scratch.table(loose.unionByName(loose.select(F.col("component").alias("id"), "component").distinct()))
+    sizes = scratch.table(family.groupBy("component").agg(F.count("*").alias("n")))
+
+    # exact links within each family, on the full sets of its texts
+    own = _blocks(family.join(sizes, "component").withColumnRenamed("component", "comp"), "comp", "n", FAMILY)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    # families grow with the documents: a shuffled join at every size
+    own = texts.join(own.hint("merge"), "id").repartition(parts, "comp", "block").sortWithinPartitions("comp", "block")
+    links = own.select("comp", "block", "id", "text").mapInArrow(_exact(k, num, den), "a long, b long")
+    final = components(links, scratch)
 
     named = members.join(final, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
     out = rows.join(named, ["hi", "lo"], "left")
