@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..operators import analytics as A
+from ..operators import finalize as Z_
 from ..operators import relational as R
 from .fact_view import SQL as VIEW
 from .fact_view import facts, yields
@@ -257,6 +258,21 @@ def _(spark, sf_dir):
     return R.round_robin(rows, "o_orderpriority", 23, "o_orderkey", shuffle=F.md5(F.col("o_orderkey").cast("string")))
 
 
+@add("deal_view", f"""WITH {VIEW}, r AS (SELECT *, row_number() OVER w2 AS rn, count(*) OVER w1 - 1 AS more FROM facts WINDOW w1 AS (PARTITION BY deal_id, subject, analysis, advisor, field), w2 AS (PARTITION BY deal_id, subject, analysis, advisor, field ORDER BY span_start, low, high)),
+  c AS (SELECT *, CAST(round(low, 4) AS VARCHAR) || '-' || CAST(round(high, 4) AS VARCHAR) || CASE WHEN more > 0 THEN ' +' || more ELSE '' END AS cell FROM r WHERE rn = 1)
+  SELECT deal_id, subject, analysis, advisor, max(CASE WHEN field = 'discount_rate' THEN cell END) AS discount_rate, max(CASE WHEN field = 'terminal_growth' THEN cell END) AS terminal_growth FROM c WHERE field IN ('discount_rate', 'terminal_growth') GROUP BY 1, 2, 3, 4""")
+def _(spark, sf_dir):
+    f = _rounded(facts(spark, sf_dir), "low", "high", digits=4).where(F.col("field").isin("discount_rate", "terminal_growth"))
+    return Z_.deal_view(f, ["discount_rate", "terminal_growth"])
+
+
+@add("find_deal", f"WITH {VIEW} SELECT deal_id FROM facts WHERE company ILIKE '%000000007%' GROUP BY 1 ORDER BY count(*) DESC, deal_id LIMIT 1")
+def _(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    filings = f.select("deal_id", "accession", "company", F.col("filing_date").alias("file_date")).distinct().withColumn("tickers", F.array().cast("array<string>"))
+    return Z_.find_deal(filings, f, "000000007")
+
+
 @add("bootstrap_median")
 def _(spark, sf_dir):
     return A.bootstrap_median(_pairs(spark, sf_dir), draws=200)

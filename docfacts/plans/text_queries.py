@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import extraction as X
+from ..operators import finalize as Z
 from ..operators import sections as S
 from ..operators.lexing import lexemes
 from ..sources.html import html_offset, html_to_document
@@ -157,6 +158,21 @@ def _(spark, sf_dir):
     return S.segments(docs, mentions, "o_orderkey").select("o_orderkey", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"), "advisor")
 
 
+@add("released_facts", f"""WITH {NUMBERS} SELECT 'D' || (o_orderkey // 2) AS deal_id, 'discount_rate' AS field, round(a, 4) AS low, round(b, 4) AS high, 'core' AS tier, a = b AS is_point, '2020-03-31' AS valuation_date, '' AS metric, '' AS flags FROM d WHERE a <= 25
+  UNION ALL SELECT 'D' || (o_orderkey // 2), 'exit_multiple', m::DOUBLE, m + 2.5::DOUBLE, 'core', false, '2020-03-31', 'EBITDA', '' FROM d""")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    text = _join(c("house"), " performed a discounted cash flow analysis of order ", c("o_orderkey").cast("string"), " and discounted values to March 31, 2020 using discount rates ranging from ", _n(c("a")), "% to ", _n(c("b")), "%, and EBITDA exit multiples of ", _n(c("m")), "x to ", _n(c("m") + 2.5), "x.")
+    docs = d.select(c("o_orderkey").cast("string").alias("accession"), text.alias("text"))
+    deal = _join("D", F.floor(c("o_orderkey") / 2).cast("string"))
+    filings = d.select(c("o_orderkey").cast("string").alias("accession"), deal.alias("deal_id"), F.lit("1").alias("cik"), c("o_orderkey").cast("string").alias("company"), F.lit("1000").alias("sic"), F.lit("2020-06-01").alias("file_date"))
+    lex = lexemes(docs, "text", "accession")
+    found = X.judged(X.in_context(X.candidates(lex, "accession"), lex, "accession")).where("reason IS NULL").drop("reason", "n", "at", "cue", "reversed")
+    # every order speaks for itself here, so that no two filings of a deal state one value
+    out = Z.finalize(found.withColumn("subject", c("accession")).withColumn("region", F.lit("opinion")), docs, filings)
+    return out.select("deal_id", "field", R("low").alias("low"), R("high").alias("high"), "tier", "is_point", "valuation_date", "metric", "flags")
+
+
 GOLD = """
 g AS (SELECT o_orderkey AS gold_id, 'A' || (o_custkey % 97) AS accession, CASE o_orderkey % 3 WHEN 0 THEN 'discount_rate' WHEN 1 THEN 'exit_multiple' ELSE 'terminal_growth' END AS field, (o_orderkey % 50) / 2.0::DOUBLE AS low, o_orderkey % 10 = 0 AS gone, o_orderkey % 8 = 0 AS twice FROM orders)
 """
