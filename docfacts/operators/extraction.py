@@ -11,7 +11,7 @@ CUES = ["discount", "growth", "exit"]
 FIELD = {"discount": "discount_rate", "growth": "terminal_growth", "exit": "exit_multiple"}
 UNIT = {"discount": "pct", "growth": "pct", "exit": "x"}
 #: Look-backs in characters: cue to value, analysis, house.
-CUE_REACH, ANALYSIS_REACH, HOUSE_REACH = 200, 12000, 3500
+CUE_REACH, ANALYSIS_REACH, HOUSE_REACH, SUBJECT_REACH = 200, 12000, 3500, 2500
 # Words that may stand between a value and a cue after it, and between members of a list.
 BEFORE_CUE = r"(?i)^\s*,?\s*(?:(?:pre-tax|after-tax|nominal|annual|equity|estimated|selected|illustrative|assumed|applied|pro\s+forma)\s+)*$"
 LISTED = r"(?i)^\s*(?:,\s*|and\s+|or\s+|,\s*and\s+)+$"
@@ -53,7 +53,7 @@ def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
     field = F.when(implied, F.when(F.col("c.kind") == "growth", "implied_growth").otherwise("implied_multiple"))
     for k, f in FIELD.items():
         field = F.coalesce(field, F.when(F.col("c.kind") == k, f))
-    return found.select(*doc, "n", field.alias("field"), F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", u.alias("unit"), "raw_low", "raw_high", F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"))
+    return found.select(*doc, "n", field.alias("field"), F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", u.alias("unit"), "raw_low", "raw_high", F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence")
 
 
 def money_terms(lexemes: DataFrame, *doc: str) -> DataFrame:
@@ -72,7 +72,7 @@ def money_terms(lexemes: DataFrame, *doc: str) -> DataFrame:
     field = F.when(per_share, "value_per_share").when(fee, F.coalesce(F.when(F.col("nth") == 1, F.lit("fee_total")), part))
     scale = F.when(F.col("kind") == "usd", 1e6).otherwise(1.0)
     out = rows.withColumn("field", field).where("field IS NOT NULL")
-    return out.select(*doc, "n", "field", "start", "end", (F.col("low") / scale).alias("low"), (F.col("high") / scale).alias("high"), F.when(F.col("kind") == "usd", "usd_million").otherwise("usd").alias("unit"), "raw_low", "raw_high", F.lit("money").alias("cue"), F.lit(False).alias("reversed"), F.col("start").alias("at"), "house")
+    return out.select(*doc, "n", "field", "start", "end", (F.col("low") / scale).alias("low"), (F.col("high") / scale).alias("high"), F.when(F.col("kind") == "usd", "usd_million").otherwise("usd").alias("unit"), "raw_low", "raw_high", F.lit("money").alias("cue"), F.lit(False).alias("reversed"), F.col("start").alias("at"), "sentence", "house")
 
 
 def offer_price(lexemes: DataFrame, *doc: str) -> DataFrame:
@@ -99,6 +99,28 @@ def in_context(found: DataFrame, lexemes: DataFrame, *doc: str) -> DataFrame:
     return both.select("row.*", F.coalesce(near("h", HOUSE_REACH), F.lit("unattributed")).alias("advisor"), F.coalesce(near("a", ANALYSIS_REACH), F.lit("unspecified")).alias("analysis"))
 
 
+def subjects(found: DataFrame, lexemes: DataFrame, *doc: str) -> DataFrame:
+    """Adds ``subject``: pro_forma if the sentence says so, else the party nearest to the value in its sentence (ties to the
+    earlier), else the last party named before within reach, else unspecified. Parties are those of a target's filing.
+    """
+    kinds = ["target", "acquirer", "pro_forma"]
+    marks = lexemes.where(F.col("kind").isin(kinds)).select(*doc, "sentence", F.col("n").alias("p"), F.struct("kind", "start").alias("mark"), F.lit(None).cast(found.select(F.struct(*found.columns).alias("x")).schema["x"].dataType).alias("row"))
+    rows = found.select(*doc, "sentence", F.col("n").alias("p"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.struct(*found.columns).alias("row"))
+    w = Window.partitionBy(*doc).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    s = Window.partitionBy(*doc, "sentence")
+    party = F.when(F.col("mark.kind") != "pro_forma", F.col("mark"))
+    both = marks.unionByName(rows).withColumns({
+        "joint": F.max((F.col("mark.kind") == "pro_forma").cast("int")).over(s),
+        "before": F.last(party, ignorenulls=True).over(w),
+        "left": F.last(party, ignorenulls=True).over(s.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)),
+        "right": F.first(party, ignorenulls=True).over(s.orderBy("p").rowsBetween(0, Window.unboundedFollowing)),
+    }).where("row IS NOT NULL")
+    away = lambda c: F.abs(F.col("row.at") - F.col(f"{c}.start"))
+    nearest = F.when(F.col("right.kind").isNull() | (away("left") <= away("right")), F.col("left.kind")).otherwise(F.col("right.kind"))
+    earlier = F.when(away("before") <= SUBJECT_REACH, F.col("before.kind"))
+    return both.select("row.*", F.when(F.col("joint") == 1, "pro_forma").otherwise(F.coalesce(nearest, earlier, F.lit("unspecified"))).alias("subject"))
+
+
 def judged(found: DataFrame) -> DataFrame:
     """Adds ``reason``, the first check that a candidate fails, or null: a fact. Rejected candidates are kept."""
     dcf_like = F.col("analysis").isin("dcf", "ddm", "pv_future_price", "nav")

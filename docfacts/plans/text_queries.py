@@ -167,12 +167,22 @@ def _(spark, sf_dir):
     deal = _join("D", F.floor(c("o_orderkey") / 2).cast("string"))
     filings = d.select(c("o_orderkey").cast("string").alias("accession"), deal.alias("deal_id"), F.lit("1").alias("cik"), c("o_orderkey").cast("string").alias("company"), F.lit("1000").alias("sic"), F.lit("2020-06-01").alias("file_date"))
     lex = lexemes(docs, "text", "accession")
-    found = X.judged(X.in_context(X.candidates(lex, "accession"), lex, "accession")).where("reason IS NULL").drop("reason", "n", "at", "cue", "reversed")
+    found = X.judged(X.in_context(X.candidates(lex, "accession"), lex, "accession")).where("reason IS NULL").drop("reason", "n", "at", "cue", "reversed", "sentence")
     # every order speaks for itself here, so that no two filings of a deal state one value
     out = Z.finalize(found.withColumn("subject", c("accession")).withColumn("region", F.lit("opinion")), docs, filings)
     return out.select("deal_id", "field", R("low").alias("low"), R("high").alias("high"), "tier", "is_point", "valuation_date", "metric", "flags")
 
 
+@add("subjects", f"WITH {NUMBERS} SELECT o_orderkey, round(a, 4) AS low, CASE fee % 4 WHEN 0 THEN 'target' WHEN 1 THEN 'acquirer' WHEN 2 THEN 'pro_forma' ELSE 'unspecified' END AS subject FROM d UNION ALL SELECT o_orderkey, round(a + 1, 4), CASE fee % 4 WHEN 3 THEN 'unspecified' WHEN 1 THEN 'acquirer' ELSE 'target' END FROM d")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    who = F.when(c("fee") % 4 == 0, "the Company, not of Buyer that was named before,").when(c("fee") % 4 == 1, "Parent").when(c("fee") % 4 == 2, "the pro forma Company").otherwise("a firm")
+    text = _join("For ", who, " discount rates were ", _n(c("a")), "%. In the next year a discount rate of ", _n(c("a") + 1), "% was used.")
+    text = F.when(c("fee") % 4 == 0, F.regexp_replace(text, "For the Company, not of Buyer that was named before,", "Unlike Buyer, for the Company")).otherwise(text)
+    lex = lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey")
+    return X.subjects(X.candidates(lex, "o_orderkey"), lex, "o_orderkey").select("o_orderkey", R("low").alias("low"), "subject")
+
+
 GOLD = """
 g AS (SELECT o_orderkey AS gold_id, 'A' || (o_custkey % 97) AS accession, CASE o_orderkey % 3 WHEN 0 THEN 'discount_rate' WHEN 1 THEN 'exit_multiple' ELSE 'terminal_growth' END AS field, (o_orderkey % 50) / 2.0::DOUBLE AS low, o_orderkey % 10 = 0 AS gone, o_orderkey % 8 = 0 AS twice FROM orders)
 """
