@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import extraction as X
 from ..operators import finalize as Z
+from ..operators import parties as P
 from ..operators import sections as S
 from ..operators.lexing import lexemes
 from ..sources.html import html_offset, html_to_document
@@ -183,6 +184,29 @@ def _(spark, sf_dir):
     return X.subjects(X.candidates(lex, "o_orderkey"), lex, "o_orderkey").select("o_orderkey", R("low").alias("low"), "subject")
 
 
+@add("company_aliases", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Evo' || c_custkey || ' Water Technologies; Evo' || c_custkey || ' Water; Evo' || c_custkey WHEN 1 THEN 'First Bank' WHEN 2 THEN 'ABN' ELSE 'Anixter Group; Anixter' END AS names FROM customer")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    company = F.when(k % 4 == 0, _join("Evo", k.cast("string"), " Water Technologies, Inc.")).when(k % 4 == 1, "First Bank Corp.").when(k % 4 == 2, "ABN CO").otherwise("Anixter Group Company, Ltd")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.array_join(P.aliases(company), "; ").alias("names"))
+
+
+@add("filer_roles", f"WITH {NUMBERS} SELECT o_orderkey, CASE WHEN fee % 3 = 1 THEN 'acquirer' ELSE 'target' END AS role FROM d")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    issued, converted = "A vote on the issuance of up to 1,500,000 shares of Evoqua common stock. ", "At closing each share of Evoqua common stock becomes the right to receive cash. "
+    text = F.when(c("fee") % 3 == 0, converted).when(c("fee") % 3 == 1, issued + issued + converted).otherwise(issued + converted)
+    return d.select("o_orderkey", P.filer_role(text, F.array(F.lit("Evoqua Water"), F.lit("Evoqua"))).alias("role"))
+
+
+@add("other_companies", f"WITH {NUMBERS} SELECT o_orderkey, 'Xylem Water' AS name, fee % 11 AS mentions FROM d WHERE fee % 11 >= 6 UNION ALL SELECT o_orderkey, 'Badger', 7 FROM d")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    text = _join(F.repeat(F.lit("Holders of Xylem Water common stock agree. "), (c("fee") % 11).cast("int")), F.repeat(F.lit("Each of The Badger shares and of Evoqua common stock counts. "), F.lit(7)), F.repeat(F.lit("It owns Rare ordinary shares. "), F.lit(5)))
+    docs = d.select("o_orderkey", text.alias("text"), F.array(F.lit("Evoqua")).alias("names"))
+    return P.other_companies(docs, "text", "names", "o_orderkey")
+
+
 GOLD = """
 g AS (SELECT o_orderkey AS gold_id, 'A' || (o_custkey % 97) AS accession, CASE o_orderkey % 3 WHEN 0 THEN 'discount_rate' WHEN 1 THEN 'exit_multiple' ELSE 'terminal_growth' END AS field, (o_orderkey % 50) / 2.0::DOUBLE AS low, o_orderkey % 10 = 0 AS gone, o_orderkey % 8 = 0 AS twice FROM orders)
 """
