@@ -14,6 +14,8 @@ UNIT = {"discount": "pct", "growth": "pct", "exit": "x"}
 CUE_REACH, ANALYSIS_REACH, HOUSE_REACH, SUBJECT_REACH = 200, 12000, 3500, 2500
 # Words that may stand between a value and a cue after it, and between members of a list.
 BEFORE_CUE = r"(?i)^\s*,?\s*(?:(?:pre-tax|after-tax|nominal|annual|equity|estimated|selected|illustrative|assumed|applied|pro\s+forma)\s+)*$"
+#: What follows a single value in a row of a table: a cell border or a second percentage.
+TABLE_ROW = r"^(?:\s*\||\s+\d{1,3}(?:\.\d+)?\s*%)"
 LISTED = r"(?i)^\s*(?:,\s*|and\s+|or\s+|,\s*and\s+)+$"
 
 
@@ -39,7 +41,7 @@ def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
     rows = rows.withColumn("listed", is_value & F.lag(is_value).over(w) & F.col("gap").rlike(LISTED) & (F.lag(unit).over(w) == unit))
     # the number of list heads so far tells whether a value is the first after its cue
     rows = rows.withColumn("head", F.sum((is_value & ~F.coalesce("listed", F.lit(False))).cast("int")).over(s))
-    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "head", cue_unit.alias("unit"), F.lag("kind").over(w).alias("prior"), (F.col("start") - F.lag("end").over(w)).alias("away")))
+    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "after", "head", cue_unit.alias("unit"), F.lag("kind").over(w).alias("prior"), (F.col("start") - F.lag("end").over(w)).alias("away")))
     rows = rows.withColumn("cue", cue)
     nxt = lambda c: F.lead(c).over(s)
     rows = rows.withColumn("next", F.struct(nxt("cue").alias("cue"), nxt("gap").alias("gap"))).withColumn("last", F.last("cue", ignorenulls=True).over(before))
@@ -53,7 +55,7 @@ def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
     field = F.when(implied, F.when(F.col("c.kind") == "growth", "implied_growth").otherwise("implied_multiple"))
     for k, f in FIELD.items():
         field = F.coalesce(field, F.when(F.col("c.kind") == k, f))
-    return found.select(*doc, "n", field.alias("field"), F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", u.alias("unit"), "raw_low", "raw_high", F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence")
+    return found.select(*doc, "n", field.alias("field"), F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", u.alias("unit"), "raw_low", "raw_high", F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence", F.when(F.col("reversed"), F.col("c.after")).otherwise(F.col("after")).alias("after"))
 
 
 def money_terms(lexemes: DataFrame, *doc: str) -> DataFrame:
@@ -126,6 +128,7 @@ def judged(found: DataFrame) -> DataFrame:
     dcf_like = F.col("analysis").isin("dcf", "ddm", "pv_future_price", "nav")
     reason = F.coalesce(
         bounds_problem(F.col("field"), F.col("low"), F.col("high")),
+        F.when((F.col("raw_low") == F.col("raw_high")) & F.col("after").rlike(TABLE_ROW), "table_row"),
         F.when(F.col("analysis") == "unspecified", "no_analysis_marker"),
         F.when(~dcf_like, "not_dcf_analysis"),
     )

@@ -63,10 +63,12 @@ ANCHORS = r"(?i)discount|\bWACC\b|average[\s-]+cost|cost\s+of\s+(?:equity|capita
 AND = re.compile(r"\sand\s", re.I)
 #: Most text between two lexemes that is kept for the next step.
 GAP = 80
+#: Text behind a lexeme that is kept, to tell cells of a table.
+AFTER = 14
 NEXT_ACT = re.compile(r"[^.]{0,80}?\b(?:" + "|".join(ACTS) + ")", re.I)
 
-LEXEME = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("raw_low", pa.string()), ("raw_high", pa.string()), ("name", pa.string()), ("gap", pa.string()), ("sentence", pa.int32())])
-SCHEMA = "lexemes array<struct<kind:string,start:int,end:int,low:double,high:double,raw_low:string,raw_high:string,name:string,gap:string,sentence:int>>"
+LEXEME = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("raw_low", pa.string()), ("raw_high", pa.string()), ("name", pa.string()), ("gap", pa.string()), ("after", pa.string()), ("sentence", pa.int32())])
+SCHEMA = "lexemes array<struct<kind:string,start:int,end:int,low:double,high:double,raw_low:string,raw_high:string,name:string,gap:string,after:string,sentence:int>>"
 
 
 def parse_number(text: str) -> float:
@@ -88,7 +90,7 @@ def lex(text: str) -> list[dict]:
         if kind == "stop":
             sentence += 1
             continue
-        row = {"kind": kind, "start": m.start(), "end": m.end(), "low": None, "high": None, "raw_low": None, "raw_high": None, "name": None, "sentence": sentence}
+        row = {"kind": kind, "start": m.start(), "end": m.end(), "low": None, "high": None, "raw_low": None, "raw_high": None, "name": None, "after": text[m.end() : m.end() + AFTER], "sentence": sentence}
         row["gap"] = text[last : m.start()] if m.start() - last <= GAP else None
         if kind == "house":
             row["name"] = FORMS.get(" ".join(m.group().split()))
@@ -101,7 +103,7 @@ def lex(text: str) -> list[dict]:
             if ranged and out and out[-1]["low"] is not None and row["gap"] and row["gap"].strip() == "," and AND.search(m.group()):
                 # after a comma, two values with "and" between them are the last of a list, not a range
                 middle = m.start(f"low_{unit}") + len(low.rstrip())
-                first = row | {"kind": unit, "end": middle, "low": parse_number(low), "high": parse_number(low), "raw_low": low.strip(), "raw_high": low.strip()}
+                first = row | {"kind": unit, "end": middle, "after": text[middle : middle + AFTER], "low": parse_number(low), "high": parse_number(low), "raw_low": low.strip(), "raw_high": low.strip()}
                 out.append(first)
                 row |= {"kind": unit, "start": m.start(f"high_{unit}"), "gap": text[middle : m.start(f"high_{unit}")]}
                 low = high

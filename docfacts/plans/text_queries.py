@@ -103,6 +103,14 @@ def _(spark, sf_dir):
     return _facts(d, _join(c("house"), " performed a ", analysis, " with a discount rate of ", rate, "%.")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@add("table_rows", f"WITH {NUMBERS} SELECT o_orderkey, round(a, 4) AS low, CASE WHEN fee % 3 < 2 THEN 'table_row' END AS reason FROM d")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    end = F.when(c("fee") % 3 == 0, " | 7").when(c("fee") % 3 == 1, " 10.0%").otherwise(" in all.")
+    text = _join(c("house"), " performed a discounted cash flow analysis with a discount rate of ", _n(c("a")), "%", end)
+    return _facts(d, text).select("o_orderkey", R("low").alias("low"), "reason")
+
+
 @add("advisor_fees", f"WITH {NUMBERS} SELECT o_orderkey, 'fee_total' AS field, fee + 0.5::DOUBLE AS low, house FROM d UNION ALL SELECT o_orderkey, 'fee_opinion', fee / 4.0::DOUBLE, house FROM d")
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
@@ -168,7 +176,7 @@ def _(spark, sf_dir):
     deal = _join("D", F.floor(c("o_orderkey") / 2).cast("string"))
     filings = d.select(c("o_orderkey").cast("string").alias("accession"), deal.alias("deal_id"), F.lit("1").alias("cik"), c("o_orderkey").cast("string").alias("company"), F.lit("1000").alias("sic"), F.lit("2020-06-01").alias("file_date"))
     lex = lexemes(docs, "text", "accession")
-    found = X.judged(X.in_context(X.candidates(lex, "accession"), lex, "accession")).where("reason IS NULL").drop("reason", "n", "at", "cue", "reversed", "sentence")
+    found = X.judged(X.in_context(X.candidates(lex, "accession"), lex, "accession")).where("reason IS NULL").drop("reason", "n", "at", "cue", "reversed", "sentence", "after")
     # every order speaks for itself here, so that no two filings of a deal state one value
     out = Z.finalize(found.withColumn("subject", c("accession")).withColumn("region", F.lit("opinion")), docs, filings)
     return out.select("deal_id", "field", R("low").alias("low"), R("high").alias("high"), "tier", "is_point", "valuation_date", "metric", "flags")
