@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Most labelled rows that a fit reads (the rows with the least hash of their id).
 TRAIN_ROWS = 20_000
-#: Terms need this many toxic training rows, this share of them toxic, and are at most this many.
-MIN_ROWS, MIN_SHARE, MAX_TERMS, MIN_NEW = 5, 0.85, 4_000, 3
+#: Terms need this many distinct toxic training texts, and this share of the texts that hold them toxic.
+MIN_ROWS, MIN_SHARE = 5, 0.85
 #: A stem is dropped if one word (or, at 0.95, one longer stem) has this share of its rows.
 STEM_SHARE = 0.8
 STEM_LENGTHS = (4, 5, 6)
@@ -102,29 +102,34 @@ class Trie:
         return (found[1], -found[0]) if found else None
 
 
+def _without(word: str, most: int) -> set[str]:
+    """The word and what is left of it after up to ``most`` (1 or 2) letters are taken out."""
+    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    if most > 1:
+        one.update([word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(len(word)) for j in range(i + 1, len(word))])
+    one.add(word)
+    return one
+
+
 class Near:
-    """Which words can be within the allowed edits of a term, by shared pairs of letters.
+    """Which words can be within the allowed edits of a term, by letters taken out.
 
-    An edit spoils two pairs of a term at most, so a word within k edits keeps all but 2k of the term's
-    pairs. A pair maps to a number with an 8-bit field for each term, so that adding the numbers of a
-    word's pairs counts for all terms at once; a bias sets a field's high bit when enough are shared.
+    A word within k edits of a term can be made equal to it by taking at most k letters out of each, so it is enough
+    to look for what is left of the word among what is left of the terms. The cost for a word does not grow with the
+    terms. Words longer than ``LONG`` are not told apart where a term is about as long.
     """
 
+    LONG = 24
+
     def __init__(self, terms: list[str]):
-        self.pairs: dict[str, int] = {}
-        for f, t in enumerate(terms):
-            for p in {t[i : i + 2] for i in range(len(t) - 1)}:
-                self.pairs[p] = self.pairs.get(p, 0) | 1 << 8 * f
-        need = [[128 - max(0, len({t[i : i + 2] for i in range(len(t) - 1)}) - 2 * k) << 8 * f for f, t in enumerate(terms)] for k in range(3)]
-        self.bias = [sum(x) for x in need]
-        self.fields = {(n, k): sum(128 << 8 * f for f, t in enumerate(terms) if abs(len(t) - n) <= k) for n in range(3, 90) for k in (1, 2)}
+        self.left: dict[int, set[str]] = {k: set().union(*(_without(t, k) for t in terms if len(t) <= self.LONG + 2)) for k in (1, 2)}
+        self.lengths = {k: {n for t in terms for n in range(len(t) - k, len(t) + k + 1)} for k in (1, 2)}
 
     def may(self, word: str, edits: int) -> bool:
-        fields = self.fields.get((len(word), edits))
-        if not fields:
+        n = len(word)
+        if n not in self.lengths[edits]:
             return False
-        get = self.pairs.get
-        return bool((sum([get(p, 0) for p in {word[i : i + 2] for i in range(len(word) - 1)}]) + self.bias[edits]) & fields)
+        return n > self.LONG or not self.left[edits].isdisjoint(_without(word, edits))
 
 
 class Scorer:
@@ -202,23 +207,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
 def learn_lexicon(train: DataFrame) -> list[Term]:
     """(term, weight, is_stem) from rows of (text, y): words and stems that toxic rows have far more often.
 
-    Document frequencies are counted in Spark over distinct words of each row; only terms that pass
-    ``MIN_ROWS`` and ``MIN_SHARE`` (the ``MAX_TERMS`` strongest) come to the driver.
+    Document frequencies are counted in Spark over the distinct words of distinct texts, so that copies of a text count
+    once (with the larger label); all terms that pass ``MIN_ROWS`` and ``MIN_SHARE`` come to the driver. Each
+    stands for ``MIN_ROWS`` of at most ``TRAIN_ROWS`` texts.
     """
     words = F.array_distinct(F.expr(r"filter(split(lower(text), '(?U)[^\\p{L}]+'), w -> w <> '')"))
-    pool = train.select("y", words.alias("w"))
+    texts = train.where("text IS NOT NULL").groupBy("text").agg(F.max("y").alias("y"))
+    pool = texts.select("y", words.alias("w"))
 
     def stems(n: int) -> Column:
         return F.transform(F.array_distinct(F.expr(f"transform(filter(w, x -> length(x) >= {n}), x -> substring(x, 1, {n}))")), lambda x: F.struct(x.alias("term"), F.lit(True).alias("stem")))
 
     forms = F.concat(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(False).alias("stem"))), *map(stems, STEM_LENGTHS))
     counts = pool.select("y", F.explode(forms).alias("f")).groupBy("f").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    total = train.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
+    total = texts.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
     bad, good = total["bad"] or 0, (total["n"] or 0) - (total["bad"] or 0)
     kept = counts.where(F.col("bad") >= MIN_ROWS).where(F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good") * ((bad + 1.0) / (good + 1.0))))
     # a stem or word must also be right about the rows as they are
     kept = kept.where(F.col("bad") >= MIN_SHARE * (F.col("bad") + F.col("good")))
-    rows = kept.select("f.term", "f.stem", "bad", "good").orderBy(F.desc("bad"), "term", "stem").limit(MAX_TERMS).collect()
+    rows = kept.select("f.term", "f.stem", "bad", "good").collect()
     found = [(r["term"], r["stem"], r["bad"], math.log((r["bad"] + 1) / (bad + 1)) - math.log((r["good"] + 0.5) / (good + 1))) for r in rows]
     behind: dict[str, int] = {}  # the rows of the most frequent word or longer stem behind each stem
     for t, stem, n, _ in found:
@@ -231,38 +238,7 @@ def learn_lexicon(train: DataFrame) -> list[Term]:
             stems[t] = w
     terms = [*((t, w, True) for t, w in stems.items()), *((t, w, False) for t, stem, _, w in found if not stem and all(stems.get(t[:k], -math.inf) < w for k in STEM_LENGTHS))]
     rank = {(t, stem): -n for t, stem, n, _ in found}
-    return _needed(train, sorted(terms, key=lambda t: (rank[t[0], t[2]], -t[1], t[0])))
-
-
-def _needed(train: DataFrame, terms: list[Term]) -> list[Term]:
-    """The terms that toxic training rows need, most frequent first.
-
-    Copies of a toxic text make all its words look toxic. A term stays if at least ``MIN_NEW`` distinct toxic texts
-    hold it and fewer than two terms that stay before it.
-    """
-    place = {(t, stem): i for i, (t, _, stem) in enumerate(terms)}
-    lengths = sorted({len(t) for t, _, stem in terms if stem})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = []
-            for text in b.column("text").to_pylist():
-                words = set(WORD.findall(text.lower()))
-                held.append(sorted({place[x] for w in words for x in [(w, False), *((w[:k], True) for k in lengths if k <= len(w))] if x in place}))
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32()))], names=["held"])
-
-    rows = [r["held"] for r in train.where("y = 1 AND text IS NOT NULL").select("text").distinct().mapInArrow(run, "held array<int>").collect()]  # TRAIN_ROWS rows at most
-    of: dict[int, list[int]] = {}
-    for i, held in enumerate(rows):
-        for t in held:
-            of.setdefault(t, []).append(i)
-    cover, kept = [0] * len(rows), []
-    for t in range(len(terms)):
-        if sum(cover[i] < 2 for i in of.get(t, ())) >= MIN_NEW:
-            kept.append(terms[t])
-            for i in of[t]:
-                cover[i] += 1
-    return kept
+    return sorted(terms, key=lambda t: (rank[t[0], t[2]], -t[1], t[0]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:

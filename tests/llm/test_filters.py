@@ -83,6 +83,13 @@ def test_automaton_equals_brute_force():
                 assert near.may(w, k), w
 
 
+def test_lexicon_keeps_terms_in_company_and_counts_copies_once(spark):
+    toxic = [f"moron idiot {'zonkish' if i < 8 else ''} item {i}" for i in range(40)] + ["moron idiot copied"] * 20
+    train = spark.createDataFrame([(t, 1) for t in toxic] + [(f"kind item {i}", 0) for i in range(60)], "text string, y int")
+    words = {t for t, _, stem in toxicity.learn_lexicon(train) if not stem}
+    assert {"moron", "idiot", "zonkish"} <= words and not words & {"copied", "item"}
+
+
 def test_toxicity_learns_and_holds_out(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     words = spark.createDataFrame([(10**6 + i, f"they are {'moron idiot' if i % 2 else 'kind people'} number {i}", "x", "y", 1) for i in range(400)] + [(None, None, None, None, None), (-5, "", "x", "y", 0)], docs.schema)
