@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,6 @@ MIN_ROWS, MIN_SHARE = 5, 0.85
 #: A stem is dropped if one word (or, at 0.95, one longer stem) has this share of its rows.
 STEM_SHARE = 0.8
 STEM_LENGTHS = (4, 5, 6)
-#: Most whole-word terms that are sought with edits (the strongest); all are sought without.
-FUZZY_TERMS = 400
 #: Words each side of a hit.
 WINDOW = 6
 CACHE_WORDS = 500_000
@@ -37,6 +37,10 @@ REPORTING = frozenset("said says wrote writes called quoted quote quoting accord
 ADDRESS = frozenset("you your you're u ur tu toi vous votre ton du dich dein ihr euch usted ustedes eres".split())
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters with digits and marks among them, as in disguised spellings.
+MIXED = re.compile(r"\w(?:[\w@$!*'’.-]*\w)?")
+#: Longer runs are looked up each time, not cached.
+CACHE_LENGTH = 64
 FEATURES = ["hits", "fuzzy", "weight", "top", "rate", "quoted", "reported", "addressed"]
 
 Term = tuple[str, float, bool]  # term, weight, whether it is a stem
@@ -72,15 +76,10 @@ class Trie:
         return best
 
     def nearest(self, word: str, most: int) -> tuple[float, int] | None:
-        """(weight, edits) of the nearest term within ``most`` edits, heavier terms first; None if there is none.
-
-        The first letter must be right, as it is in nearly all misspellings.
-        """
+        """(weight, edits) of the nearest term within ``most`` edits, heavier terms first; None if there is none."""
         # the automaton's state after a trie prefix is the row of edit distances to each prefix of the word
         found, n = None, len(word)
-        if word[0] not in self.root:
-            return None
-        stack = [(self.root[word[0]], [1, *range(n)])]
+        stack = [(self.root, [*range(n + 1)])]
         while stack:
             node, row = stack.pop()
             for ch, child in node.items():
@@ -137,35 +136,59 @@ class Scorer:
 
     def __init__(self, terms: list[Term]):
         self.exact = Trie(terms)
-        self.lexicon = Trie(whole := [t for t in sorted(terms, key=lambda t: -t[1]) if not t[2] and len(t[0]) > 3][:FUZZY_TERMS])
+        # words that may have edits have 5 letters or more, so terms below 4 are out of reach
+        self.lexicon = Trie(whole := [t for t in terms if not t[2] and len(t[0]) > 3])
         self.near = Near([t[0] for t in whole])
         self.cache: dict[str, tuple[float, int] | None] = {}
+        self.runs: dict[str, tuple[float, int] | None] = {}
+
+    def edited(self, word: str) -> tuple[float, int] | None:
+        k = Trie.allowed(len(word))
+        return self.lexicon.nearest(word, k) if k and self.near.may(word, k) else None
 
     def look(self, word: str) -> tuple[float, int] | None:
+        if word in self.cache:
+            return self.cache[word]
         got = self.exact.find(word)
-        if got is not None:
-            got = (got, 0)
-        elif (k := Trie.allowed(len(word))) and self.near.may(word, k):
-            got = self.lexicon.nearest(word, k)
+        got = self.edited(word) if got is None else (got, 0)
         self.cache[word] = got
         return got
 
+    def look_run(self, run: str) -> tuple[float, int] | None:
+        """What a run of letters, digits and marks stands for as a whole; None if one of its words is a hit by itself."""
+        if run in self.runs:
+            return self.runs[run]
+        parts, got = WORD.findall(run), None
+        if parts and not any(map(self.look, parts)):
+            bare = self.exact.find("".join(parts)) if len(parts) > 1 else None
+            got = self.edited(run) if bare is None else (bare, 1)
+        if len(run) <= CACHE_LENGTH:
+            self.runs[run] = got
+        return got
+
     def features(self, text: str | None) -> list[float]:
         if not text:
             return [0.0] * len(FEATURES)
-        cache, look = self.cache, self.look
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if len(self.cache) + len(self.runs) > CACHE_WORDS:
+            self.cache.clear()
+            self.runs.clear()
         low = text.lower()
-        found = {w for w in set(WORD.findall(low)) if (cache[w] if w in cache else look(w))}
+        letters = set(WORD.findall(low))
+        found = {w: got for w in letters if (got := self.look(w))}
+        found |= {r: got for r in set(MIXED.findall(low)) - letters if (got := self.look_run(r))}
         if not found:
             return [0.0] * len(FEATURES)
-        words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
+        words = []
+        for r in MIXED.finditer(low):
+            if r.group() in found:
+                words.append((r.group(), r.start(), r.end()))
+            else:
+                words.extend((m.group(), m.start(), m.end()) for m in WORD.finditer(low, r.start(), r.end()))
         hits = fuzzy = quoted = reported = addressed = 0
         weight, top = 0.0, 0.0
         for i, (w, a, b) in enumerate(words):
             if w in found:
-                gain, edits = cache[w] if w in cache else look(w)
+                gain, edits = found[w]
                 fuzzy += edits > 0
                 hits += 1 / (1 + edits)
                 weight += gain / (1 + edits)
@@ -236,9 +259,16 @@ def learn_lexicon(train: DataFrame) -> list[Term]:
         # a stem stands for many words, not for one; longer stems must say more than shorter ones
         if stem and behind.get(t, 0) < STEM_SHARE * n and all(stems.get(t[:k], -math.inf) < w for k in STEM_LENGTHS if k < len(t)):
             stems[t] = w
-    terms = [*((t, w, True) for t, w in stems.items()), *((t, w, False) for t, stem, _, w in found if not stem and all(stems.get(t[:k], -math.inf) < w for k in STEM_LENGTHS))]
+    # words behind a stem are found by it, but must be known to be sought with edits
+    opens = [F.substring("x", 1, k).isin([t for t in stems if len(t) == k]) for k in STEM_LENGTHS if any(len(t) == k for t in stems)]
+    whole = {t: w for t, stem, _, w in found if not stem}
+    if opens:
+        seen = pool.where("y = 1").select(F.explode("w").alias("x")).where(reduce(or_, opens)).distinct().collect()
+        for (x,) in seen:
+            whole[x] = max(whole.get(x, -math.inf), *(stems[x[:k]] for k in STEM_LENGTHS if x[:k] in stems))
     rank = {(t, stem): -n for t, stem, n, _ in found}
-    return sorted(terms, key=lambda t: (rank[t[0], t[2]], -t[1], t[0]))
+    terms = [*((t, w, True) for t, w in stems.items()), *((t, w, False) for t, w in whole.items())]
+    return sorted(terms, key=lambda t: (rank.get((t[0], t[2]), 0), -t[1], t[0]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:

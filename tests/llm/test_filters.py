@@ -90,6 +90,22 @@ def test_lexicon_keeps_terms_in_company_and_counts_copies_once(spark):
     assert {"moron", "idiot", "zonkish"} <= words and not words & {"copied", "item"}
 
 
+def test_misspellings_of_all_terms():
+    letters = "abcdefghij"
+    many = [("q" + letters[i // 100] + letters[i // 10 % 10] + letters[i % 10] + "zz", 9.0, False) for i in range(450)]
+    scorer = toxicity.Scorer([*many, ("idio", 2.0, True), ("idiot", 2.0, False), ("worthless", 1.0, False)])
+    hits = lambda t: scorer.features(f"so {t} then")[0] > 0
+    for t in ("iddiot", "worthles", "morthless", "ideot", "id1ot", "id_iot", "id-iot", "i.d.i.o.t", "1diot", "wor7hl3ss", "idiot-like"):
+        assert hits(t), t
+    assert not any(map(hits, ("well-known", "e.g.", "abc-123", "kind_people", "worth")))
+
+
+def test_words_behind_stems_are_terms(spark):
+    ends = ["t", "ts", "tic", "cy", "tish", "syn"]
+    train = spark.createDataFrame([(f"idio{ends[i % 6]} item {i}", 1) for i in range(36)] + [(f"kind item {i}", 0) for i in range(60)], "text string, y int")
+    assert {"idio" + e for e in ends} <= {t for t, _, stem in toxicity.learn_lexicon(train) if not stem}
+
+
 def test_toxicity_learns_and_holds_out(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     words = spark.createDataFrame([(10**6 + i, f"they are {'moron idiot' if i % 2 else 'kind people'} number {i}", "x", "y", 1) for i in range(400)] + [(None, None, None, None, None), (-5, "", "x", "y", 0)], docs.schema)
