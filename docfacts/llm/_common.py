@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder is chosen and remembered in the session.
+    It is the session's ``spark.checkpoint.dir``. Only a local session, whose executors are its driver, gets a temporary
+    folder where that is unset; on a cluster an unset folder is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="docfacts-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -57,15 +59,32 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Ways that the links of one node are dealt over tasks.
+SPREAD = 32
+
+
+def _least(links: DataFrame, how: str) -> DataFrame:
+    """Links (u, v) with ``how`` of the least v of their u, as m.
+
+    A node's links are counted map-side for the minimum and joined back in ``SPREAD`` parts by a hash of v, so that a node with
+    very many links is no one task. A bit mask says which parts a node has, so the minimum is repeated for those only.
+    """
+    part = F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int")
+    dealt = links.withColumn("s", part)
+    low = dealt.groupBy("u").agg(F.min("v").alias("m"), F.bit_or(F.expr("shiftleft(1L, s)")).alias("parts"))
+    low = low.select("u", F.expr(how).alias("m"), F.explode(F.expr(f"filter(sequence(0, {SPREAD - 1}), i -> (parts & shiftleft(1L, i)) <> 0)")).alias("s"))
+    return dealt.join(low, ["u", "s"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected links.
 
     ``edges``: columns a, b (long). Returns (id, component), one row for each id that has a link to
     another id; component is the smallest id that can be reached. Self links and repeated links are ignored.
 
-    Alternating large-star and small-star rounds: each is a map-side combined minimum for a node and a
-    join back, so a hub with very many links is pre-aggregated, its join can be split, and the number of
-    rounds grows with the logarithm of the size. Each round's links are a written table.
+    Alternating large-star and small-star rounds: each is a map-side combined minimum for a node and a join back in
+    parts, so a hub with very many links is spread over tasks, and the number of rounds grows with the logarithm of
+    the size. Each round's links are a written table.
     """
     links = scratch.table(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
     seen = None
@@ -75,11 +94,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return links.selectExpr("u AS id", "v AS component")
         seen = stats
         both = links.unionByName(links.selectExpr("v AS u", "u AS v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
+        large = _least(both, "least(u, m)").where("v > u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
         # in a star from large-star every v is below its u
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("v AS u", "m AS v").unionByName(low.selectExpr("u", "m AS v")).where("u <> v").distinct()
+        star = _least(large, "m")
+        small = star.selectExpr("v AS u", "m AS v").unionByName(star.where("v = m").select("u", "v")).where("u <> v").distinct()
         after = scratch.table(small)
         scratch.drop(links)
         links = after
