@@ -5,6 +5,8 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docfacts.llm import embed_dedup, minhash, vptree, warc
@@ -28,7 +30,7 @@ def smallest(n, links):
 
 def test_components(spark):
     rng = random.Random(1)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)] + [(5000, 5001 + i) for i in range(200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()}
     want = smallest({x for p in links for x in p}, links)
     assert all(got.get(x, x) == c for x, c in want.items())
@@ -93,25 +95,106 @@ def test_embedding_near_duplicates(spark, monkeypatch):
     assert embed_dedup.embedding_near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def leaning(n, dims, mean, pairs, seed=3):
+    """Unit vectors with a shared direction, and planted pairs with cosines of 0.931 to 0.97."""
+    rng = np.random.default_rng(seed)
+    m = rng.standard_normal(dims)
+    y = embed_dedup.unit(np.sqrt(mean) * m / np.linalg.norm(m) + np.sqrt(1 - mean) * rng.standard_normal((n, dims)) / np.sqrt(dims))
+    for i in range(pairs):
+        r = rng.standard_normal(dims)
+        r -= r @ y[2 * i] * y[2 * i]
+        c = rng.uniform(0.931, 0.97)
+        y[2 * i + 1] = c * y[2 * i] + np.sqrt(1 - c * c) * r / np.linalg.norm(r)
+    return y[rng.permutation(n)]
+
+
+@pytest.mark.parametrize(("n", "mean", "whole"), [(20_000, 0.9, True), (6000, 0.6, False), (6000, 0.0, False)])
+def test_links_of_leaning_vectors(spark, n, mean, whole):
+    y = leaning(n, 32, mean, 300)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": [v.tolist() for v in y], "label": 1}), "vec_id long, embedding array<double>, label int")
+    rows = embed_dedup.embedding_near_duplicates(spark, df).toPandas().set_index("vec_id").sort_index()
+    y = embed_dedup.unit(y)
+    links = np.zeros(n, dtype=int)
+    for s in range(0, n, 1000):
+        links[s : s + 1000] = (y[s : s + 1000] @ y.T >= 0.93).sum(axis=1) - 1
+    assert (rows["n_links"].to_numpy() == links).mean() > (0.9999 if whole else 0.999)
+    assert rows["n_links"].sum() >= 0.99 * links.sum() > 0
+    plan = embed_dedup.Plan.measure(df.selectExpr("vec_id AS id", "CAST(label AS bigint) AS label", "size(embedding) AS dims", "embedding"), 0.93)
+    assert (plan.of(1, 32)[1] == 0) == whole
+
+
+def test_windows_that_overflow(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.standard_normal(16) + 0.02 * rng.standard_normal((1500, 16)), rng.standard_normal((500, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    rows = embed_dedup.embedding_near_duplicates(spark, df, passes=3).orderBy("vec_id").collect()
+    assert all(r["n_links"] == 1499 and r["component_id"] == 0 for r in rows[:1500]) and not any(r["n_links"] for r in rows[1500:])
+
+
+def nearest_by_force(ids, x, k):
+    out = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[q]).sum(axis=1)
+        out[int(ids[q])] = [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
+    return out
+
+
+def nearest_found(spark, df, **more):
+    found = {}
+    for r in sorted(vptree.nearest(spark, df, F.col("vec_id") % 20 == 0, **more).collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(found[r["query_id"]])
+    return found
+
+
 def test_nearest(spark, monkeypatch):
-    monkeypatch.setattr(vptree, "SHARD_ROWS", 90)
+    monkeypatch.setattr(vptree, "SHARD_BYTES", 90 * 16 * 8)
     monkeypatch.setattr(vptree, "QUERY_ROWS", 7)
-    x, rows = vectors()
+    _, rows = vectors()
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, rank int")
-    found = {}
-    for r in vptree.nearest(spark, df, F.col("vec_id") % 20 == 0, k=20).collect():
-        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ids = np.array([*range(400), 404])
     x = np.array([rows[i][1] for i in ids], dtype=np.float32).astype(float)
-    for q in ids[ids % 20 == 0]:
-        s = (x * x[list(ids).index(q)]).sum(axis=1)
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
-        assert [(v, sc) for _, v, sc in sorted(found[q])] == [(ids[i], s[i]) for i in order]
-    tree = vptree.VPTree.build(x, leaf=8)
-    full = np.sort(((x[:50, None] - x[None]) ** 2).sum(-1), axis=1)[:, :5]
-    exact, _ = tree.search(x[:50], 5, relax=1.0)
-    assert np.allclose(np.sort(exact, axis=1), full)
+    assert nearest_found(spark, df) == nearest_by_force(ids, x, 20)
     assert vptree.nearest(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert nearest_found(spark, few) == {0: [(1, 5.0), (20, 5.0)], 20: [(0, 5.0), (1, 5.0)]}
+
+
+@pytest.mark.parametrize("kind", ["integers", "norms", "one giant", "copies"])
+def test_nearest_is_exact_on_hard_vectors(spark, monkeypatch, kind):
+    monkeypatch.setattr(vptree, "SHARD_BYTES", 300 * 12 * 8)
+    monkeypatch.setattr(vptree, "HELD", 3000)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((2000, 12))
+    if kind == "integers":
+        x = rng.integers(0, 3, (2000, 12)).astype(float)
+    elif kind == "norms":
+        x *= 10 ** rng.uniform(0, 9, (2000, 1))
+    elif kind == "one giant":
+        x[7] *= 4e9
+    else:
+        x[:700] = x[0]
+        x[700:1400] = x[700 + np.arange(700) % 7]
+    ids = np.arange(2000)[(x != 0).any(axis=1)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert nearest_found(spark, df) == nearest_by_force(ids, x[ids], 20)
+
+
+def test_relaxed_search_visits_less_and_keeps_most(spark):
+    rng = np.random.default_rng(6)
+    c = rng.standard_normal((40, 32))
+    x = c[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 32))
+    visits, recall = [], []
+    for relax in (1.0, 0.8, 0.5):
+        tree = vptree.VPTree.build(x, leaf=32)
+        got = [set() for _ in range(200)]
+        for w, p in tree.search(x[:200], 20, relax=relax):
+            for a, b in zip(w.tolist(), p.tolist(), strict=True):
+                got[a].add(b)
+        want = np.argsort(-(x[:200] @ x.T), axis=1)[:, :21]
+        recall.append(np.mean([len(got[i] & set(want[i].tolist())) / 21 for i in range(200)]))
+        visits.append(tree.visited)
+    assert recall[0] == 1.0 and recall[1] > 0.98 and visits[0] > visits[1] > visits[2]
 
 
 def test_warc_round_trip(spark, sf):
