@@ -1,38 +1,62 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
 Method. One pattern finds e-mail addresses, payment cards, telephone numbers, IPv4 addresses, social security
-numbers, dates and secrets. Numbers and dates are validated (Luhn digit, octets, areas, calendar); a number's digits are
-then permuted by a keyed Feistel network over exactly the valid values of its format, so a card stays a valid
-card, a date a valid date, and equal values get equal pseudonyms in every document. Text around a value is not
-touched. Whoever holds the key can invert numbers and dates; addresses and secrets are replaced by keyed digests.
+numbers, dates and secrets. Numbers and dates are validated (Luhn digit, number of digits, areas, octets, calendar) and
+permuted by a keyed Feistel network within their format: a card stays a card with its Luhn digit, a date a date of the same
+400 years, an address of a host one, and a telephone number keeps its country code and the validity of its area and exchange.
+Equal values get equal pseudonyms in every document, however they are spaced. Text around a value is not touched. Whoever
+holds the key can invert numbers and dates; addresses and secrets are replaced by keyed digests of 128 bits or more.
+
+The pattern marks what it finds in one pass; all else works on the marked parts. The key enters plans only as a digest behind
+the word ``pseudonym-key``, which ``spark.sql.redaction.string.regex`` can hide.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 
 # What each kind looks like. A kind's pattern is tried in this order.
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+NAMES = r"passwords?|passwd|pwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth[_ -]?key"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{20,64})(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|token|api_key)[ ]{0,1}[=:][ ]{0,1}\"{0,1})[^\s\"]{8,128}",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?![\w-])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\d/])",
-    "card": r"(?<![\d])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    # a name, a sign and the whole run behind them, or a key id that is told by its form
+    "secret": rf"(?<![A-Za-z])(?i:(?:[a-z]++[_-])?(?:{NAMES}))[\"']? ?[=:] ?[\"']?[^\s\"'\x01]{{6,}}+|(?<![0-9A-Za-z])AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z_+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{2,4}){1,2}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z_.+-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z_-])|(?<![0-9A-Za-z_.+-])(?<![0-9] )[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9A-Za-z_-]|[ .][0-9])",
+    "ssn": r"(?<![0-9A-Za-z_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_-])",
+    "date": r"(?<![0-9A-Za-z_-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9A-Za-z_/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9])",
+    "ip": rf"(?<![0-9A-Za-z_.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
 }
 KINDS = list(PATTERNS)
-#: All patterns as one; only the card's has groups, so its back references hold here too.
+#: All patterns as one; groups are numbered through, so that its back references hold.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A text without any of these holds nothing to find.
+MAY = rf"[0-9@]|(?i:{NAMES})[\"']? ?[=:]"
+#: Marks a found part's beginning (m) and end (e), and itself where a text holds it (n).
+MARK = "\x01"
 #: Dates are permuted over the 400 years from here on, a whole number of days of the calendar's cycle (189 * 773).
 EPOCH, CYCLE = "1800-01-01", (189, 773)
 
 
-def _feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tweak: str) -> tuple[Column, Column]:
-    """A keyed permutation of pairs (a, b) with a below size_a and b below size_b, as a struct's two fields."""
+def plan_key(key: str) -> str:
+    """What stands for a key in plans."""
+    return "pseudonym-key:" + hashlib.sha256(key.encode()).hexdigest()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tweak: str, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of a keyed permutation of pairs (a, b) with a below size_a and b below size_b."""
 
     def mixed(r: Column, x: Column, size: Column) -> Column:
         digest = F.sha2(F.concat(F.lit(f"{key}\x1f{tweak}\x1f"), r.cast("string"), F.lit("\x1f"), size.cast("string"), F.lit("\x1f"), x.cast("string")), 256)
@@ -46,7 +70,7 @@ def _feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, twe
         )
 
     out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
-    return out["a"], out["b"]
+    return let(out, lambda s: body(s["a"], s["b"]))
 
 
 def digits_of(text: Column) -> Column:
@@ -70,8 +94,8 @@ def permuted_digits(digits: Column, key: str, tweak: str) -> Column:
     left = F.floor(F.length(digits) / 2).cast("int")
     right = F.length(digits) - left
     ten = lambda n: F.pow(F.lit(10.0), n).cast("long")
-    a, b = _feistel(F.substr(digits, F.lit(1), left), F.substr(digits, left + 1), ten(left), ten(right), key, tweak)
-    return F.concat(F.lpad(a.cast("string"), left, "0"), F.lpad(b.cast("string"), right, "0"))
+    made = lambda a, b: F.concat(F.lpad(a.cast("string"), left, "0"), F.lpad(b.cast("string"), right, "0"))
+    return _feistel(F.substr(digits, F.lit(1), left), F.substr(digits, left + 1), ten(left), ten(right), key, tweak, made)
 
 
 def _in_format(text: Column, digits: Column) -> Column:
@@ -79,27 +103,60 @@ def _in_format(text: Column, digits: Column) -> Column:
     at = F.sequence(F.lit(1), F.length(text))
     char = lambda i: F.substr(text, i, F.lit(1))
     before = lambda i: F.length(digits_of(F.substr(text, F.lit(1), i)))
-    return F.array_join(F.transform(at, lambda i: F.when(char(i).rlike("[0-9]"), F.substr(digits, before(i), F.lit(1))).otherwise(char(i))), "")
+    return let(digits, lambda d: F.array_join(F.transform(at, lambda i: F.when(char(i).between("0", "9"), F.substr(d, before(i), F.lit(1))).otherwise(char(i))), ""))
 
 
 def _card(m: Column, key: str) -> Column:
     d = digits_of(m)
-    body = permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    return _in_format(m, F.concat(body, check.cast("string")))
+    checked = lambda body: F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
+    return _in_format(m, let(permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), checked))
 
 
-def _phone(m: Column, key: str) -> Column:
+def _country(m: Column) -> Column:
+    """The country code's digits: those before the first separator, or all but ten; none without a plus sign."""
+    apart = F.regexp_extract(m, r"^\+([0-9]{1,3})[ .(-]", 1)
     d = digits_of(m)
-    return _in_format(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), permuted_digits(F.substr(d, F.length(d) - 9), key, "phone")))
+    return F.when(~m.startswith("+"), "").when(apart != "", apart).otherwise(F.substr(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(1))))
+
+
+def _phone(m: Column, key: str) -> Column:
+    """Ten digits: area and exchange keep whether they begin with 2 to 9; others keep whether they begin with 0."""
+    code = _country(m)
+    d = F.substr(digits_of(m), F.length(code) + 1)
+    ten, n = F.length(d) == 10, F.length(d)
+    left = F.when(ten, 3).otherwise(F.floor(n / 2)).cast("int")
+    power = lambda x: F.pow(F.lit(10.0), x).cast("long")
+
+    def half(part: Column, size: Column, first: int) -> tuple[Column, Column, Column]:
+        """(value, number of values, least value) of a part whose first digit stays below ``first`` or not."""
+        unit_, v = power(size - 1), part.cast("long")
+        high = v >= first * unit_
+        return F.when(high, v - first * unit_).otherwise(v), F.when(high, (10 - first) * unit_).otherwise(first * unit_), F.when(high, first * unit_).otherwise(F.lit(0))
+
+    right = n - left
+    la, lb = half(F.substr(d, F.lit(1), left), left, 2), half(F.substr(d, left + 1), right, 2)
+    ga, gb = half(F.substr(d, F.lit(1), left), left, 1), (F.substr(d, left + 1).cast("long"), power(right), F.lit(0))
+    pick = lambda x, y: F.when(ten, x).otherwise(y)
+    (va, sa, oa), (vb, sb, ob) = [tuple(map(pick, x, y)) for x, y in ((la, ga), (lb, gb))]
+    made = lambda a, b: F.concat(code, F.lpad((a + oa).cast("string"), left, "0"), F.lpad((b + ob).cast("string"), right, "0"))
+    return _in_format(m, _feistel(va, vb, sa.cast("long"), sb.cast("long"), key, "phone", made))
+
+
+def _host(m: Column) -> Column:
+    """Whether an address can be a host's: its first octet is 1 to 223 and not 127."""
+    first = F.split(m, r"\.")[0].cast("int")
+    return (first >= 1) & (first <= 223) & (first != 127)
 
 
 def _ip(m: Column, key: str) -> Column:
     o = F.split(m, r"\.")
     n = lambda i: o[i].cast("long")
-    size = F.lit(65536).cast("long")
-    a, b = _feistel(n(0) * 256 + n(1), n(2) * 256 + n(3), size, size, key, "ip")
-    return F.concat_ws(".", *((x.cast("string")) for h in (a, b) for x in (F.floor(h / 256), h % 256)))
+
+    def made(a: Column, b: Column) -> Column:
+        first = F.floor(a / 256) + 1
+        return F.concat_ws(".", *(x.cast("string") for x in (first + (first >= 127).cast("long"), a % 256, F.floor(b / 256), b % 256)))
+
+    return _feistel((n(0) - 1 - (n(0) > 127).cast("long")) * 256 + n(1), n(2) * 256 + n(3), F.lit(222 * 256).cast("long"), F.lit(65536).cast("long"), key, "ip", made)
 
 
 def _ssn_area(m: Column) -> Column:
@@ -109,9 +166,12 @@ def _ssn_area(m: Column) -> Column:
 def _ssn(m: Column, key: str) -> Column:
     # valid: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999
     area, group, serial = _ssn_area(m), F.substr(m, F.lit(5), F.lit(2)).cast("long"), F.substr(m, F.lit(8)).cast("long")
-    a, b = _feistel((area - 1 - (area > 666).cast("long")) * 99 + group - 1, serial - 1, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, "ssn")
-    area = F.floor(a / 99) + 1
-    return F.concat_ws("-", F.lpad((area + (area >= 666).cast("long")).cast("string"), 3, "0"), F.lpad((a % 99 + 1).cast("string"), 2, "0"), F.lpad((b + 1).cast("string"), 4, "0"))
+
+    def made(a: Column, b: Column) -> Column:
+        new = F.floor(a / 99) + 1
+        return F.concat_ws("-", F.lpad((new + (new >= 666).cast("long")).cast("string"), 3, "0"), F.lpad((a % 99 + 1).cast("string"), 2, "0"), F.lpad((b + 1).cast("string"), 4, "0"))
+
+    return _feistel((area - 1 - (area > 666).cast("long")) * 99 + group - 1, serial - 1, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, "ssn", made)
 
 
 def _day(m: Column) -> Column:
@@ -122,11 +182,13 @@ def _day(m: Column) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    at = _day(m).cast("long")
-    a, b = _feistel(F.floor(at / CYCLE[1]), at % CYCLE[1], F.lit(CYCLE[0]).cast("long"), F.lit(CYCLE[1]).cast("long"), key, "date")
-    day = F.date_add(F.lit(EPOCH).cast("date"), (a * CYCLE[1] + b).cast("int"))
     first = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull()
-    return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(first, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+
+    def made(a: Column, b: Column) -> Column:
+        day = F.date_add(F.lit(EPOCH).cast("date"), (a * CYCLE[1] + b).cast("int"))
+        return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(first, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+
+    return let(_day(m).cast("long"), lambda at: _feistel(F.floor(at / CYCLE[1]), at % CYCLE[1], F.lit(CYCLE[0]).cast("long"), F.lit(CYCLE[1]).cast("long"), key, "date", made))
 
 
 def _digest(m: Column, key: str, kind: str) -> Column:
@@ -134,29 +196,31 @@ def _digest(m: Column, key: str, kind: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(_digest(F.lower(m), key, "email"), 1, 14), F.lit("@mail.invalid"))
+    return F.concat(F.lit("u"), F.substring(_digest(F.lower(m), key, "email"), 1, 32), F.lit("@mail.invalid"))
 
 
 def _secret(m: Column, key: str) -> Column:
-    made = F.substr(F.concat(_digest(m, key, "secret"), _digest(m, key, "secret2")), F.lit(1), F.length(m))
-    return F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(F.substr(made, F.lit(1), F.lit(16))))).otherwise(made)
+    """The run behind a name and its sign as a digest of 40 digits, whatever its length; a key id keeps its form."""
+    lead = F.regexp_extract(m, rf"^(?i:(?:[a-z]+[_-])?(?:{NAMES}))[\"']? ?[=:] ?[\"']?", 0)
+    made = F.substring(_digest(F.substr(m, F.length(lead) + 1), key, "secret"), 1, 40)
+    return F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(F.substring(made, 1, 16)))).otherwise(F.concat(lead, made))
 
 
 def kind_of(m: Column) -> Column:
     """The kind of a found string, null if its validation fails."""
-    whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    area = _ssn_area(m)
+    whole = lambda k: m.rlike(f"^(?:{PATTERNS[k].replace(chr(92) + '2', chr(92) + '1').replace(chr(92) + '3', chr(92) + '2')})$")
+    area, digits = _ssn_area(m), F.length(digits_of(m))
     checks = {
-        "phone": None,
         "ssn": (area > 0) & (area < 900) & (area != 666) & ~m.rlike("-00-|-0000$"),
         "date": _day(m).isNotNull(),
         "card": (luhn_sum(digits_of(m)) % 10 == 0) & digits_of(m).rlike("[1-9]"),
-        "ip": None,
+        "ip": _host(m),
+        "phone": ~m.startswith("+") | digits.between(8, 15),
     }
-    out = F.when(m.contains("@") & whole("email"), "email")
+    out = F.when(m.rlike("[=:]|^AKIA"), "secret").when(m.contains("@"), "email")
     for k, check in checks.items():
-        out = out.when(whole(k), F.lit(k) if check is None else F.when(check, F.lit(k)))
-    return out.otherwise("secret")
+        out = out.when(whole(k), F.when(check, F.lit(k)))
+    return out
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
@@ -174,18 +238,23 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Null text: stays null, ``pii`` is empty. Empty, very long and repeated texts are handled alike. All other columns are
     kept as they are; a column named ``pii`` is replaced. An empty table gives an empty result.
     """
-    t = F.col(text).cast("string")
-    pattern = F.lit(ANY)
-    # most texts hold no digit and no @, and so nothing to find
-    may = t.rlike("[0-9@]|(?:password|passwd|secret|token|api_key) ?[=:]")
+    t, key = F.col(text).cast("string"), plan_key(key)
+    marked = F.regexp_replace(F.replace(t, F.lit(MARK), F.lit(MARK + "n")), F.lit(ANY), F.lit(f"{MARK}m$0{MARK}e"))
     names = docs.columns
-    a = docs.withColumn("__found", F.when(may, F.regexp_extract_all(t, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
-    a = a.withColumn("__kinds", F.transform(F.coalesce("__found", F.array().cast("array<string>")), kind_of))
-    made = F.transform(F.arrays_zip("__found", "__kinds"), lambda x: pseudonym(x["__found"], x["__kinds"], key))
-    joined = F.array_join(F.zip_with(F.split(t, ANY, -1), made, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    new = F.when(F.size("__found") > 0, joined).otherwise(t)
+    tag, rest = (lambda x: F.substring(x, 1, 1)), (lambda x: F.substr(x, F.lit(2)))
+    none = F.array().cast("array<struct<tag:string,text:string,kind:string>>")
+
+    def part(x: Column, i: Column) -> Column:
+        first = F.struct(F.lit("e").alias("tag"), x.alias("text"), F.lit(None).cast("string").alias("kind"))
+        return F.when(i == 0, first).otherwise(F.struct(tag(x).alias("tag"), rest(x).alias("text"), F.when(tag(x) == "m", kind_of(rest(x))).alias("kind")))
+
+    a = docs.withColumn("__parts", F.when(t.rlike(MAY), F.transform(F.split(marked, MARK, -1), part)).otherwise(none))
+    one = lambda x: F.when(x["kind"].isNotNull(), pseudonym(x["text"], x["kind"], key)).when(x["tag"] == "n", F.concat(F.lit(MARK), x["text"])).otherwise(x["text"])
+    made = F.transform("__parts", one)
+    new = F.when(F.exists("__parts", lambda x: x["kind"].isNotNull()), F.array_join(made, "")).otherwise(t)
     kept = [F.col(f"`{c}`") if c != text else new.alias(text) for c in names if c != "pii"]
-    return a.select(*kept, F.filter("__kinds", lambda k: k.isNotNull()).alias("pii"))
+    kinds = F.transform(F.filter(F.coalesce("__parts", none), lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
+    return a.select(*kept, kinds.alias("pii"))
 
 
 def pii(docs: DataFrame, key: str) -> DataFrame:
