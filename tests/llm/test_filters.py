@@ -4,7 +4,9 @@ import datetime
 import hashlib
 import random
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from docfacts.llm import pii, quality, toxicity
@@ -133,6 +135,43 @@ def test_url_filter(spark):
     assert U.url_filter(spark, pages.limit(0), labelled.limit(0), rules).count() == 0
 
 
+def test_mined_rules_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(U, "MIN_ROWS", 4)
+    rng, rows = random.Random(12), []
+    for i in range(1500):
+        site, word, top, key = rng.choice("abcdef"), rng.choice(["win", "read", "shop", "news"]), rng.choice(["net", "org"]), rng.choice(["ref", "id", "q"])
+        # blocked by a combination, not by either part; a site with many tokens that always come together is blocked as a whole
+        bad = (word == "win" and top == "net" and rng.random() < 0.95) or site == "f" or rng.random() < 0.02
+        rows.append((f"http://{'one.two.' if site == 'f' else site + '.'}{top}/{'x/y/' if site == 'f' else ''}{word}/{i}?{key}=1", bad))
+    labelled = spark.createDataFrame(rows + [(None, True), ("http://a.net/", None)], "url string, bad boolean")
+    urls = sorted({u for u, _ in rows})[::9] + ["http://z.net/win/", "http://z.org/win", "http://two.com/", None, "http://g.net/" + "win/" * 3000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: r for r in U.url_filter(spark, pages, labelled, []).collect()}
+
+    every = pages.unionByName(spark.createDataFrame([(10_000 + i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"))
+    token = {r["page_id"]: frozenset(r["t"]) for r in every.select("page_id", U.tokens(F.col("url")).alias("t")).collect()}
+    sets = [(token[10_000 + i], bad) for i, (_, bad) in enumerate(rows)]
+    n_bad = sum(b for _, b in sets)
+    least = max(U.MIN_SUPPORT * n_bad, 4)
+    seen = Counter(x for t, b in sets if b for x in t)
+    level, confident = {frozenset([x]) for x, c in seen.items() if c >= least}, {}
+    floor, singles = max(U.MIN_CONFIDENCE, U.MIN_LIFT * n_bad / len(sets)), []
+    while level:  # all frequent sets, one token more at a time
+        kept = set()
+        for s in level:
+            blocked, total = sum(b for t, b in sets if s <= t), sum(s <= t for t, b in sets)
+            if blocked >= least:
+                kept.add(s)
+                if blocked / total >= floor:
+                    confident[s] = blocked / total
+        singles = singles or [x for (x,) in kept]
+        level = {a | {x} for a in kept for x in singles if x not in a}
+    for i, _ in enumerate(urls):
+        want = max((c for s, c in confident.items() if s <= token[i]), default=None)
+        assert got[i]["confidence"] == (None if want is None else pytest.approx(want)) and got[i]["verdict"] == ("allow" if want is None else "block"), urls[i]
+    assert got[len(urls) - 3]["mined"] and got[len(urls) - 5]["mined"] and got[len(urls) - 1]["mined"] and not got[len(urls) - 4]["mined"]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
