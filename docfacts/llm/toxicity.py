@@ -217,14 +217,15 @@ def _scorer(terms) -> Scorer:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, y): at most ``rows`` labelled documents, those with the least hash of their id.
 
-    The label side is bounded by ``rows`` and so may be broadcast. Null ids and null labels are left out; of
-    repeated ids with unequal labels the larger label counts.
+    The label side is bounded by ``rows`` and so may be broadcast. Null ids and labels other than 0 and 1 are left out; of
+    repeated ids with unequal labels the larger label counts, and of documents that share an id the least text.
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     if usable is not None:
         chosen = chosen.where(usable)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def learn_lexicon(train: DataFrame) -> list[Term]:

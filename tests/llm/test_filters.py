@@ -233,6 +233,69 @@ def test_toxicity_learns_and_holds_out(spark, sf):
     assert toxicity.toxicity(spark, docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quotation_is_told_from_abuse(spark):
+    abuse = lambda i: f"hey {i} you are such an idiot and you know it, said nobody of item {i}"
+    quote = lambda i: f'in report {i} the court wrote that "idiot" was the word, according to item {i}'
+    plain = lambda i: f"kind item {i} of the people in report {i}"
+    rows = [(i, f(i), y) for i, (f, y) in enumerate([(abuse, 1)] * 300 + [(quote, 0)] * 40 + [(plain, 0)] * 300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.ToxicityModel.fit(docs, labels)
+    assert "idiot" in {t for t, _, stem in model.terms if not stem}
+    new = [(1, "once more you are such an idioot and you know it"), (2, 'yesterday a witness wrote that "idiot" was the word'), (3, 'yesterday a witness wrote that "idioot" was the word'), (4, None), (5, "")]
+    got = {r["doc_id"]: r["score"] for r in model.score(spark.createDataFrame([(*r, 0.5, "f") for r in new], "doc_id long, text string, score double, f string"), "doc_id").collect()}
+    assert got[1] > 0.5 and max(got[i] for i in (2, 3, 4, 5)) < 0.5
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "c"), (None, "d")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 7), (None, 1), (4, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.training_rows(docs, labels, "toxic").collect())) == [(1, "a", 1), (2, None, 0)]
+    assert toxicity.training_rows(docs, labels, "toxic", rows=1).count() <= 1
+
+
+def test_quality_column_equals_the_models_own_prediction(spark, sf):
+    """Each rule by hand over a fitted forest, the lasso's own probability, and the compiled column."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    train = quality.statistics(toxicity.training_rows(docs, labels, "quality"), "doc_id", "y").cache()
+    vectors = VectorAssembler(inputCols=quality.STATS, outputCol="x").transform(train)
+    forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=4, maxDepth=3, seed=1).fit(vectors)
+    rules = quality.tree_rules(forest)
+    rows = train.collect()
+    paths = set()  # by hand: the path of each row through each tree, read from its printed form
+    for tree in forest.trees:
+        lines = [x for x in tree.toDebugString.splitlines()[1:] if x.strip()]
+        for row in rows:
+            deep, parts, at = None, [], 0
+            while at < len(lines):
+                depth, line = len(lines[at]) - len(lines[at].lstrip()), lines[at].strip()
+                m = re.match(r"(?:If|Else) \(feature (\d+) (<=|>) (.+)\)", line)
+                if m is None:
+                    break
+                name, low, bound = quality.STATS[int(m[1])], m[2] == "<=", float(m[3])
+                if (row[name] <= bound) == low and (deep is None or depth > deep):
+                    deep = depth
+                    parts.append((name, low, bound))
+                    at += 1
+                else:  # past this branch
+                    at = next((k for k in range(at + 1, len(lines)) if len(lines[k]) - len(lines[k].lstrip()) <= depth), len(lines))
+            paths.add(tuple(parts))
+    tightest = lambda ps: frozenset((n, low, (min if low else max)(b for m_, l_, b in ps if (m_, l_) == (n, low))) for n, low, _ in ps)
+    assert {tightest(p[:k]) for p in paths for k in range(1, len(p) + 1)} <= {frozenset(r.parts) for r in rules}
+    fired = train.select("doc_id", "y", *(r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
+    for row, f in zip(sorted(rows, key=lambda r: r["doc_id"]), fired.orderBy("doc_id").collect(), strict=True):
+        assert [f[f"r{i}"] for i in range(len(rules))] == [float(all((row[n] <= b) == low for n, low, b in r.parts)) for r in rules]
+    fired = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="x").transform(fired)
+    lasso = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.002, elasticNetParam=1.0, standardization=False, maxIter=60).fit(fired)
+    model = quality.QualityModel([(r, w) for r, w in zip(rules, lasso.coefficients.toArray().tolist(), strict=True) if w], lasso.intercept)
+    want = {r["doc_id"]: r["probability"][1] for r in lasso.transform(fired).select("doc_id", "probability").collect()}
+    for r in model.score(docs, "doc_id").where(F.col("doc_id").isin(list(want))).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-9
+
+
 def test_quality(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = quality.quality(spark, docs, labels).join(labels, "doc_id").where("held_out")
@@ -240,3 +303,8 @@ def test_quality(spark, sf):
     assert right > 0.9
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "x " * 50000)], "doc_id long, text string")
     assert quality.quality(spark, odd, labels.limit(0)).where("score = 0.5").count() == 3
+    assert quality.quality(spark, docs.limit(0), labels).count() == 0
+    strange = labels.withColumn("quality", F.lit(5))
+    assert quality.quality(spark, odd, strange).where("score = 0.5").count() == 3
+    clash = docs.limit(30).withColumns({"y": F.lit("a"), "score": F.lit("b"), "stat_t": F.lit("c"), "quality": F.lit("d"), "held_out": F.lit("e")})
+    assert quality.quality(spark, clash.union(clash), labels).count() == 60
