@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import Scratch, components, groups, starts_of
@@ -29,8 +29,8 @@ BANDS, BAND_ROWS, BITS = 25, 5, 4
 PERMUTATIONS = 128
 #: Estimates below the threshold by this much or more are dropped (over four standard errors of the estimate).
 MARGIN = 0.16
-#: A band's members, and those of a family, are compared in blocks of about this many.
-BLOCK, FAMILY = 2048, 512
+#: A band's members, and those of a family, are compared in blocks of about this many, or of so many shingles.
+BLOCK, FAMILY, SHINGLES = 2048, 512, 1_000_000
 CACHE_WORDS = 1_000_000
 
 _M = np.uint64
@@ -214,16 +214,15 @@ def _exact(k: int, num: int, den: int):
     return run
 
 
-def _blocks(rows: DataFrame, key: str, count: str, size: int) -> DataFrame:
-    """``rows`` with ``block``: a group of ``count`` rows is cut into parts by a hash of id, and every two parts meet in a block.
+def _blocks(rows: DataFrame, parts: Column) -> DataFrame:
+    """``rows`` with ``block``: a group is cut into ``parts`` parts by a hash of id, and every two parts meet in a block.
 
-    A group of at most ``size`` rows is one block; larger ones are repeated once for each part.
+    A group of one part is one block; others are repeated once for each part.
     """
-    parts = F.ceil(F.col(count) / size).cast("long")
-    rows = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), "parts"))
+    rows = rows.withColumn("parts", F.greatest(parts, F.lit(1)).cast("long")).withColumn("side", F.pmod(F.xxhash64("id", F.lit(5)), "parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     block = F.least("side", "other") * F.col("parts") + F.greatest("side", "other")
-    return rows.withColumn("other", other).withColumn("block", block).drop("parts", "side", "other", count)
+    return rows.withColumn("other", other).withColumn("block", block).drop("parts", "side", "other")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -238,7 +237,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
     rows = scratch.table(sketch(docs, k))
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets: one class, named by its smallest id
-    classes = some.groupBy("hi", "lo").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "bands", "sig"), "doc_id").alias("m"))
+    classes = some.groupBy("hi", "lo").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "bands", "sig", F.col("n_shingles").alias("size")), "doc_id").alias("m"))
     members = scratch.table(classes.select("hi", "lo", "m.*"))
     bands = members.select("id", F.explode("bands").alias("key"))
     keys = scratch.table(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -246,15 +245,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
 
     # families: components of band neighbours whose estimate is near the threshold or above
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = _blocks(shared, "key", "n", BLOCK).join(members.select("id", "sig"), "id").select("key", "block", "id", "sig")
+    near = _blocks(shared, F.ceil(F.col("n") / BLOCK)).join(members.select("id", "sig"), "id").select("key", "block", "id", "sig")
     near = near.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
     loose = components(near.mapInArrow(_loose(num / den - MARGIN), "a long, b long"), scratch)
     scratch.drop(shared)
     family = scratch.table(loose.unionByName(loose.select(F.col("component").alias("id"), "component").distinct()))
-    sizes = scratch.table(family.groupBy("component").agg(F.count("*").alias("n")))
+    weighed = family.join(members.select("id", "size"), "id")
+    sizes = scratch.table(weighed.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")))
 
-    # exact links within each family, on the full sets of its texts
-    own = _blocks(family.join(sizes, "component").withColumnRenamed("component", "comp"), "comp", "n", FAMILY)
+    # exact links within each family, on the full sets of its texts; long texts make more and smaller parts
+    parts_of = F.greatest(F.ceil(F.col("n") / FAMILY), F.least("n", F.ceil(F.col("shingles") / SHINGLES)))
+    own = _blocks(family.join(sizes, "component").withColumnRenamed("component", "comp"), parts_of).select("comp", "block", "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # families grow with the documents: a shuffled join at every size
     own = texts.join(own.hint("merge"), "id").repartition(parts, "comp", "block").sortWithinPartitions("comp", "block")
@@ -268,7 +269,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, num: int =
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest doc_id of each component; one row of each doc_id that stays.
+    """The rows of ``docs`` without all but the smallest doc_id of each component; of each doc_id that stays its least row.
 
     Rows with a null doc_id all stay. Columns are those of ``docs``.
     """
@@ -277,4 +278,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, de
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
     if found.where("n > 1").isEmpty():
         return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    least = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "__row.*")
+    return least.select(*[f"`{c}`" for c in docs.columns]).unionByName(left.where("doc_id IS NULL"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 from .url_filter import host_of
 
-BLOCK_LINES = 1000
+BLOCK_LINES, SHARD_FILES = 1000, 50
 #: Byte ranges of an archive that one task reads side by side.
 READ_SPAN = 8 << 20
 CRLF, END = "\r\n", "\r\n\r\n"
@@ -162,8 +162,10 @@ class CaptureIndex:
 
     @classmethod
     def build(cls, archives: str, spark: SparkSession, scratch: Scratch) -> CaptureIndex:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path").repartition(parts)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives).select("path")
+        # shards follow the captures: those of ``SHARD_FILES`` archives make one
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // SHARD_FILES))
+        files = files.repartition(parts)
         lines = scan(files).select(surt(F.col("uri")).alias("key"), page_key(F.col("page_id")).alias("page"), "file", "offset", "length")
         order = ["key", "page", "file", "offset"]
         lines = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())

@@ -53,6 +53,7 @@ def texts():
 
 def test_minhash(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FAMILY", 5)  # families of several blocks
+    monkeypatch.setattr(minhash, "SHINGLES", 400)
     rows = texts()
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows] + [(None, "one", 1)], "doc_id long, text string, id int")
     for k in (2, 5):
