@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Method. A model's normaliser, pieces and byte fallback are compiled into transducers; an input is composed with
-them, and the tropical-semiring shortest path through the composition gives the ids.
-
-* Unigram models: an arc for a piece weighs its negative score; the path of least weight is the segmentation.
-* BPE models: a segmentation is the one BPE makes exactly if every two neighbouring pieces are what BPE makes of
-  their joint text. So the composition also holds an acceptor whose states are the last piece and whose arcs
-  weigh 0 where the next piece may follow and infinity where not. Its arcs are compiled when first needed. Exactly one
-  path through the composition has a finite weight.
-* Byte fallback: a character of no piece goes through arcs for its UTF-8 bytes, or to the unknown id.
-
-Composition is on the fly and cut at borders that no piece can span (before white space, around characters of no piece),
-so its parts are words, whose paths are kept in a bounded cache.
+Method. A model is compiled into transducers, each a machine of its own (``start``, ``step``, ``final``):
+
+* ``Characters``: the normaliser. A precompiled character map becomes a trie; the state is the text since the last
+  output, and the longest match is put out when no longer one can follow.
+* ``Spaces``: white space to U+2581, with the dummy prefix, runs as one and ends dropped where the model says so.
+* ``Pieces``: a trie walk that puts out a piece's id at each of its ends and weighs its negative score; a character of no piece
+  goes through arcs for its UTF-8 bytes (byte fallback), or to the unknown id.
+* ``Pairs``, for BPE models: a segmentation is the one BPE makes exactly if every two neighbouring pieces are what BPE makes
+  of their joint text. The acceptor's state is the last piece; an arc weighs 0 where the next piece may follow and
+  infinity where not. Its arcs are compiled when first needed.
+
+``compose`` joins machines on the fly, and ``shortest`` is the tropical-semiring shortest path of an input through one. The
+encoder runs the same composition cut at borders that no piece can span (before white space, around characters of no piece),
+so its parts are words, whose paths are kept in a bounded cache; where all weights are 0 or infinity the first complete
+path is the shortest, and depth-first search finds it. Tests hold machines, compositions and encoder to each other and to the
+library.
 """
 
 from __future__ import annotations
@@ -63,15 +67,18 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Model:
-    """Pieces (text, score, type) and settings of a model file."""
+    """Pieces (text, score, type) and settings of a model file; ``charsmap`` is its precompiled character map."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, dummy_prefix: bool = True, strip: bool = False, escape: bool = True):
-        self.pieces, self.kind, self.dummy_prefix, self.strip, self.escape = pieces, kind, dummy_prefix, strip, escape
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, dummy_prefix: bool = True, strip: bool = False, escape: bool = True, charsmap: bytes = b""):
+        self.pieces, self.kind, self.dummy_prefix, self.strip, self.escape, self.charsmap = pieces, kind, dummy_prefix, strip, escape, charsmap
 
     @classmethod
     def load(cls, path: str) -> Model:
         with open(path, "rb") as f:
-            data = f.read()
+            return cls.parse(f.read())
+
+    @classmethod
+    def parse(cls, data: bytes) -> Model:
         pieces, kind, norm = [], UNIGRAM, {}
         for number, value in _fields(data):
             if number == 1:
@@ -82,9 +89,185 @@ class Model:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 norm = dict(_fields(value))
-        if norm.get(2):
-            raise ValueError("a precompiled character map is not supported; the identity normaliser is")
-        return cls(pieces, kind, bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1)))
+        return cls(pieces, kind, bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1)), norm.get(2, b""))
+
+
+def characters_of(charsmap: bytes) -> dict[str, str]:
+    """The replacements of a precompiled character map: a double-array trie over UTF-8 bytes, then zero-ended texts.
+
+    A unit of the array holds a byte label in its low bits, whether a value hangs below it (bit 8) and the offset to its children.
+    """
+    if not charsmap:
+        return {}
+    size = int.from_bytes(charsmap[:4], "little")
+    units = np.frombuffer(charsmap[4 : 4 + size], "<u4").astype(np.int64)
+    texts = charsmap[4 + size :]
+    below = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    out: dict[str, str] = {}
+    stack = [(int(below(units[0])), b"")]
+    codes = np.arange(1, 256)
+    while stack:
+        at, key = stack.pop()
+        places = at ^ codes
+        inside = places < len(units)
+        found = codes[inside][(units[places[inside]] & 0x800000FF) == codes[inside]]
+        for c in found.tolist():
+            unit = int(units[at ^ c])
+            child = (at ^ c) ^ below(unit)
+            if unit & 256:
+                value = int(units[child]) & 0x7FFFFFFF
+                out[(key + bytes([c])).decode()] = texts[value : texts.index(b"\0", value)].decode()
+            stack.append((child, key + bytes([c])))
+    return out
+
+
+Arc = tuple[tuple, float, object]  # outputs, weight, next state
+
+
+class Characters:
+    """The normaliser: longest matches of a character map are replaced, other characters stay."""
+
+    start = ""
+
+    def __init__(self, table: dict[str, str]):
+        self.table = table
+        self.opens = {k[:i] for k in table for i in range(1, len(k) + 1)}
+
+    def _settle(self, held: str, more: bool) -> tuple[str, str]:
+        """(output, still held): what is decided of a held text; with ``more`` to come a text that opens a longer match waits."""
+        out = ""
+        while held and not (more and held in self.opens):
+            n = next((i for i in range(len(held), 0, -1) if held[:i] in self.table), 0)
+            out += self.table[held[:n]] if n else held[0]
+            held = held[n or 1 :]
+        return out, held
+
+    def step(self, state: str, ch: str) -> list[Arc]:
+        if not state and ch not in self.opens:
+            return [((ch,), 0.0, "")]
+        out, held = self._settle(state + ch, True)
+        return [(tuple(out), 0.0, held)]
+
+    def final(self, state: str) -> tuple[tuple, float]:
+        return tuple(self._settle(state, False)[0]), 0.0
+
+
+class Spaces:
+    """White space: escaped, with a dummy prefix, and with runs and ends dropped if ``strip``. State: (begun, held, last was a space)."""
+
+    start = (False, "", True)
+
+    def __init__(self, dummy_prefix: bool, strip: bool, escape: bool):
+        self.prefix, self.strip, self.mark = dummy_prefix, strip, SPACE if escape else " "
+
+    def step(self, state: tuple[bool, str, bool], ch: str) -> list[Arc]:
+        begun, held, space = state
+        if ch == " " and self.strip and space:
+            return [((), 0.0, state)]
+        lead = "" if begun or not self.prefix else self.mark
+        new = self.mark if ch == " " else ch
+        if self.strip and new == self.mark:  # dropped if nothing else follows
+            return [((), 0.0, (True, held + lead + new, ch == " "))]
+        return [(tuple(held + lead + new), 0.0, (True, "", False))]
+
+    def final(self, state) -> tuple[tuple, float]:
+        return (), 0.0
+
+
+class Pieces:
+    """Characters to piece ids; states are nodes of the trie of pieces, the root between pieces."""
+
+    def __init__(self, encoder: Encoder):
+        self.e, self.start = encoder, ()
+        self.bpe = encoder.model.kind == BPE
+
+    def _node(self, state: tuple) -> dict:
+        node = self.e.trie
+        for ch in state:
+            node = node[ch]
+        return node
+
+    def step(self, state: tuple, ch: str) -> list[Arc]:
+        e, node, arcs = self.e, self._node(state).get(ch), []
+        if node is not None:
+            if "" in node:
+                arcs.append(((node[""],), 0.0 if self.bpe else -e.score[node[""]], ()))
+            arcs.append(((), 0.0, (*state, ch)))
+        if not state and (node is None or "" not in node):
+            arcs.append((tuple(e.fallback(ch)), 0.0 if self.bpe else -e.floor, ()))
+        return arcs
+
+    def final(self, state: tuple) -> tuple[tuple, float] | None:
+        return None if state else ((), 0.0)
+
+
+class Pairs:
+    """Accepts sequences of ids in which each piece may follow the one before it; ids of no piece separate."""
+
+    start = -1
+
+    def __init__(self, encoder: Encoder):
+        self.e = encoder
+        self.free = {*encoder.byte_ids.values(), encoder.unknown}
+
+    def step(self, last: int, piece: int) -> list[Arc]:
+        if piece in self.free:
+            return [((piece,), 0.0, -1)]
+        return [((piece,), 0.0, piece)] if last < 0 or self.e.follows(last, piece) else []
+
+    def final(self, last: int) -> tuple[tuple, float]:
+        return (), 0.0
+
+
+class compose:  # noqa: N801
+    """The machine that feeds the outputs of one machine to another, built as far as an input needs it."""
+
+    def __init__(self, first, second):
+        self.first, self.second, self.start = first, second, (first.start, second.start)
+
+    def _feed(self, outputs: tuple, weight: float, state) -> list[Arc]:
+        ways = [((), weight, state)]
+        for x in outputs:
+            ways = [(out + more, w + v, nxt) for out, w, at in ways for more, v, nxt in self.second.step(at, x)]
+        return ways
+
+    def step(self, state: tuple, x) -> list[Arc]:
+        return [(out, w, (nxt, at)) for given, v, nxt in self.first.step(state[0], x) for out, w, at in self._feed(given, v, state[1])]
+
+    def final(self, state: tuple) -> tuple[tuple, float] | None:
+        last = self.first.final(state[0])
+        ends = []
+        for out, w, at in self._feed(*last, state[1]) if last is not None else []:
+            more = self.second.final(at)
+            if more is not None:
+                ends.append((w + more[1], out + more[0]))
+        return min(ends, key=lambda x: x[0])[::-1] if ends else None
+
+
+def shortest(machine, inputs) -> tuple[tuple, float] | None:
+    """(outputs, weight) of the least-weight path of a sequence through a machine; of equal ones the longest last pieces win."""
+    front: dict[object, tuple[float, tuple]] = {machine.start: (0.0, ())}  # outputs as a linked list, last first
+    for x in inputs:
+        after: dict[object, tuple[float, tuple]] = {}
+        for state, (weight, path) in front.items():
+            for out, w, nxt in machine.step(state, x):
+                old = after.get(nxt)
+                if old is None or weight + w <= old[0]:
+                    after[nxt] = (weight + w, (path, out) if out else path)
+        # states come newest first, so that of equal paths the one whose last piece began first is kept
+        front = after
+    best = None
+    for state, (weight, path) in front.items():
+        end = machine.final(state)
+        if end is not None and (best is None or weight + end[1] < best[0]):
+            best = (weight + end[1], (path, end[0]))
+    if best is None:
+        return None
+    parts, path = [], best[1]
+    while path:
+        path, out = path
+        parts.append(out)
+    return tuple(x for out in reversed(parts) for x in out), best[0]
 
 
 class Encoder:
@@ -124,6 +307,20 @@ class Encoder:
         self.floor = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.characters = Characters(characters_of(model.charsmap)) if model.charsmap else None
+        self.spaces = Spaces(model.dummy_prefix, model.strip, model.escape)
+
+    def normaliser(self):
+        return compose(self.characters, self.spaces) if self.characters else self.spaces
+
+    def machine(self):
+        """The whole composition, from characters of a text to ids."""
+        pieces = compose(Pieces(self), Pairs(self)) if self.model.kind == BPE else Pieces(self)
+        return compose(self.normaliser(), pieces)
+
+    def fallback(self, ch: str) -> list[int]:
+        """Ids of a character of no piece."""
+        return [self.byte_ids[b] for b in ch.encode()] if self.byte_ids else [self.unknown]
 
     def merged(self, text: str) -> list[str]:
         """What BPE makes of a text, by merging the pair of the best score, leftmost first; defines the pair acceptor."""
@@ -223,10 +420,8 @@ class Encoder:
             j, p = back[i]
             if p >= 0:
                 out.append(p)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in reversed(text[j:i].encode())]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            else:
+                out += reversed(self.fallback(text[j:i]))
             i = j
         return out[::-1]
 
@@ -239,20 +434,42 @@ class Encoder:
                 at = i + 1
         return np.array(ids + self.path(text[at:]), dtype="<i4").tobytes()
 
+    def _joined(self, parts: list[bytes]) -> bytes:
+        """Ids of consecutive words; unknown characters in a row are one unknown id."""
+        data = b"".join(parts)
+        if self.byte_ids:
+            return data
+        ids = np.frombuffer(data, "<i4")
+        again = np.zeros(len(ids), dtype=bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again].tobytes()
+
+    def _normal(self, text: str) -> bytes:
+        """Ids of a normalised text."""
+        if not self.by_word:
+            return self._joined([self._word(text)])
+        out, words = [], self.words
+        for w in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
+            got = words.get(" " + w)
+            if got is None:
+                got = words[" " + w] = self._word(w)
+            out.append(got)
+        return self._joined(out)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32 bytes."""
-        m = self.model
-        text = text.replace(SPACE, " ") if m.escape else text
-        if m.strip:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return b""
-        mark = SPACE if m.escape else " "
-        words = self.words
+        m, words = self.model, self.words
         if len(words) > CACHE_WORDS:
             words.clear()
-        if not (self.by_word and m.escape and m.dummy_prefix):
-            return self._word((mark if m.dummy_prefix else "") + text.replace(" ", mark))
+        if self.characters or m.strip or not m.escape:
+            # the normaliser is deterministic: its one path is the normalised text
+            return self._normal("".join(shortest(self.normaliser(), text)[0]))
+        text = text.replace(SPACE, " ")
+        if not text:
+            return b""
+        if not (self.by_word and m.dummy_prefix):
+            return self._normal((SPACE if m.dummy_prefix else "") + text.replace(" ", SPACE))
+        mark = SPACE
         out = []
         if "  " not in text and text[0] != " " and text[-1] != " ":
             # each part follows a space, but for those that begin with a line feed put apart here
@@ -265,13 +482,8 @@ class Encoder:
                     got = words[w] = self._word(mark if w in ("", " ") else w if w[0] == "\n" else mark + w)
                 out.append(got)
         else:
-            for w in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", (SPACE + text).replace(" ", SPACE)):
-                key = " " + w
-                got = words.get(key)
-                if got is None:
-                    got = words[key] = self._word(w)
-                out.append(got)
-        return b"".join(out)
+            return self._normal((SPACE + text).replace(" ", SPACE))
+        return self._joined(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space before the first word is taken away, ids out of range are unknown."""

@@ -39,6 +39,58 @@ def test_unigram_shortest_path_equals_brute_force():
         assert "".join(pieces[i][0] for i in e.path(t)) == t
 
 
+def odd_texts(n, seed=5):
+    rng = random.Random(seed)
+    letters = "ab ▁ \t\u3000ﬁ①ＡｶﾞÅA\u030a가각\u1100\u1161é\u0301½x\u200b\u00adß"
+    return ["", " ", "  a ▁ b  ▁ ", "▁", " ▁ a", *("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(n))]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nfkc_cf", "identity"])
+@pytest.mark.parametrize(("prefix", "strip", "escape"), [(True, True, True), (True, False, True), (False, True, True), (False, False, False)])
+def test_normaliser_machine_equals_library(rule, prefix, strip, escape):
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=prefix, remove_extra_whitespaces=strip, escape_whitespaces=escape)
+    model = W.Model.parse(theirs.serialized_model_proto())
+    assert (model.dummy_prefix, model.strip, model.escape) == (prefix, strip, escape)
+    machine = W.Encoder(model).normaliser()
+    for t in odd_texts(400):
+        assert "".join(W.shortest(machine, t)[0]) == theirs.normalize(t), repr(t)
+
+
+PIECE_SETS = [("<unk>", 0.0, W.UNKNOWN), *((t, -s, 1) for t, s in (("▁", 3.0), ("a", 2.0), ("b", 2.5), ("ab", 3.0), ("▁a", 3.5), ("ba", 3.2), ("aba", 5.5), ("bb", 4.9), ("▁ab", 5.2)))]
+BYTES = [(f"<0x{i:02X}>", 0.0, W.BYTE) for i in range(256)]
+
+
+@pytest.mark.parametrize("kind", [W.UNIGRAM, W.BPE])
+@pytest.mark.parametrize("more", [[], BYTES])
+def test_encoder_equals_the_whole_composition(kind, more):
+    import sentencepiece
+
+    charsmap = W.Model.parse(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).charsmap
+    for options in ({}, {"strip": True}, {"dummy_prefix": False}, {"strip": True, "charsmap": charsmap}):
+        e = W.Encoder(W.Model(PIECE_SETS + more, kind, **options))
+        machine = e.machine()
+        for t in [*odd_texts(60), *("".join(random.Random(i).choice("ab é") for _ in range(12)) for i in range(60))]:
+            ids = list(W.shortest(machine, t)[0])
+            ids = [x for i, x in enumerate(ids) if more or not (i and x == ids[i - 1] == e.unknown)]
+            assert np.frombuffer(e.encode(t), "<i4").tolist() == ids, (repr(t), options)
+
+
+def test_compositions_are_associative():
+    e = W.Encoder(W.Model(PIECE_SETS + BYTES, W.BPE, strip=True))
+    n, p, q = e.normaliser(), W.Pieces(e), W.Pairs(e)
+    for t in odd_texts(80):
+        assert W.shortest(W.compose(W.compose(n, p), q), t) == W.shortest(W.compose(n, W.compose(p, q)), t)
+
+
+def test_real_model_equals_its_composition():
+    e = W.encoder(PIECES)
+    machine = e.machine()
+    for t in [*ODD, "The quick brown fox, 12 x 7", "été à Zürich"]:
+        assert np.frombuffer(e.encode(t), "<i4").tolist() == list(W.shortest(machine, t)[0]), t
+
+
 def test_encode_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b", "x"), (2, "a b", "x"), (3, "word " * 30000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
