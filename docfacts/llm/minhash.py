@@ -274,8 +274,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, de
     Rows with a null doc_id all stay. Columns are those of ``docs``.
     """
     found = Scratch(spark, "kept").table(near_duplicates(spark, docs, k, num, den).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone"))
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone"))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     if found.where("n > 1").isEmpty():
         return left
     others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]

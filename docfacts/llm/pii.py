@@ -232,11 +232,11 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` pseudonymised and a column ``pii``, the array of kinds found in it, in their order.
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pii") -> DataFrame:
+    """``docs`` with ``text`` pseudonymised and a column ``found``, the array of kinds found in it, in their order.
 
-    Null text: stays null, ``pii`` is empty. Empty, very long and repeated texts are handled alike. All other columns are
-    kept as they are; a column named ``pii`` is replaced. An empty table gives an empty result.
+    Null text: stays null, ``found`` is empty. Empty, very long and repeated texts are handled alike. All other columns are
+    kept as they are; a column of that name is replaced. An empty table gives an empty result.
     """
     t, key = F.col(text).cast("string"), plan_key(key)
     marked = F.regexp_replace(F.replace(t, F.lit(MARK), F.lit(MARK + "n")), F.lit(ANY), F.lit(f"{MARK}m$0{MARK}e"))
@@ -252,9 +252,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     one = lambda x: F.when(x["kind"].isNotNull(), pseudonym(x["text"], x["kind"], key)).when(x["tag"] == "n", F.concat(F.lit(MARK), x["text"])).otherwise(x["text"])
     made = F.transform("__parts", one)
     new = F.when(F.exists("__parts", lambda x: x["kind"].isNotNull()), F.array_join(made, "")).otherwise(t)
-    kept = [F.col(f"`{c}`") if c != text else new.alias(text) for c in names if c != "pii"]
+    kept = [F.col(f"`{c}`") if c != text else new.alias(text) for c in names if c != found]
     kinds = F.transform(F.filter(F.coalesce("__parts", none), lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
-    return a.select(*kept, kinds.alias("pii"))
+    return a.select(*kept, kinds.alias(found))
 
 
 def pii(docs: DataFrame, key: str) -> DataFrame:

@@ -24,7 +24,7 @@ TREES, DEPTH, LASSO = 12, 3, 0.002
 #: Characters whose counts are statistics, with the name of each.
 MARKS = {"bang": "!", "dollar": "$", "percent": "%", "amp": "&", "hash": "#", "star": "*", "pipe": "|"}
 #: Prefixed, so that they do not clash with columns of the documents.
-STATS = [f"stat_{x}" for x in ("n_chars", "n_words", "distinct_share", "word_length", "repeat_share", "capital_share", "mark_share", *(f"{k}_share" for k in MARKS))]
+STATS = [f"__stat_{x}" for x in ("n_chars", "n_words", "distinct_share", "word_length", "repeat_share", "capital_share", "mark_share", *(f"{k}_share" for k in MARKS))]
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -33,8 +33,9 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     Shares are per word (marks, repeats of the word before) or per character (capitals A-Z).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    a = docs.select(*keep, text.alias("stat_t"), F.split(F.trim(F.translate(text, "\n\t", "  ")), " ", -1).alias("stat_w"))
-    t, w = F.col("stat_t"), F.col("stat_w")
+    keep = [F.col(f"`{c}`") for c in keep]
+    a = docs.select(*keep, text.alias("__stat_t"), F.split(F.trim(F.translate(text, "\n\t", "  ")), " ", -1).alias("__stat_w"))
+    t, w = F.col("__stat_t"), F.col("__stat_w")
     count = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double")
     # a word equal to the one before it counts as a repeat
     repeat = F.aggregate(w, F.struct(F.lit("").alias("last"), F.lit(0).alias("n")), lambda s, x: F.struct(x.alias("last"), (s["n"] + (x == s["last"]).cast("int")).alias("n")), lambda s: s["n"])
@@ -46,8 +47,8 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("double").alias("capitals"),
         *(count(c).alias(k) for k, c in MARKS.items()),
     )
-    s = a.select(*keep, sums.alias("stat"))
-    of = lambda c: F.col(f"stat.{c}")
+    s = a.select(*keep, sums.alias("__stat"))
+    of = lambda c: F.col(f"__stat.{c}")
     per_word = lambda c: of(c) / of("words")
     marks = reduce(lambda x, y: x + y, (of(k) for k in MARKS)) / of("words")
     values = [of("chars"), of("words"), per_word("distinct"), per_word("chars"), per_word("repeats"), of("capitals") / F.greatest(of("chars"), F.lit(1.0)), marks, *map(per_word, MARKS)]
@@ -121,9 +122,9 @@ class QualityModel:
         z = reduce(lambda x, y: x + y, (F.when(r.column(), w).otherwise(0.0) for r, w in self.rules), F.lit(self.intercept))
         return 1 / (1 + F.exp(-z))
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """Columns ``keep`` of docs and ``score``."""
-        return statistics(docs, *keep).select(*keep, self.column().alias("score"))
+    def score(self, docs: DataFrame, *keep: str, name: str = "score") -> DataFrame:
+        """Columns ``keep`` of docs and ``name``, the score."""
+        return statistics(docs, *keep).select(*[F.col(f"`{c}`") for c in keep], self.column().alias(name))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Most labelled rows that a fit reads (the rows with the least hash of their id).
 TRAIN_ROWS = 20_000
@@ -285,23 +286,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 4
     return w
 
 
-def features(docs: DataFrame, terms: list[Term], *keep: str) -> DataFrame:
-    """Columns ``keep`` of docs and ``f``, the array of ``FEATURES`` of each text."""
-    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    rows = rows.withColumn("text", F.col("text").cast("string"))
-    at, drop = rows.columns.index("text"), "text" not in keep
+def features(docs: DataFrame, terms: list[Term], *keep: str, name: str = "f") -> DataFrame:
+    """Columns ``keep`` of docs and ``name``, the array of ``FEATURES`` of each text."""
+    # as one struct, so that names of any kind pass
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(terms)
         for b in batches:
             for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                f = pa.array([scorer.features(t) for t in part.column(at).to_pylist()], pa.list_(pa.float64()))
-                own = part.drop_columns(["text"]) if drop else part
-                yield pa.RecordBatch.from_arrays([*own.columns, f], names=[*own.schema.names, "f"])
+                row, texts = b.slice(i, 512).columns
+                f = pa.array([scorer.features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([row, f], names=["__row", name])
 
-    schema = rows.select(*keep).schema
-    return rows.mapInArrow(run, "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in schema) + "f array<double>")
+    schema = StructType([rows.schema["__row"], StructField(name, ArrayType(DoubleType()))])
+    return rows.mapInArrow(run, schema).select("__row.*", name)
 
 
 class ToxicityModel:
@@ -325,11 +324,11 @@ class ToxicityModel:
             return cls(terms, [30.0 * (2 * rate - 1), *[0.0] * len(FEATURES)])
         return cls(terms, _logistic(np.array([r["f"] for r in got]), y).tolist())
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """Columns ``keep`` of docs and ``score`` (0 to 1; null and empty texts score as texts without hits)."""
+    def score(self, docs: DataFrame, *keep: str, name: str = "score") -> DataFrame:
+        """Columns ``keep`` of docs and ``name``, the score (0 to 1; null and empty texts score as texts without hits)."""
         w = self.weights
-        z = sum((F.lit(v) * F.col("f")[i] for i, v in enumerate(w[1:])), F.lit(w[0]))
-        return features(docs, self.terms, *keep).withColumn("score", 1 / (1 + F.exp(-z))).drop("f")
+        z = sum((F.lit(v) * F.col("__f")[i] for i, v in enumerate(w[1:])), F.lit(w[0]))
+        return features(docs, self.terms, *keep, name="__f").withColumn(name, 1 / (1 + F.exp(-z))).drop("__f")
 
 
 def held_out(remainder: int, mod: int, *, equal: bool) -> Column:
