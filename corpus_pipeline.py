@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity and quality filters, near-duplicate removal, pseudonyms, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
-documents. Null texts have no toxic words and low statistics, are never near-duplicates and pack to an end id.
+docs, whatever they are named. All stages read texts whole, however long, take an empty table to an empty table, and treat
+repeated rows alike.
 """
 
 from __future__ import annotations
@@ -17,38 +18,39 @@ from docfacts.llm.pii import pseudonymise
 from docfacts.llm.quality import QualityModel
 from docfacts.llm.toxicity import ToxicityModel
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5; null and empty texts score as texts without toxic words."""
     model = ToxicityModel.fit(docs, _labels(spark, sf_dir))
-    return model.score(docs, *COLUMNS).where("score < 0.5").select(*COLUMNS)
+    return model.score(docs, *docs.columns, name="__score").where("__score < 0.5").drop("__score")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more."""
+    """Documents whose quality score is 0.5 or more; null texts score as empty ones. Without any labels all stay."""
     model = QualityModel.fit(docs, _labels(spark, sf_dir))
-    return model.score(docs, *COLUMNS).where("score >= 0.5").select(*COLUMNS)
+    return model.score(docs, *docs.columns, name="__score").where("__score >= 0.5").drop("__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near-duplicates on five-word shingles."""
-    return keep_one(spark, docs.select(*COLUMNS), k=5)
+    """One document, that with the smallest doc_id, of each group of near-duplicates on five-word shingles.
+
+    Null and empty texts have no duplicates, rows with a null doc_id stay, of rows that share a doc_id the least stays.
+    """
+    return keep_one(spark, docs, k=5)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by pseudonyms; n_chars follows the new text."""
-    made = pseudonymise(docs.select(*COLUMNS), key="docfacts")
-    return made.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """Documents with personal data replaced by pseudonyms; n_chars follows the new text, null texts stay as they are."""
+    made = pseudonymise(docs, key="docfacts", found="__pii").drop("__pii")
+    size = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return made.withColumn("n_chars", size).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 4096 tokens."""
+    """Pieces of the documents with their places in sequences of 4096 tokens; a null text is its end id alone."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -62,7 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.table(docs)
+            if i:
+                scratch.drop(before)
     return docs
