@@ -16,6 +16,13 @@ HARD_BOUNDS = {
     "value_per_share": (0.0, 20000.0), "offer_price": (0.5, 5000.0), "fee_total": (0.01, 500.0), "fee_opinion": (0.01, 500.0), "fee_contingent": (0.01, 500.0),
 }
 CORE_FIELDS = ["discount_rate", "terminal_growth", "exit_multiple", "implied_growth", "implied_multiple"]
+# Names of the metric that a multiple applies to, first that is near wins; short capitals are whole words.
+METRICS = {
+    "EBITDA": ["EBITDA"], "EBIT": ["EBIT"], "FCF": ["distributable cash", "FCF", "free cash flow"], "P/E": ["earnings", "EPS", "net income", "P/E", "price-to-earnings"], "revenue": ["revenue", "sales"], "book value": ["book value", "NAV", "net asset"], "FFO": ["AFFO", "FFO", "funds from operations"],
+}
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+#: Longest snippet, and characters around a span that are looked at for a metric.
+SNIPPET, METRIC_BEFORE, METRIC_AFTER = 300, 60, 140
 UNNAMED = ["unattributed", "joint"]
 NOMINAL_GROWTH = 4.0
 FINANCIAL_SIC2 = [str(n) for n in range(60, 68)]
@@ -86,6 +93,43 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def parse_number(text: Column) -> Column:
+    """The number of one end of a value as it is written: 9.0%, (1.0)%, negative 1.5 percent, $1,200.50, $2.5 million; null for none."""
+    low = F.lower(F.trim(text))
+    n = F.regexp_replace(F.regexp_extract(low, r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "").try_cast("double")
+    scale = F.when(low.contains("thousand"), 1e3).when(low.contains("million"), 1e6).when(low.contains("billion"), 1e9).otherwise(1.0)
+    return F.when(low.rlike(r"^(?:negative|minus|\(|[-\u2010-\u2015\u2212])"), -n * scale).otherwise(n * scale)
+
+
+def metric_of(near: Column, unit: Column) -> Column:
+    """The metric of a multiple from the text near it; empty for other units or if none is named."""
+    named = F.coalesce(*[F.when(near.rlike(_words(words)), F.lit(m)) for m, words in METRICS.items()], F.lit(""))
+    return F.when(unit == "x", named).otherwise("")
+
+
+def _words(words: list[str]) -> str:
+    return "(?i)" + "|".join((r"\b" + w + r"\b" if w.isupper() and len(w) < 5 else w).replace(" ", r"\s+") for w in words)
+
+
+def valuation_date(sentence: Column, anchor: Column) -> Column:
+    """ISO date nearest to a place of a sentence about discounting or value, introduced by as of, to, at or a bracket; else empty.
+
+    Both notations count, month first and day first; dates that do not exist are passed over, of equally near ones the first wins.
+    """
+    lead = r"(?i)(?:\bas\s+of|\bto|\bat|\()\s*"
+    month = "(?:" + "|".join(MONTHS) + ")"
+    forms = {rf"({month}\s+[0-9]{{1,2}},?\s+(?:19|20)[0-9]{{2}})": "MMMM d yyyy", rf"([0-9]{{1,2}}\s+{month},?\s+(?:19|20)[0-9]{{2}})": "d MMMM yyyy"}
+
+    def found(pattern: str, form: str) -> Column:
+        day = lambda m: F.to_date(F.try_to_timestamp(F.regexp_replace(F.initcap(m), r",?\s+", " "), F.lit(form)))
+        away = lambda m: F.abs(F.instr(sentence, m) - 1 - anchor)
+        return F.transform(F.regexp_extract_all(sentence, F.lit(lead + pattern), F.lit(1)), lambda m: F.struct(away(m).alias("away"), F.instr(sentence, m).alias("p"), day(m).alias("day")))
+
+    dates = F.filter(F.concat(*[found(p, f) for p, f in forms.items()]), lambda d: d["day"].isNotNull())
+    about = sentence.rlike("(?i)present|discount|valu")
+    return F.when(about & (F.size(dates) > 0), F.date_format(F.array_min(dates)["day"], "yyyy-MM-dd")).otherwise("")
+
+
 def fingerprint(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 

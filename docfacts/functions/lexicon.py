@@ -113,8 +113,36 @@ ANALYSES = {
     "other": ["selected companies", "selected publicly traded companies", "comparable companies", "comparable company", "public trading", "precedent transaction", "selected transaction", "premiums paid", "premium paid", "contribution analysis", "leveraged buyout", "LBO", "accretion", "historical stock price", "historical share price", "historical trading", "trading multiples", "returns analysis"],
 }
 
-# Verbs by which a house acts.
-ACTS = "perform conduct calculat appl deriv use using assum utiliz select discount review estimat valu prepar also then analy noted considered determin compar".split()
+# Stems of verbs by which a house acts, and words that may come before them.
+ACTS = ["also", "analy", "appl", "assum", "calculat", "compar", "conduct", "consider", "deriv", "determin", "discount", "estimat", "noted", "perform", "prepar", "review", "select", "then", "use", "using", "utiliz", "valu"]
+
+# Phrases that name what a value is. Blanks stand for white space or a hyphen, (s) for an ending that may lack.
+CUES = {
+    "discount": ["cost(s) of capital", "cost(s) of equity", "discount range(s)", "discount rate(s)", "WACC", "weighted average cost(s) of capital"],
+    "growth opens": ["perpetual", "perpetuity", "terminal", "terminal value"],
+    "growth closes": ["growth", "growth rate(s)"],
+    "growth": ["dividend growth rate(s)", "growth rate(s) in perpetuity", "long term dividend growth rate(s)", "perpetuity rate(s)"],
+    "exit opens": ["exit", "terminal"],
+    "exit closes": ["multiple(s)", "multiple(s) method", "ratio(s)"],
+    "worked out": ["applied", "apply", "applying", "based on", "multiple", "multiples", "multiplied", "multiplying", "selected", "used", "using", "utilized", "utilizing"],
+    "reserve": ["federal reserve", "prime", "reserve bank", "window"],
+}
+
+# Words of an advisor's fee, and beginnings of words that say a sentence is about some other payment.
+FEE_WORDS = {
+    "fee": ["compensation", "fee(s)"],
+    "other": [
+        "additional fee", "book manager", "bookrunner", "book-runner", "break-up", "breakup", "capital rais", "co-manager", "director", "during such", "during the past", "expenses", "financing", "have received", "lead arranger", "may pay", "past three", "past two",
+        "placement agent", "portfolio companies", "preceding", "previous three", "previous two", "previous year", "prior two", "received aggregate fees", "received compensation", "received fees", "recognised", "recognized", "reimburs", "solicit", "tendered", "termination",
+        "three-year", "two-year", "underwrit", "unrelated",
+    ],
+}
+
+# General words for parties.
+PARTIES = {
+    "counter": ["Acquirer", "Acquiror", "Acquisition Corp", "Buyer", "Merger Sub", "Parent", "Purchaser"],
+    "pro forma": ["combined business", "combined company", "combined entity", "pro forma"],
+}
 
 
 def houses() -> dict[str, str]:

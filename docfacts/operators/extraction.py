@@ -1,143 +1,348 @@
-"""Values in context: which field a value states, by whom, in what analysis. Windows over lexemes of a document."""
+"""Values in context: which field a value states, by whom, of what, in what analysis. Windows over lexemes of a document.
+
+All windows run over a document in the order of its text, so one shuffle and one sort serve them; no step joins, and none reads
+the text again, since values carry what stands around them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bounds_problem
+from ..functions import expressions as E
+from . import parties as P
+from .lexing import lexemes
+from .sections import REACH, heading_kind, majority
 
 CUES = ["discount", "growth", "exit"]
 FIELD = {"discount": "discount_rate", "growth": "terminal_growth", "exit": "exit_multiple"}
-UNIT = {"discount": "pct", "growth": "pct", "exit": "x"}
-#: Look-backs in characters: cue to value, analysis, house.
-CUE_REACH, ANALYSIS_REACH, HOUSE_REACH, SUBJECT_REACH = 200, 12000, 3500, 2500
+#: Fields whose values need an analysis, and those whose analysis must be of discounting.
+VALUATION = ["discount_rate", "terminal_growth", "exit_multiple", "implied_growth", "implied_multiple"]
+DCF_LIKE = ["dcf", "ddm", "pv_future_price", "nav"]
+#: Look-backs in characters: cue to value, analysis, house, any mark of an analysis, party.
+CUE_REACH, ANALYSIS_REACH, HOUSE_REACH, MARK_REACH, SUBJECT_REACH = 200, 12000, 3500, 6000, 2500
+#: A sentence is looked at so far from a value for its party; a paragraph's first characters may say pro forma.
+SENTENCE_REACH, PARAGRAPH = 700, 90
 # Words that may stand between a value and a cue after it, and between members of a list.
-BEFORE_CUE = r"(?i)^\s*,?\s*(?:(?:pre-tax|after-tax|nominal|annual|equity|estimated|selected|illustrative|assumed|applied|pro\s+forma)\s+)*$"
-#: What follows a single value in a row of a table: a cell border or a second percentage.
-TABLE_ROW = r"^(?:\s*\||\s+\d{1,3}(?:\.\d+)?\s*%)"
-LISTED = r"(?i)^\s*(?:,\s*|and\s+|or\s+|,\s*and\s+)+$"
+ADJECTIVES = ["after tax", "after-tax", "annual", "applied", "assumed", "equity", "estimated", "illustrative", "nominal", "pre tax", "pre-tax", "pro forma", "selected"]
+BEFORE_CUE = rf"(?i)^\s*,?\s*(?:(?:{'|'.join(a.replace(' ', '[ ]+') for a in ADJECTIVES)})\s+)*$"
+LISTED = r"(?i)^\s*(?:(?:,|and|or)\s*)+$"
+#: After a single value: the border of a table's cell, or a second percentage.
+CELL = r"^\s*\||^\s+[0-9.]+\s*%"
+ORDER = ["line", "sentence", "start", "n"]
 
 
 def _unit(kind: Column) -> Column:
     return F.regexp_replace(kind, "_range$", "")
 
 
-def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
-    """Rates, growth rates and multiples of each document: columns ``doc``, field, start, end, low, high, unit, raw ends, cue.
+def _windows(*doc: str):
+    """(document, sentence before, sentence after, whole sentence, whole line) in the order of the text."""
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    d = Window.partitionBy(*doc).orderBy(*ORDER)
+    s = Window.partitionBy(*doc, "line", "sentence").orderBy("start", "n")
+    line = Window.partitionBy(*doc, "line").orderBy("sentence", "start", "n")
+    return d, s, s.rowsBetween(first, last), line.rowsBetween(first, last)
+
+
+def _marked(lexemes: DataFrame, *doc: str) -> DataFrame:
+    """Lexemes with what their neighbours say of them: all columns that valuations read."""
+    d, s, _, _ = _windows(*doc)
+    is_cue = F.col("kind").isin(CUES)
+    is_value = F.col("low").isNotNull() & _unit(F.col("kind")).isin("pct", "x")
+    # cues, values and the words that turn them are what a value's neighbours can be
+    part = is_cue | is_value | F.col("kind").isin("implied", "reserve")
+    unit, none = _unit(F.col("kind")), Window.unboundedPreceding
+    rows = lexemes.withColumns({"__part": part, "__value": is_value})
+    # the last lexeme that takes part, before this one
+    prior = F.last(F.when(F.col("__part"), F.struct("kind", "start", "end", "__value")), ignorenulls=True).over(d.rowsBetween(none, -1))
+    rows = rows.withColumn("__prior", prior)
+    listed = is_value & F.col("__prior.__value") & F.col("gap").rlike(LISTED) & (_unit(F.col("__prior.kind")) == unit)
+    rows = rows.withColumn("__listed", F.coalesce(listed, F.lit(False)))
+    # the number of list heads so far tells whether a value is the first after its cue
+    rows = rows.withColumn("__head", F.sum((is_value & ~F.col("__listed")).cast("int")).over(s))
+    away = F.col("start") - F.col("__prior.end")
+    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "after", F.col("__head").alias("head"), F.when(F.col("kind") == "exit", "x").otherwise("pct").alias("unit"), F.col("__prior.kind").alias("prior"), F.col("__prior.start").alias("prior_at"), away.alias("away")))
+    rows = rows.withColumn("__cue", cue)
+    return rows.withColumn("__next", F.struct(F.lead("__cue").over(s).alias("cue"), F.lead("gap").over(s).alias("gap"))).withColumn("__last", F.last("__cue", ignorenulls=True).over(s.rowsBetween(none, -1)))
+
+
+def _valuation() -> tuple[Column, Column, Column]:
+    """(cue, field, whether the cue comes after the value) of a marked lexeme; null cue if it states no valuation.
 
     A value right before a cue of its unit belongs to it; else to the last such cue before it in its sentence, if no other
-    value that is not part of the same list stands between. ``implied`` shortly before the cue makes the field implied. All
-    rows of a document meet in one task, ordered by position; documents are bounded, however many there are.
+    value that is not part of the same list stands between. ``implied`` shortly before the cue makes the field implied.
     """
-    w = Window.partitionBy(*doc).orderBy("n")
-    s = Window.partitionBy(*doc, "sentence").orderBy("n")
-    before = s.rowsBetween(Window.unboundedPreceding, -1)
-    is_cue, is_value = F.col("kind").isin(CUES), F.col("low").isNotNull()
-    unit = _unit(F.col("kind"))
-    cue_unit = F.when(F.col("kind") == "exit", "x").otherwise("pct")
-    rows = lexemes.where(F.col("kind").isin(*CUES, "implied", "reserve") | (is_value & unit.isin("pct", "x")))
-    # a list member continues the list of the value before it
-    rows = rows.withColumn("listed", is_value & F.lag(is_value).over(w) & F.col("gap").rlike(LISTED) & (F.lag(unit).over(w) == unit))
-    # the number of list heads so far tells whether a value is the first after its cue
-    rows = rows.withColumn("head", F.sum((is_value & ~F.coalesce("listed", F.lit(False))).cast("int")).over(s))
-    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "after", "head", cue_unit.alias("unit"), F.lag("kind").over(w).alias("prior"), (F.col("start") - F.lag("end").over(w)).alias("away")))
-    rows = rows.withColumn("cue", cue)
-    nxt = lambda c: F.lead(c).over(s)
-    rows = rows.withColumn("next", F.struct(nxt("cue").alias("cue"), nxt("gap").alias("gap"))).withColumn("last", F.last("cue", ignorenulls=True).over(before))
-    value = rows.where(is_value)
     u = _unit(F.col("kind"))
-    behind = F.col("next.cue").isNotNull() & (F.col("next.cue.unit") == u) & F.col("next.gap").rlike(BEFORE_CUE)
-    ahead = F.col("last").isNotNull() & (F.col("last.unit") == u) & (F.col("start") - F.col("last.to") <= CUE_REACH) & (F.col("head") - F.col("last.head") == 1)
-    chosen = F.when(behind, F.col("next.cue")).when(ahead, F.col("last"))
-    found = value.withColumn("c", chosen).where("c IS NOT NULL AND NOT (c.kind = 'discount' AND c.prior <=> 'reserve' AND c.away <= 30)").withColumn("reversed", behind)
-    implied = (F.col("c.prior") == "implied") & (F.col("c.away") <= 30) & ~F.col("reversed") & F.col("c.kind").isin("growth", "exit")
-    field = F.when(implied, F.when(F.col("c.kind") == "growth", "implied_growth").otherwise("implied_multiple"))
+    behind = F.coalesce((F.col("__next.cue.unit") == u) & F.col("__next.gap").rlike(BEFORE_CUE), F.lit(False))
+    ahead = (F.col("__last.unit") == u) & (F.col("start") - F.col("__last.to") <= CUE_REACH) & (F.col("__head") - F.col("__last.head") == 1)
+    c = F.when(F.col("__value"), F.when(behind, F.col("__next.cue")).when(ahead, F.col("__last")))
+    # a central bank's rate is no discount rate
+    c = F.when(~((c["kind"] == "discount") & c["prior"].eqNullSafe("reserve") & (c["away"] <= 30)), c)
+    implied = (c["prior"] == "implied") & (c["away"] <= 30) & ~behind
+    field = F.when(implied & (c["kind"] == "growth"), "implied_growth").when(implied & (c["kind"] == "exit"), "implied_multiple")
     for k, f in FIELD.items():
-        field = F.coalesce(field, F.when(F.col("c.kind") == k, f))
-    return found.select(*doc, "n", field.alias("field"), F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", u.alias("unit"), "raw_low", "raw_high", F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence", F.when(F.col("reversed"), F.col("c.after")).otherwise(F.col("after")).alias("after"))
+        field = F.coalesce(field, F.when(c["kind"] == k, f))
+    return c, field, behind
+
+
+def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
+    """Rates, growth rates and multiples of each document: columns ``doc``, n, field, start, end, low, high, unit, raw ends, cue."""
+    c, field, behind = _valuation()
+    rows = _marked(lexemes, *doc).withColumns({"c": c, "field": field, "reversed": behind}).where("c IS NOT NULL")
+    return rows.select(
+        *doc, "n", "field", F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", _unit(F.col("kind")).alias("unit"), "raw_low", "raw_high",
+        F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence",
+    )
+
+
+# Money in context: what stands left and right of an amount, in its sentence.
+
+# Words of a derived value, and words that say a range is of prices paid or foretold.
+DERIVED = ["deriv", "illustrative", "implied", "imputed", "indicated", "present value", "produc", "range of prices", "range of values", "reference", "resulted", "resulting", "value per", "values per", "yield"]
+TRADED = ["52-week", "closing price", "closing stock price", "consideration value", "high and low", "implied consideration", "low to high", "per share consideration", "price target", "refers to", "target price", "trading price", "trading range"]
+# Words that introduce what holders receive, and words before them that say it is no offer.
+RECEIVES = ["amount in cash equal to", "cash equal to", "consideration of", "offer price of", "price of", "purchase price of", "receive", "to pay", "will pay"]
+NOT_OFFERED = [
+    "52-week", "aggregate", "average", "between", "book value", "break-up", "breakup", "closing price", "closing stock price", "CVR", "equity value", "exercise price", "fee", "high", "implied", "increase", "initial", "liquidation", "low", "option", "preferred", "premium", "proposal",
+    "reduc", "reference price", "revised", "series", "strike", "termination", "trading price", "transaction value", "unaffected", "value per share", "VWAP", "warrant",
+]
+PARTS = ["a fraction", "a portion", "all", "one", "the balance", "the remainder"]
+
+
+def _head() -> Column:
+    """What of a value's sentence stands before it."""
+    return F.expr("right(`left`, greatest(start - sentence_start, 0))")
+
+
+def _tail() -> Column:
+    """What of a value's sentence stands behind it."""
+    return F.expr("left(`right`, greatest(sentence_end - `end`, 0))")
+
+
+def _any(words: list[str]) -> str:
+    return rf"(?i)\b(?:{'|'.join(w.replace(' ', '[ ]+').replace('-', '[ -]?') for w in words)})"
+
+
+def _per_share() -> Column:
+    """Whether a dollar range is a derived value per share: said so near it, no price of a market, no cell of a table."""
+    near = F.concat(_head(), F.lit(" "), "written", F.lit(" "), F.substring(_tail(), 1, 60))
+    share = near.rlike(r"(?i)\bper\s+(?:[\w&.'-]+\s+){0,4}(?:share|unit)")
+    said = F.concat(F.right(_head(), F.lit(260)), F.lit(" "), F.substring(_tail(), 1, 40)).rlike(_any(DERIVED))
+    market = F.right(_head(), F.lit(220)).rlike(_any(TRADED)) | _tail().rlike(r"(?i)^\s+in\s+cash")
+    cell = F.right(F.col("left"), F.lit(14)).contains("|") | F.substring("right", 1, 14).contains("|")
+    return (F.col("kind") == "usd_range") & (F.col("low") > 0) & (F.col("low") <= F.col("high")) & (F.col("high") <= 20000) & share & said & ~market & ~cell
+
+
+def _offered() -> Column:
+    """Whether an amount is cash that holders receive: introduced so, cash near it, no stock besides, nothing before that says otherwise."""
+    lead = F.regexp_extract("left", rf"(?i)\b(?:{'|'.join(w.replace(' ', '[ ]+') for w in RECEIVES)})\s+(?:(?:an\s+amount\s+)?(?:in\s+cash\s+)?(?:equal\s+to\s+)?|approximately\s+|\(a\)\s+)$", 0)
+    ahead = F.substr("left", F.lit(1), F.length("left") - F.length(lead))
+    after = F.substring("right", 1, 160)
+    at = F.instr(F.substring(after, 1, 70), "cash")
+    rest = F.when(at > 0, F.substr(after, at + 4)).otherwise(after)
+    mixed = rest.rlike(rf"(?i)^\s*,?\s*(?:and|plus|together\s+with|\([a-z]+\))\s+(?:\(?[a-z0-9]\)\s+)?(?:[0-9][0-9.,]*|{'|'.join(PARTS)})[^;$]{{0,70}}?\b(?:shares?|stock|units)\b")
+    cash = (at > 0) | F.right(ahead, F.lit(40)).contains("cash")
+    return (F.col("kind") == "usd") & F.col("low").between(0.5, 5000) & (lead != "") & cash & ~mixed & ~F.right(ahead, F.lit(70)).rlike(_any(NOT_OFFERED))
+
+
+def _fees(rows: DataFrame, *doc: str) -> DataFrame:
+    """Rows with ``fees``, the fields that an amount states: total, opinion and contingent part of an advisor's fee.
+
+    A sentence counts if it has a word for fees and none for other payments, and a house in it or shortly before. The first amount
+    that the fee word introduces is the total; one that is paid on delivery of the opinion is the opinion's fee too, unless it is
+    credited; other amounts are parts if their own wording says so. ``of which`` leaves the amount before it whole.
+    """
+    d, s, sentence, _ = _windows(*doc)
+    has = lambda k: F.max((F.col("kind") == k).cast("int")).over(sentence) == 1
+    house = F.when(F.col("kind") == "house", F.struct("start", "name"))
+    before = F.last(house, ignorenulls=True).over(d.rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.last(house, ignorenulls=True).over(sentence)
+    before = F.when(before["start"] >= F.col("sentence_start") - 250, before["name"])
+    rows = rows.withColumn("fee_house", F.coalesce(before, inside["name"]))
+    scaled = F.col("raw_low").rlike("(?i)thousand|million|billion")
+    ranged = F.col("left").rlike(r"(?i)between\s*$") | F.col("right").rlike(r"(?i)^\s+and\s+\$")
+    amount = (F.col("kind") == "usd") & has("fee") & ~has("fee_other") & F.col("fee_house").isNotNull() & (scaled | (F.col("low") <= 100e6)) & ~ranged
+    left = F.right(_head(), F.lit(170))
+    # what the amount is for stands before the next amount or the rest of the sum
+    own = F.regexp_extract(_tail(), r"(?is)^(.*?)(?:[;$]|and\s+the\s+(?:balance|remainder|rest)\b|another\s+opinion|$)", 1)
+    since = F.regexp_extract(left, r"(?is)^.*\b(?:fees?|compensation)\b(.*)$", 1)
+    introduced = left.rlike(r"(?i)\b(?:fees?|compensation)\b") & (F.length(since) <= 130) & ~since.rlike(r"(?i)[$%]|\b(?:received|credit|reimburs|of\s+which|portion|paid)\b")
+    opinion = left.rlike(r"(?i)\bopinion\s+fee\s+(?:of\s+)?$") | F.substring(own, 1, 260).rlike(r"(?is)^.{0,140}?\b(?:upon|on|at\s+the\s+time|with|for|following|when|result\s+of)\b.{0,40}?\b(?:deliver(?:y|ing|ed)|render(?:ing|ed)|issu(?:ance|ing)|its|such)\b.{0,40}?\bopinion")
+    closing = r"(?:successful\s+)?(?:consummation|closing|completion|effectiveness)"
+    contingent = left.rlike(r"(?i)\b(?:contingent|completion|success|additional)\s+(?:fee|compensation)\s+(?:of\s+)?$") | F.substring(own, 1, 300).rlike(rf"(?is)^.{{0,200}}?\b(?:contingent|payable|due)\b.{{0,60}}?\b(?:upon|on|following)\s+(?:the\s+)?{closing}") | (introduced & _tail().rlike(rf"(?i)^\s*(?:upon|at)\s+(?:the\s+)?{closing}"))
+    kind = F.when(opinion, "fee_opinion").when(contingent, "fee_contingent")
+    which = _tail().rlike(r"(?i)^\s*,?\s*(?:\w+\s+){0,4}?of\s+which\b")
+    credited = F.concat(_head(), F.col("raw_low"), F.col("right")).rlike(r"(?i)\bcredit(?:ed|able)\b")
+    # as if no total came before
+    alone = F.when(~which, kind)
+    total = introduced & ~F.right(left, F.lit(60)).rlike(r"(?i)\badditional\b") & ~(credited & alone.eqNullSafe("fee_opinion"))
+    rows = rows.withColumns({"__fee": F.when(amount, F.struct(kind.alias("kind"), alone.alias("alone"), total.alias("total"), introduced.alias("introduced")))})
+    first = F.min(F.when(F.col("__fee.total"), F.col("n"))).over(sentence)
+    rows = rows.withColumn("__first", first)
+    at_first, behind = F.col("n") == F.col("__first"), F.coalesce(F.col("n") > F.col("__first"), F.lit(False))
+    part = F.when(behind, F.col("__fee.kind")).otherwise(F.col("__fee.alone"))
+    both = F.when(at_first, F.array(F.lit("fee_total"), F.when(F.col("__fee.alone") == "fee_opinion", F.lit("fee_opinion")))).otherwise(F.array(part))
+    return rows.withColumn("fees", F.when(F.col("__fee").isNotNull(), F.array_compact(both))).drop("__fee", "__first")
 
 
 def money_terms(lexemes: DataFrame, *doc: str) -> DataFrame:
     """Dollar values: per-share ranges, fees (total, opinion, contingent) with their house; columns as ``candidates`` and house."""
-    s = Window.partitionBy(*doc, "sentence")
-    order = s.orderBy("n")
-    has = lambda k: F.max((F.col("kind") == k).cast("int")).over(s) == 1
-    rows = lexemes.withColumns({
-        "shares": has("per_share"), "fees": has("fee") & ~has("fee_other"), "opinion": has("fee_opinion"), "contingent": has("fee_contingent"),
-        "house": F.last(F.when(F.col("kind") == "house", F.col("name")), ignorenulls=True).over(Window.partitionBy(*doc).orderBy("n")),
-        "follows": F.lead("kind").over(order), "nth": F.sum((F.col("kind") == "usd").cast("int")).over(order),
-    })
-    per_share = (F.col("kind") == "usd_range") & F.col("shares") & (F.col("low") > 0) & (F.col("high") <= 20000)
-    fee = (F.col("kind") == "usd") & F.col("fees") & F.col("house").isNotNull()
-    part = F.when(F.col("follows") == "fee_opinion", "fee_opinion").when((F.col("follows") == "fee_contingent") & (F.col("nth") > 1), "fee_contingent")
-    field = F.when(per_share, "value_per_share").when(fee, F.coalesce(F.when(F.col("nth") == 1, F.lit("fee_total")), part))
-    scale = F.when(F.col("kind") == "usd", 1e6).otherwise(1.0)
-    out = rows.withColumn("field", field).where("field IS NOT NULL")
-    return out.select(*doc, "n", "field", "start", "end", (F.col("low") / scale).alias("low"), (F.col("high") / scale).alias("high"), F.when(F.col("kind") == "usd", "usd_million").otherwise("usd").alias("unit"), "raw_low", "raw_high", F.lit("money").alias("cue"), F.lit(False).alias("reversed"), F.col("start").alias("at"), "sentence", "house")
+    rows = _fees(lexemes, *doc)
+    fields = F.coalesce(F.when(_per_share(), F.array(F.lit("value_per_share"))), F.col("fees"))
+    out = rows.withColumn("field", F.explode(fields))
+    usd = F.col("field") == "value_per_share"
+    scale = F.when(usd, 1.0).otherwise(1e6)
+    return out.select(*doc, "n", "field", "start", "end", (F.col("low") / scale).alias("low"), (F.col("high") / scale).alias("high"), F.when(usd, "usd").otherwise("usd_million").alias("unit"), "raw_low", "raw_high", F.lit("money").alias("cue"), F.lit(False).alias("reversed"), F.col("start").alias("at"), "sentence", F.when(~usd, F.col("fee_house")).alias("house"))
 
 
 def offer_price(lexemes: DataFrame, *doc: str) -> DataFrame:
-    """(doc, low, votes, start): the price most often right after words of consideration; two votes at least, ties to the earliest."""
-    w = Window.partitionBy(*doc).orderBy("n")
-    said = lexemes.withColumn("prior", F.lag("kind").over(w)).where("kind = 'usd' AND prior = 'offer' AND low BETWEEN 0.5 AND 5000")
-    votes = said.groupBy(*doc, "low").agg(F.count("*").alias("votes"), F.min("start").alias("start"))
+    """(doc, low, votes, start): the price most often stated as cash consideration; two votes at least, ties to the earliest."""
+    votes = lexemes.where(_offered()).groupBy(*doc, "low").agg(F.count("*").alias("votes"), F.min("start").alias("start"))
     best = votes.groupBy(*doc).agg(F.max(F.struct("votes", (-F.col("start")).alias("s"), "low", "start")).alias("b"))
     return best.select(*doc, "b.low", "b.votes", "b.start").where("votes >= 2")
 
 
-def in_context(found: DataFrame, lexemes: DataFrame, *doc: str) -> DataFrame:
-    """Adds ``advisor`` (the last house that acts, within reach) and ``analysis`` (the last class named, within reach).
+# Context: sections, houses, analyses and parties around a value.
 
-    One running last value for each over the union of candidates and lexemes: a single shuffle on the document.
-    """
-    acts = (F.col("kind") == "house") & (F.col("raw_low") == "acts")
-    marks = lexemes.where(acts | (F.col("kind") == "analysis")).select(*doc, F.col("n").alias("p"), F.struct("kind", "name", "start").alias("mark"), F.lit(None).cast(found.select(F.struct(*found.columns).alias("x")).schema["x"].dataType).alias("row"))
-    rows = found.select(*doc, F.col("n").alias("p"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.struct(*found.columns).alias("row"))
-    w = Window.partitionBy(*doc).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda kind: F.last(F.when(F.col("mark.kind") == kind, F.col("mark")), ignorenulls=True).over(w)
-    both = marks.unionByName(rows).withColumns({"h": last("house"), "a": last("analysis")}).where("row IS NOT NULL")
-    near = lambda c, reach: F.when(F.col("row.at") - F.col(f"{c}.start") <= reach, F.col(f"{c}.name"))
-    return both.select("row.*", F.coalesce(near("h", HOUSE_REACH), F.lit("unattributed")).alias("advisor"), F.coalesce(near("a", ANALYSIS_REACH), F.lit("unspecified")).alias("analysis"))
-
-
-def subjects(found: DataFrame, lexemes: DataFrame, *doc: str) -> DataFrame:
-    """Adds ``subject``: pro_forma if the sentence says so, else the party nearest to the value in its sentence (ties to the
-    earlier), else the last party named before within reach, else unspecified. Parties are those of a target's filing.
-    """
-    kinds = ["target", "acquirer", "pro_forma"]
-    marks = lexemes.where(F.col("kind").isin(kinds)).select(*doc, "sentence", F.col("n").alias("p"), F.struct("kind", "start").alias("mark"), F.lit(None).cast(found.select(F.struct(*found.columns).alias("x")).schema["x"].dataType).alias("row"))
-    rows = found.select(*doc, "sentence", F.col("n").alias("p"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.struct(*found.columns).alias("row"))
-    w = Window.partitionBy(*doc).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    s = Window.partitionBy(*doc, "sentence")
-    party = F.when(F.col("mark.kind") != "pro_forma", F.col("mark"))
-    both = marks.unionByName(rows).withColumns({
-        "joint": F.max((F.col("mark.kind") == "pro_forma").cast("int")).over(s),
-        "before": F.last(party, ignorenulls=True).over(w),
-        "left": F.last(party, ignorenulls=True).over(s.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)),
-        "right": F.first(party, ignorenulls=True).over(s.orderBy("p").rowsBetween(0, Window.unboundedFollowing)),
-    }).where("row IS NOT NULL")
-    away = lambda c: F.abs(F.col("row.at") - F.col(f"{c}.start"))
-    nearest = F.when(F.col("right.kind").isNull() | (away("left") <= away("right")), F.col("left.kind")).otherwise(F.col("right.kind"))
-    earlier = F.when(away("before") <= SUBJECT_REACH, F.col("before.kind"))
-    return both.select("row.*", F.when(F.col("joint") == 1, "pro_forma").otherwise(F.coalesce(nearest, earlier, F.lit("unspecified"))).alias("subject"))
+
+def _contexts(rows: DataFrame, *doc: str) -> DataFrame:
+    """Lexemes with the section they are in and the last house, analysis and party before them, and parties of their sentence."""
+    d, s, sentence, line = _windows(*doc)
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    before, here = d.rowsBetween(first, -1), d.rowsBetween(first, 0)
+    kind = F.col("kind")
+    mark = lambda test: F.last(F.when(test, F.struct("start", "name")), ignorenulls=True).over(before)
+    heading = F.when(kind == "line", heading_kind(F.col("name"), F.col("low")))
+    party = F.when(kind.isin("filer", "counter"), F.struct("kind", "start"))
+    analysis, strong = kind == "analysis", F.col("raw_low").eqNullSafe("strong")
+    rows = rows.withColumn("__heading", heading)
+    rows = rows.withColumns({
+        "__section": F.last(F.when(F.col("__heading").isNotNull(), F.struct(F.col("__heading").alias("kind"), F.col("start"), F.col("end"))), ignorenulls=True).over(here),
+        "__house": mark(kind == "house"), "__actor": mark((kind == "house") & F.col("raw_low").eqNullSafe("acts")),
+        "__strong": mark(analysis & strong), "__weak": mark(analysis & ~strong & (F.col("name") != "other")), "__mark": mark(analysis & (F.col("name") != "other")),
+        "__party": F.last(party, ignorenulls=True).over(before), "__left": F.last(party, ignorenulls=True).over(s.rowsBetween(first, -1)), "__right": F.first(party, ignorenulls=True).over(s.rowsBetween(1, last)),
+        "__joint": F.max((kind == "pro_forma").cast("int")).over(sentence) == 1, "__joint_line": F.max(((kind == "pro_forma") & (F.col("start") - F.col("line") < PARAGRAPH)).cast("int")).over(line) == 1,
+    })
+    rows = rows.withColumn("__seg", F.coalesce("__section.start", F.lit(0)))
+    seg = Window.partitionBy(*doc, "__seg")
+    near = (kind == "house") & (F.col("start") >= F.col("__seg")) & (F.col("start") < F.col("__seg") + REACH) & (F.col("__section.kind") == "opinion")
+    return rows.withColumn("__houses", F.collect_list(F.when(near, F.struct("start", "name"))).over(seg))
+
+
+def _placed(rows: DataFrame, role: Column) -> DataFrame:
+    """Values with region, advisor, analysis and subject; ``start`` is where the fact's span begins, ``at`` the value."""
+    at, seg = F.col("at"), F.col("__section")
+    kind = F.when(seg["kind"].isin("opinion", "background"), seg["kind"]).otherwise("other")
+    local = F.coalesce((F.col("__house.start") >= at - HOUSE_REACH) & (F.col("__mark.start") >= at - MARK_REACH), F.lit(False))
+    needs = F.col("field").isin(*VALUATION, "value_per_share")
+    rows = rows.withColumn("region", F.when(kind != "other", kind).when(local & needs, "context").otherwise("other"))
+    own = F.col("region") != "context"
+    # a value that only its surroundings place has no section to look back into
+    floor = lambda reach: F.when(own, F.greatest(F.coalesce(seg["start"], F.lit(0)), at - reach)).otherwise(at)
+    actor = F.when(F.col("__actor.start") >= floor(HOUSE_REACH), F.col("__actor.name"))
+    section = F.when(own & (seg["kind"] == "opinion"), majority(F.col("__houses"), seg["end"]))
+    named = lambda c: F.when(F.col(f"{c}.start") >= floor(ANALYSIS_REACH), F.col(f"{c}.name"))
+    away = lambda c: F.abs(F.col(f"{c}.start") - at)
+    within = lambda c: F.when(away(c) <= SENTENCE_REACH, F.col(f"{c}.kind"))
+    nearest = F.when(within("__right").isNull() | (within("__left").isNotNull() & (away("__left") <= away("__right"))), within("__left")).otherwise(within("__right"))
+    earlier = F.when(F.col("__party.start") >= F.when(own, floor(SUBJECT_REACH)).otherwise(at - SUBJECT_REACH), F.col("__party.kind"))
+    side = F.coalesce(nearest, earlier)
+    filer = F.when(role == "acquirer", "acquirer").otherwise("target")
+    counter = F.when(role == "acquirer", "target").otherwise("acquirer")
+    joint = F.col("__joint") | F.col("__joint_line") | F.coalesce(F.col("name") == "pro_forma", F.lit(False))
+    return rows.withColumns({
+        "advisor": F.coalesce("house", actor, section, F.lit("unattributed")), "analysis": F.coalesce(named("__strong"), named("__weak"), F.lit("unspecified")),
+        "subject": F.when(joint, "pro_forma").when(side == "filer", filer).when(side == "counter", counter).otherwise("unspecified"),
+    })
 
 
 def judged(found: DataFrame) -> DataFrame:
     """Adds ``reason``, the first check that a candidate fails, or null: a fact. Rejected candidates are kept."""
-    dcf_like = F.col("analysis").isin("dcf", "ddm", "pv_future_price", "nav")
+    field, needs = F.col("field"), F.col("field").isin(*VALUATION, "value_per_share")
+    point = (F.col("low") == F.col("high")) & (F.col("raw_low") == F.col("raw_high"))
     reason = F.coalesce(
-        bounds_problem(F.col("field"), F.col("low"), F.col("high")),
-        F.when((F.col("raw_low") == F.col("raw_high")) & F.col("after").rlike(TABLE_ROW), "table_row"),
-        F.when(F.col("analysis") == "unspecified", "no_analysis_marker"),
-        F.when(~dcf_like, "not_dcf_analysis"),
+        E.bounds_problem(field, F.col("low"), F.col("high")),
+        F.when(field.isin(VALUATION) & point & F.col("after").rlike(CELL), "table_row"),
+        F.when(needs & (F.col("region") == "other"), "outside_analysis_context"),
+        F.when(field.isin(VALUATION) & (F.col("analysis") == "unspecified"), "no_analysis_marker"),
+        F.when((field == "value_per_share") & ~F.col("analysis").isin(DCF_LIKE), "not_dcf_analysis"),
+        F.when(F.size("problems") > 0, F.concat(F.lit("provenance:"), F.get("problems", F.lit(0)))),
     )
     return found.withColumn("reason", reason)
 
 
-def verify(facts: DataFrame, text: str = "text", start: str = "start", end: str = "end") -> DataFrame:
-    """Adds ``problems``: span_outside_text, raw_value_not_in_span. Rows hold their document's text."""
-    span = F.substr(F.col(text), F.col(start) + 1, F.col(end) - F.col(start))
-    outside = (F.col(start) < 0) | (F.col(end) > F.length(text)) | (F.col(start) >= F.col(end))
-    missing = ~(F.contains(span, F.col("raw_low")) & F.contains(span, F.col("raw_high")))
-    return facts.withColumn("problems", F.array_compact(F.array(F.when(outside, F.lit("span_outside_text")), F.when(missing, F.lit("raw_value_not_in_span")))))
+def verify(facts: DataFrame, span: Column, snippet: Column | None = None) -> DataFrame:
+    """Adds ``problems``: what keeps a fact's span from proving it.
+
+    The span must hold both ends of the value as they are written and, for valuations, a cue; numbers read anew from those
+    ends must be the values; a snippet must hold the span and be no longer than ``SNIPPET``.
+    """
+    low, high, scale = E.parse_number(F.col("raw_low")), E.parse_number(F.col("raw_high")), F.when(F.col("unit") == "usd_million", 1e6).otherwise(1.0)
+    close = lambda a, b: F.abs(a / scale - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(b))
+    tests = [
+        F.when(F.col("start") < 0, F.lit("span_out_of_range")).when(F.col("start") >= F.col("end"), F.lit("span_out_of_range")),
+        F.when(~(F.contains(span, F.col("raw_low")) & F.contains(span, F.col("raw_high"))), F.lit("value_text_not_in_span")),
+        F.when(~(F.coalesce(close(low, F.col("low")), F.lit(False)) & F.coalesce(close(high, F.col("high")), F.lit(False))), F.lit("value_not_reproduced_from_span")),
+    ]
+    if snippet is not None:
+        tests += [F.when(~F.contains(snippet, E.collapse(span)), F.lit("snippet_does_not_contain_span")), F.when(F.length(snippet) > E.SNIPPET, F.lit("snippet_too_long"))]
+    return facts.withColumn("problems", F.array_compact(F.array(*tests)))
+
+
+def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None = None, company: str | None = None, prefilter: bool = True) -> DataFrame:
+    """All judged values of documents: facts where ``reason`` is null, and rejected candidates with their reason.
+
+    Columns ``doc``, n, field, start, end, low, high, unit, raw ends, advisor, subject, analysis, region, metric, valuation_date,
+    snippet with its bounds, problems, reason and doc_sha256. ``lines`` gives headings and so sections; ``company`` the filer's name, from which its
+    aliases, its role and the other companies follow. One pass over each text and one shuffle on ``doc``; documents are bounded,
+    however many there are. Null and empty texts have no values; repeated documents must differ in ``doc``.
+    """
+    whole = F.col(text).cast("string")
+    docs = docs.withColumn("doc_sha256", E.fingerprint(whole))
+    if company:
+        docs = docs.withColumn("__filer", P.aliases(F.col(company)))
+        docs = docs.withColumns({"__other": P.other_names(whole, F.col("__filer")), "__role": P.filer_role(whole, F.col("__filer"))})
+    else:
+        docs = docs.withColumn("__role", F.lit("target"))
+    keep = [*doc, "doc_sha256", "__role"]
+    lex = lexemes(docs, text, *keep, prefilter=prefilter, lines=lines, filer="__filer" if company else None, other="__other" if company else None)
+    c, field, behind = _valuation()
+    rows = _contexts(_fees(_marked(lex, *doc), *doc), *doc)
+    fields = F.coalesce(F.when(c.isNotNull(), F.array(field)), F.when(_per_share(), F.array(F.lit("value_per_share"))), F.col("fees"), F.array().cast("array<string>"))
+    rows = rows.withColumns({"__c": c, "__behind": behind, "__fields": F.when(_offered(), F.array_append(fields, F.lit("offer_price"))).otherwise(fields)})
+    # a filter behind the explosion, since one before it would compute all fields twice
+    rows = rows.withColumn("field", F.explode_outer("__fields")).where("field IS NOT NULL")
+    # the price with most votes, ties to the earliest; only its first statement is a fact
+    every = Window.partitionBy(*doc)
+    is_offer = F.col("field") == "offer_price"
+    rows = rows.withColumn("__votes", F.when(is_offer, F.count(F.when(is_offer, 1)).over(Window.partitionBy(*doc, "field", "low"))))
+    rows = rows.withColumn("__first", F.when(is_offer, F.min(F.when(is_offer, F.col("start"))).over(Window.partitionBy(*doc, "field", "low"))))
+    best = F.max(F.when(is_offer, F.struct("__votes", (-F.col("__first")).alias("p")))).over(every)
+    rows = rows.withColumn("__best", best).where(~is_offer | ((F.col("__best.__votes") >= 2) & (F.col("start") == -F.col("__best.p"))))
+    valued, money = F.col("field").isin(VALUATION), F.col("field").startswith("fee_")
+    forward = F.when(F.col("field").startswith("implied"), F.col("__c.prior_at")).otherwise(F.col("__c.at"))
+    begin = F.when(valued, F.least("start", F.when(F.col("__behind"), F.col("start")).otherwise(forward))).otherwise(F.col("start"))
+    stop = F.when(valued & F.col("__behind"), F.greatest("end", "__c.to")).otherwise(F.col("end"))
+    scale = F.when(money, 1e6).otherwise(1.0)
+    rows = rows.withColumns({
+        "at": F.col("start"), "to": F.col("end"), "house": F.when(money, F.col("fee_house")), "begin": begin, "stop": stop, "unit": F.when(money, "usd_million").when(valued, _unit(F.col("kind"))).otherwise("usd"),
+        "low": F.col("low") / scale, "high": F.col("high") / scale, "after": F.when(F.col("__behind") & valued, F.col("__c.after")).otherwise(F.col("after")), "head": _head(), "tail": _tail(),
+    })
+    rows = _placed(rows, F.col("__role"))
+    # pieces of the text around the value: before the span, the span, behind it
+    middle = F.concat(F.right("head", F.col("at") - F.col("begin")), "written", F.left("tail", F.col("stop") - F.col("to")))
+    rows = rows.withColumn("span", middle).withColumn("__h", F.substr("head", F.lit(1), F.length("head") - (F.col("at") - F.col("begin")))).withColumn("__t", F.substr("tail", F.col("stop") - F.col("to") + 1))
+    room = F.greatest(F.lit(E.SNIPPET) - F.length("span"), F.lit(0))
+    n_left = F.least(F.length("__h"), F.greatest(F.floor(room / 2), room - F.length("__t"))).cast("int")
+    n_right = F.least(F.length("__t"), room - n_left).cast("int")
+    rows = rows.withColumns({"snippet": E.collapse(F.concat(F.right("__h", n_left), "span", F.left("__t", n_right))), "snippet_start": F.col("begin") - n_left, "snippet_end": F.col("stop") + n_right})
+    around = F.concat(F.right("left", F.lit(E.METRIC_BEFORE) + F.col("at") - F.col("begin")), "written", F.left("right", F.lit(E.METRIC_AFTER) + F.col("stop") - F.col("to")))
+    rows = rows.withColumns({
+        "metric": E.metric_of(around, F.col("unit")),
+        "valuation_date": F.when(F.col("field") == "discount_rate", E.valuation_date(F.concat("head", "written", "tail"), F.length("head") - (F.col("at") - F.col("begin")))).otherwise(""),
+        "start": F.col("begin"), "end": F.col("stop"), "analysis": F.when(valued | (F.col("field") == "value_per_share"), F.col("analysis")).otherwise(""), "subject": F.when(valued | (F.col("field") == "value_per_share"), F.col("subject")).otherwise(""),
+        "advisor": F.when(is_offer, "unattributed").otherwise(F.col("advisor")),
+    })
+    out = judged(verify(rows, F.col("span"), F.col("snippet")))
+    return out.select(*doc, "n", "field", "start", "end", "low", "high", "unit", "raw_low", "raw_high", "advisor", "subject", "analysis", "region", "metric", "valuation_date", "snippet", "snippet_start", "snippet_end", "problems", "reason", "doc_sha256", "sentence")

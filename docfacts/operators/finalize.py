@@ -1,70 +1,21 @@
-"""From judged candidates to the released fact table: snippets, metrics, dates, de-duplication, ids, flags, deal views."""
+"""From judged values to the released fact table: de-duplication, ids, flags, deal views."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import CORE_FIELDS, collapse, fact_id, fingerprint, tier
+from ..functions.expressions import CORE_FIELDS, fact_id, tier
 from .analytics import flags
 
-# Labels of the metric that a multiple applies to, first that fits wins.
-METRICS = [
-    ("EBITDA", r"(?i)EBITDA"), ("EBIT", r"(?i)\bEBIT\b"), ("FCF", r"(?i)(?:free|distributable)\s+cash\s+flow|\bFCF\b"), ("P/E", r"(?i)\bearnings\b|\bEPS\b|net\s+income|price[- ]to[- ]earnings|\bP/E\b"),
-    ("revenue", r"(?i)\brevenues?\b|\bsales\b"), ("book value", r"(?i)book\s+value|net\s+asset\s+value|\bNAV\b"), ("FFO", r"(?i)\bA?FFO\b|funds\s+from\s+operations"),
-]
-MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
-#: Longest snippet, and characters around a value that are looked at for metric, sentence and date.
-SNIPPET, METRIC_BEFORE, METRIC_AFTER, AROUND = 300, 60, 140, 600
 
+def finalize(facts: DataFrame, filings: DataFrame) -> DataFrame:
+    """The released table from facts of ``extract`` (accession, ...) without rejected values.
 
-def around(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
-    """The text from ``before`` characters ahead of a span to ``after`` behind it."""
-    first = F.greatest(start - before, F.lit(0))
-    return F.substr(text, first + 1, end + after - first)
-
-
-def metric_of(text: Column, start: Column, end: Column, unit: Column) -> Column:
-    """The metric of a multiple; empty for other units or if none is named near it."""
-    near = around(text, start, end, METRIC_BEFORE, METRIC_AFTER)
-    named = F.coalesce(*[F.when(near.rlike(p), F.lit(m)) for m, p in METRICS], F.lit(""))
-    return F.when(unit == "x", named).otherwise("")
-
-
-def valuation_date(sentence: Column) -> Column:
-    """ISO date of the first valid date that a sentence about discounting or value introduces with as of, to, at or a bracket; else empty."""
-    lead = r"(?i)(?:as\s+of|\bto|back\s+to|\bat|\()\s*((?:" + MONTH + r")\s+\d{1,2},?\s+(?:19|20)\d{2})"
-    found = F.regexp_extract_all(sentence, F.lit(lead), F.lit(1))
-    day = lambda s: F.to_date(F.try_to_timestamp(F.regexp_replace(F.initcap(s), r",?\s+", " "), F.lit("MMMM d yyyy")))
-    dates = F.filter(F.transform(found, day), lambda d: d.isNotNull())
-    about = sentence.rlike("(?i)present|discount|valu")
-    return F.when(about & (F.size(dates) > 0), F.date_format(F.get(dates, 0), "yyyy-MM-dd")).otherwise("")
-
-
-def snippet_of(text: Column, start: Column, end: Column) -> Column:
-    """The line around a span, collapsed and cut to ``SNIPPET`` characters about the span."""
-    before = F.substring_index(F.substr(text, F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND))), "\n", -1)
-    span = F.substr(text, start + 1, end - start)
-    after = F.substring_index(F.substr(text, end + 1, F.lit(AROUND)), "\n", 1)
-    room = F.greatest(F.lit(SNIPPET) - F.length(span), F.lit(0))
-    left = F.least(F.length(before), F.greatest(F.floor(room / 2), room - F.length(after))).cast("int")
-    return collapse(F.concat(F.right(before, left), span, F.left(after, (room - left).cast("int"))))
-
-
-def finalize(facts: DataFrame, texts: DataFrame, filings: DataFrame) -> DataFrame:
-    """The released table from facts (accession, field, start, end, low, high, unit, raw ends, advisor, subject, analysis, region).
-
-    ``texts``: (accession, text); ``filings``: (accession, deal_id, cik, company, sic, file_date). The same value of a deal in
-    several filings stays once, in the first of them, with n_filings; spans decide between equal rows.
+    ``filings``: (accession, deal_id, cik, company, sic, file_date). The same value of a deal in several filings stays once,
+    in the first of them, with n_filings; spans decide between equal rows. No text is read or carried but snippets.
     """
-    start, end, text = F.col("start"), F.col("end"), F.col("text")
-    # the text is attached once, and dropped with the last column that reads it
-    rows = facts.join(texts.select("accession", "text"), "accession").join(filings.select("accession", "deal_id", "cik", "company", "sic", F.col("file_date").alias("filing_date")), "accession")
-    near = around(text, start, end, AROUND, AROUND)
-    rows = rows.select(
-        *facts.columns, "deal_id", "cik", "company", "sic", "filing_date", snippet_of(text, start, end).alias("snippet"), metric_of(text, start, end, F.col("unit")).alias("metric"),
-        valuation_date(near).alias("valuation_date"), fingerprint(text).alias("doc_sha256"), F.greatest(start - AROUND, F.lit(0)).alias("snippet_start"), F.least(end + AROUND, F.length(text)).alias("snippet_end"),
-    )
+    rows = facts.drop("n", "problems", "reason", "sentence").join(filings.select("accession", "deal_id", "cik", "company", "sic", F.col("file_date").alias("filing_date")), "accession")
     key = ["deal_id", "field", "low", "high", "unit", "advisor", "subject", "analysis", "metric", "valuation_date"]
     others = [c for c in rows.columns if c not in key]
     first = rows.groupBy(*key).agg(F.min(F.struct("filing_date", "accession", "start", "end", F.struct(*others).alias("r"))).alias("m"), F.count_distinct("accession").alias("n_filings"))

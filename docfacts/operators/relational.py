@@ -10,27 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of_calendar(values: DataFrame, date: str, value: str, until: Column | None = None) -> DataFrame:
-    """(date, value) for every day from the first observation on: the last value on or before it.
-
-    ``values`` holds one row a day at most, so its size is bounded by the calendar; the window over it is small.
-    """
-    days = values.select(F.col(date).cast("date").alias("date"), F.col(value).alias("value")).dropna()
-    nxt = F.lead("date").over(Window.orderBy("date"))
-    last = F.coalesce(nxt, F.greatest(F.date_add("date", 1), until if until is not None else F.date_add("date", 1)))
-    return days.withColumn("to", F.date_sub(last, 1)).select(F.explode(F.sequence("date", "to")).alias("date"), "value")
-
-
 def as_of_join(left: DataFrame, values: DataFrame, on: str, date: str, value: str) -> DataFrame:
     """``left`` with ``value``, the last one on or before its date ``on``; null before the first observation.
 
-    An equality join with the calendar, never a range join. Values may not be older than their next observation; the last
-    one holds to the latest date of ``left``.
+    An equality join with a calendar, never a range join. ``values`` holds one row a day at most, so the calendar and the window
+    over it are small; dates behind its end look up its last day, which is a scalar of the plan. ``left`` is read once.
     """
-    latest = left.agg(F.max(F.col(on).cast("date")).alias("d")).first()["d"]
-    until = F.date_add(F.lit(latest).cast("date"), 1)
-    days = as_of_calendar(values, date, value, until)
-    return left.join(days.withColumnRenamed("value", value).withColumnRenamed("date", "__day"), F.col(on).cast("date") == F.col("__day"), "left").drop("__day")
+    known = values.select(F.col(date).cast("date").alias("__from"), F.col(value).alias(value)).dropna()
+    until = F.coalesce(F.date_sub(F.lead("__from").over(Window.orderBy("__from")), 1), F.col("__from"))
+    days = known.withColumn("__to", until).select(F.explode(F.sequence("__from", "__to")).alias("__day"), value)
+    day = F.col(on).cast("date")
+    asked = F.when(day.isNotNull(), F.least(day, known.agg(F.max("__from")).scalar()))
+    return left.withColumn("__on", asked).join(days, F.col("__on") == F.col("__day"), "left").drop("__on", "__day")
 
 
 def as_of_by_key(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, values: list[str], strict: bool = True) -> DataFrame:
@@ -47,8 +38,10 @@ def as_of_by_key(left: DataFrame, right: DataFrame, keys: list[str], left_pos: s
 
 
 def contained_in(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points with the span of their keys that holds them, start <= at < end; equality on keys, bounds as residual."""
-    return points.join(spans, [*keys], "left").where(F.col(start).isNull() | ((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))))
+    """Points with the span of their keys that holds them, start <= at < end, or nulls: equality on keys, bounds as residual."""
+    right = spans.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(at) >= F.col(start), F.col(at) < F.col(end)]
+    return points.join(right, on, "left").drop(*[f"__{k}" for k in keys])
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, width: int) -> DataFrame:

@@ -48,9 +48,18 @@ def _join(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _facts(docs: DataFrame, text: Column) -> DataFrame:
-    lex = lexemes(docs.select("o_orderkey", text.alias("text")), "text", "o_orderkey")
-    return X.judged(X.in_context(X.candidates(lex, "o_orderkey"), lex, "o_orderkey"))
+OPINION = "Opinion of the Financial Advisor"
+
+
+def _sectioned(docs: DataFrame, text: Column, *more: Column, heading: Column | str = OPINION) -> DataFrame:
+    """Documents of a heading and a text below it, with the heading as a line."""
+    h = F.lit(heading) if isinstance(heading, str) else heading
+    line = F.struct(F.lit(0).alias("start"), F.length(h).alias("end"), F.lit(0.0).alias("bold"), F.lit(0.0).alias("linked"))
+    return docs.select("o_orderkey", F.concat(h, F.lit("\n"), text).alias("text"), F.array(line).alias("lines"), *more)
+
+
+def _facts(docs: DataFrame, text: Column, heading: Column | str = OPINION) -> DataFrame:
+    return X.extract(_sectioned(docs, text, heading=heading), "o_orderkey", lines="lines")
 
 
 R = lambda c: F.round(c, 4)
@@ -95,14 +104,60 @@ def _(spark, sf_dir):
     return X.candidates(lexemes(docs, "text", "doc_id"), "doc_id").select("doc_id")
 
 
-@add("rejections_by_reason", f"""WITH {NUMBERS}, r AS (SELECT CASE WHEN wild THEN 'outside_hard_bounds' WHEN unnamed THEN 'no_analysis_marker' WHEN fee % 2 = 0 THEN 'not_dcf_analysis' END AS reason FROM d) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
+@add("rejections_by_reason", f"""WITH {NUMBERS}, r AS (SELECT CASE WHEN wild THEN 'outside_hard_bounds' WHEN unnamed THEN 'no_analysis_marker' END AS reason FROM d) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
-    analysis = F.when(c("unnamed"), "review").when(c("fee") % 2 == 0, "selected companies analysis").otherwise("discounted cash flow analysis")
+    analysis = F.when(c("unnamed"), "review").otherwise("discounted cash flow analysis")
     rate = F.when(c("wild"), _n(c("a") + 80)).otherwise(_n(c("a")))
     return _facts(d, _join(c("house"), " performed a ", analysis, " with a discount rate of ", rate, "%.")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@add("rejections_by_place", f"""WITH {NUMBERS} SELECT o_orderkey, CASE fee % 3 WHEN 0 THEN 'opinion' WHEN 1 THEN 'context' ELSE 'other' END AS region, CASE fee % 3 WHEN 1 THEN 'no_analysis_marker' WHEN 2 THEN 'outside_analysis_context' END AS reason,
+  CASE fee % 3 WHEN 0 THEN house ELSE 'unattributed' END AS advisor, CASE fee % 3 WHEN 0 THEN 'dcf' ELSE 'unspecified' END AS analysis FROM d""")
+def _(spark, sf_dir):
+    """A value counts in an opinion; outside, a house and an analysis near it make a context that proves nothing."""
+    d, c = _documents(spark, sf_dir), F.col
+    kind = c("fee") % 3
+    heading = F.when(kind == 0, OPINION).otherwise("Stock Purchase Plan")
+    text = F.when(kind < 2, _join(c("house"), " performed a discounted cash flow analysis with a discount rate of ", _n(c("a")), "%.")).otherwise(_join("The plan has a discount rate of ", _n(c("a")), "%."))
+    return _facts(d, text, heading).select("o_orderkey", "region", "reason", "advisor", "analysis")
+
+
+@add("rejections_of_values", f"""WITH {NUMBERS} SELECT o_orderkey, CASE fee % 4 WHEN 0 THEN 'not_dcf_analysis' WHEN 1 THEN 'not_dcf_analysis' END AS reason, CASE fee % 4 WHEN 0 THEN 'other' WHEN 1 THEN 'unspecified' WHEN 2 THEN 'pv_future_price' ELSE 'nav' END AS analysis FROM d""")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    what = F.when(c("fee") % 4 == 0, "Selected Companies Analysis").when(c("fee") % 4 == 1, "A Review").when(c("fee") % 4 == 2, "Present Value of Future Share Prices").otherwise("Net Asset Value Analysis")
+    text = _join(what, ". This implied a range of values per share of $", F.format_string("%.2f", c("a") * 10), " to $", F.format_string("%.2f", c("b") * 10 + 1), ".")
+    return _facts(d, text).where("field = 'value_per_share'").select("o_orderkey", "reason", "analysis")
+
+
+@add("analysis_classes", f"""WITH {NUMBERS} SELECT o_orderkey, CASE fee % 5 WHEN 0 THEN 'ddm' WHEN 1 THEN 'dcf' WHEN 2 THEN 'other' WHEN 3 THEN 'dcf' ELSE 'ddm' END AS analysis FROM d""")
+def _(spark, sf_dir):
+    """The last mark of its own line or a line's start decides; without one the last mark in running text that is no comparison."""
+    d, c = _documents(spark, sf_dir), F.col
+    long = "the board of directors heard at some length that in the view of its advisors and of the management of the business a further look at all of the figures was needed, "
+    rate = _join(" a discount rate of ", _n(c("a")), "%.")
+    kind = c("fee") % 5
+    text = (
+        F.when(kind == 0, _join("Dividend Discount Analysis\n", long, "and a discounted cash flow was seen with", rate))
+        .when(kind == 1, _join(long, "and a discounted cash flow was seen beside selected companies with", rate))
+        .when(kind == 2, _join("Discounted Cash Flow Analysis\nSelected Companies Analysis\n", long, "with", rate))
+        .when(kind == 3, _join("Selected companies were seen first in brief.\nDiscounted Cash Flow Analysis\n", long, "with", rate))
+        .otherwise(_join(long, "a net asset value and then a dividend discount was seen with", rate))
+    )
+    return _facts(d, text).select("o_orderkey", "analysis")
+
+
+@add("section_advisors", f"""WITH {NUMBERS} SELECT o_orderkey, CASE fee % 4 WHEN 0 THEN 'Moelis' WHEN 1 THEN house WHEN 2 THEN 'Jefferies' ELSE 'unattributed' END AS advisor FROM d""")
+def _(spark, sf_dir):
+    """Without a house that acts, the heading's house, else the house named most in the section."""
+    d, c = _documents(spark, sf_dir), F.col
+    kind = c("fee") % 4
+    heading = F.when(kind == 0, "Opinion of Moelis & Company").otherwise(OPINION)
+    named = F.when(kind == 0, "For UBS and UBS.").when(kind == 1, _join("Moelis met UBS. For UBS, ", c("house"), " performed it.")).when(kind == 2, "Met UBS. Met Jefferies. Of UBS. Of Jefferies. In Jefferies.").otherwise("Nobody is named.")
+    return _facts(d, _join("Discounted Cash Flow Analysis\n", named, "\nThe discount rate was ", _n(c("a")), "%."), heading).select("o_orderkey", "advisor")
+
+
 @add("table_rows", f"WITH {NUMBERS} SELECT o_orderkey, round(a, 4) AS low, CASE WHEN fee % 3 < 2 THEN 'table_row' END AS reason FROM d")
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
@@ -129,18 +184,96 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
     price = F.format_string("%.2f", c("a") * 4)
-    text = _join("Holders will receive $", price, " in cash. An earlier merger consideration of $3.00 was refused. Each share has the right to receive $", price, " in cash.")
+    text = _join("Holders will receive $", price, " in cash. An earlier merger consideration of $3.00 in cash was refused. Each share has the right to receive $", price, " in cash.")
     return X.offer_price(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", R("low").alias("low"), F.col("votes").cast("int").alias("votes"))
 
 
+@add("fee_cases", f"""WITH {NUMBERS} SELECT o_orderkey, unnest(CASE fee % 6 WHEN 0 THEN ['fee_total', 'fee_opinion', 'fee_contingent'] WHEN 1 THEN ['fee_total', 'fee_opinion'] WHEN 2 THEN ['fee_opinion'] WHEN 3 THEN ['fee_total'] ELSE [] END) AS field,
+  unnest(CASE fee % 6 WHEN 0 THEN [fee + 2.5::DOUBLE, 1.5, fee + 1.0] WHEN 1 THEN [fee + 0.5::DOUBLE, fee + 0.5] WHEN 2 THEN [fee + 0.5::DOUBLE] WHEN 3 THEN [fee + 0.5::DOUBLE] ELSE [] END) AS low, house FROM d""")
+def _(spark, sf_dir):
+    """A total of which parts are paid; one amount as both; an opinion's fee that is credited; a plain total; and payments that are no advisor's fee."""
+    d, c = _documents(spark, sf_dir), F.col
+    money = lambda x: F.concat(F.lit("$"), F.format_string("%.1f", x), F.lit(" million"))
+    whole, kind = money(c("fee") + 0.5), c("fee") % 6
+    text = (
+        F.when(kind == 0, _join(c("house"), " will receive an aggregate fee of approximately ", money(c("fee") + 2.5), ", of which $1.5 million became payable upon delivery of its opinion and ", money(c("fee") + 1.0), " is contingent upon the closing of the merger."))
+        .when(kind == 1, _join("The Company will pay ", c("house"), " a fee of ", whole, " upon the rendering of its opinion."))
+        .when(kind == 2, _join("The Company will pay ", c("house"), " a fee of ", whole, " upon the rendering of its opinion, which is creditable."))
+        .when(kind == 3, _join("For its services ", c("house"), " will be paid a fee of ", whole, "."))
+        .when(kind == 4, _join(c("house"), " advised. The Company must pay a termination fee of ", whole, "."))
+        .otherwise(_join("In the past two years ", c("house"), " had a fee of ", whole, " for other work."))
+    )
+    return X.money_terms(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", "field", R("low").alias("low"), "house")
+
+
+@add("per_share_cases", f"WITH {NUMBERS} SELECT o_orderkey, round(a * 10, 4) AS low FROM d WHERE fee % 5 < 2")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    values, kind = _join("$", F.format_string("%.2f", c("a") * 10), " to $", F.format_string("%.2f", c("b") * 10 + 1)), c("fee") % 5
+    text = (
+        F.when(kind == 0, _join("This implied a range of values per share of ", values, " for common stock."))
+        .when(kind == 1, _join("It resulted in illustrative present values of ", values, " per share."))
+        .when(kind == 2, _join("The stock traded between ", values, " per share during the period."))
+        .when(kind == 3, _join("The implied values per share beside the 52-week closing price were ", values, "."))
+        .otherwise(_join("Implied values per share: | ", values, " | 7"))
+    )
+    return X.money_terms(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", R("low").alias("low"))
+
+
+@add("offer_cases", f"WITH {NUMBERS} SELECT o_orderkey, round(a * 4, 4) AS low, 2 AS votes FROM d WHERE fee % 5 = 0")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    price, kind = F.format_string("%.2f", c("a") * 4), c("fee") % 5
+    once = (
+        F.when(kind == 0, _join("Each share has the right to receive $", price, " in cash, without interest. "))
+        .when(kind == 1, _join("Each share has the right to receive $", price, " in cash and 0.776 of a share of Parent common stock. "))
+        .when(kind == 2, _join("A holder of an option will receive $", price, " in cash. "))
+        .when(kind == 3, _join("Each share has the right to receive $", price, " of notes. "))
+        .otherwise(_join("The initial proposal was a price of $", price, " in cash. "))
+    )
+    return X.offer_price(lexemes(d.select("o_orderkey", F.concat(once, once).alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", R("low").alias("low"), F.col("votes").cast("int").alias("votes"))
+
+
+@add("valuation_dates", f"""WITH {NUMBERS} SELECT o_orderkey, CASE fee % 5 WHEN 0 THEN '2022-09-30' WHEN 1 THEN '2022-09-30' WHEN 2 THEN '2021-12-31' ELSE '' END AS valuation_date FROM d""")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    kind = c("fee") % 5
+    said = (
+        F.when(kind == 0, "discounted to present value as of September 30, 2022 at")
+        .when(kind == 1, "discounted to present value as of 30 September 2022 at")
+        .when(kind == 2, "discounted as of March 31, 2020 for all of the many earlier years, and then valued to December 31, 2021 at")
+        .when(kind == 3, "discounted at the meeting held on May 3, 2021 at")
+        .otherwise("discounted as of February 30, 2021 at")
+    )
+    return _facts(d, _join(c("house"), " performed a discounted cash flow analysis in which flows were ", said, " discount rates of ", _n(c("a")), "% to ", _n(c("b") + 1), "%.")).select("o_orderkey", "valuation_date")
+
+
+@add("snippets", f"""WITH {NUMBERS}, t AS (SELECT o_orderkey, house || ' performed a discounted cash flow analysis with a discount rate of ' || printf('%.1f', a) || '% in all.' AS s FROM d)
+  SELECT o_orderkey, s AS snippet, 33 + strpos(s, 'discount rate') - 1 AS start, 33 + strpos(s, '% in all') AS end_, CAST(33 AS BIGINT) AS snippet_start, 33 + length(s) AS snippet_end FROM t""")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    text = _join(c("house"), " performed a discounted cash flow analysis with a discount rate of ", _n(c("a")), "% in all. Behind it all.")
+    return _facts(d, text).select("o_orderkey", "snippet", *[F.col(x).cast("long").alias(x) for x in ("start", "snippet_start", "snippet_end")], F.col("end").cast("long").alias("end_"))
+
+
 @add("provenance_verified", f"WITH {NUMBERS} SELECT count(*) * 3 AS facts, count(*) * 3 AS verified FROM d")
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
     text = _join(c("house"), " performed a discounted cash flow analysis. It applied discount rates ranging from ", _n(c("a")), "% to ", _n(c("b")), "% and a perpetuity growth rate of ", _n(c("g")), "%, and exit multiples of ", _n(c("m")), "x to ", _n(c("m") + 2.5), "x.")
-    docs = d.select("o_orderkey", text.alias("text"))
-    lex = lexemes(docs, "text", "o_orderkey")
-    checked = X.verify(X.candidates(lex, "o_orderkey").join(docs, "o_orderkey"))
-    return checked.agg(F.count("*").alias("facts"), F.sum((F.size("problems") == 0).cast("long")).alias("verified"))
+    return _facts(d, text).agg(F.count("*").alias("facts"), F.sum((F.size("problems") == 0).cast("long")).alias("verified"))
+
+
+@add("provenance_problems", f"""WITH {NUMBERS} SELECT o_orderkey, CASE fee % 5 WHEN 0 THEN 'span_out_of_range' WHEN 1 THEN 'value_text_not_in_span' WHEN 2 THEN 'value_not_reproduced_from_span' WHEN 3 THEN 'snippet_does_not_contain_span' ELSE '' END AS problems FROM d""")
+def _(spark, sf_dir):
+    """Facts whose span, value or snippet was changed fail the check that guards it."""
+    d, c = _documents(spark, sf_dir), F.col
+    kind, raw = c("fee") % 5, _join(_n(c("a")), "%")
+    rows = d.select(
+        "o_orderkey", F.when(kind == 0, 9).otherwise(3).alias("start"), F.lit(9).alias("end"), F.when(kind == 2, c("a") + 1).otherwise(c("a")).alias("low"), c("a").alias("high"), F.lit("pct").alias("unit"), F.when(kind == 1, "7.77%").otherwise(raw).alias("raw_low"), raw.alias("raw_high"),
+        _join("a discount rate of ", raw).alias("span"), F.when(kind == 3, "something else").otherwise(_join("with a discount rate of ", raw, ".")).alias("snippet"),
+    )
+    checked = X.verify(rows, F.col("span"), F.col("snippet"))
+    return checked.select("o_orderkey", F.coalesce(F.get("problems", F.lit(0)), F.lit("")).alias("problems"))
 
 
 @add("html_round_trip", "SELECT p_partkey, p_name || ' & ' || p_brand || chr(10) || p_type || ' | ' || p_size || chr(10) AS text FROM part")
@@ -163,33 +296,44 @@ def _(spark, sf_dir):
     d = _documents(spark, sf_dir)
     html = _join("<p>Preamble</p><h2>Background of the Merger</h2><p>Talks.</p><h2>Opinion of the Financial Advisor</h2><p>", F.col("house"), " made an analysis.</p><h2>Risk Factors</h2>")
     docs = html_to_document(d.select("o_orderkey", html.alias("html")), "html", "o_orderkey")
-    mentions = lexemes(docs, "text", "o_orderkey", prefilter=False).where("kind = 'house'")
-    return S.segments(docs, mentions, "o_orderkey").select("o_orderkey", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"), "advisor")
+    return S.segments(docs, "o_orderkey").select("o_orderkey", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"), "advisor")
 
 
 @add("released_facts", f"""WITH {NUMBERS} SELECT 'D' || (o_orderkey // 2) AS deal_id, 'discount_rate' AS field, round(a, 4) AS low, round(b, 4) AS high, 'core' AS tier, a = b AS is_point, '2020-03-31' AS valuation_date, '' AS metric, '' AS flags FROM d WHERE a <= 25
-  UNION ALL SELECT 'D' || (o_orderkey // 2), 'exit_multiple', m::DOUBLE, m + 2.5::DOUBLE, 'core', false, '2020-03-31', 'EBITDA', '' FROM d""")
+  UNION ALL SELECT 'D' || (o_orderkey // 2), 'exit_multiple', m::DOUBLE, m + 2.5::DOUBLE, 'core', false, '', 'EBITDA', '' FROM d""")
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
     text = _join(c("house"), " performed a discounted cash flow analysis of order ", c("o_orderkey").cast("string"), " and discounted values to March 31, 2020 using discount rates ranging from ", _n(c("a")), "% to ", _n(c("b")), "%, and EBITDA exit multiples of ", _n(c("m")), "x to ", _n(c("m") + 2.5), "x.")
-    docs = d.select(c("o_orderkey").cast("string").alias("accession"), text.alias("text"))
+    docs = _sectioned(d, text).withColumn("accession", c("o_orderkey").cast("string"))
     deal = _join("D", F.floor(c("o_orderkey") / 2).cast("string"))
     filings = d.select(c("o_orderkey").cast("string").alias("accession"), deal.alias("deal_id"), F.lit("1").alias("cik"), c("o_orderkey").cast("string").alias("company"), F.lit("1000").alias("sic"), F.lit("2020-06-01").alias("file_date"))
-    lex = lexemes(docs, "text", "accession")
-    found = X.judged(X.in_context(X.candidates(lex, "accession"), lex, "accession")).where("reason IS NULL").drop("reason", "n", "at", "cue", "reversed", "sentence", "after")
     # every order speaks for itself here, so that no two filings of a deal state one value
-    out = Z.finalize(found.withColumn("subject", c("accession")).withColumn("region", F.lit("opinion")), docs, filings)
+    out = Z.finalize(X.extract(docs, "accession", lines="lines").where("reason IS NULL").withColumn("subject", c("accession")), filings)
     return out.select("deal_id", "field", R("low").alias("low"), R("high").alias("high"), "tier", "is_point", "valuation_date", "metric", "flags")
 
 
-@add("subjects", f"WITH {NUMBERS} SELECT o_orderkey, round(a, 4) AS low, CASE fee % 4 WHEN 0 THEN 'target' WHEN 1 THEN 'acquirer' WHEN 2 THEN 'pro_forma' ELSE 'unspecified' END AS subject FROM d UNION ALL SELECT o_orderkey, round(a + 1, 4), CASE fee % 4 WHEN 3 THEN 'unspecified' WHEN 1 THEN 'acquirer' ELSE 'target' END FROM d")
+@add("subjects", f"WITH {NUMBERS} SELECT o_orderkey, round(a, 4) AS low, CASE fee % 4 WHEN 0 THEN 'target' WHEN 1 THEN 'acquirer' WHEN 2 THEN 'pro_forma' ELSE 'unspecified' END AS subject FROM d UNION ALL SELECT o_orderkey, round(a + 1, 4), CASE fee % 4 WHEN 3 THEN 'unspecified' WHEN 1 THEN 'acquirer' WHEN 2 THEN 'pro_forma' ELSE 'target' END FROM d")
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
     who = F.when(c("fee") % 4 == 0, "the Company, not of Buyer that was named before,").when(c("fee") % 4 == 1, "Parent").when(c("fee") % 4 == 2, "the pro forma Company").otherwise("a firm")
     text = _join("For ", who, " discount rates were ", _n(c("a")), "%. In the next year a discount rate of ", _n(c("a") + 1), "% was used.")
     text = F.when(c("fee") % 4 == 0, F.regexp_replace(text, "For the Company, not of Buyer that was named before,", "Unlike Buyer, for the Company")).otherwise(text)
-    lex = lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey")
-    return X.subjects(X.candidates(lex, "o_orderkey"), lex, "o_orderkey").select("o_orderkey", R("low").alias("low"), "subject")
+    return _facts(d, text).select("o_orderkey", R("low").alias("low"), "subject")
+
+
+@add("named_subjects", f"""WITH {NUMBERS} SELECT o_orderkey, CASE WHEN fee % 5 = 4 THEN 'unspecified' WHEN (fee % 5 IN (0, 2)) = (fee % 2 = 0) THEN 'target' ELSE 'acquirer' END AS subject FROM d""")
+def _(spark, sf_dir):
+    """The filer by its aliases, the other company by its shares; which is the target follows from whose shares are issued."""
+    d, c = _documents(spark, sf_dir), F.col
+    kind = c("fee") % 5
+    who = F.when(kind == 0, "Evoqua Water").when(kind == 1, "Xylem").when(kind == 2, "EVOQUA WATER").when(kind == 3, "Evoqua aside and for Xylem").otherwise("a firm")
+    who = F.when(kind == 2, "evoqua water").otherwise(who)
+    role = F.when(c("fee") % 2 == 0, "Each share of Evoqua common stock is converted into cash. ").otherwise("A vote on the issuance of shares of Evoqua common stock. ")
+    others = F.repeat(F.lit("Holders of Xylem common stock agree. "), 7)
+    filler = F.repeat(F.lit("Nothing of note was said by anyone at all about it. "), 60)
+    text = _join(role, others, filler, "\nDiscounted Cash Flow Analysis\nFor ", who, " the discount rate was ", _n(c("a")), "%.")
+    docs = _sectioned(d, text, F.lit("Evoqua Water Technologies, Inc.").alias("company"))
+    return X.extract(docs, "o_orderkey", lines="lines", company="company").where("field = 'discount_rate'").select("o_orderkey", "subject")
 
 
 @add("company_aliases", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Evo' || c_custkey || ' Water Technologies; Evo' || c_custkey || ' Water; Evo' || c_custkey WHEN 1 THEN 'First Bank' WHEN 2 THEN 'ABN' ELSE 'Anixter Group; Anixter' END AS names FROM customer")

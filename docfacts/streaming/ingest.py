@@ -11,15 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import extraction as X
-from ..operators.lexing import lexemes
 from ..sources.html import html_to_document
 
 
 def extract(filings: DataFrame) -> DataFrame:
     """Judged candidates (facts where reason is null) of filings (accession, html)."""
     docs = html_to_document(filings.where("accession IS NOT NULL"), "html", "accession")
-    lex = lexemes(docs, "text", "accession")
-    return X.judged(X.in_context(X.candidates(lex, "accession"), lex, "accession"))
+    return X.extract(docs, "accession", lines="lines")
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType | str, out: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:

@@ -2,7 +2,7 @@ from docfacts.streaming.ingest import ingest
 
 
 def test_ingest_reads_each_filing_once(spark, tmp_path):
-    say = lambda n: f"<p>Lazard performed a discounted cash flow analysis with discount rates of {n}.0% to {n + 1}.0%.</p>"
+    say = lambda n: f"<h2>Opinion of the Financial Advisor</h2><p>Lazard performed a discounted cash flow analysis with discount rates of {n}.0% to {n + 1}.0%.</p>"
     schema, source, out = "accession string, html string", str(tmp_path / "in"), str(tmp_path / "out")
     for run in (1, 2):
         spark.createDataFrame([(f"a{run}", say(8 + run)), (None, None), (f"b{run}", None)], schema).write.mode("append").parquet(source)
