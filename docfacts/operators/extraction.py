@@ -299,7 +299,9 @@ def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None =
     however many there are. Null and empty texts have no values; repeated documents must differ in ``doc``.
     """
     whole = F.col(text).cast("string")
-    docs = docs.withColumn("doc_sha256", E.fingerprint(whole))
+    # texts are dealt by document before they are lexed: lexemes are larger, and so need no shuffle of their own
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.repartition(parts, *doc).withColumn("doc_sha256", E.fingerprint(whole))
     if company:
         docs = docs.withColumn("__filer", P.aliases(F.col(company)))
         docs = docs.withColumns({"__other": P.other_names(whole, F.col("__filer")), "__role": P.filer_role(whole, F.col("__filer"))})
