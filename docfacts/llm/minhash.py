@@ -31,7 +31,7 @@ PERMUTATIONS = 128
 MARGIN = 0.16
 #: A band's members, and those of a family, are compared in blocks of about this many, or of so many shingles.
 BLOCK, FAMILY, SHINGLES = 2048, 512, 1_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 _M = np.uint64
 _A = np.random.default_rng(11).integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * _M(2) + _M(1)

@@ -30,7 +30,7 @@ STEM_SHARE = 0.8
 STEM_LENGTHS = (4, 5, 6)
 #: Words each side of a hit.
 WINDOW = 6
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 # Quotation marks, words of reporting, words of address.
 QUOTES = "\"'“”„«»‘’"
@@ -112,24 +112,41 @@ def _without(word: str, most: int) -> set[str]:
 
 
 class Near:
-    """Which words can be within the allowed edits of a term, by letters taken out.
+    """Which words can be within the allowed edits of a term.
 
-    A word within k edits of a term can be made equal to it by taking at most k letters out of each, so it is enough
-    to look for what is left of the word among what is left of the terms. The cost for a word does not grow with the
-    terms. Words longer than ``LONG`` are not told apart where a term is about as long.
+    Two tests, each of which loses nothing. Of a term cut into k + 1 parts k edits leave one as it is, at most k places
+    away: few words hold such a part there. And a word within k edits of a term can be made equal to it by taking at most k
+    letters out of each, so what is left of the word must be among what is left of the terms. The cost for a word does not
+    grow with the terms. Words longer than ``LONG`` have the first test only.
     """
 
     LONG = 24
 
     def __init__(self, terms: list[str]):
         self.left: dict[int, set[str]] = {k: set().union(*(_without(t, k) for t in terms if len(t) <= self.LONG + 2)) for k in (1, 2)}
-        self.lengths = {k: {n for t in terms for n in range(len(t) - k, len(t) + k + 1)} for k in (1, 2)}
+        #: For each length of a word: (place, length of a part, parts that may stand there).
+        self.parts: dict[int, list[tuple[int, int, frozenset[str]]]] = {}
+        found: dict[int, dict[tuple[int, int], set[str]]] = {}
+        for t in terms:
+            for n in range(max(1, len(t) - 2), len(t) + 3):
+                k = Trie.allowed(n)
+                if k == 0 or abs(len(t) - n) > k:
+                    continue
+                cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    for at in range(max(0, a - k), a + k + 1):
+                        found.setdefault(n, {}).setdefault((at, b - a), set()).add(t[a:b])
+        self.parts = {n: [(at, at + size, frozenset(p)) for (at, size), p in own.items()] for n, own in found.items()}
 
     def may(self, word: str, edits: int) -> bool:
-        n = len(word)
-        if n not in self.lengths[edits]:
+        """Whether a word may be within ``edits``, those that are allowed for its length, of a term."""
+        own = self.parts.get(len(word))
+        if own is None:
             return False
-        return n > self.LONG or not self.left[edits].isdisjoint(_without(word, edits))
+        for a, b, parts in own:
+            if word[a:b] in parts:
+                return len(word) > self.LONG or not self.left[edits].isdisjoint(_without(word, edits))
+        return False
 
 
 class Scorer:
@@ -180,11 +197,14 @@ class Scorer:
         if not found:
             return [0.0] * len(FEATURES)
         words = []
-        for r in MIXED.finditer(low):
-            if r.group() in found:
-                words.append((r.group(), r.start(), r.end()))
-            else:
-                words.extend((m.group(), m.start(), m.end()) for m in WORD.finditer(low, r.start(), r.end()))
+        if letters.issuperset(found):
+            words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
+        else:
+            for r in MIXED.finditer(low):
+                if r.group() in found:
+                    words.append((r.group(), r.start(), r.end()))
+                else:
+                    words.extend((m.group(), m.start(), m.end()) for m in WORD.finditer(low, r.start(), r.end()))
         hits = fuzzy = quoted = reported = addressed = 0
         weight, top = 0.0, 0.0
         for i, (w, a, b) in enumerate(words):
@@ -226,6 +246,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
         chosen = chosen.where(usable)
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # ids alone tell whether any is shared; texts are only shuffled if so
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return own
     return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
