@@ -54,13 +54,22 @@ def histogram(rows: DataFrame, column: str, step: float, top: float) -> DataFram
     return rows.groupBy(bins.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def ecdf(rows: DataFrame, column: str) -> DataFrame:
-    """(value, share): distinct values with the share of rows at or below; counts first, so the order is over distinct values."""
+def ecdf(rows: DataFrame, column: str, parts: int = 256) -> DataFrame:
+    """(value, share): distinct values with the share of rows at or below.
+
+    Rows are counted by value first; approximate quantiles of the distinct values cut these into ``parts`` ranges, each of
+    which has a running sum of its own, and the sums of the ranges below are added from one row for each range.
+    """
     from pyspark.sql import Window
 
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("value")
-    return counts.withColumn("c", F.sum("n").over(w)).withColumn("t", F.sum("n").over(Window.partitionBy())).select("value", (F.col("c") / F.col("t")).alias("share"))
+    cuts = counts.agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 4 * parts).alias("cuts"))
+    dealt = counts.withColumn("cuts", cuts.scalar()).select("value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range"))
+    sums = dealt.groupBy("range").agg(F.sum("n").alias("s"))
+    # a row for each range
+    below = sums.select("range", (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("below"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    own = dealt.withColumn("c", F.sum("n").over(Window.partitionBy("range").orderBy("value")))
+    return own.join(F.broadcast(below), "range").select("value", ((F.col("c") + F.col("below")) / F.col("total")).alias("share"))
 
 
 def implied_growth_units(facts: DataFrame, window: int = 6000) -> DataFrame:

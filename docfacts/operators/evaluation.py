@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import scores
 
-TOLERANCE = 1e-9
+#: Fields that the headline scores count.
+KEY_FIELDS = ("discount_rate", "terminal_growth", "exit_multiple")
 
 
 def match(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -40,9 +42,9 @@ def match(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return both.groupBy("accession").applyInPandas(pair, "accession string, field string, gold_id long, predicted_id long")
 
 
-def evaluate(matches: DataFrame, by: str | None = "field") -> DataFrame:
+def evaluate(matches: DataFrame, by: str | list[str] | None = "field") -> DataFrame:
     """tp, fp, fn, precision, recall and F1 for each value of ``by``, or overall."""
-    count = lambda x: F.sum(x.cast("long"))
+    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0).cast("long"))
     g, p = F.col("gold_id").isNotNull(), F.col("predicted_id").isNotNull()
     sums = [count(g & p).alias("tp"), count(p & ~g).alias("fp"), count(g & ~p).alias("fn")]
     rows = matches.groupBy(by).agg(*sums) if by else matches.agg(*sums)
@@ -50,6 +52,43 @@ def evaluate(matches: DataFrame, by: str | None = "field") -> DataFrame:
     return rows.withColumns({"precision": precision, "recall": recall, "f1": f1})
 
 
+def evaluate_groups(matches: DataFrame, groups: DataFrame) -> DataFrame:
+    """Scores over the key fields for each (stratum, label) of ``groups`` (accession, stratum, label).
+
+    A label whose filings have no such fact scores zero counts.
+    """
+    key = matches.where(F.col("field").isin(*KEY_FIELDS))
+    return evaluate(groups.distinct().join(key, "accession", "left"), ["stratum", "label"])
+
+
+def confusion(matches: DataFrame, gold: DataFrame, predicted: DataFrame, attribute: str) -> DataFrame:
+    """(accession, want, got, n): values of an attribute over matched pairs whose gold value is not empty."""
+    g = gold.select("gold_id", F.col(attribute).alias("want")).where("want <> ''")
+    p = predicted.select("predicted_id", F.col(attribute).alias("got"))
+    return matches.join(g, "gold_id").join(p, "predicted_id").groupBy("accession", "want", "got").agg(F.count("*").alias("n"))
+
+
+def bootstrap_precision(matches: DataFrame, filings: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(low, high): 95% interval of key-field precision when filings (accession) are resampled; null without any prediction.
+
+    Filings of equal (tp, fp) are alike, so a draw of filings is a multinomial draw of such classes. Classes are counted in
+    Spark; their number is bounded by the counts that one filing can have, not by the filings.
+    """
+    per = evaluate_groups(matches, filings.select("accession", F.lit("").alias("stratum"), F.col("accession").alias("label")))
+    classes = per.groupBy("tp", "fp").agg(F.count("*").alias("n"))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf.sort_values(["tp", "fp"])
+        n = s["n"].to_numpy()
+        picks = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=draws)
+        tp, fp = picks @ s["tp"].to_numpy(), picks @ s["fp"].to_numpy()
+        kept = tp[tp + fp > 0] / (tp + fp)[tp + fp > 0]
+        low, high = np.quantile(kept, [0.025, 0.975]) if len(kept) else (None, None)
+        return pd.DataFrame({"low": [low], "high": [high]}, dtype=object)
+
+    return classes.groupBy().applyInPandas(draw, "low double, high double")
+
+
 def attribute_accuracy(matches: DataFrame, gold: DataFrame, predicted: DataFrame, attributes: list[str]) -> DataFrame:
     """(attribute, n, accuracy) over matches whose gold value is not empty nor ``joint``."""
     both = matches.where("gold_id IS NOT NULL AND predicted_id IS NOT NULL")

@@ -275,9 +275,14 @@ def _(spark, sf_dir):
 
 @add("bootstrap_median")
 def _(spark, sf_dir):
-    return A.bootstrap_median(_pairs(spark, sf_dir), draws=200)
+    return A.bootstrap_median(_pairs(spark, sf_dir))
 
 
 @add("bootstrap_slope")
 def _(spark, sf_dir):
-    return A.block_bootstrap_slope(A.deal_rates(facts(spark, sf_dir), yields(spark, sf_dir)).where("NOT financial"), "discount", draws=500)
+    return A.block_bootstrap_slope(A.deal_rates(facts(spark, sf_dir), yields(spark, sf_dir)).where("NOT financial"), "discount")
+
+
+@add("bootstrap_growth_slope")
+def _(spark, sf_dir):
+    return A.block_bootstrap_slope(A.deal_rates(facts(spark, sf_dir), yields(spark, sf_dir)).where("NOT financial"), "growth")

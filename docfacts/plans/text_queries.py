@@ -360,20 +360,23 @@ def _(spark, sf_dir):
 
 
 GOLD = """
-g AS (SELECT o_orderkey AS gold_id, 'A' || (o_custkey % 97) AS accession, CASE o_orderkey % 3 WHEN 0 THEN 'discount_rate' WHEN 1 THEN 'exit_multiple' ELSE 'terminal_growth' END AS field, (o_orderkey % 50) / 2.0::DOUBLE AS low, o_orderkey % 10 = 0 AS gone, o_orderkey % 8 = 0 AS twice FROM orders)
+g AS (SELECT o_orderkey AS gold_id, 'A' || (o_orderkey // 100) AS accession, o_orderkey // 100 AS f, CASE o_orderkey % 7 WHEN 0 THEN 'discount_rate' WHEN 1 THEN 'exit_multiple' WHEN 2 THEN 'implied_growth' ELSE 'terminal_growth' END AS field, (o_orderkey % 50) / 2.0::DOUBLE AS low,
+  o_orderkey % 10 = 0 AS gone, o_orderkey % 8 = 0 AS twice, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Lazard' ELSE 'Evercore' END AS advisor, CASE WHEN o_orderkey % 6 = 0 THEN 'UBS' WHEN o_custkey % 4 = 0 THEN '' WHEN o_custkey % 4 = 1 THEN 'Lazard' ELSE 'Evercore' END AS said FROM orders)
 """
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Labels, and predictions that miss every tenth and repeat every eighth; spans do not overlap across labels."""
-    k = F.col("o_orderkey")
+    k, c = F.col("o_orderkey"), F.col("o_custkey") % 4
+    house = F.when(c == 0, "").when(c == 1, "Lazard").otherwise("Evercore")
     g = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        k.alias("gold_id"), F.concat(F.lit("A"), (F.col("o_custkey") % 97).cast("string")).alias("accession"),
-        F.when(k % 3 == 0, "discount_rate").when(k % 3 == 1, "exit_multiple").otherwise("terminal_growth").alias("field"),
-        ((k % 50) / 2).alias("low"), ((k % 50) / 2).alias("high"), (k * 10).alias("span_start"), (k * 10 + 5).alias("span_end"),
+        k.alias("gold_id"), F.concat(F.lit("A"), F.floor(k / 100).cast("string")).alias("accession"),
+        F.when(k % 7 == 0, "discount_rate").when(k % 7 == 1, "exit_multiple").when(k % 7 == 2, "implied_growth").otherwise("terminal_growth").alias("field"),
+        ((k % 50) / 2).alias("low"), ((k % 50) / 2).alias("high"), (k * 10).alias("span_start"), (k * 10 + 5).alias("span_end"), house.alias("advisor"),
     )
-    once = g.where("gold_id % 10 <> 0").withColumn("predicted_id", F.col("gold_id") * 2).withColumn("span_start", F.col("span_start") + 2)
-    twice = g.where("gold_id % 8 = 0").withColumn("predicted_id", F.col("gold_id") * 2 + 1)
+    said = g.withColumn("advisor", F.when(F.col("gold_id") % 6 == 0, "UBS").otherwise(F.col("advisor")))
+    once = said.where("gold_id % 10 <> 0").withColumn("predicted_id", F.col("gold_id") * 2).withColumn("span_start", F.col("span_start") + 2)
+    twice = said.where("gold_id % 8 = 0").withColumn("predicted_id", F.col("gold_id") * 2 + 1)
     return g, once.unionByName(twice).drop("gold_id")
 
 
@@ -389,6 +392,30 @@ def _(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
+@add("evaluate_by_group", f"""WITH {GOLD}, s AS (SELECT *, 'era' AS stratum, CASE f % 3 WHEN 0 THEN 'early' ELSE 'late' END AS label FROM g UNION ALL SELECT *, 'advisor', CASE f % 2 WHEN 0 THEN 'Lazard' ELSE 'UBS' END FROM g),
+  c AS (SELECT stratum, label, count(*) FILTER (WHERE NOT gone OR twice) AS tp, count(*) FILTER (WHERE twice AND NOT gone) AS fp, count(*) FILTER (WHERE gone AND NOT twice) AS fn FROM s WHERE field <> 'implied_growth' GROUP BY 1, 2)
+  SELECT *, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM c""")
+def _(spark, sf_dir):
+    gold, predicted = _gold(spark, sf_dir)
+    own = gold.select("accession", F.substring("accession", 2, 20).cast("long").alias("f")).distinct()
+    era = own.select("accession", F.lit("era").alias("stratum"), F.when(F.col("f") % 3 == 0, "early").otherwise("late").alias("label"))
+    advisor = own.select("accession", F.lit("advisor").alias("stratum"), F.when(F.col("f") % 2 == 0, "Lazard").otherwise("UBS").alias("label"))
+    out = E.evaluate_groups(E.match(gold, predicted), era.unionByName(advisor))
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@add("confusion", f"WITH {GOLD} SELECT accession, advisor AS want, said AS got, count(*) AS n FROM g WHERE (NOT gone OR twice) AND advisor <> '' GROUP BY 1, 2, 3")
+def _(spark, sf_dir):
+    gold, predicted = _gold(spark, sf_dir)
+    return E.confusion(E.match(gold, predicted), gold, predicted, "advisor")
+
+
+@add("bootstrap_precision")
+def _(spark, sf_dir):
+    gold, predicted = _gold(spark, sf_dir)
+    return E.bootstrap_precision(E.match(gold, predicted), gold.select("accession").distinct())
+
+
 @add("quote_occurrences", r"SELECT doc_id, strpos(text, substr(text, 41, 30)) - 1 AS start, strpos(text, substr(text, 41, 30)) + 29 AS end_ FROM documents WHERE length(text) >= 70 AND regexp_matches(substr(text, 41, 30), '^[^ \n]([^ \n]| [^ \n])*$')")
 def _(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") >= 70).withColumn("quote", F.substring("text", 41, 30)).where(F.col("quote").rlike(r"^[^ \n]([^ \n]| [^ \n])*\z"))
