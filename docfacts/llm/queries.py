@@ -81,6 +81,28 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(spark, _read(spark, sf_dir, "pages"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), buckets=10_000, runs=1, percent=10, least_words=20, seed="2024")
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_automaton import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": _op1,
     "op2_pii": _op2,
@@ -92,6 +114,9 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": _op8,
     "op9_quality": _op9,
     "op10_warc": _op10,
+    "op11_importance": _op11,
+    "op12_alignment": _op12,
+    "op13_bpe_automaton": _op13,
 }
 
 # Each states the operator's result by brute force; the Spark plans reach it by other means.
@@ -124,5 +149,21 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages), h AS
 d AS (SELECT page_id, n, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), 'string_agg', '') AS digest FROM h),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+""",
+    "op11_importance": r"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS x FROM w),
+v AS (SELECT x, xor(list_reduce(list_transform(range(0, octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)), lambda c, y: xor(c >> 8, t[CAST(1 + (xor(c, y) & 255) AS BIGINT)]), 4294967295), 4294967295) % 10000 AS k
+  FROM (SELECT DISTINCT x FROM (SELECT x FROM f UNION ALL SELECT x FROM b)), t),
+s AS (SELECT k, count(*) AS s FROM f JOIN v USING (x) GROUP BY 1), u AS (SELECT k, count(*) AS t FROM b JOIN v USING (x) GROUP BY 1),
+g AS (SELECT k, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM f) + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * ((SELECT count(*) FROM b) + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM (SELECT DISTINCT k FROM v) LEFT JOIN s USING (k) LEFT JOIN u USING (k)),
+m AS (SELECT doc_id, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM f JOIN v USING (x) JOIN g USING (k) GROUP BY 1),
+d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN m USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM r
 """,
 }
