@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import FINANCIAL_SIC2, UNNAMED, midpoint, soft_flags, wilson_interval
+from .durable import written
+from .quantiles import exact_quantiles, row_ranks
 from .relational import as_of_join, band_pairs
 
 
@@ -39,13 +41,14 @@ def pairwise_differences(values: DataFrame) -> DataFrame:
 
 
 def disagreement(pairs: DataFrame) -> DataFrame:
-    """One row of statistics of ``abs_diff``."""
+    """One row of statistics of ``abs_diff``; its quantiles are found by selection, so no task reads all pairs."""
     d = F.col("abs_diff")
     share = lambda x: F.avg((d >= x).cast("double"))
-    return pairs.agg(
-        F.count("*").alias("n_pairs"), F.count_distinct("deal_id").alias("n_deals"), F.median(d).alias("median_pp"), F.percentile(d, 0.25).alias("p25_pp"), F.percentile(d, 0.75).alias("p75_pp"),
-        F.avg(d).alias("mean_pp"), share(1.0).alias("share_ge_1pp"), share(2.0).alias("share_ge_2pp"), F.max(d).alias("max_pp"),
-    )
+    pairs = written(pairs.select("deal_id", "abs_diff"), "pairs")
+    q = exact_quantiles(pairs, "abs_diff", [0.5, 0.25, 0.75]).first()["quantiles"]
+    stats = pairs.agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_pp"), share(1.0).alias("share_ge_1pp"), share(2.0).alias("share_ge_2pp"), F.max(d).alias("max_pp"), F.count_distinct("deal_id").alias("n_deals"))
+    named = {name: F.lit(v).cast("double") for name, v in zip(("median_pp", "p25_pp", "p75_pp"), q, strict=True)}
+    return stats.withColumns(named).select("n_pairs", "n_deals", *named, "mean_pp", "share_ge_1pp", "share_ge_2pp", "max_pp")
 
 
 def histogram(rows: DataFrame, column: str, step: float, top: float) -> DataFrame:
@@ -72,6 +75,16 @@ def ecdf(rows: DataFrame, column: str, parts: int = 256) -> DataFrame:
     return own.join(F.broadcast(below), "range").select("value", ((F.col("c") + F.col("below")) / F.col("total")).alias("share"))
 
 
+def ecdf_steps(rows: DataFrame, column: str) -> DataFrame:
+    """(value, step): the empirical distribution with a step for each row, rank over number; rows of equal values have steps of their own.
+
+    Nulls and NaN are left out. The ranks come from a range partition whose sizes are carried over.
+    """
+    value = F.col(column)
+    ranked = row_ranks(rows.where(value.isNotNull() & ~F.isnan(value.cast("double"))).select(value.alias("value")), F.col("value"))
+    return ranked.select("value", (F.col("rank") / F.col("total")).alias("step"))
+
+
 def implied_growth_units(facts: DataFrame, window: int = 6000) -> DataFrame:
     """(accession, advisor, subject, covered, implied_high, implied_mid) for each exit-multiple DCF.
 
@@ -111,11 +124,13 @@ def deal_rates(facts: DataFrame, yields: DataFrame) -> DataFrame:
 
 def market_by_year(rates: DataFrame) -> DataFrame:
     """Non-financial deals by year: counts, quartiles of discount, median growth, mean yield."""
-    q = lambda p: F.percentile("discount", p)
-    return rates.where("NOT financial").groupBy("year").agg(
-        F.count("*").alias("n"), F.median("discount").alias("discount_median"), q(0.25).alias("discount_q25"), q(0.75).alias("discount_q75"),
-        F.median("growth").alias("growth_median"), F.count("growth").alias("growth_n"), F.avg("y10").alias("y10_mean"),
-    )
+    rows = written(rates.where("NOT financial").select("year", "discount", "growth", "y10"), "rates")
+    at = lambda q, i: F.get(f"{q}.quantiles", F.lit(i))
+    # a row for each year: quantiles are found by selection, and bounded by the calendar
+    d, g = (F.broadcast(exact_quantiles(rows, c, p, ["year"]).alias(c)) for c, p in (("discount", [0.5, 0.25, 0.75]), ("growth", [0.5])))
+    base = rows.groupBy("year").agg(F.count("*").alias("n"), F.count("growth").alias("growth_n"), F.avg("y10").alias("y10_mean")).alias("b")
+    both = base.join(d, F.col("b.year").eqNullSafe(F.col("discount.year"))).join(g, F.col("b.year").eqNullSafe(F.col("growth.year")))
+    return both.select("b.year", "b.n", at("discount", 0).alias("discount_median"), at("discount", 1).alias("discount_q25"), at("discount", 2).alias("discount_q75"), at("growth", 0).alias("growth_median"), "growth_n", "y10_mean")
 
 
 def slope(rates: DataFrame, y: str, fixed_effects: bool = False, x: str = "y10", group: str = "sic2") -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from docfacts.plans import text_queries  # noqa: F401
+from docfacts.plans import release_queries, text_queries  # noqa: F401
 from docfacts.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
