@@ -171,23 +171,6 @@ def flag_histogram(flagged: DataFrame) -> DataFrame:
     return flagged.select(F.explode(F.split("flags", ";")).alias("flag")).where("flag <> ''").groupBy("flag").agg(F.count("*").alias("n"))
 
 
-def bootstrap_median(pairs: DataFrame, draws: int = 2000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
-    """(low, high): percentile interval of the median of ``abs_diff`` when deals are resampled.
-
-    Each draw is a task-sized group: draws are exploded over a table of per-deal arrays and a deal's weight in a draw is a
-    seeded Poisson(1) count, so no draw needs the deals in one place before its weighted median.
-    """
-    deals = pairs.groupBy("deal_id", "abs_diff").agg(F.count("*").alias("n"))
-    each = deals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "deal_id"), F.lit(1 << 53)) / float(1 << 53)
-    # inverse of the Poisson(1) distribution; fixed values: its cumulative probabilities
-    cumulative = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    weight = sum(((u > c).cast("long") for c in cumulative), F.lit(0))
-    med = each.withColumn("w", weight * F.col("n")).where("w > 0").groupBy("draw").agg(F.percentile("abs_diff", 0.5, F.col("w")).alias("m"))
-    tail = (1 - confidence) / 2
-    return med.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
-
-
 def block_bootstrap_slope(rates: DataFrame, y: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """(low, high): percentile interval of the pooled slope when filing years are resampled.
 

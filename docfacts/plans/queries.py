@@ -12,6 +12,7 @@ from ..functions import expressions as E
 from ..operators import analytics as A
 from ..operators import finalize as Z_
 from ..operators import relational as R
+from ..operators import resampling as B
 from .fact_view import SQL as VIEW
 from .fact_view import facts, yields
 
@@ -275,7 +276,7 @@ def _(spark, sf_dir):
 
 @add("bootstrap_median")
 def _(spark, sf_dir):
-    return A.bootstrap_median(_pairs(spark, sf_dir))
+    return B.bootstrap_median(_pairs(spark, sf_dir))
 
 
 @add("bootstrap_slope")
