@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,29 +15,98 @@ from ..functions.expressions import scores
 KEY_FIELDS = ("discount_rate", "terminal_growth", "exit_multiple")
 
 
+#: Values that differ by no more are equal.
+NEAR = 1e-9
+
+
+class Free:
+    """Predictions of one field and nearly one value, in the order of their ids, that are still free.
+
+    A tree over this order holds the least start and the greatest end below each node, so the first free one whose span overlaps
+    is found by going down from the root, past what cannot overlap. A taken one is lifted out of its nodes.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.size = 1 << max(0, len(rows) - 1).bit_length()
+        pad = self.size - len(rows)
+        self.low = [math.inf] * self.size + [r[-2] for r in rows] + [math.inf] * pad
+        self.high = [-math.inf] * self.size + [r[-1] for r in rows] + [-math.inf] * pad
+        for i in range(self.size - 1, 0, -1):
+            self._lift(i)
+
+    def _lift(self, i: int) -> None:
+        self.low[i], self.high[i] = min(self.low[2 * i : 2 * i + 2]), max(self.high[2 * i : 2 * i + 2])
+
+    def first(self, start: float, end: float, fits) -> int:
+        """Place of the first free row whose span overlaps [start, end) and that ``fits``, or -1."""
+        open_ = [1]
+        while open_:
+            i = open_.pop()
+            if self.low[i] < end and start < self.high[i]:
+                if i < self.size:
+                    open_ += (2 * i + 1, 2 * i)
+                elif fits(self.rows[i - self.size]):
+                    return i - self.size
+        return -1
+
+    def take(self, place: int) -> tuple:
+        i = self.size + place
+        self.low[i], self.high[i] = math.inf, -math.inf
+        while i > 1:
+            i //= 2
+            self._lift(i)
+        return self.rows[place]
+
+
+def greedy(gold: list[tuple], predicted: list[tuple]) -> list[tuple]:
+    """(field, gold id, predicted id) of one document: rows are (id, field, low, high, start, end), each side in the order of its ids.
+
+    Values are looked up in cells of twice ``NEAR`` and their neighbours, so nearly equal ones meet wherever cells end.
+    """
+    cell = lambda v: math.floor(v / (2 * NEAR)) if math.isfinite(v) else v
+    of: dict[tuple, list[tuple]] = {}
+    for r in predicted:
+        of.setdefault((r[1], cell(r[2]), cell(r[3])), []).append(r)
+    free = {k: Free(rows) for k, rows in of.items()}
+    out, taken = [], set()
+    for i, field, low, high, start, end in gold:
+        if field == "offer_price":
+            start, end = -math.inf, math.inf
+        fits = lambda r, low=low, high=high: (r[2] == low or abs(r[2] - low) <= NEAR) and (r[3] == high or abs(r[3] - high) <= NEAR)
+        best = None
+        a, b = cell(low), cell(high)
+        for x in {a - 1, a, a + 1}:
+            for y in {b - 1, b, b + 1}:
+                own = free.get((field, x, y))
+                at = own.first(start, end, fits) if own else -1
+                if at >= 0 and (best is None or own.rows[at][0] < best[0].rows[best[1]][0]):
+                    best = own, at
+        found = best[0].take(best[1])[0] if best else None
+        taken.add(found)
+        out.append((field, i, found))
+    return out + [(r[1], None, r[0]) for r in predicted if r[0] not in taken]
+
+
 def match(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(accession, field, gold_id, predicted_id): one-to-one matches, and unmatched rows of either side with a null partner.
 
-    Both sides: accession, field, low, high, span_start, span_end and gold_id or predicted_id (their order). Gold rows are
-    served in order; each takes the first unused prediction of equal values whose span overlaps (offer prices: any span).
-    A group is one document, so a frequent field or value is not one group.
+    Both sides: accession, field, low, high, span_start, span_end and gold_id or predicted_id (their order, unique within a document).
+    Gold rows are served in order; each takes the first free prediction whose values are within ``NEAR`` and whose span overlaps
+    (offer prices: any span). A null or NaN value, and a null bound outside offer prices, match nothing. A group is one document, so a frequent field or value is not one
+    group; in it a lookup takes logarithmic time, also where a document has very many equal values.
     """
-    side = lambda df, own, n: df.select("accession", "field", F.round("low", 6).alias("v_low"), F.round("high", 6).alias("v_high"), F.lit(n).alias("side"), F.col(own).alias("id"), "span_start", "span_end")
+    side = lambda df, own, n: df.select("accession", "field", "low", "high", F.lit(n).alias("side"), F.col(own).alias("id"), "span_start", "span_end")
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        names = ["accession", "field", "v_low", "v_high", "side", "id", "span_start", "span_end"]
-        records, free, rows = list(zip(*(pdf[c].tolist() for c in names), strict=True)), {}, []
-        for r in records:
-            if r[4] == 1:
-                free.setdefault(r[1:4], []).append(r)
-        for r in records:
-            if r[4] == 0:
-                own = free.get(r[1:4], [])
-                hit = next((i for i, y in enumerate(own) if r[1] == "offer_price" or (y[6] < r[7] and r[6] < y[7])), None)
-                rows.append((r[0], r[1], r[5], None if hit is None else own.pop(hit)[5]))
-        rows += [(y[0], y[1], None, y[5]) for own in free.values() for y in own]
-        out = pd.DataFrame(rows, columns=["accession", "field", "gold_id", "predicted_id"])
+        sides: tuple[list, list] = [], []
+        for low, high, n, i, field, start, end in zip(pdf["low"], pdf["high"], pdf["side"], pdf["id"], pdf["field"], pdf["span_start"], pdf["span_end"], strict=True):
+            # a null bound is no span: it is behind every end, or before every start
+            sides[n].append((i, field, low, high, math.inf if pd.isna(start) else start, -math.inf if pd.isna(end) else end))
+        if any(r[1] == "offer_price" for r in sides[0]):
+            sides[1][:] = [(*r[:4], 0, 0) if r[1] == "offer_price" else r for r in sides[1]]
+        out = pd.DataFrame([(pdf["accession"].iloc[0], *r) for r in greedy(*sides)], columns=["accession", "field", "gold_id", "predicted_id"])
         return out.astype({"gold_id": "Int64", "predicted_id": "Int64"})
 
     both = side(gold, "gold_id", 0).unionByName(side(predicted, "predicted_id", 1))
@@ -98,24 +169,27 @@ def attribute_accuracy(matches: DataFrame, gold: DataFrame, predicted: DataFrame
     return rows.groupBy("attribute").agg(F.count("*").alias("n"), F.avg((F.col("want") == F.col("got")).cast("double")).alias("accuracy"))
 
 
-def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``quotes`` (accession, quote, occurrence) with start, end of the wanted match in its document, white space alike.
-
-    Without an occurrence the quote must be unique; ``matches`` says how often it was found, and start is null if it is not.
-    """
-    import re
+#: White space of a quote and of a text: what divides words in either.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
-    both = quotes.join(texts.select("accession", "text"), "accession")
 
-    @F.pandas_udf("array<int>")
-    def find(text, quote):
-        def spans(t, q):
-            if not q or not q.split():
-                return []
-            return [x for m in re.finditer(r"\s+".join(map(re.escape, q.split())), t) for x in m.span()]
+def locate_quotes(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``quotes`` (accession, quote, occurrence) with start, end of the wanted match in its document, white space alike.
 
-        return pd.Series([spans(t, q) for t, q in zip(text, quote, strict=True)])
+    Matches are counted from 1 and do not overlap; ``matches`` says how often a quote was found. Without an occurrence the quote
+    must be unique; start is null if it is not, or has fewer matches than wanted. Null and blank quotes and null texts have no match, quotes of an unknown document no row.
 
-    found = both.withColumn("__s", find("text", "quote")).withColumn("matches", (F.size("__s") / 2).cast("int")).drop("text")
+    Built-in functions only: the text is split at the quote, whose words may be any white space apart, and the places follow from
+    the lengths of the parts and of the matches.
+    """
+    words = F.filter(F.split("quote", SPACE + "+"), lambda w: w != "")
+    literal = lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.when(F.size(words) > 0, F.array_join(F.transform(words, literal), SPACE + "+"))
+    both = quotes.withColumn("__p", pattern).join(texts.select("accession", F.col("text").alias("__text")), "accession")
+    found = both.withColumns({"__m": F.transform(F.regexp_extract_all("__text", F.col("__p"), F.lit(0)), F.length), "__s": F.transform(F.split("__text", F.col("__p"), -1), F.length)})
+    found = found.withColumn("matches", F.coalesce(F.size("__m"), F.lit(0)).cast("int")).withColumn("matches", F.when(F.col("__m").isNull(), 0).otherwise(F.col("matches")))
     k = F.when(F.col("occurrence").isNotNull(), F.col("occurrence")).when(F.col("matches") == 1, F.lit(1))
-    return found.withColumns({"start": F.get("__s", 2 * (k - 1)), "end": F.get("__s", 2 * (k - 1) + 1)}).drop("__s")
+    k = F.when((k >= 1) & (k <= F.col("matches")), k)
+    add = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda x, y: x + y)
+    start = add("__s", k) + add("__m", k - 1)
+    return found.withColumns({"start": F.when(k.isNotNull(), start), "end": F.when(k.isNotNull(), start + F.get("__m", k - 1))}).drop("__p", "__text", "__m", "__s")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import evaluation as E
 from ..operators import verification as V
+from ..sources.html import html_offsets, html_to_document
 from .queries import PAIRS, _pairs, _rounded, add
 from .text_queries import NUMBERS, _documents, _join, _n
 
@@ -58,3 +61,44 @@ def _(spark, sf_dir):
 @add("pair_ecdf_steps", f"WITH {PAIRS}, r AS (SELECT round(abs_diff, 6) AS value FROM pairs) SELECT value, round(row_number() OVER (ORDER BY value) / count(*) OVER ()::DOUBLE, 9) AS step FROM r")
 def _(spark, sf_dir):
     return _rounded(A.ecdf_steps(_rounded(_pairs(spark, sf_dir), "abs_diff"), "abs_diff"), "step", digits=9)
+
+
+# Quotes of all documents: 30 characters from the 41st on, their white space written anew; DuckDB's pattern is made of the same words.
+SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+QUOTES = rf"""WITH q AS (SELECT doc_id, text, list_filter(regexp_split_to_array(substr(text, 41, 30), '{SPACE}+'), lambda w: w <> '') AS w FROM documents),
+p AS (SELECT doc_id, text, array_to_string(list_transform(w, lambda x: regexp_escape(x)), '{SPACE}+') AS p FROM q WHERE len(w) > 0),
+m AS (SELECT doc_id, text, regexp_extract_all(text, p) AS m FROM p)"""
+
+
+@add("quote_occurrences", f"{QUOTES} SELECT q.doc_id, CAST(coalesce(len(m), 0) AS INTEGER) AS matches, strpos(m.text, m[1]) - 1 AS start, strpos(m.text, m[1]) - 1 + length(m[1]) AS end_ FROM q LEFT JOIN m ON q.doc_id = m.doc_id")
+def _(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("accession"), "text")
+    quote = F.regexp_replace(F.substring("text", 41, 30), E.SPACE + "+", " \n ")
+    found = E.locate_quotes(d.select("accession", quote.alias("quote"), F.lit(1).alias("occurrence")), d)
+    return found.select(F.col("accession").alias("doc_id"), "matches", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"))
+
+
+@add("match_near_values", """WITH g AS (SELECT l_orderkey, l_linenumber, l_orderkey // 50 AS f, l_quantity, row_number() OVER (PARTITION BY l_orderkey // 50, l_quantity ORDER BY l_orderkey, l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey // 50, l_quantity) AS n FROM lineitem)
+  SELECT 'A' || f AS accession, l_orderkey * 10 + l_linenumber AS gold_id, CASE WHEN k <= n // 2 THEN nth END AS predicted_id FROM (SELECT g.*, p.l_orderkey * 10 + p.l_linenumber AS nth FROM g LEFT JOIN g p ON g.f = p.f AND g.l_quantity = p.l_quantity AND p.k = 2 * g.k)""")
+def _(spark, sf_dir):
+    """Offer prices of equal values in one document, each second of them predicted with a value a little off: served in order."""
+    k, q = F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_quantity").cast("double")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("A"), F.floor(F.col("l_orderkey") / 50).cast("string")).alias("accession"), F.lit("offer_price").alias("field"), q.alias("low"), k.alias("id"))
+    rows = rows.withColumns({"span_start": F.col("id"), "span_end": F.col("id") + 1})
+    second = rows.withColumn("k", F.row_number().over(Window.partitionBy("accession", "low").orderBy("id"))).where("k % 2 = 0").drop("k").withColumn("low", F.col("low") + 5e-10)
+    gold, predicted = (x.withColumn("high", F.col("low")).withColumnRenamed("id", i) for x, i in ((rows, "gold_id"), (second, "predicted_id")))
+    return E.match(gold, predicted).where("gold_id IS NOT NULL").select("accession", "gold_id", "predicted_id")
+
+
+# Where values of a converted document stand in its source: by rule, as the source is made of the same parts.
+SOURCE = "'<p>' || house || ' &amp; Co&nbsp;paid <b>' || printf('%.1f', a) || '%</b></p><table><tr><td>Fee</td><td>' || fee || ' units</td></tr></table>'"
+
+
+@add("fact_source_offsets", f"WITH {NUMBERS}, h AS (SELECT o_orderkey, a, fee, {SOURCE} AS html FROM d) SELECT o_orderkey, 'rate' AS what, strpos(html, '<b>') + 2 AS html_pos FROM h UNION ALL SELECT o_orderkey, 'fee', strpos(html, fee || ' units') - 1 FROM h UNION ALL SELECT o_orderkey, 'break', NULL FROM h")
+def _(spark, sf_dir):
+    d, c = _documents(spark, sf_dir), F.col
+    html = _join("<p>", c("house"), " &amp; Co&nbsp;paid <b>", _n(c("a")), "%</b></p><table><tr><td>Fee</td><td>", c("fee").cast("string"), " units</td></tr></table>")
+    docs = html_to_document(d.select("o_orderkey", "a", "fee", html.alias("html")), "html", "o_orderkey", "a", "fee")
+    places = {"rate": F.instr("text", F.lit("paid ")) + 4, "fee": F.instr("text", F.lit(" units")) - 1 - F.length(c("fee").cast("string")), "break": F.instr("text", F.lit("\n")) - 1}
+    at = docs.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), v.alias("position")) for k, v in places.items()])).alias("p")).select("o_orderkey", "p.*")
+    return html_offsets(at, docs, "o_orderkey").select("o_orderkey", "what", c("html_pos").cast("long").alias("html_pos"))

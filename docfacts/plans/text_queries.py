@@ -416,12 +416,4 @@ def _(spark, sf_dir):
     return E.bootstrap_precision(E.match(gold, predicted), gold.select("accession").distinct())
 
 
-@add("quote_occurrences", r"SELECT doc_id, strpos(text, substr(text, 41, 30)) - 1 AS start, strpos(text, substr(text, 41, 30)) + 29 AS end_ FROM documents WHERE length(text) >= 70 AND regexp_matches(substr(text, 41, 30), '^[^ \n]([^ \n]| [^ \n])*$')")
-def _(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") >= 70).withColumn("quote", F.substring("text", 41, 30)).where(F.col("quote").rlike(r"^[^ \n]([^ \n]| [^ \n])*\z"))
-    rows = d.select(F.col("doc_id").alias("accession"), "quote", F.lit(1).alias("occurrence"))
-    found = E.locate_quotes(rows, d.select(F.col("doc_id").alias("accession"), "text"))
-    return found.select(F.col("accession").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end_"))
-
-
 __all__ = ["QUERIES"]

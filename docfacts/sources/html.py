@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import as_of_by_key
+
 # Elements that break a line, whose text is left out, and that have no end tag.
 BREAKING = frozenset(
     "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -172,6 +174,18 @@ def html_offset(runs: Column, position: Column) -> Column:
     return F.when(F.size(hit) > 0, F.element_at(hit, 1)["html_pos"] + position - F.element_at(hit, 1)["text_pos"])
 
 
+def html_offsets(positions: DataFrame, docs: DataFrame, key: str, position: str = "position", name: str = "html_pos") -> DataFrame:
+    """``positions`` (key, position, ...) with the place of each in its document's source, for any number of positions at once.
+
+    A document's runs are a step function: they and the positions are merged in order, and each position takes the last run
+    that starts at or before it. One shuffle by document, no join; null on line breaks, outside the text, for unknown documents and null positions.
+    """
+    runs = docs.select(key, F.explode("runs").alias("__run")).select(key, F.col("__run.text_pos").alias("__from"), F.col("__run.html_pos").alias("__source"), F.col("__run.len").alias("__len"))
+    last = as_of_by_key(positions, runs, [key], position, "__from", ["__source", "__len"], strict=False)
+    away = F.col(position) - F.col("__from_at")
+    return last.withColumn(name, F.when(away < F.col("__len"), F.col("__source") + away)).drop("__source", "__len", "__from_at")
+
+
 def line_at(lines: Column, position: Column) -> Column:
     """Number, from 0, of the last line that starts at or before a position."""
     return F.greatest(F.lit(0), F.size(F.filter(lines, lambda x: x["start"] <= position)) - 1)
