@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import evaluation as E
+from ..operators import results as T
+from ..operators.durable import shared_dir, written
 from ..operators import verification as V
+from ..sources import release as L
 from ..sources.html import html_offsets, html_to_document
-from .queries import PAIRS, _pairs, _rounded, add
+from .fact_view import SQL as VIEW
+from .fact_view import facts as fact_rows
+from .fact_view import yields
+from .queries import FLAGS, PAIRS, RATES, UNITS, _flags, _pairs, _rounded, add
 from .text_queries import NUMBERS, _documents, _join, _n
 
 # Stored facts and texts by rule, without any extraction: what is wrong with a fact hangs on its order's customer.
@@ -102,3 +110,55 @@ def _(spark, sf_dir):
     places = {"rate": F.instr("text", F.lit("paid ")) + 4, "fee": F.instr("text", F.lit(" units")) - 1 - F.length(c("fee").cast("string")), "break": F.instr("text", F.lit("\n")) - 1}
     at = docs.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), v.alias("position")) for k, v in places.items()])).alias("p")).select("o_orderkey", "p.*")
     return html_offsets(at, docs, "o_orderkey").select("o_orderkey", "what", c("html_pos").cast("long").alias("html_pos"))
+
+
+# A release of all facts: what the view lacks of the format's columns is made by rule, with commas, quotes, line feeds and empty text.
+FULL = f"""{VIEW}, n AS (SELECT *, accession || ':' || field || ':' || span_start || ':' || low || ':' || advisor || ':' || subject || ':' || analysis || ':' || high AS fact_id FROM facts),
+released AS (SELECT DISTINCT fact_id, deal_id, accession, '000' || substr(deal_id, 2) AS cik, company, sic, CAST(filing_date AS VARCHAR) AS filing_date, CAST(year AS INTEGER) AS year, field, low, high, CASE WHEN field = 'exit_multiple' THEN 'x' ELSE 'pct' END AS unit, 'core' AS tier, low = high AS is_point,
+  advisor, subject, analysis, 'opinion' AS region, '' AS metric, '' AS valuation_date, '' AS flags, CAST(1 AS BIGINT) AS n_filings, CAST(span_start AS INTEGER) AS span_start, CAST(span_start + 9 AS INTEGER) AS span_end, CAST(0 AS INTEGER) AS snippet_start, CAST(span_start + 20 AS INTEGER) AS snippet_end,
+  'a "' || advisor || '", ' || chr(10) || ' said \\ ' || field AS snippet, '' AS raw_low, 'x,' AS raw_high, md5(fact_id) AS doc_sha256 FROM n)"""
+
+
+def _full(spark, sf_dir) -> DataFrame:
+    """Facts of the view with all columns of the format."""
+    c, lit = F.col, F.lit
+    rows = fact_rows(spark, sf_dir)
+    key = F.concat_ws(":", "accession", "field", c("span_start").cast("string"), c("low").cast("string"), "advisor", "subject", "analysis", c("high").cast("string"))
+    more = {
+        "fact_id": key, "cik": F.concat(lit("000"), F.substring("deal_id", 2, 30)), "filing_date": c("filing_date").cast("string"), "unit": F.when(c("field") == "exit_multiple", "x").otherwise("pct"), "tier": lit("core"), "is_point": c("low") == c("high"), "region": lit("opinion"), "metric": lit(""),
+        "valuation_date": lit(""), "flags": lit(""), "n_filings": lit(1), "span_end": c("span_start") + 9, "snippet_start": lit(0), "snippet_end": c("span_start") + 20, "snippet": F.concat(lit('a "'), "advisor", lit('", \n said \\ '), "field"), "raw_low": lit(""), "raw_high": lit("x,"), "doc_sha256": F.md5(key), "not_released": lit(1),
+    }
+    return rows.withColumns(more).distinct()
+
+
+@add("release_round_trip", f"WITH {FULL} SELECT * EXCLUDE (fact_id, doc_sha256), 'both' AS found_in FROM released")
+def _(spark, sf_dir):
+    """All facts published and loaded again, as Parquet and as CSV: rows of both, or of one only."""
+    path = f"{shared_dir(spark)}/release-{uuid.uuid4().hex}"
+    name = L.publish(spark, path, _full(spark, sf_dir))
+    parquet, text = L.load(spark, path), L.load(spark, f"{path}/{L.RELEASES}/{name}/facts.csv")
+    both = parquet.withColumn("p", F.lit(1)).unionByName(text.withColumn("p", F.lit(2)))
+    out = both.groupBy(*parquet.columns).agg(F.sum("p").alias("p"))
+    return out.withColumn("found_in", F.when(F.col("p") == 3, "both").when(F.col("p") == 1, "parquet").otherwise("csv")).drop("p", "fact_id", "doc_sha256")
+
+
+TREE = {
+    "$.analyses.bank_disagreement.discount_rate.": (PAIRS, "pairs", {"n_pairs": "count(*)", "n_deals": "count(DISTINCT deal_id)", "median_pp": "median(abs_diff)", "p25_pp": "quantile_cont(abs_diff, 0.25)", "p75_pp": "quantile_cont(abs_diff, 0.75)", "mean_pp": "avg(abs_diff)", "share_ge_1pp": "avg(CASE WHEN abs_diff >= 1 THEN 1.0::DOUBLE ELSE 0 END)", "share_ge_2pp": "avg(CASE WHEN abs_diff >= 2 THEN 1.0::DOUBLE ELSE 0 END)", "max_pp": "max(abs_diff)"}),
+    "$.analyses.implied_growth.": (UNITS, "units", {"n_units": "count(*)", "n_covered": "count(*) FILTER (WHERE covered)", "bounds[1].bound": "max(4)", "bounds[1].high_above": "count(*) FILTER (WHERE covered AND implied_high > 4)"}),
+    "$.analyses.market_practice.": (RATES, "rates WHERE NOT financial", {"discount.n": "count(*)", "growth.n": "count(growth)", "growth.pooled_slope": "regr_slope(growth, y10) * 1e6", "discount.pooled_slope": "regr_slope(discount, y10) * 1e6"}),
+    "$.analyses.market_practice_by_year": (RATES, "rates WHERE NOT financial AND year = 1996", {"[1].year": "max(1996)", "[1].n": "count(*)", "[1].discount_median": "median(discount)"}),
+    "$.corpus.": (VIEW, "facts", {"n_facts": "count(*)", "n_filings": "count(DISTINCT accession)", "n_deals": "count(DISTINCT deal_id)", "filing_years[0]": "min(year)", "facts_by_field.exit_multiple": "count(*) FILTER (WHERE field = 'exit_multiple')", "facts_by_year.1997": "count(*) FILTER (WHERE year = 1997)", "unattributed_share_of_core": "avg(CASE WHEN advisor = 'unattributed' THEN 1.0::DOUBLE ELSE 0 END)"}),
+    "$.corpus.soft_flag_counts.": (FLAGS, "(SELECT unnest(string_split(flags, ';')) AS flag FROM flagged)", {"rate_atypical": "count(*) FILTER (WHERE flag = 'rate_atypical')", "growth_ge_discount": "count(*) FILTER (WHERE flag = 'growth_ge_discount')"}),
+}
+SLOPES = ("$.analyses.market_practice.growth.pooled_slope", "$.analyses.market_practice.discount.pooled_slope")
+
+
+@add("result_tree", " UNION ALL ".join(f"SELECT '{at}{k}' AS path, round(CAST({v} AS DOUBLE), 6) AS value FROM (WITH {view} SELECT * FROM {source}) x" for at, (view, source, stats) in TREE.items() for k, v in stats.items()))
+def _(spark, sf_dir):
+    """Statistics of the tree of results, each read from its JSON."""
+    f = written(_flags(spark, sf_dir), "flagged")
+    filings = f.select("accession", "deal_id", F.col("filing_date").alias("file_date")).distinct()
+    tree = T.as_json(T.result_tree(f, filings, yields(spark, sf_dir), draws=200))
+    paths = [at + k for at, (_, _, stats) in TREE.items() for k in stats]
+    each = tree.select(F.explode(F.create_map(*[x for p in paths for x in (F.lit(p), F.get_json_object("json", p).cast("double"))])).alias("path", "value"))
+    return each.withColumn("value", F.round(F.when(F.col("path").isin(*SLOPES), F.col("value") * 1e6).otherwise(F.col("value")), 6))
