@@ -67,6 +67,11 @@ def surt(url: Column) -> Column:
     return F.coalesce(F.concat(host, F.lit(")"), rest), F.lit(""))
 
 
+def target(url: Column) -> Column:
+    """A url as a header can hold it and as the index keys it: each run of ASCII control characters and spaces is ``%20``."""
+    return F.regexp_replace(url.cast("string"), r"[\x00-\x20\x7F]+", "%20")
+
+
 def page_key(page: Column) -> Column:
     """Page ids as text in their order; empty for null."""
     return F.coalesce(F.lpad(F.hex(page.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0"), F.lit(""))
@@ -85,8 +90,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, date: str = "2024-01-01T0
     size = F.octet_length("html").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(END))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    # control characters and spaces cannot stand in a header
-    uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]+", "%20")
+    uri = target(F.col("url"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
@@ -112,7 +116,8 @@ def _open(uri: str, stream: bool):
 
 
 def _headers(raw: bytes) -> dict[str, str]:
-    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in raw.decode("utf-8", "replace").split(CRLF)[1:])}
+    """Values by lower-case names. Only spaces and tabs around a value are no part of it; a url may begin or end with other white space."""
+    return {k.lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in raw.decode("utf-8", "replace").split(CRLF)[1:])}
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -281,10 +286,14 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -
 
     Null html is an empty payload; a null url has no target and an empty key; a null page_id is always a response. Rows
     that share page_id and payload are responses each. An empty table gives an empty result. Other columns are not read.
+    Payloads are equal if their SHA-1 digests are. A page that the index does not find is an error, never a missing row.
     """
     scratch = Scratch(spark, "warc")
     archives = write_archives(pages, scratch, min_bytes=min_bytes)
     index = CaptureIndex.build(archives, spark, scratch)
-    url = F.regexp_replace(F.col("url").cast("string"), r"[\x00-\x20\x7F]+", "%20")
-    wanted = pages.select(surt(url).alias("key"), page_key(F.col("page_id").cast("long")).alias("page"))
-    return read_records(index.lookup(wanted), payload=False).drop("payload")
+    wanted = pages.select(surt(target(F.col("url"))).alias("key"), page_key(F.col("page_id").cast("long")).alias("page"))
+    places = scratch.table(index.lookup(wanted))
+    found, want = places.count(), pages.count()
+    if found != want:
+        raise ValueError(f"{want} pages were written and the index finds {found}")
+    return read_records(places, payload=False).drop("payload")
