@@ -138,6 +138,31 @@ FEE_WORDS = {
     ],
 }
 
+# What the words around an amount of money do: own vocabulary, by the part that a word plays. Blanks stand for white space or a hyphen.
+MONEY_MARKS = {
+    # an advisor's pay: for what it is, when it falls due, and what else a sentence can say of it
+    "opinion": ["opinion", "opinions"],
+    "given": ["deliver", "delivery", "delivered", "delivering", "render", "rendered", "rendering", "issue", "issued", "issuing", "issuance", "provided", "providing"],
+    "closing": ["closing", "completion", "consummation", "consummated", "completed", "effectiveness", "effective time"],
+    "depends": ["contingent", "conditional", "conditioned", "payable", "due", "success", "completion fee", "becomes payable"],
+    "credit": ["credit", "credited", "creditable", "crediting", "offset"],
+    "earlier": ["received", "paid", "reimburse", "reimbursed", "reimbursement", "portion"],
+    "more": ["additional", "incremental"],
+    "part": ["of which"],
+    "rest": ["balance", "remainder", "rest", "another opinion"],
+    # a price that holders get
+    "receive": ["receive", "receives", "to pay", "will pay", "consideration of", "price of", "cash equal to"],
+    "cash": ["cash"],
+    "plus": ["and", "plus", "together with"],
+    "unlike": [
+        "option", "options", "warrant", "warrants", "preferred", "series", "strike", "exercise price", "termination", "liquidation", "fee", "proposal", "initial", "revised", "increase", "increased", "reduced", "premium", "average", "aggregate", "implied", "unaffected",
+        "book value", "equity value", "transaction value", "reference price",
+    ],
+    # a value per share that an analysis gives, and one that a market does
+    "derived": ["derived", "illustrative", "implied", "implying", "imputed", "indicated", "indicating", "present value", "present values", "produced", "range of prices", "range of values", "reference range", "resulted", "resulting", "yield", "yielded", "yielding"],
+    "market": ["52 week", "closing price", "closing prices", "closing stock price", "trading price", "trading prices", "trading range", "traded", "price target", "price targets", "target price", "high and low", "low to high", "per share consideration", "implied consideration", "consideration value"],
+}
+
 # General words for parties.
 PARTIES = {
     "counter": ["Acquirer", "Acquiror", "Acquisition Corp", "Buyer", "Merger Sub", "Parent", "Purchaser"],

@@ -96,18 +96,10 @@ def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
     )
 
 
-# Money in context: what stands left and right of an amount, in its sentence.
+# Money in context: an amount carries the marks of its sentence, and what it is follows from their order. See ``MONEY_MARKS``.
 
-# Words of a derived value, and words that say a range is of prices paid or foretold.
-DERIVED = ["deriv", "illustrative", "implied", "imputed", "indicated", "present value", "produc", "range of prices", "range of values", "reference", "resulted", "resulting", "value per", "values per", "yield"]
-TRADED = ["52-week", "closing price", "closing stock price", "consideration value", "high and low", "implied consideration", "low to high", "per share consideration", "price target", "refers to", "target price", "trading price", "trading range"]
-# Words that introduce what holders receive, and words before them that say it is no offer.
-RECEIVES = ["amount in cash equal to", "cash equal to", "consideration of", "offer price of", "price of", "purchase price of", "receive", "to pay", "will pay"]
-NOT_OFFERED = [
-    "52-week", "aggregate", "average", "between", "book value", "break-up", "breakup", "closing price", "closing stock price", "CVR", "equity value", "exercise price", "fee", "high", "implied", "increase", "initial", "liquidation", "low", "option", "preferred", "premium", "proposal",
-    "reduc", "reference price", "revised", "series", "strike", "termination", "trading price", "transaction value", "unaffected", "value per share", "VWAP", "warrant",
-]
-PARTS = ["a fraction", "a portion", "all", "one", "the balance", "the remainder"]
+#: Words that may stand between a mark and the amount that it speaks of, and between it and what makes it no offer.
+NEAR_WORDS, CLAUSE_WORDS = 7, 14
 
 
 def _head() -> Column:
@@ -120,38 +112,68 @@ def _tail() -> Column:
     return F.expr("left(`right`, greatest(sentence_end - `end`, 0))")
 
 
-def _any(words: list[str]) -> str:
-    return rf"(?i)\b(?:{'|'.join(w.replace(' ', '[ ]+').replace('-', '[ -]?') for w in words)})"
+def _named(*names: str):
+    return lambda m: m["name"].isin(*names)
+
+
+def _before(*names: str) -> Column:
+    """Marks of these names before the amount, in order."""
+    return F.filter("marks", lambda m: _named(*names)(m) & (m["to"] <= F.col("start")))
+
+
+def _behind(*names: str) -> Column:
+    """Marks of these names behind the amount and before what speaks of the next one: another amount, or the rest of the sum."""
+    stop = F.array_min(F.transform(F.filter("marks", lambda m: _named("amount", "rest")(m) & (m["at"] >= F.col("end"))), lambda m: m["at"]))
+    return F.filter("marks", lambda m: _named(*names)(m) & (m["at"] >= F.col("end")) & (m["at"] < F.coalesce(stop, F.lit(1 << 30))))
+
+
+def _follows(marks: Column, first: str, second: str) -> Column:
+    """Whether a mark ``first`` comes before a mark ``second``."""
+    at = F.array_min(F.transform(F.filter(marks, _named(first)), lambda m: m["at"]))
+    return F.coalesce(F.exists(marks, lambda m: _named(second)(m) & (m["at"] > at)), F.lit(False))
+
+
+def _last(marks: Column) -> Column:
+    return F.get(marks, F.size(marks) - 1)
+
+
+def _words(begin: Column, end: Column) -> Column:
+    """Number of words between two places before the amount, as far as its left side reaches."""
+    side = F.substr("left", F.length("left") - (F.col("start") - begin) + 1, end - begin)
+    return F.size(F.filter(F.split(side, r"\s+"), lambda w: w.rlike("[A-Za-z0-9]")))
 
 
 def _per_share() -> Column:
-    """Whether a dollar range is a derived value per share: said so near it, no price of a market, no cell of a table."""
-    near = F.concat(_head(), F.lit(" "), "written", F.lit(" "), F.substring(_tail(), 1, 60))
-    share = near.rlike(r"(?i)\bper\s+(?:[\w&.'-]+\s+){0,4}(?:share|unit)")
-    said = F.concat(F.right(_head(), F.lit(260)), F.lit(" "), F.substring(_tail(), 1, 40)).rlike(_any(DERIVED))
-    market = F.right(_head(), F.lit(220)).rlike(_any(TRADED)) | _tail().rlike(r"(?i)^\s+in\s+cash")
-    cell = F.right(F.col("left"), F.lit(14)).contains("|") | F.substring("right", 1, 14).contains("|")
-    return (F.col("kind") == "usd_range") & (F.col("low") > 0) & (F.col("low") <= F.col("high")) & (F.col("high") <= 20000) & share & said & ~market & ~cell
+    """Whether a dollar range is a value per share that an analysis gives: said in its sentence, of no market, in no cell of a table."""
+    said = F.size(F.concat(_before("derived"), _behind("derived"))) > 0
+    market = F.size(_before("market")) > 0
+    paid = F.exists(_behind("cash"), lambda m: m["at"] <= F.col("end") + 5)
+    cell = F.contains(F.concat(F.right(F.col("left"), F.lit(14)), F.substring("right", 1, 14)), F.lit("|"))
+    shared = F.exists("marks", _named("share"))
+    return (F.col("kind") == "usd_range") & (F.col("low") > 0) & (F.col("low") <= F.col("high")) & (F.col("high") <= 20000) & F.coalesce(said & shared & ~market & ~paid & ~cell, F.lit(False))
 
 
 def _offered() -> Column:
-    """Whether an amount is cash that holders receive: introduced so, cash near it, no stock besides, nothing before that says otherwise."""
-    lead = F.regexp_extract("left", rf"(?i)\b(?:{'|'.join(w.replace(' ', '[ ]+') for w in RECEIVES)})\s+(?:(?:an\s+amount\s+)?(?:in\s+cash\s+)?(?:equal\s+to\s+)?|approximately\s+|\(a\)\s+)$", 0)
-    ahead = F.substr("left", F.lit(1), F.length("left") - F.length(lead))
-    after = F.substring("right", 1, 160)
-    at = F.instr(F.substring(after, 1, 70), "cash")
-    rest = F.when(at > 0, F.substr(after, at + 4)).otherwise(after)
-    mixed = rest.rlike(rf"(?i)^\s*,?\s*(?:and|plus|together\s+with|\([a-z]+\))\s+(?:\(?[a-z0-9]\)\s+)?(?:[0-9][0-9.,]*|{'|'.join(PARTS)})[^;$]{{0,70}}?\b(?:shares?|stock|units)\b")
-    cash = (at > 0) | F.right(ahead, F.lit(40)).contains("cash")
-    return (F.col("kind") == "usd") & F.col("low").between(0.5, 5000) & (lead != "") & cash & ~mixed & ~F.right(ahead, F.lit(70)).rlike(_any(NOT_OFFERED))
+    """Whether an amount is cash that holders receive: a word for it leads up to the amount, cash is near, no paper comes with it, and no
+    word before it in its clause makes it another payment."""
+    lead = _last(_before("receive", "amount"))
+    leads = (lead["name"] == "receive") & (_words(lead["to"], F.col("start")) <= NEAR_WORDS)
+    near = F.exists(_behind("cash"), lambda m: F.size(F.filter(F.split(F.substr("right", F.lit(1), m["at"] - F.col("end")), r"\s+"), lambda w: w.rlike("[A-Za-z0-9]"))) <= NEAR_WORDS)
+    cash = near | F.exists(_before("cash"), lambda m: m["at"] >= lead["at"])
+    other = F.exists(_before("unlike", "market"), lambda m: (m["to"] <= lead["at"]) & (_words(m["to"], lead["at"]) <= CLAUSE_WORDS))
+    # "and", then a number of shares, right behind the cash
+    mixed = F.exists(_behind("plus"), lambda p: F.exists("marks", lambda m: _named("paper")(m) & (m["at"] >= p["to"]) & (m["at"] <= p["to"] + 8)))
+    return (F.col("kind") == "usd") & F.col("low").between(0.5, 5000) & F.coalesce(leads & cash & ~other & ~mixed, F.lit(False))
 
 
 def _fees(rows: DataFrame, *doc: str) -> DataFrame:
     """Rows with ``fees``, the fields that an amount states: total, opinion and contingent part of an advisor's fee.
 
-    A sentence counts if it has a word for fees and none for other payments, and a house in it or shortly before. The first amount
-    that the fee word introduces is the total; one that is paid on delivery of the opinion is the opinion's fee too, unless it is
-    credited; other amounts are parts if their own wording says so. ``of which`` leaves the amount before it whole.
+    A sentence counts if it has a word for fees and none for other payments, and a house in it or shortly before. An amount is
+    introduced if the last word before it that bears on pay is one for fees. What it is for stands behind it, before the next amount: an
+    opinion that is given, or a closing that it depends on; or between the amounts before it, as in ``an opinion fee of``. The first amount that
+    is introduced is the total; it is the opinion's fee too where that is what it is for, unless it is credited. A total that is followed by
+    ``of which`` has no part of its own.
     """
     d, s, sentence, _ = _windows(*doc)
     has = lambda k: F.max((F.col("kind") == k).cast("int")).over(sentence) == 1
@@ -163,21 +185,20 @@ def _fees(rows: DataFrame, *doc: str) -> DataFrame:
     scaled = F.col("raw_low").rlike("(?i)thousand|million|billion")
     ranged = F.col("left").rlike(r"(?i)between\s*$") | F.col("right").rlike(r"(?i)^\s+and\s+\$")
     amount = (F.col("kind") == "usd") & has("fee") & ~has("fee_other") & F.col("fee_house").isNotNull() & (scaled | (F.col("low") <= 100e6)) & ~ranged
-    left = F.right(_head(), F.lit(170))
-    # what the amount is for stands before the next amount or the rest of the sum
-    own = F.regexp_extract(_tail(), r"(?is)^(.*?)(?:[;$]|and\s+the\s+(?:balance|remainder|rest)\b|another\s+opinion|$)", 1)
-    since = F.regexp_extract(left, r"(?is)^.*\b(?:fees?|compensation)\b(.*)$", 1)
-    introduced = left.rlike(r"(?i)\b(?:fees?|compensation)\b") & (F.length(since) <= 130) & ~since.rlike(r"(?i)[$%]|\b(?:received|credit|reimburs|of\s+which|portion|paid)\b")
-    opinion = left.rlike(r"(?i)\bopinion\s+fee\s+(?:of\s+)?$") | F.substring(own, 1, 260).rlike(r"(?is)^.{0,140}?\b(?:upon|on|at\s+the\s+time|with|for|following|when|result\s+of)\b.{0,40}?\b(?:deliver(?:y|ing|ed)|render(?:ing|ed)|issu(?:ance|ing)|its|such)\b.{0,40}?\bopinion")
-    closing = r"(?:successful\s+)?(?:consummation|closing|completion|effectiveness)"
-    contingent = left.rlike(r"(?i)\b(?:contingent|completion|success|additional)\s+(?:fee|compensation)\s+(?:of\s+)?$") | F.substring(own, 1, 300).rlike(rf"(?is)^.{{0,200}}?\b(?:contingent|payable|due)\b.{{0,60}}?\b(?:upon|on|following)\s+(?:the\s+)?{closing}") | (introduced & _tail().rlike(rf"(?i)^\s*(?:upon|at)\s+(?:the\s+)?{closing}"))
+    introduced = F.coalesce(_last(_before("fee_word", "earlier", "credit", "part", "amount", "percent"))["name"] == "fee_word", F.lit(False))
+    own, parts = _behind("given", "opinion", "depends", "closing", "part"), ["opinion", "depends", "more", "fee_word", "amount"]
+    # the words right before this amount's own word for a fee: "opinion fee", "contingent fee", "additional fee"
+    lead = _before(*parts)
+    titled = lambda *names: F.coalesce((_last(lead)["name"] == "fee_word") & F.get(lead, F.size(lead) - 2)["name"].isin(*names), F.lit(False))
+    opinion = titled("opinion") | _follows(own, "given", "opinion")
+    contingent = titled("depends") | _follows(own, "depends", "closing") | (introduced & F.coalesce(F.get(own, F.lit(0))["name"] == "closing", F.lit(False)))
     kind = F.when(opinion, "fee_opinion").when(contingent, "fee_contingent")
-    which = _tail().rlike(r"(?i)^\s*,?\s*(?:\w+\s+){0,4}?of\s+which\b")
-    credited = F.concat(_head(), F.col("raw_low"), F.col("right")).rlike(r"(?i)\bcredit(?:ed|able)\b")
+    which = F.coalesce(F.get(own, F.lit(0))["name"] == "part", F.lit(False)) | F.coalesce(F.col("right").rlike(r"(?i)^\W*of\s+which\b"), F.lit(False))
+    credited = F.exists("marks", _named("credit"))
     # as if no total came before
     alone = F.when(~which, kind)
-    total = introduced & ~F.right(left, F.lit(60)).rlike(r"(?i)\badditional\b") & ~(credited & alone.eqNullSafe("fee_opinion"))
-    rows = rows.withColumns({"__fee": F.when(amount, F.struct(kind.alias("kind"), alone.alias("alone"), total.alias("total"), introduced.alias("introduced")))})
+    total = introduced & ~titled("more") & ~(credited & alone.eqNullSafe("fee_opinion"))
+    rows = rows.withColumns({"__fee": F.when(amount, F.struct(kind.alias("kind"), alone.alias("alone"), total.alias("total")))})
     first = F.min(F.when(F.col("__fee.total"), F.col("n"))).over(sentence)
     rows = rows.withColumn("__first", first)
     at_first, behind = F.col("n") == F.col("__first"), F.coalesce(F.col("n") > F.col("__first"), F.lit(False))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import ACTS, ANALYSES, CUES, FEE_WORDS, PARTIES, PUBLICATIONS, houses
+from ..functions.lexicon import ACTS, ANALYSES, CUES, FEE_WORDS, MONEY_MARKS, PARTIES, PUBLICATIONS, houses
 
 DASHES = "-‐‑‒–—―−"
 NUMBER = r"\d{1,3}(?:\.\d+)?"
@@ -95,11 +95,34 @@ def _dispatch() -> dict[str, re.Pattern]:
     return {ch: re.compile("|".join(own)) for ch, own in by.items()}
 
 
+#: Form of a mark in lower case with single blanks -> what it does; some forms do several things.
+MARK_KINDS: dict[str, list[str]] = {}
+for _kind, _forms in (MONEY_MARKS | {"fee_word": FEE_WORDS["fee"]}).items():
+    for _form in {f.replace("(s)", end) for f in _forms for end in ("", "s")}:
+        MARK_KINDS.setdefault(_form, []).append(_kind)
+#: What is no plain form: amounts, percent signs, a value per something, per share or unit, and a number of shares or units.
+MARKS = re.compile(
+    rf"(?P<amount>\$\s?\d)|(?P<percent>%)|(?P<word>{phrases(list(MARK_KINDS))})|(?P<value>\bvalues?(?=\s+per\b))|(?P<share>\bper\s+(?:[\w&.'-]+\s+){{0,4}}?(?:share|unit)s?\b)"
+    r"|(?P<paper>(?<![\d.,$])\b(?:\d[\d,.]*|one|half|all|a\s+fraction|a\s+portion)\s+(?:(?!per\b)[a-z]+\s+){0,5}?(?:shares?|stock|units?)\b)",
+    re.I,
+)
+
+
+def marks(text: str, start: int, end: int) -> list[dict]:
+    """What the words of a sentence do for the amounts in it, in order."""
+    out = []
+    for m in MARKS.finditer(text, start, end):
+        kinds = ["derived", "unlike"] if m.lastgroup == "value" else [m.lastgroup] if m.lastgroup != "word" else MARK_KINDS[re.sub(r"[\s-]+", " ", m.group().lower())]
+        out += [{"name": k, "at": m.start(), "to": m.end()} for k in kinds]
+    return out
+
+
 KINDS = {k for k, _, _ in RULES}
 LEXERS = _dispatch()
 
 _FIELDS = [("kind", pa.string(), "string"), ("start", pa.int32(), "int"), ("end", pa.int32(), "int"), ("low", pa.float64(), "double"), ("high", pa.float64(), "double"), ("raw_low", pa.string(), "string"), ("raw_high", pa.string(), "string"), ("name", pa.string(), "string"),
-           ("gap", pa.string(), "string"), ("after", pa.string(), "string"), ("line", pa.int32(), "int"), ("sentence", pa.int32(), "int"), ("sentence_start", pa.int32(), "int"), ("sentence_end", pa.int32(), "int"), ("left", pa.string(), "string"), ("right", pa.string(), "string"), ("written", pa.string(), "string")]
+           ("gap", pa.string(), "string"), ("after", pa.string(), "string"), ("line", pa.int32(), "int"), ("sentence", pa.int32(), "int"), ("sentence_start", pa.int32(), "int"), ("sentence_end", pa.int32(), "int"), ("left", pa.string(), "string"), ("right", pa.string(), "string"), ("written", pa.string(), "string"),
+           ("marks", pa.list_(pa.struct([("name", pa.string()), ("at", pa.int32()), ("to", pa.int32())])), "array<struct<name:string,at:int,to:int>>")]
 LEXEME = pa.struct([(n, t) for n, t, _ in _FIELDS])
 SCHEMA = f"lexemes array<struct<{','.join(f'{n}:{t}' for n, _, t in _FIELDS)}>>"
 
@@ -167,6 +190,7 @@ def lex(text: str, lines: list[dict] | None = None, names: re.Pattern | None = N
         return out
     stops = [(m.start(), m.end()) for m in STOP.finditer(text)]
     last, k, line, line_end = 0, 0, 0, text.find("\n")
+    marked, of = None, []
     for start, end, kind, m in hits:
         while k < len(stops) and stops[k][0] < start:
             k += 1
@@ -188,6 +212,10 @@ def lex(text: str, lines: list[dict] | None = None, names: re.Pattern | None = N
             unit, _, ranged = kind.partition("_")
             low, high = (m.group(f"low_{unit}"), m.group(f"high_{unit}")) if ranged else (m.group(), m.group())
             row["left"], row["right"], row["written"] = text[max(0, start - AROUND) : start], text[end : end + AROUND], m.group()
+            if unit == "usd":
+                if marked != k:
+                    marked, of = k, marks(text, row["sentence_start"], row["sentence_end"])
+                row["marks"] = of
             above = text[text.rfind("\n", 0, max(0, line - 1)) + 1 : max(0, line - 1)] if line else ""
             row["name"] = "pro_forma" if len(above) < ABOVE and PRO_FORMA.search(above) else None
             if ranged and out and out[-1]["low"] is not None and out[-1]["kind"] != "line" and row["gap"] and row["gap"].strip() == "," and AND.search(m.group()):
