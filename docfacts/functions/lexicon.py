@@ -125,16 +125,26 @@ CUES = {
     "exit opens": ["exit", "terminal"],
     "exit closes": ["multiple(s)", "multiple(s) method", "ratio(s)"],
     "worked out": ["applied", "apply", "applying", "based on", "multiple", "multiples", "multiplied", "multiplying", "selected", "used", "using", "utilized", "utilizing"],
+    # between "implied" and its cue
+    "fillers": ["a", "an", "the", "illustrative", "range", "range of", "of"],
     "reserve": ["federal reserve", "prime", "reserve bank", "window"],
 }
 
-# Words of an advisor's fee, and beginnings of words that say a sentence is about some other payment.
+# Words of an advisor's fee, and words that say a sentence is about some other payment: own groups, by what is paid.
+_EARLIER = [f"{when} {time}" for when in ("past", "prior", "previous", "preceding", "last") for time in ("two", "three", "several", "year(s)", "two year(s)", "three year(s)")]
 FEE_WORDS = {
     "fee": ["compensation", "fee(s)"],
     "other": [
-        "additional fee", "book manager", "bookrunner", "book-runner", "break-up", "breakup", "capital rais", "co-manager", "director", "during such", "during the past", "expenses", "financing", "have received", "lead arranger", "may pay", "past three", "past two",
-        "placement agent", "portfolio companies", "preceding", "previous three", "previous two", "previous year", "prior two", "received aggregate fees", "received compensation", "received fees", "recognised", "recognized", "reimburs", "solicit", "tendered", "termination",
-        "three-year", "two-year", "underwrit", "unrelated",
+        # between the parties of the deal
+        "termination", "break up", "breakup",
+        # for earlier or other work of the house
+        *_EARLIER, "two year", "three year", "two years preceding", "unrelated", "have received", "received fee(s)", "received aggregate fee(s)", "received an aggregate fee", "received compensation", "recognized", "recognised",
+        # for lending and selling securities
+        "financing(s)", "capital raise(s)", "capital raising", "underwrite", "underwriter(s)", "underwriting", "placement agent(s)", "lead arranger(s)", "book runner(s)", "bookrunner(s)", "book manager(s)", "co manager(s)",
+        # of costs, and to others than the house
+        "expenses", "reimburse", "reimbursed", "reimbursement", "director(s)", "solicit", "soliciting", "solicitor(s)", "solicitation", "portfolio companies", "tendered",
+        # not agreed
+        "may pay", "additional fee",
     ],
 }
 

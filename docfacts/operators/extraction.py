@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from ..functions.lexicon import CUES as LEX_CUES
 from . import parties as P
 from .lexing import lexemes
 from .sections import REACH, heading_kind, majority
@@ -29,6 +30,8 @@ BEFORE_CUE = rf"(?i)^\s*,?\s*(?:(?:{'|'.join(a.replace(' ', '[ ]+') for a in ADJ
 LISTED = r"(?i)^\s*(?:(?:,|and|or)\s*)+$"
 #: After a single value: the border of a table's cell, or a second percentage.
 CELL = r"^\s*\||^\s+[0-9.]+\s*%"
+#: Between "implied" and a cue.
+FILLERS = rf"(?i)^\s+(?:(?:{'|'.join(sorted(LEX_CUES['fillers'], key=len, reverse=True))})\s+){{0,4}}$"
 ORDER = ["line", "sentence", "start", "n"]
 
 
@@ -62,7 +65,7 @@ def _marked(lexemes: DataFrame, *doc: str) -> DataFrame:
     # the number of list heads so far tells whether a value is the first after its cue
     rows = rows.withColumn("__head", F.sum((is_value & ~F.col("__listed")).cast("int")).over(s))
     away = F.col("start") - F.col("__prior.end")
-    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "after", F.col("__head").alias("head"), F.when(F.col("kind") == "exit", "x").otherwise("pct").alias("unit"), F.col("__prior.kind").alias("prior"), F.col("__prior.start").alias("prior_at"), away.alias("away")))
+    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "after", F.col("__head").alias("head"), F.when(F.col("kind") == "exit", "x").otherwise("pct").alias("unit"), F.col("__prior.kind").alias("prior"), F.col("__prior.start").alias("prior_at"), away.alias("away"), F.coalesce((F.length("gap") == away) & F.col("gap").rlike(FILLERS), F.lit(False)).alias("led")))
     rows = rows.withColumn("__cue", cue)
     return rows.withColumn("__next", F.struct(F.lead("__cue").over(s).alias("cue"), F.lead("gap").over(s).alias("gap"))).withColumn("__last", F.last("__cue", ignorenulls=True).over(s.rowsBetween(none, -1)))
 
@@ -71,7 +74,7 @@ def _valuation() -> tuple[Column, Column, Column]:
     """(cue, field, whether the cue comes after the value) of a marked lexeme; null cue if it states no valuation.
 
     A value right before a cue of its unit belongs to it; else to the last such cue before it in its sentence, if no other
-    value that is not part of the same list stands between. ``implied`` shortly before the cue makes the field implied.
+    value that is not part of the same list stands between. ``implied`` before the cue makes the field implied, if nothing but up to four filling words stands between.
     """
     u = _unit(F.col("kind"))
     behind = F.coalesce((F.col("__next.cue.unit") == u) & F.col("__next.gap").rlike(BEFORE_CUE), F.lit(False))
@@ -79,7 +82,7 @@ def _valuation() -> tuple[Column, Column, Column]:
     c = F.when(F.col("__value"), F.when(behind, F.col("__next.cue")).when(ahead, F.col("__last")))
     # a central bank's rate is no discount rate
     c = F.when(~((c["kind"] == "discount") & c["prior"].eqNullSafe("reserve") & (c["away"] <= 30)), c)
-    implied = (c["prior"] == "implied") & (c["away"] <= 30) & ~behind
+    implied = (c["prior"] == "implied") & c["led"] & ~behind
     field = F.when(implied & (c["kind"] == "growth"), "implied_growth").when(implied & (c["kind"] == "exit"), "implied_multiple")
     for k, f in FIELD.items():
         field = F.coalesce(field, F.when(c["kind"] == k, f))
@@ -294,10 +297,11 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def verify(facts: DataFrame, span: Column, snippet: Column | None = None) -> DataFrame:
-    """Adds ``problems``: what keeps a fact's span from proving it.
+    """Adds ``problems``: what keeps a fact's span, as the extraction cut it, from proving it.
 
-    The span must hold both ends of the value as they are written and, for valuations, a cue; numbers read anew from those
-    ends must be the values; a snippet must hold the span and be no longer than ``SNIPPET``.
+    The span must not be empty and must hold both ends of the value as they are written; numbers read anew from those ends must be the
+    values; a snippet must hold the span and be no longer than ``SNIPPET``. A stored table is checked against its texts, with
+    spans cut anew and read again, by ``verification.verify_release``.
     """
     low, high, scale = E.parse_number(F.col("raw_low")), E.parse_number(F.col("raw_high")), F.when(F.col("unit") == "usd_million", 1e6).otherwise(1.0)
     close = lambda a, b: F.abs(a / scale - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(b))

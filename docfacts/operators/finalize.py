@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import CORE_FIELDS, fact_id, tier
+from ..sources.tables import FACT_COLUMNS
 from .analytics import flags
 
 
@@ -13,7 +14,7 @@ def finalize(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """The released table from facts of ``extract`` (accession, ...) without rejected values.
 
     ``filings``: (accession, deal_id, cik, company, sic, file_date). The same value of a deal in several filings stays once,
-    in the first of them, with n_filings; spans decide between equal rows. No text is read or carried but snippets.
+    in the first of them, with n_filings; spans decide between equal rows. Columns are those of the format in its order. No text is read or carried but snippets.
     """
     rows = facts.drop("n", "problems", "reason", "sentence").join(filings.select("accession", "deal_id", "cik", "company", "sic", F.col("file_date").alias("filing_date")), "accession")
     key = ["deal_id", "field", "low", "high", "unit", "advisor", "subject", "analysis", "metric", "valuation_date"]
@@ -22,7 +23,8 @@ def finalize(facts: DataFrame, filings: DataFrame) -> DataFrame:
     kept = first.select(*key, "m.r.*", "n_filings").withColumnsRenamed({"start": "span_start", "end": "span_end"})
     flagged = flags(kept, ["accession", "field", "span_start", "span_end", "low", "high", "advisor", "subject"])
     same = (F.col("low") == F.col("high")) & (F.col("raw_low") == F.col("raw_high"))
-    return flagged.withColumns({"fact_id": fact_id(F.col("accession"), F.col("field"), F.col("span_start")), "tier": tier(F.col("field")), "is_point": same, "year": F.year(F.to_date("filing_date"))})
+    out = flagged.withColumns({"fact_id": fact_id(F.col("accession"), F.col("field"), F.col("span_start")), "tier": tier(F.col("field")), "is_point": same, "year": F.year(F.to_date("filing_date"))})
+    return out.select(*[c.split()[0] for c in FACT_COLUMNS.replace("\n", " ").split(", ")])
 
 
 def find_deal(filings: DataFrame, facts: DataFrame, query: str) -> DataFrame:
@@ -45,3 +47,33 @@ def deal_view(facts: DataFrame, fields: list[str] | None = None) -> DataFrame:
     own = facts.withColumn("more", F.count("*").over(w) - 1).withColumn("rn", F.row_number().over(w.orderBy("span_start", "low", "high"))).where("rn = 1")
     shown = own.withColumn("cell", F.when(F.col("more") > 0, F.concat(cell, F.lit(" +"), F.col("more").cast("string"))).otherwise(cell))
     return shown.groupBy("deal_id", "subject", "analysis", "advisor").pivot("field", fields or CORE_FIELDS).agg(F.first("cell"))
+
+
+#: Order of a deal's blocks, and analyses that make a block only beside a discount rate.
+SUBJECTS = ["target", "acquirer", "pro_forma", "unspecified"]
+BLOCKS, LOOSE = ["dcf", "ddm", "pv_future_price", "nav", "other", "unspecified", ""], ["other", "unspecified", ""]
+#: Rows of a block.
+ROWS = [*CORE_FIELDS, "value_per_share"]
+
+
+def deal_blocks(facts: DataFrame) -> DataFrame:
+    """(deal_id, subject, analysis, field, place, cells): the view of deals with advisors side by side.
+
+    A block is a subject and an analysis of a deal; loose analyses make one only with a discount rate. ``cells`` is an array of (advisor, cell) for all
+    advisors of the block, unattributed last, with a null cell where one has no such value; ``place`` orders blocks and rows within a deal. A
+    cell is the first range by position, ``+n`` for n more. All facts of a deal's block meet in one task; they are bounded by its filings.
+    """
+    number = lambda values, c: F.array_position(F.array(*map(F.lit, values)), F.col(c))
+    own = facts.where(F.col("field").isin(ROWS) & F.col("subject").isin(SUBJECTS) & F.col("analysis").isin(BLOCKS))
+    block = ["deal_id", "subject", "analysis"]
+    text = F.concat(F.col("low").cast("string"), F.lit("-"), F.col("high").cast("string"))
+    cells = own.groupBy(*block, "field", "advisor").agg(F.count("*").alias("n"), F.min(F.struct("span_start", "low", "high", text.alias("cell")))["cell"].alias("cell"))
+    shown = F.when(F.col("n") > 1, F.concat("cell", F.lit(" +"), (F.col("n") - 1).cast("string"))).otherwise(F.col("cell"))
+    whole = cells.withColumn("cell", shown).groupBy(*block).agg(F.collect_list(F.struct("field", "advisor", "cell")).alias("c"))
+    names = F.array_sort(F.array_distinct(F.transform("c", lambda x: F.struct((x["advisor"] == "unattributed").alias("last"), x["advisor"].alias("advisor")))))
+    rated = F.exists("c", lambda x: x["field"] == "discount_rate")
+    whole = whole.where(~F.col("analysis").isin(LOOSE) | rated).withColumn("names", names)
+    rows = whole.withColumn("field", F.explode(F.array_distinct(F.transform("c", lambda x: x["field"]))))
+    of = F.transform("names", lambda a: F.struct(a["advisor"].alias("advisor"), F.get(F.filter("c", lambda x: (x["field"] == F.col("field")) & x["advisor"].eqNullSafe(a["advisor"])), F.lit(0))["cell"].alias("cell")))
+    place = F.array(number(SUBJECTS, "subject"), number(BLOCKS, "analysis"), number(ROWS, "field"))
+    return rows.select(*block, "field", place.alias("place"), of.alias("cells"))

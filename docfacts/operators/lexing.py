@@ -63,7 +63,7 @@ RULES: list[tuple[str, str, str]] = [
     ("exit", "et", rf"{spanning(CUES['exit opens'], 6, CUES['exit closes'])}|terminal\s+values?(?=[^.;]{{0,120}}\b(?:{phrases(CUES['worked out'])}))"),
     ("implied", "i", r"\bimpl(?:ied|ying|ies|y)\b"),
     ("reserve", _initials(CUES["reserve"]), phrases(CUES["reserve"])),
-    ("fee_other", _initials(FEE_WORDS["other"]), rf"\b(?:{'|'.join(re.escape(w) for w in FEE_WORDS['other'])})"),
+    ("fee_other", _initials(FEE_WORDS["other"]), phrases(FEE_WORDS["other"])),
     ("fee", _initials(FEE_WORDS["fee"]), phrases(FEE_WORDS["fee"])),
     *((f"analysis_{name}", _initials(forms), phrases(forms)) for name, forms in ANALYSES.items()),
     ("pro_forma", "pc", phrases(PARTIES["pro forma"])),

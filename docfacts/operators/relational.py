@@ -56,7 +56,7 @@ def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str
     return both.where(F.abs(F.col(left_pos) - F.col(right_pos)) <= width)
 
 
-def sessions(rows: DataFrame, key: str, date: str, order: list[str], days: int, name: str) -> DataFrame:
+def sessions(rows: DataFrame, key: str, date: str, days: int, name: str) -> DataFrame:
     """``rows`` with the session number ``name`` of each: a gap of more than ``days`` days to the row before starts one.
 
     Only distinct dates of a key are ordered; their number is bounded by the calendar, however frequent the key is.

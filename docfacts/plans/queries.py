@@ -169,14 +169,14 @@ def _(spark, sf_dir):
 @add("deal_sessions", """WITH g AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders)
   SELECT o_orderkey, o_custkey, CAST(sum(CASE WHEN d - p > 270 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY d RANGE UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g""")
 def _(spark, sf_dir):
-    return R.sessions(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", ["o_orderkey"], 270, "session").select("o_orderkey", "o_custkey", "session")
+    return R.sessions(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", 270, "session").select("o_orderkey", "o_custkey", "session")
 
 
 @add("deal_ids", """WITH g AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders),
   s AS (SELECT *, sum(CASE WHEN d - p > 270 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY d RANGE UNBOUNDED PRECEDING) AS session FROM g)
   SELECT o_custkey, arg_min(o_orderkey, (d, o_orderkey)) AS deal_id, count(*) AS filings, min(d) AS first_date, max(d) AS last_date FROM s GROUP BY o_custkey, session""")
 def _(spark, sf_dir):
-    s = R.sessions(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", ["o_orderkey"], 270, "session")
+    s = R.sessions(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", 270, "session")
     day = F.col("o_orderdate").cast("date")
     return s.groupBy("o_custkey", "session").agg(F.min(F.struct(day, "o_orderkey"))["o_orderkey"].alias("deal_id"), F.count("*").alias("filings"), F.min(day).alias("first_date"), F.max(day).alias("last_date")).drop("session")
 

@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import evaluation as E
+from ..operators import exhibits as X
+from ..operators import finalize as Z
 from ..operators import results as T
+from ..operators import sections as S
 from ..operators.durable import shared_dir, written
 from ..operators import verification as V
 from ..sources import release as L
+from ..sources import tables as W
 from ..sources.html import html_offsets, html_to_document
 from .fact_view import SQL as VIEW
 from .fact_view import facts as fact_rows
 from .fact_view import yields
-from .queries import FLAGS, PAIRS, RATES, UNITS, _flags, _pairs, _rounded, add
-from .text_queries import NUMBERS, _documents, _join, _n
+from .queries import CENTRE, FLAGS, HALF, PAIRS, RATES, UNITS, _flags, _pairs, _rounded, add
+from .text_queries import GOLD, NUMBERS, _documents, _gold, _join, _n
 
 # Stored facts and texts by rule, without any extraction: what is wrong with a fact hangs on its order's customer.
 TEXTS = f"""WITH {NUMBERS}, k AS (SELECT d.*, o_custkey % 9 AS k FROM d JOIN orders USING (o_orderkey)),
@@ -162,3 +166,76 @@ def _(spark, sf_dir):
     paths = [at + k for at, (_, _, stats) in TREE.items() for k in stats]
     each = tree.select(F.explode(F.create_map(*[x for p in paths for x in (F.lit(p), F.get_json_object("json", p).cast("double"))])).alias("path", "value"))
     return each.withColumn("value", F.round(F.when(F.col("path").isin(*SLOPES), F.col("value") * 1e6).otherwise(F.col("value")), 6))
+
+
+@add("attribute_accuracy", f"WITH {GOLD} SELECT 'advisor' AS attribute, count(*) AS n, round(avg(CASE WHEN advisor = said THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM g WHERE (NOT gone OR twice) AND advisor <> ''")
+def _(spark, sf_dir):
+    gold, predicted = _gold(spark, sf_dir)
+    return _rounded(E.attribute_accuracy(E.match(gold, predicted), gold, predicted, ["advisor"]), "accuracy")
+
+
+@add("dominant_advisors", f"WITH {NUMBERS} SELECT o_orderkey, CASE fee % 4 WHEN 0 THEN house WHEN 1 THEN 'UBS' WHEN 2 THEN house ELSE 'unattributed' END AS advisor, CASE fee % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END AS mentions FROM d")
+def _(spark, sf_dir):
+    """The first of two named once, one named twice, and none."""
+    d, c = _documents(spark, sf_dir), F.col
+    kind = c("fee") % 4
+    text = F.when(kind == 0, _join(c("house"), " met UBS.")).when(kind == 1, _join(c("house"), " met UBS. UBS left.")).when(kind == 2, _join(c("house"), " came, and ", c("house"), " left.")).otherwise("Nobody came.")
+    return S.dominant_advisor(d.select("o_orderkey", text.alias("text")), "o_orderkey").select("o_orderkey", "advisor", c("mentions").cast("int").alias("mentions"))
+
+
+@add("deal_blocks", f"""WITH {VIEW}, v AS (SELECT * REPLACE (round(low, 4) AS low, round(high, 4) AS high, CASE WHEN analysis = 'ddm' AND span_start % 2 = 0 THEN 'other' ELSE analysis END AS analysis) FROM facts),
+  c AS (SELECT deal_id, subject, analysis, field, advisor, count(*) AS n, arg_min(CAST(low AS VARCHAR) || '-' || CAST(high AS VARCHAR), (span_start, low, high)) AS cell FROM v GROUP BY ALL),
+  a AS (SELECT DISTINCT deal_id, subject, analysis, advisor FROM c), f AS (SELECT DISTINCT deal_id, subject, analysis, field FROM c),
+  rated AS (SELECT deal_id, subject, analysis FROM f WHERE field = 'discount_rate')
+  SELECT f.deal_id, f.subject, f.analysis, f.field, string_agg(a.advisor || '=' || coalesce(c.cell || CASE WHEN n > 1 THEN ' +' || (n - 1) ELSE '' END, ''), ';' ORDER BY a.advisor = 'unattributed', a.advisor) AS cells
+  FROM f JOIN a USING (deal_id, subject, analysis) LEFT JOIN c ON c.deal_id = f.deal_id AND c.subject = f.subject AND c.analysis = f.analysis AND c.field = f.field AND c.advisor = a.advisor
+  LEFT JOIN rated r ON r.deal_id = f.deal_id AND r.subject = f.subject AND r.analysis = f.analysis WHERE f.analysis <> 'other' OR r.deal_id IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def _(spark, sf_dir):
+    f = _rounded(fact_rows(spark, sf_dir), "low", "high", digits=4).withColumn("analysis", F.when((F.col("analysis") == "ddm") & (F.col("span_start") % 2 == 0), "other").otherwise(F.col("analysis")))
+    cells = F.array_join(F.transform("cells", lambda x: F.concat(x["advisor"], F.lit("="), F.coalesce(x["cell"], F.lit("")))), ";")
+    return Z.deal_blocks(f).select("deal_id", "subject", "analysis", "field", cells.alias("cells"))
+
+
+@add("catalog_from_hits", """SELECT 'a' || o_orderkey AS accession, 'f.htm' AS filename, CAST(o_orderdate AS DATE)::VARCHAR AS file_date, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN c_nationkey < 20 THEN c_name ELSE '' END ELSE 'Old Co ' || o_custkey END AS company,
+  CASE WHEN c_nationkey < 20 AND c_nationkey % 2 = 0 THEN '10' || c_nationkey ELSE '9999' END AS sic, CASE WHEN c_nationkey < 20 THEN c_mktsegment ELSE '' END AS sic_description, CASE WHEN c_nationkey < 20 THEN 'T' || o_custkey ELSE '' END AS tickers FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _(spark, sf_dir):
+    """Search results with repeated hits, of which the last one counts, and a company dimension that lacks some companies."""
+    c, lit = F.col, F.lit
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    names = F.when(c("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(lit("Old Co "), c("o_custkey").cast("string"), lit("  (TICK) (CIK 0000000001)"))))
+    hit = lambda day: F.struct(F.concat(lit("a"), c("o_orderkey").cast("string"), lit(":f.htm")).alias("_id"), F.struct(lit("X").alias("form"), lit("X").alias("file_type"), day.alias("file_date"), F.array(F.lpad(c("o_custkey").cast("string"), 10, "0")).alias("ciks"), names.alias("display_names"), F.array(lit("9999")).alias("sics")).alias("_source"))
+    pages = o.select(F.to_json(F.struct(F.struct(F.array(hit(lit("9999-01-01")), hit(c("o_orderdate").cast("date").cast("string"))).alias("hits")).alias("hits"))).alias("value"), lit(1).alias("page"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 20")
+    sic = F.when(c("c_nationkey") % 2 == 0, F.concat(lit("10"), c("c_nationkey").cast("string"))).otherwise("")
+    records = customers.select(F.to_json(F.struct(c("c_custkey").alias("cik"), c("c_name").alias("name"), sic.alias("sic"), c("c_mktsegment").alias("sicDescription"), F.array(F.concat(lit("T"), c("c_custkey").cast("string"))).alias("tickers"))).alias("value"))
+    out = W.filings_from_hits(W.discover(W.hits_from_json(pages, page="page"), "X"), W.companies_from_json(records))
+    return out.select("accession", "filename", "file_date", "cik", "company", "sic", "sic_description", F.array_join("tickers", ",").alias("tickers"))
+
+
+@add("exhibit_rates", f"""WITH {RATES}, y AS (SELECT year, median(discount) AS m, quantile_cont(discount, 0.25) AS a, quantile_cont(discount, 0.75) AS b, median(growth) AS g, count(growth) AS gn, avg(y10) AS y FROM rates WHERE NOT financial GROUP BY 1), t AS (SELECT CAST(floor(greatest(14, max(b) + 1)) AS INTEGER) AS t FROM y)
+  SELECT year, round(a, 6) AS discount_q25, round(b, 6) AS discount_q75, round(m, 6) AS discount_median, round(y, 6) AS y10_mean, CASE WHEN gn >= 3 THEN round(g, 6) END AS growth_median, t + t % 2 AS axis_top FROM y, t""")
+def _(spark, sf_dir):
+    by_year = A.market_by_year(A.deal_rates(fact_rows(spark, sf_dir), yields(spark, sf_dir)))
+    return _rounded(X.rates_by_year(by_year), "discount_q25", "discount_q75", "discount_median", "y10_mean", "growth_median")
+
+
+@add("exhibit_disagreement", f"""WITH {PAIRS}, r AS (SELECT round(abs_diff, 6) AS d FROM pairs), b AS (SELECT unnest(range(0, 10)) AS i), c AS (SELECT CAST(floor(least(d, 5 - 1e-9) / 0.5) AS BIGINT) AS i, count(*) AS n FROM r GROUP BY 1)
+  SELECT b.i * 0.5::DOUBLE AS "left", coalesce(n, 0) AS n, b.i >= 2 AS highlighted, round((SELECT avg(CASE WHEN d >= 1 THEN 1.0::DOUBLE ELSE 0 END) FROM r), 6) AS share_highlighted FROM b LEFT JOIN c ON b.i = c.i""")
+def _(spark, sf_dir):
+    return _rounded(X.disagreement_bars(_rounded(_pairs(spark, sf_dir), "abs_diff")), "share_highlighted")
+
+
+@add("exhibit_implied_growth", f"""WITH {UNITS}, v AS (SELECT round(implied_high, 6) AS value FROM units WHERE covered)
+  SELECT value, round(row_number() OVER (ORDER BY value) / count(*) OVER ()::DOUBLE, 9) AS step, value > 4 AS above, round(avg(CASE WHEN value > 4 THEN 1.0::DOUBLE ELSE 0 END) OVER (), 6) AS share_above, least(-2, floor(min(value) OVER ())) AS axis_low, least(14, ceil(max(value) OVER ())) AS axis_high FROM v""")
+def _(spark, sf_dir):
+    units = _rounded(A.implied_growth_units(fact_rows(spark, sf_dir)), "implied_high")
+    out = X.implied_growth_steps(units)
+    return _rounded(_rounded(out, "step", digits=9), "share_above").withColumns({c: F.col(c).cast("double") for c in ("axis_low", "axis_high")})
+
+
+@add("exhibit_scores", f"""WITH {GOLD}, s AS (SELECT CASE f % 2 WHEN 0 THEN 'dev' ELSE 'holdout' END AS split, field, count(*) FILTER (WHERE NOT gone OR twice) AS tp, count(*) FILTER (WHERE twice AND NOT gone) AS fp, count(*) FILTER (WHERE gone AND NOT twice) AS fn FROM g GROUP BY 1, 2),
+  m AS (SELECT split, field, 'precision' AS metric, tp, tp + fp AS n FROM s UNION ALL SELECT split, field, 'recall', tp, tp + fn FROM s), t AS (SELECT *, tp::DOUBLE / n AS p FROM m WHERE n > 0)
+  SELECT split, field, metric, round(100 * p, 6) AS value, round(100 * greatest(0, {CENTRE} - {HALF}), 6) AS low, round(100 * least(1, {CENTRE} + {HALF}), 6) AS high FROM t""")
+def _(spark, sf_dir):
+    matches = E.match(*_gold(spark, sf_dir)).withColumn("split", F.when(F.substring("accession", 2, 20).cast("long") % 2 == 0, "dev").otherwise("holdout"))
+    return _rounded(X.score_points(E.evaluate(matches, ["split", "field"])), "value", "low", "high")

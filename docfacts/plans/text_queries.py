@@ -98,10 +98,13 @@ def _(spark, sf_dir):
     return _out(_facts(d, _join("An exit multiple of ", _n(c("m")), "x was applied. This resulted in implied perpetuity growth rates of ", _n(c("g")), "% to ", _n(c("g") + 1), "%.")))
 
 
-@add("grammar_none", "SELECT doc_id FROM documents WHERE false")
+@add("grammar_none", "SELECT count(*) AS documents, 0 AS values FROM documents")
 def _(spark, sf_dir):
+    """Texts without valuations: all are read, and none states a value."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return X.candidates(lexemes(docs, "text", "doc_id"), "doc_id").select("doc_id")
+    lex = lexemes(docs, "text", "doc_id", prefilter=False, outer=True)
+    found = X.candidates(lex, "doc_id").agg(F.count("*").cast("int").alias("values"))
+    return lex.agg(F.count_distinct("doc_id").alias("documents")).select("documents", found.scalar().alias("values"))
 
 
 @add("rejections_by_reason", f"""WITH {NUMBERS}, r AS (SELECT CASE WHEN wild THEN 'outside_hard_bounds' WHEN unnamed THEN 'no_analysis_marker' END AS reason FROM d) SELECT reason, count(*) AS n FROM r GROUP BY 1""")

@@ -52,7 +52,7 @@ def test_sessions_equal_the_batch_operator(spark, tmp_path, split):
     made = rows()
     changes = K.sessions(parts(tmp_path, spark, split, made), "deal", "filed", "span", 60)
     got = K.run_available(spark, changes, f"{tmp_path}/out", f"{tmp_path}/check", ["key"])
-    batch = R.sessions(spark.createDataFrame(made, SCHEMA), "deal", "filed", ["span"], 60, "session").where("filed IS NOT NULL")
+    batch = R.sessions(spark.createDataFrame(made, SCHEMA), "deal", "filed", 60, "session").where("filed IS NOT NULL")
     want = batch.groupBy(F.col("deal").alias("key"), F.col("session").cast("long").alias("session")).agg(F.min("filed").alias("first_date"), F.max("filed").alias("last_date"), F.min(F.struct("filed", F.col("span").cast("string").alias("i")))["i"].alias("first_id"), F.count("*").alias("n"))
     columns = ["key", "session", "first_date", "last_date", "first_id", "n"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))

@@ -78,3 +78,19 @@ def test_values_per_share(spark):
 @pytest.mark.parametrize(("text", "want"), [("a fee of $5", ["unlike", "fee_word", "amount"]), ("values per share", ["derived", "unlike", "share"]), ("$5.00 per share", ["amount", "share"]), ("and 0.5 of a share", ["plus", "paper"]), ("", [])])
 def test_marks(text, want):
     assert [m["name"] for m in marks(text, 0, len(text))] == want
+
+
+OTHER = ["a termination fee", "a break-up fee", "in the past two years a fee", "for the preceding year a fee", "over a two-year period a fee", "for unrelated work a fee", "Lazard have received a fee", "they received aggregate fees", "a financing fee", "as underwriters a fee", "as placement agent a fee", "as book-runner a fee", "as co-managers a fee", "expenses and a fee", "to reimburse a fee", "to a director a fee", "to solicit proxies a fee", "may pay a fee", "an additional fee"]
+
+
+def test_words_of_other_payments(spark):
+    assert run(spark, [f"Lazard was there, and {o} of $5 million." for o in OTHER], X.money_terms) == []
+    assert len(run(spark, ["Lazard will get a fee of $5 million."], X.money_terms)) == 1
+
+
+IMPLIED = [("implied perpetuity growth rates of 2.0%", True), ("implies a perpetuity growth rate of 2.0%", True), ("implying a range of illustrative perpetuity growth rates of 2.0%", True), ("implied by the perpetuity growth rate of 2.0%", False), ("implied values, and a perpetuity growth rate of 2.0%", False), ("implied a a a a a perpetuity growth rate of 2.0%", False)]
+
+
+def test_words_between_implied_and_its_cue(spark):
+    got = run(spark, [f"This {t}." for t, _ in IMPLIED], X.candidates)
+    assert [r["field"] for r in sorted(got, key=lambda r: r["k"])] == ["implied_growth" if w else "terminal_growth" for _, w in IMPLIED]

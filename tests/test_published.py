@@ -111,3 +111,20 @@ def test_tree_of_nothing(spark):
     tree = json.loads(T.as_json(T.result_tree(df, filings, spark.createDataFrame([], "date date, dgs10 double"), 10)).first()["json"])
     assert tree["corpus"]["n_facts"] == 0 and tree["corpus"]["facts_by_field"] == {} and tree["analyses"]["market_practice_by_year"] == []
     assert tree["analyses"]["bank_disagreement"]["terminal_growth"]["median_ci_95"] is None
+
+
+def test_exhibits_of_nothing(spark):
+    from docfacts.operators import exhibits as X
+
+    bars = X.disagreement_bars(spark.createDataFrame([], "abs_diff double")).collect()
+    assert len(bars) == 10 and {(r["n"], r["share_highlighted"]) for r in bars} == {(0, None)}
+    assert X.implied_growth_steps(spark.createDataFrame([], "covered boolean, implied_high double")).count() == 0
+    assert X.score_points(spark.createDataFrame([("dev", "x", 0, 0, 3)], "split string, field string, tp long, fp long, fn long")).select("metric", "value").collect() == [("recall", 0.0)]
+
+
+def test_dominant_advisor(spark):
+    from docfacts.operators.sections import dominant_advisor
+
+    rows = [(1, "UBS and Lazard. Lazard left."), (2, "UBS and Lazard."), (3, None), (4, ""), (5, "UBS."), (5, "Lazard, Lazard.")]
+    got = dominant_advisor(spark.createDataFrame(rows, "k long, text string"), "k")
+    assert sorted(map(tuple, got.collect())) == [(1, "Lazard", 2), (2, "UBS", 1), (3, "unattributed", 0), (4, "unattributed", 0), (5, "Lazard", 2)]

@@ -76,3 +76,27 @@ def test_bootstrap_precision(spark):
     assert abs(got["low"] - want[0]) < 0.01 and abs(got["high"] - want[1]) < 0.01
     none = E.bootstrap_precision(matches.where("false"), filings).first()
     assert none["low"] is None and none["high"] is None
+
+
+def test_last_hit_wins_and_filings(spark):
+    hit = '{"_id": "a-1:f", "_source": {"form": "X", "file_type": "X", "file_date": "%s", "ciks": ["0000007"], "display_names": %s, "sics": ["9"]}}'
+    page = '{"hits": {"hits": [%s]}}'
+    pages = [(page % hit % ("2020-09-09", "[]"), 2), (page % ", ".join([hit % ("2021-01-01", "[]"), hit % ("2020-01-01", '["Acme  Inc (ACM) (CIK 0000007)"]')]), 3), ("no json", 4)]
+    hits = S.hits_from_json(spark.createDataFrame(pages, "value string, page int").repartition(3), page="page")
+    found = S.discover(hits, "X")
+    assert [r["file_date"] for r in found.collect()] == ["2020-01-01"]
+    records = [('{"cik": "7", "name": "Acme Corp", "sic": "", "sicDescription": "Tools", "tickers": ["T", "U"]}',), ('{"cik": "7", "name": "Acme Aged"}',), ("[]",), (None,), ('{"name": "none"}',)]
+    companies = S.companies_from_json(spark.createDataFrame(records, "value string"))
+    assert [tuple(r) for r in companies.collect()] == [("7", "Acme Corp", "", "Tools", ["T", "U"])]
+    made = S.filings_from_hits(found, companies).first().asDict()
+    assert made == {"accession": "a-1", "filename": "f", "form": "X", "file_date": "2020-01-01", "cik": "0000007", "company": "Acme Inc", "sic": "9", "sic_description": "Tools", "tickers": ["T", "U"], "current_name": "Acme Corp"}
+    bare = spark.createDataFrame([("a", "f", "X", "X", "2020", [], [], [])], found.schema)
+    assert S.filings_from_hits(bare, companies).first().asDict() == {"accession": "a", "filename": "f", "form": "X", "file_date": "2020", "cik": "", "company": "", "sic": "", "sic_description": "", "tickers": [], "current_name": ""}
+
+
+def test_attribute_accuracy(spark):
+    gold = spark.createDataFrame([(1, "A", "x"), (2, "joint", "x"), (3, "", "y"), (4, "B", "")], "gold_id long, advisor string, metric string")
+    predicted = spark.createDataFrame([(1, "A", "x"), (2, "C", "z"), (3, "D", "y"), (4, "C", "w")], "predicted_id long, advisor string, metric string")
+    matches = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4), (None, 9), (9, None)], "gold_id long, predicted_id long")
+    got = {r["attribute"]: (r["n"], r["accuracy"]) for r in E.attribute_accuracy(matches, gold, predicted, ["advisor", "metric"]).collect()}
+    assert got == {"advisor": (2, 0.5), "metric": (3, 2 / 3)}
