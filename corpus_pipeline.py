@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm._common import Scratch
+from docfacts.llm._common import Scratch, unused
 from docfacts.llm.minhash import keep_one
 from docfacts.llm.packing import pack
 from docfacts.llm.pii import pseudonymise
@@ -25,13 +25,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; null and empty texts score as texts without toxic words."""
     model = ToxicityModel.fit(docs, _labels(spark, sf_dir))
-    return model.score(docs, *docs.columns, name="__score").where("__score < 0.5").drop("__score")
+    score = unused("score", docs.columns)
+    return model.score(docs, *docs.columns, name=score).where(F.col(score) < 0.5).drop(score)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more; null texts score as empty ones. Without any labels all stay."""
     model = QualityModel.fit(docs, _labels(spark, sf_dir))
-    return model.score(docs, *docs.columns, name="__score").where("__score >= 0.5").drop("__score")
+    score = unused("score", docs.columns)
+    return model.score(docs, *docs.columns, name=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by pseudonyms; n_chars follows the new text, null texts stay as they are."""
-    made = pseudonymise(docs, key="docfacts", found="__pii").drop("__pii")
+    found = unused("pii", docs.columns)
+    made = pseudonymise(docs, key="docfacts", found=found).drop(found)
     size = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return made.withColumn("n_chars", size).select(*[f"`{c}`" for c in docs.columns])
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, components, groups, starts_of
+from ._common import Scratch, components, groups, starts_of, unused
 
 #: 25 bands of 5 minima: a pair with a similarity of 0.8 shares no band with a probability of 0.00005.
 BANDS, BAND_ROWS, BITS = 25, 5, 4
@@ -274,10 +274,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, de
     Rows with a null doc_id all stay. Columns are those of ``docs``.
     """
     found = Scratch(spark, "kept").table(near_duplicates(spark, docs, k, num, den).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    dropped = unused("gone", docs.columns)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(dropped))
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(dropped), "left_anti")
     if found.where("n > 1").isEmpty():
         return left
     others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
-    least = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "__row.*")
+    least = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
     return least.select(*[f"`{c}`" for c in docs.columns]).unionByName(left.where("doc_id IS NULL"))

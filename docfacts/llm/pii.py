@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import unused
+
 ROUNDS = 8
 
 # What each kind looks like. A kind's pattern is tried in this order.
@@ -248,12 +250,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
         first = F.struct(F.lit("e").alias("tag"), x.alias("text"), F.lit(None).cast("string").alias("kind"))
         return F.when(i == 0, first).otherwise(F.struct(tag(x).alias("tag"), rest(x).alias("text"), F.when(tag(x) == "m", kind_of(rest(x))).alias("kind")))
 
-    a = docs.withColumn("__parts", F.when(t.rlike(MAY), F.transform(F.split(marked, MARK, -1), part)).otherwise(none))
+    parts = unused("parts", names)
+    a = docs.withColumn(parts, F.when(t.rlike(MAY), F.transform(F.split(marked, MARK, -1), part)).otherwise(none))
     one = lambda x: F.when(x["kind"].isNotNull(), pseudonym(x["text"], x["kind"], key)).when(x["tag"] == "n", F.concat(F.lit(MARK), x["text"])).otherwise(x["text"])
-    made = F.transform("__parts", one)
-    new = F.when(F.exists("__parts", lambda x: x["kind"].isNotNull()), F.array_join(made, "")).otherwise(t)
+    made = F.transform(parts, one)
+    new = F.when(F.exists(parts, lambda x: x["kind"].isNotNull()), F.array_join(made, "")).otherwise(t)
     kept = [F.col(f"`{c}`") if c != text else new.alias(text) for c in names if c != found]
-    kinds = F.transform(F.filter(F.coalesce("__parts", none), lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
+    kinds = F.transform(F.filter(F.coalesce(parts, none), lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
     return a.select(*kept, kinds.alias(found))
 
 

@@ -123,8 +123,9 @@ class QualityModel:
         return 1 / (1 + F.exp(-z))
 
     def score(self, docs: DataFrame, *keep: str, name: str = "score") -> DataFrame:
-        """Columns ``keep`` of docs and ``name``, the score."""
-        return statistics(docs, *keep).select(*[F.col(f"`{c}`") for c in keep], self.column().alias(name))
+        """Columns ``keep`` of docs and ``name``, the score; ``keep`` may hold names of any kind but ``name``."""
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
+        return statistics(rows, "row").select("row.*", self.column().alias(name))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ._common import unused
+
 #: Most labelled rows that a fit reads (the rows with the least hash of their id).
 TRAIN_ROWS = 20_000
 #: Terms need this many distinct toxic training texts, and this share of the texts that hold them toxic.
@@ -348,10 +350,13 @@ class ToxicityModel:
         return cls(terms, _logistic(np.array([r["f"] for r in got]), y).tolist())
 
     def score(self, docs: DataFrame, *keep: str, name: str = "score") -> DataFrame:
-        """Columns ``keep`` of docs and ``name``, the score (0 to 1; null and empty texts score as texts without hits)."""
-        w = self.weights
-        z = sum((F.lit(v) * F.col("__f")[i] for i, v in enumerate(w[1:])), F.lit(w[0]))
-        return features(docs, self.terms, *keep, name="__f").withColumn(name, 1 / (1 + F.exp(-z))).drop("__f")
+        """Columns ``keep`` of docs and ``name``, the score (0 to 1; null and empty texts score as texts without hits).
+
+        ``keep`` may hold names of any kind but ``name``.
+        """
+        w, f = self.weights, unused("f", keep)
+        z = sum((F.lit(v) * F.col(f)[i] for i, v in enumerate(w[1:])), F.lit(w[0]))
+        return features(docs, self.terms, *keep, name=f).select(*[F.col(f"`{c}`") for c in keep], (1 / (1 + F.exp(-z))).alias(name))
 
 
 def held_out(remainder: int, mod: int, *, equal: bool) -> Column:
