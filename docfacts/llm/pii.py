@@ -1,11 +1,13 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-Method. One pattern finds e-mail addresses, payment cards, telephone numbers, IPv4 addresses, social security
+Method. One pattern finds e-mail addresses, payment cards, telephone numbers, IP addresses, social security
 numbers, dates and secrets. Numbers and dates are validated (Luhn digit, number of digits, areas, octets, calendar) and
 permuted by a keyed Feistel network within their format: a card stays a card with its Luhn digit, a date a date of the same
 400 years, an address of a host one, and a telephone number keeps its country code and the validity of its area and exchange.
 Equal values get equal pseudonyms in every document, however they are spaced. Text around a value is not touched. Whoever
-holds the key can invert numbers and dates; addresses and secrets are replaced by keyed digests of 128 bits or more.
+holds the key can invert numbers and dates; e-mail addresses, IPv6 addresses (by their spelling) and secrets are replaced by keyed
+digests, key ids and IPv6 addresses by 64 and 96 bits, others by 128 or more. The value behind a name such as ``secret`` counts if it
+is assigned or quoted; after a colon or a spaced sign a plain word is prose and stays.
 
 The pattern marks what it finds in one pass; all else works on the marked parts. The key enters plans only as a digest behind
 the word ``pseudonym-key``, which ``spark.sql.redaction.string.regex`` can hide.
@@ -26,21 +28,37 @@ ROUNDS = 8
 # What each kind looks like. A kind's pattern is tried in this order.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 NAMES = r"passwords?|passwd|pwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth[_ -]?key"
+NAMED = rf"(?i:(?:[a-z]++[_-])?(?:{NAMES}))"
+#: How keys of well-known services begin, and what follows.
+KEYS = {"A[KS]IA": "[0-9A-Z]{16}", "gh[oprsu]_": "[0-9A-Za-z]{36,}+", "github_pat_": "[0-9A-Za-z_]{22,}+", "glpat-": "[0-9A-Za-z_-]{20,}+", "sk-": "(?=[A-Za-z_-]*[0-9])[0-9A-Za-z_-]{20,}+", "xox[abprs]-": "[0-9A-Za-z-]{10,}+", "AIza": "[0-9A-Za-z_-]{35}"}
+#: The value behind a name: after an assignment any; after a colon or spaced sign, as prose has them, one that is no plain word.
+RUN = r"[^\s\"'\x01]{6,}+"
+MIXED = r"(?=[^\s\"'\x01]*?(?:[0-9]|[a-z][A-Z]|[!#$%&*+=@^~][0-9A-Za-z]))"
+QUOTED = r"(?:\"[^\"\n\x01]{6,}+(?=\")|'[^'\n\x01]{6,}+(?='))"
+SECRETS = [
+    rf"(?<![A-Za-z]){NAMED}(?:[\"']? ?=|[\"'] ?:) ?{QUOTED}", rf"(?<![A-Za-z]){NAMED}(?:[\"']?=|[\"'] ?:) ?[\"']?{RUN}", rf"(?<![A-Za-z]){NAMED} ?[=:] ?[\"']?{MIXED}{RUN}",
+    r"(?<![A-Za-z])(?i:bearer) (?=[A-Za-z._~+/-]*[0-9])[0-9A-Za-z._~+/-]{16,}+=*", *(rf"(?<![0-9A-Za-z]){k}{v}(?![0-9A-Za-z])" for k, v in KEYS.items()),
+]
+#: What stands before a number of goods or papers, and before a number of a version.
+COUNTED = r"(?<!(?i:order|invoice|ticket|case|item|serial|tracking|parcel|account|reference|ref\.?)(?: (?:no\.?|nr\.?|number|id))?[:#]? #?)"
+VERSION = r"(?<!(?i:versions?|releases?|firmware|build|revision|rev\.?|ver\.?|v\.?) )"
+# an address's local part may hold any letters; marks before it stay
+LOCAL = r"\p{L}\p{M}\p{N}._%+'-"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    # a name, a sign and the whole run behind them, or a key id that is told by its form
-    "secret": rf"(?<![A-Za-z])(?i:(?:[a-z]++[_-])?(?:{NAMES}))[\"']? ?[=:] ?[\"']?[^\s\"'\x01]{{6,}}+|(?<![0-9A-Za-z])AKIA[0-9A-Z]{{16}}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z_+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{2,4}){1,2}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z_.+-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z_-])|(?<![0-9A-Za-z_.+-])(?<![0-9] )[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9A-Za-z_-]|[ .][0-9])",
-    "ssn": r"(?<![0-9A-Za-z_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_-])",
-    "date": r"(?<![0-9A-Za-z_-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9A-Za-z_/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
+    "email": rf"(?<![{LOCAL}])[._%+'-]*+[\p{{L}}\p{{N}}][{LOCAL}]*+@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)+",
+    # a name, a sign and the whole value behind them, or a key that is told by its form
+    "secret": "|".join(SECRETS),
+    "phone": rf"(?<![0-9A-Za-z_+])\+[0-9]{{1,3}}(?:[ .-]?\([0-9]{{1,4}}\)|[ .-]?[0-9]{{2,4}}){{1,2}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}(?![0-9])|(?<![0-9A-Za-z_.+-])\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9A-Za-z_-])|(?<![0-9A-Za-z_.+-])(?<![0-9] ){COUNTED}(?:[2-9][0-9]{{2}} [0-9]{{3}} [0-9]{{4}}|[0-9]{{3}}([.-])[0-9]{{3}}\1[0-9]{{4}})(?![0-9A-Za-z_-]|[ .][0-9])|(?<=(?<![A-Za-z])(?i:tel):)[0-9]{{7,12}}(?![0-9])",
+    "ssn": rf"(?<![0-9A-Za-z_-])(?:[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}|(?<![0-9] ){COUNTED}[0-9]{{3}} [0-9]{{2}} [0-9]{{4}}(?! [0-9]))(?![0-9A-Za-z_-])",
+    "date": r"(?<![0-9A-Za-z_-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9A-Za-z_/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])|(?<![0-9A-Za-z_.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9A-Za-z_]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})(?![0-9])",
-    "ip": rf"(?<![0-9A-Za-z_.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9A-Za-z_.]){VERSION}(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])|(?<![0-9A-Za-z_:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}})(?![0-9A-Za-z_:])",
 }
 KINDS = list(PATTERNS)
 #: All patterns as one; groups are numbered through, so that its back references hold.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds nothing to find.
-MAY = rf"[0-9@]|(?i:{NAMES})[\"']? ?[=:]"
+MAY = rf"[0-9@]|(?i:{NAMES})[\"']? ?[=:]|{'|'.join(KEYS)}"
 #: Marks a found part's beginning (m) and end (e), and itself where a text holds it (n).
 MARK = "\x01"
 #: Dates are permuted over the 400 years from here on, a whole number of days of the calendar's cycle (189 * 773).
@@ -158,7 +176,10 @@ def _ip(m: Column, key: str) -> Column:
         first = F.floor(a / 256) + 1
         return F.concat_ws(".", *(x.cast("string") for x in (first + (first >= 127).cast("long"), a % 256, F.floor(b / 256), b % 256)))
 
-    return _feistel((n(0) - 1 - (n(0) > 127).cast("long")) * 256 + n(1), n(2) * 256 + n(3), F.lit(222 * 256).cast("long"), F.lit(65536).cast("long"), key, "ip", made)
+    four = _feistel((n(0) - 1 - (n(0) > 127).cast("long")) * 256 + n(1), n(2) * 256 + n(3), F.lit(222 * 256).cast("long"), F.lit(65536).cast("long"), key, "ip", made)
+    # the longer form: a digest behind the prefix that is kept for examples
+    d = _digest(F.lower(m), key, "ip")
+    return F.when(m.contains(":"), F.concat_ws(":", F.lit("2001:db8"), *(F.substring(d, 4 * i + 1, 4) for i in range(6)))).otherwise(four)
 
 
 def _ssn_area(m: Column) -> Column:
@@ -171,24 +192,27 @@ def _ssn(m: Column, key: str) -> Column:
 
     def made(a: Column, b: Column) -> Column:
         new = F.floor(a / 99) + 1
-        return F.concat_ws("-", F.lpad((new + (new >= 666).cast("long")).cast("string"), 3, "0"), F.lpad((a % 99 + 1).cast("string"), 2, "0"), F.lpad((b + 1).cast("string"), 4, "0"))
+        parts = F.lpad((new + (new >= 666).cast("long")).cast("string"), 3, "0"), F.lpad((a % 99 + 1).cast("string"), 2, "0"), F.lpad((b + 1).cast("string"), 4, "0")
+        return F.when(m.contains("-"), F.concat_ws("-", *parts)).otherwise(F.concat_ws(" ", *parts))
 
     return _feistel((area - 1 - (area > 666).cast("long")) * 99 + group - 1, serial - 1, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, "ssn", made)
 
 
 def _day(m: Column) -> Column:
-    """The date, from ISO form or from day/month/year, or else month/day/year; null if it is none of the 400 years."""
-    day = F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).otherwise(F.coalesce(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")), F.try_to_timestamp(m, F.lit("MM/dd/yyyy")))).cast("date")
+    """The date, from ISO form or, with strokes or points, from day/month/year, or else month/day/year; null if it is none of the 400 years."""
+    s = F.translate(m, ".", "/")
+    day = F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))).otherwise(F.coalesce(F.try_to_timestamp(s, F.lit("dd/MM/yyyy")), F.try_to_timestamp(s, F.lit("MM/dd/yyyy")))).cast("date")
     at = F.datediff(day, F.lit(EPOCH).cast("date"))
     return F.when((at >= 0) & (at < CYCLE[0] * CYCLE[1]), at)
 
 
 def _date(m: Column, key: str) -> Column:
-    first = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull()
+    first = F.try_to_timestamp(F.translate(m, ".", "/"), F.lit("dd/MM/yyyy")).isNotNull()
+    points = lambda x: F.when(m.contains("."), F.translate(x, "/", ".")).otherwise(x)
 
     def made(a: Column, b: Column) -> Column:
         day = F.date_add(F.lit(EPOCH).cast("date"), (a * CYCLE[1] + b).cast("int"))
-        return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(first, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+        return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).otherwise(points(F.when(first, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))))
 
     return let(_day(m).cast("long"), lambda at: _feistel(F.floor(at / CYCLE[1]), at % CYCLE[1], F.lit(CYCLE[0]).cast("long"), F.lit(CYCLE[1]).cast("long"), key, "date", made))
 
@@ -198,14 +222,19 @@ def _digest(m: Column, key: str, kind: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(_digest(F.lower(m), key, "email"), 1, 32), F.lit("@mail.invalid"))
+    marks = F.regexp_extract(m, r"^[._%+'-]*", 0)
+    return F.concat(marks, F.lit("u"), F.substring(_digest(F.lower(F.substr(m, F.length(marks) + 1)), key, "email"), 1, 32), F.lit("@mail.invalid"))
+
+
+#: How a secret begins: what stays in clear.
+LEAD = rf"^(?:(?i:(?:[a-z]+[_-])?(?:{NAMES}))[\"']? ?[=:] ?[\"']?|(?i:bearer) |{'|'.join(KEYS)})"
 
 
 def _secret(m: Column, key: str) -> Column:
-    """The run behind a name and its sign as a digest of 40 digits, whatever its length; a key id keeps its form."""
-    lead = F.regexp_extract(m, rf"^(?i:(?:[a-z]+[_-])?(?:{NAMES}))[\"']? ?[=:] ?[\"']?", 0)
+    """The value behind a name and its sign as a digest of 40 digits, whatever its length; keys of a known form keep their beginning."""
+    lead = F.regexp_extract(m, LEAD, 0)
     made = F.substring(_digest(F.substr(m, F.length(lead) + 1), key, "secret"), 1, 40)
-    return F.when(m.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.upper(F.substring(made, 1, 16)))).otherwise(F.concat(lead, made))
+    return F.when(m.rlike("^A[KS]IA[0-9A-Z]{16}$"), F.concat(lead, F.upper(F.substring(made, 1, 16)))).otherwise(F.concat(lead, made))
 
 
 def kind_of(m: Column) -> Column:
@@ -213,16 +242,18 @@ def kind_of(m: Column) -> Column:
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k].replace(chr(92) + '2', chr(92) + '1').replace(chr(92) + '3', chr(92) + '2')})$")
     area, digits = _ssn_area(m), F.length(digits_of(m))
     checks = {
-        "ssn": (area > 0) & (area < 900) & (area != 666) & ~m.rlike("-00-|-0000$"),
+        "ssn": (area > 0) & (area < 900) & (area != 666) & ~m.rlike("[ -]00[ -]|[ -]0000$"),
         "date": _day(m).isNotNull(),
         "card": (luhn_sum(digits_of(m)) % 10 == 0) & digits_of(m).rlike("[1-9]"),
         "ip": _host(m),
         "phone": ~m.startswith("+") | digits.between(8, 15),
     }
-    out = F.when(m.rlike("[=:]|^AKIA"), "secret").when(m.contains("@"), "email")
+    six = m.rlike("^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]*$")
+    out = F.when(six, F.when(m.rlike("[0-9]") & (F.size(F.split(m, ":+")) > 2), "ip")).when(m.rlike(LEAD), "secret").when(m.contains("@"), "email")
     for k, check in checks.items():
         out = out.when(whole(k), F.when(check, F.lit(k)))
-    return out
+    # digits that only what stands before them told
+    return out.when(m.rlike("^[0-9]{7,12}$"), "phone")
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:

@@ -21,6 +21,12 @@ FOUND = {
     "secret": ["Password: hunter22", "API_KEY=abcdefgh", "db_password='s3cr3t-pass'", 'token = "' + "ab12" * 60 + '"', "access-key: QWERTY123"],
     "email": ["x@y.zz", "a.b+c@d-e.co.uk"], "ip": ["8.8.8.8", "223.255.0.1"], "date": ["1800-01-01", "02/28/2001"], "card": ["4111 1111 1111 1111", "378282246310005"], "ssn": ["899-99-9999"],
 }
+MORE = {
+    "email": ["-john@x.com", "_foo@bar.com", ".foo@bar.com", "josé@x.com", "o'brien@x.com", "jörg@exämple.de"], "phone": ["tel:5551234567"], "ssn": ["123 45 6789"], "date": ["31.12.1980", "12.31.1980"],
+    "ip": ["2001:db8:85a3:0:0:8a2e:370:7334", "fe80::1ff:fe23:4567:890a"],
+    "secret": ["ghp_" + "aB3d" * 9, "sk-" + "q9Zx" * 8, "xoxb-123456789012-abcdef", "AIza" + "a1B2c" * 7, "Bearer abcdef0123456789abcdef", 'token="abc def ghi"', '"password": "hunting"', "secret: pa55word", "password: correctHorse", "ASIAABCDEFGHIJKLMNOP"],
+}
+PROSE = ["The secret: patience", "my secret: patience!", "version 2.10.3.1", "firmware 2.10.3.1", "order 123 456 7890", "order number 923 456 7890", "token = tokenizer.next()", "std::vector", "add::face", "12:30:45", "the bearer of good news everywhere", "task-force sk-learn", "passwords: never share them", "1.2.2021.4", "ref 123 45 6789", "a secret = something"]
 CLEAN = ["commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "12345678901234567890", "1,200.50", "1 200 300 4000 5", "2021-13-01", "000-12-3456", "127.0.0.1", "255.255.255.0", "passwords are", "4111 1111 1111 1112", "a@b", "\x01n\x01"]
 
 
@@ -101,6 +107,22 @@ def test_formats_that_are_found_and_left(spark):
     assert row["pii"] == ["email", "card"] and row["text"].startswith("word " * 200_000) and "1" * 100_000 + " é\x01 " in row["text"]
 
 
+def test_marked_and_keyed_forms_are_found_and_prose_is_left(spark):
+    rows = [(k, x) for k, xs in MORE.items() for x in xs]
+    core = lambda x: re.sub(r"^(?:tel:|[-._](?=\w)|xoxb-|ghp_|sk-|AIza|ASIA|Bearer |token=\"|\"password\": \"|secret: |password: )|\"$", "", x)
+    got = pii.pseudonymise(spark.createDataFrame([(k, x, f"so {x} then") for k, x in rows], "kind string, x string, text string"), "key").collect()
+    for r in got:
+        assert r["pii"] == [r["kind"]] and r["text"].startswith("so ") and r["text"].endswith(" then") and core(r["x"]) not in r["text"], r
+    made = {r["x"]: r["text"][3:-5] for r in got}
+    assert re.fullmatch(r"tel:[0-9]{10}", made["tel:5551234567"]) and re.fullmatch(r"[0-9]{3} [0-9]{2} [0-9]{4}", made["123 45 6789"]) and re.fullmatch(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", made["31.12.1980"])
+    assert made["-john@x.com"][0] == "-" and made["token=\"abc def ghi\""][-1] == '"' and made["ghp_" + "aB3d" * 9].startswith("ghp_")
+    same = pii.pseudonymise(spark.createDataFrame([("john@x.com",), ("-john@x.com",), ("123-45-6789",), ("123 45 6789",), ("1980-12-31",), ("31.12.1980",)], "text string"), "key").collect()
+    a, b, c, d, e, f = (r["text"] for r in same)
+    assert b == "-" + a and c.replace("-", " ") == d and e.split("-")[::-1] == f.split(".")
+    left = pii.pseudonymise(spark.createDataFrame([(f"so {x} then",) for x in PROSE], "text string"), "key").collect()
+    assert [r["text"] for r in left] == [f"so {x} then" for x in PROSE]
+
+
 def test_pseudonyms_equal_a_plain_feistel_network(spark):
     rng = random.Random(4)
     day = lambda: datetime.date.fromordinal(rng.randrange(datetime.date(1800, 1, 1).toordinal(), datetime.date(2199, 12, 31).toordinal())).isoformat()
