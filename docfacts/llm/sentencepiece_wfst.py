@@ -12,10 +12,9 @@ Method. A model is compiled into transducers, each a machine of its own (``start
   infinity where not. Its arcs are compiled when first needed.
 
 ``compose`` joins machines on the fly, and ``shortest`` is the tropical-semiring shortest path of an input through one. The
-encoder runs the same composition cut at borders that no piece can span (before white space, around characters of no piece),
-so its parts are words, whose paths are kept in a bounded cache; where all weights are 0 or infinity the first complete
-path is the shortest, and depth-first search finds it. Tests hold machines, compositions and encoder to each other and to the
-library.
+encoder finds the shortest path of the same composition, cut where no piece can span: the normaliser's output falls into
+words, and a word's path through pieces and pairs is kept in a bounded cache. Where arcs weigh 0 or are absent, as in BPE's
+composition, the first complete path is a shortest one, so the search may go depth first (``first_path``). Tests hold machines, compositions and encoder to each other and to the library.
 """
 
 from __future__ import annotations
@@ -175,29 +174,29 @@ class Spaces:
 
 
 class Pieces:
-    """Characters to piece ids; states are nodes of the trie of pieces, the root between pieces."""
+    """Characters to piece ids; states are nodes of the trie of pieces, 0 (the root) between pieces."""
+
+    start = 0
 
     def __init__(self, encoder: Encoder):
-        self.e, self.start = encoder, ()
+        self.e = encoder
         self.bpe = encoder.model.kind == BPE
 
-    def _node(self, state: tuple) -> dict:
-        node = self.e.trie
-        for ch in state:
-            node = node[ch]
-        return node
-
-    def step(self, state: tuple, ch: str) -> list[Arc]:
-        e, node, arcs = self.e, self._node(state).get(ch), []
-        if node is not None:
-            if "" in node:
-                arcs.append(((node[""],), 0.0 if self.bpe else -e.score[node[""]], ()))
-            arcs.append(((), 0.0, (*state, ch)))
-        if not state and (node is None or "" not in node):
-            arcs.append((tuple(e.fallback(ch)), 0.0 if self.bpe else -e.floor, ()))
+    def step(self, state: int, ch: str) -> list[Arc]:
+        e, node = self.e, self.e.below[state].get(ch)
+        if node is None:
+            return [] if state else [(tuple(e.fallback(ch)), 0.0 if self.bpe else -e.floor, 0)]
+        arcs = e.arcs[node]
+        if arcs is None:
+            piece = e.ends[node]
+            arcs = e.arcs[node] = [((piece,), 0.0 if self.bpe else -e.score[piece], 0)] if piece >= 0 else []
+            if e.below[node]:
+                arcs.append(((), 0.0, node))
+        if not state and e.ends[node] < 0:
+            return [(tuple(e.fallback(ch)), 0.0 if self.bpe else -e.floor, 0), *arcs]
         return arcs
 
-    def final(self, state: tuple) -> tuple[tuple, float] | None:
+    def final(self, state: int) -> tuple[tuple, float] | None:
         return None if state else ((), 0.0)
 
 
@@ -209,11 +208,17 @@ class Pairs:
     def __init__(self, encoder: Encoder):
         self.e = encoder
         self.free = {*encoder.byte_ids.values(), encoder.unknown}
+        self.arcs: dict[int, list[Arc]] = {}
 
     def step(self, last: int, piece: int) -> list[Arc]:
-        if piece in self.free:
-            return [((piece,), 0.0, -1)]
-        return [((piece,), 0.0, piece)] if last < 0 or self.e.follows(last, piece) else []
+        if last >= 0 and piece not in self.free:
+            may = self.e.pairs.get(last << 32 | piece)
+            if not (self.e.follows(last, piece) if may is None else may):
+                return []
+        arcs = self.arcs.get(piece)
+        if arcs is None:
+            arcs = self.arcs[piece] = [((piece,), 0.0, -1 if piece in self.free else piece)]
+        return arcs
 
     def final(self, last: int) -> tuple[tuple, float]:
         return (), 0.0
@@ -232,7 +237,17 @@ class compose:  # noqa: N801
         return ways
 
     def step(self, state: tuple, x) -> list[Arc]:
-        return [(out, w, (nxt, at)) for given, v, nxt in self.first.step(state[0], x) for out, w, at in self._feed(given, v, state[1])]
+        one, two = state
+        arcs = []
+        for given, v, nxt in self.first.step(one, x):
+            if not given:
+                arcs.append(((), v, (nxt, two)))
+            elif len(given) == 1:
+                for out, w, at in self.second.step(two, given[0]):
+                    arcs.append((out, v + w, (nxt, at)))
+            else:
+                arcs += [(out, w, (nxt, at)) for out, w, at in self._feed(given, v, two)]
+        return arcs
 
     def final(self, state: tuple) -> tuple[tuple, float] | None:
         last = self.first.final(state[0])
@@ -270,27 +285,76 @@ def shortest(machine, inputs) -> tuple[tuple, float] | None:
     return tuple(x for out in reversed(parts) for x in out), best[0]
 
 
+def first_path(machine: compose, inputs) -> tuple[tuple, float] | None:
+    """What ``shortest`` gives for a composition whose arcs all weigh 0: any path to the end.
+
+    Depth first, of a state's arcs the last one first. Outputs are fed to the second machine when their path is gone on with;
+    no state behind an output is tried twice at a place.
+    """
+    n, step, feed = len(inputs), machine.first.step, machine.second.step
+    # place, states of both machines, outputs not yet fed, outputs of the path as a linked list
+    stack: list[tuple] = [(0, *machine.start, (), ())]
+    tried = set()
+    while stack:
+        at, one, two, given, path = stack.pop()
+        while True:
+            if given:
+                arcs = feed(two, given[0]) if len(given) == 1 else machine._feed(given, 0.0, two)
+                if not arcs:
+                    break
+                for out, _, nxt in arcs[:-1]:
+                    stack.append((at, one, nxt, (), (path, out)))
+                out, _, two = arcs[-1]
+                if (at, one, two) in tried:
+                    break
+                tried.add((at, one, two))
+                path = (path, out)
+            if at == n:
+                end = machine.final((one, two))
+                if end is None:
+                    break
+                parts = [end[0]]
+                while path:
+                    path, out = path
+                    parts.append(out)
+                return tuple([x for out in reversed(parts) for x in out]), 0.0
+            arcs = step(one, inputs[at])
+            if not arcs:
+                break
+            at += 1
+            for given, _, nxt in arcs[:-1]:
+                stack.append((at, nxt, two, given, path))
+            given, _, one = arcs[-1]
+    return None
+
+
 class Encoder:
     """Texts to ids and back for one model."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.trie: dict = {}
+        #: The trie of pieces: each node's children, and the piece that ends there or -1.
+        self.below: list[dict[str, int]] = [{}]
+        self.ends: list[int] = [-1]
+        #: The arcs into each node, compiled when first needed.
+        self.arcs: list[list[Arc] | None]
         self.byte_ids = {}
         self.unknown = 0
         self.texts: list[str] = []
-        self.rank: dict[str, int] = {}
         self.best: dict[str, float] = {}
         self.score = [s for _, s, _ in model.pieces]
         raw: list[bytes] = []
         for i, (text, score, kind) in enumerate(model.pieces):
             self.texts.append(text)
             if kind in (NORMAL, USER_DEFINED):
-                node = self.trie
+                node = 0
                 for ch in text:
-                    node = node.setdefault(ch, {})
-                node[""] = i
-                self.rank[text] = i
+                    if ch not in self.below[node]:
+                        self.below[node][ch] = len(self.below)
+                        self.below.append({})
+                        self.ends.append(-1)
+                    node = self.below[node][ch]
+                self.ends[node] = i
                 self.best[text] = score
             elif kind == BYTE:
                 self.byte_ids[int(text[1:-1], 16)] = i
@@ -298,25 +362,23 @@ class Encoder:
                 self.unknown = i
             raw.append({BYTE: lambda t=text: bytes([int(t[1:-1], 16)]), CONTROL: lambda: b"", UNKNOWN: lambda: " ⁇ ".encode()}.get(kind, lambda t=text: t.replace(SPACE, " ").encode())())
         self.raw = raw
-        self.sizes = [len(t) for t in self.texts]
-        #: The longest piece that is a proper prefix of each piece, or -1.
-        self.shorter = [next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank), -1) for t in self.texts]
-        self.alphabet = {ch for t in self.rank for ch in t}
         # white space only opens pieces: then words are independent
-        self.by_word = all(SPACE not in t.lstrip(SPACE) for t in self.rank)
+        self.by_word = all(SPACE not in t.lstrip(SPACE) for t in self.best)
         self.floor = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.characters = Characters(characters_of(model.charsmap)) if model.charsmap else None
         self.spaces = Spaces(model.dummy_prefix, model.strip, model.escape)
+        self.arcs = [None] * len(self.ends)
+        #: From normalised characters to ids.
+        self.pieces = compose(Pieces(self), Pairs(self)) if model.kind == BPE else Pieces(self)
 
     def normaliser(self):
         return compose(self.characters, self.spaces) if self.characters else self.spaces
 
     def machine(self):
         """The whole composition, from characters of a text to ids."""
-        pieces = compose(Pieces(self), Pairs(self)) if self.model.kind == BPE else Pieces(self)
-        return compose(self.normaliser(), pieces)
+        return compose(self.normaliser(), self.pieces)
 
     def fallback(self, ch: str) -> list[int]:
         """Ids of a character of no piece."""
@@ -348,91 +410,12 @@ class Encoder:
             got = self.pairs[key] = self.merged(x + y) == [x, y]
         return got
 
-    def finite(self, text: str) -> list[int] | None:
-        """The one finite-weight path of BPE's composition, depth first with longer pieces first; None if there is none.
-
-        Weights are 0 or infinity, so the first complete path is the shortest. A position from which no path goes on is dead,
-        whatever piece led there, as each prefix of a text has one finite path.
-        """
-        n, root, pairs, shorter, sizes = len(text), self.trie, self.pairs, self.shorter, self.sizes
-        dead = bytearray(n + 1)
-        out: list[int] = []
-        at = 0
-        while at < n:
-            node, p = root, -1
-            for i in range(at, n):
-                node = node.get(text[i])
-                if node is None:
-                    break
-                p = node.get("", p)
-            while True:
-                if p < 0:  # dead end: back to the piece before, and on with its next shorter one
-                    dead[at] = 1
-                    if not out:
-                        return None
-                    p = out.pop()
-                    at -= sizes[p]
-                elif not dead[at + sizes[p]]:
-                    if not out:
-                        break
-                    ok = pairs.get(out[-1] << 32 | p)
-                    if ok if ok is not None else self.follows(out[-1], p):
-                        break
-                p = shorter[p]
-            out.append(p)
-            at += sizes[p]
-        return out
-
-    def path(self, text: str) -> list[int]:
+    def path(self, text: str) -> tuple[int, ...]:
         """Ids of the shortest path for a normalised text."""
-        if self.model.kind == BPE and (ids := self.finite(text)) is not None:
-            return ids
-        n = len(text)
-        bpe = self.model.kind == BPE
-        weight = [0.0] + [float("inf")] * n
-        back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)  # where the last arc began, and its piece (-1: fallback)
-        for j in range(n):
-            if weight[j] == float("inf"):
-                continue
-            last = back[j][1]
-            node = self.trie
-            i = j
-            while i < n:
-                node = node.get(text[i])
-                if node is None:
-                    break
-                i += 1
-                p = node.get("")
-                if p is None:
-                    continue
-                if bpe:
-                    if weight[i] and (last < 0 or self.follows(last, p)):
-                        weight[i], back[i] = 0.0, (j, p)
-                elif weight[j] - self.score[p] < weight[i]:
-                    weight[i], back[i] = weight[j] - self.score[p], (j, p)
-            if text[j] not in self.trie or "" not in self.trie[text[j]]:
-                w = 0.0 if bpe else weight[j] - self.floor
-                if w < weight[j + 1]:
-                    weight[j + 1], back[j + 1] = w, (j, -1)
-        out: list[int] = []
-        i = n
-        while i > 0:
-            j, p = back[i]
-            if p >= 0:
-                out.append(p)
-            else:
-                out += reversed(self.fallback(text[j:i]))
-            i = j
-        return out[::-1]
+        return (first_path if self.model.kind == BPE else shortest)(self.pieces, text)[0]
 
     def _word(self, text: str) -> bytes:
-        """Ids of a normalised word; characters of no piece stand alone."""
-        alphabet, ids, at = self.alphabet, [], 0
-        for i, ch in enumerate(text):
-            if ch not in alphabet:
-                ids += self.path(text[at:i]) + self.path(ch)
-                at = i + 1
-        return np.array(ids + self.path(text[at:]), dtype="<i4").tobytes()
+        return np.array(self.path(text), dtype="<i4").tobytes()
 
     def _joined(self, parts: list[bytes]) -> bytes:
         """Ids of consecutive words; unknown characters in a row are one unknown id."""

@@ -91,6 +91,23 @@ def test_real_model_equals_its_composition():
         assert np.frombuffer(e.encode(t), "<i4").tolist() == list(W.shortest(machine, t)[0]), t
 
 
+def test_ids_come_from_the_composition(monkeypatch):
+    """Encoding takes the ids of each word from the shortest path through pieces and pairs, and from nowhere else."""
+    e, seen, real = W.Encoder(W.Model.load(PIECES)), [], W.first_path
+
+    def watched(machine, inputs):
+        seen.append((machine, inputs))
+        return real(machine, inputs)
+
+    monkeypatch.setattr(W, "first_path", watched)
+    ids = np.frombuffer(e.encode("The hotel of é and 日"), "<i4").tolist()
+    assert [x for _, x in seen] == ["▁The", "▁hotel", "▁of", "▁é", "▁and", "▁日"]
+    assert all(m is e.pieces and isinstance(m.first, W.Pieces) and isinstance(m.second, W.Pairs) for m, _ in seen)
+    assert ids == [i for _, x in seen for i in W.shortest(W.compose(W.Pieces(e), W.Pairs(e)), x)[0]]
+    monkeypatch.setattr(W, "first_path", lambda machine, inputs: ((7,), 0.0))
+    assert np.frombuffer(e.encode("never seen"), "<i4").tolist() == [7, 7]
+
+
 def test_encode_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b", "x"), (2, "a b", "x"), (3, "word " * 30000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
