@@ -6,8 +6,9 @@ over the whole cluster, and each is compared in double precision with the next `
 found are united across passes.
 
 The number of passes is measured, not assumed: on a bounded sample of each large label ``passes_for`` finds how many hashes
-thin out a vector's unlinked neighbours to half a window, and how likely a pair at the threshold agrees on so many. Where that
-takes more work than to compare the label whole, the label is one window: all its vectors are compared in blocks.
+thin out a vector's unlinked neighbours to half a window, and how likely a pair at the threshold agrees on so many. Only a label
+for which that would take more passes than it has rows is one window: all its vectors are compared in blocks. Callers can ask
+for the same where passes cost more than a stated share of that (``whole``).
 
 Equal vectors of a label are one class from the start. Windows only have to connect a component: all links
 within each component are then counted exactly, in blocks, so large groups of near copies are whole although
@@ -25,15 +26,13 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, components, groups, starts_of
 
-WINDOW, BITS = 128, 48
+WINDOW, BITS = 32, 48
 #: Rows of the order that one step compares, and rows of a component and of a label that are compared at once.
 BLOCK, DENSE, DENSE_LABEL, CHUNK = 2048, 512, 2048, 256
 #: Share of the pairs at the threshold that passes may miss.
-MISS = 0.001
+MISS = 0.0001
 #: The largest labels are measured one by one, by a sample of so many rows each; others by what is worst among these.
 LABELS, SAMPLE = 32, 512
-#: A label is compared whole if passes would compare this many times its rows with each row.
-WHOLE = 1.25
 
 
 def passes_for(y: np.ndarray, centre: np.ndarray, rows: int, cosine: float) -> float:
@@ -95,12 +94,12 @@ class Plan:
         self.rest = 1
 
     @staticmethod
-    def choose(passes: float, rows: int) -> int:
-        return 0 if passes * WINDOW > WHOLE * rows and rows > WINDOW + 1 else int(passes)
+    def choose(passes: float, rows: int, whole: float | None) -> int:
+        return 0 if passes == float("inf") or (whole is not None and passes * WINDOW > whole * rows) else int(passes)
 
     @classmethod
-    def measure(cls, classes: DataFrame, cosine: float, passes: int | None = None) -> Plan:
-        """From classes (id, label, dims, embedding); ``passes`` overrides what is measured."""
+    def measure(cls, classes: DataFrame, cosine: float, passes: int | None = None, whole: float | None = None) -> Plan:
+        """From classes (id, label, dims, embedding); ``passes`` overrides what is measured, ``whole`` see the module."""
         plan = cls(cosine)
         sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "dims").limit(LABELS + 1).collect()
         large, rest = sizes[:LABELS], sizes[LABELS:]
@@ -115,11 +114,11 @@ class Plan:
             y = unit(np.array(rows[r["label"], r["dims"]], dtype=float))
             centre = y.mean(axis=0)
             need = float(passes) if passes else passes_for(y, centre, r["n"], cosine)
-            plan.own[r["label"], r["dims"]] = (centre, int(passes) if passes else cls.choose(need, r["n"]))
+            plan.own[r["label"], r["dims"]] = (centre, int(passes) if passes else cls.choose(need, r["n"], whole))
             if rest:
                 worst = max(worst, float(passes) if passes else passes_for(y, np.zeros(r["dims"]), rest[0]["n"], cosine))
         if rest:
-            plan.rest = passes or cls.choose(worst, rest[0]["n"])
+            plan.rest = passes or cls.choose(worst, rest[0]["n"], whole)
         return plan
 
     def of(self, label: int, dims: int) -> tuple[np.ndarray | None, int]:
@@ -130,14 +129,10 @@ def _keys(classes: DataFrame, plan: Plan) -> DataFrame:
     """(pass, label, dims, key, id): one row for each class and pass of its label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         weights = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
-        most = max([plan.rest, *(p for _, p in plan.own.values())])
         for b in batches:
             dims, labels = b.column("dims").to_numpy(), b.column("label").to_numpy()
             for d in np.unique(dims).tolist():
-                if d not in planes:
-                    planes[d] = np.random.default_rng(d + 17).standard_normal((most, d, BITS))
                 known = [x for x, y in plan.own if y == d]
                 own = [(dims == d) & (labels == x) for x in known]
                 rest = (dims == d) & ~np.isin(labels, known)
@@ -148,7 +143,8 @@ def _keys(classes: DataFrame, plan: Plan) -> DataFrame:
                     y = unit(_matrix(part.column("embedding")))
                     y = y if centre is None else y - centre
                     for n in range(passes):
-                        keys = (y @ planes[d][n] > 0) @ weights
+                        # made anew for each batch: no worker holds the planes of all passes
+                        keys = (y @ np.random.default_rng([d, n]).standard_normal((d, BITS)) > 0) @ weights
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), n, dtype=np.int32)), part.column("label"), part.column("dims"), pa.array(keys), part.column("id")], names=["pass", "label", "dims", "key", "id"])
 
     return classes.select("id", "label", "dims", "embedding").mapInArrow(run, "pass int, label long, dims int, key long, id long")
@@ -286,13 +282,14 @@ def _blocked(rows: DataFrame, parts: int, dense: int) -> DataFrame:
     return rows.select("comp", "block", "id", "side", "copies", "embedding").repartition(parts, "comp", "block").sortWithinPartitions("comp", "block")
 
 
-def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93, passes: int | None = None) -> DataFrame:
+def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93, passes: int | None = None, whole: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 
     Rows are linked if their labels are equal and not null and their cosine is ``cosine`` or more. Vectors that are
     null, empty, zero or hold null or non-finite components, and vectors of unequal length, link with nothing. A null vec_id
     links with nothing, has a null component and is kept. Rows that share a vec_id are each compared. An empty table gives
-    an empty result. Other columns are not read. ``passes`` overrides the measured number of passes for all labels.
+    an empty result. Other columns are not read. ``passes`` overrides the measured number of passes for all labels;
+    ``whole`` has labels compared whole where passes would compare each row with more than so many times the label's rows.
     """
     scratch = Scratch(spark, "embeddings")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -303,7 +300,7 @@ def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: f
     rows = rows.withColumn("hi", F.when(ok, F.xxhash64("label", "embedding"))).withColumn("lo", F.when(ok, F.xxhash64("embedding", F.lit(7))))
     classes = rows.where("hi IS NOT NULL").groupBy("hi", "lo").agg(F.min_by(F.struct(F.col("vec_id").alias("id"), "label", "embedding"), "vec_id").alias("c"), F.count("*").alias("copies"))
     classes = scratch.table(classes.select("hi", "lo", "c.*", "copies").withColumn("dims", F.size("embedding")))
-    plan = Plan.measure(classes, cosine, passes)
+    plan = Plan.measure(classes, cosine, passes, whole)
 
     ranked = _ranked(_keys(classes, plan), scratch, parts)
     block = F.floor(F.col("rank") / BLOCK).cast("long")

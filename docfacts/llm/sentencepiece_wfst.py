@@ -181,20 +181,25 @@ class Pieces:
     def __init__(self, encoder: Encoder):
         self.e = encoder
         self.bpe = encoder.model.kind == BPE
+        #: The arcs out of each node by character; of no piece's characters only where a piece begins with them.
+        self.table = [{ch: self._arcs(state, ch, node) for ch, node in below.items()} for state, below in enumerate(encoder.below)]
+
+    def _fallback(self, ch: str) -> Arc:
+        return tuple(self.e.fallback(ch)), 0.0 if self.bpe else -self.e.floor, 0
+
+    def _arcs(self, state: int, ch: str, node: int) -> list[Arc]:
+        piece, arcs = self.e.ends[node], []
+        if piece >= 0:
+            arcs.append(((piece,), 0.0 if self.bpe else -self.e.score[piece], 0))
+        elif not state:
+            arcs.append(self._fallback(ch))
+        if self.e.below[node]:
+            arcs.append(((), 0.0, node))
+        return arcs
 
     def step(self, state: int, ch: str) -> list[Arc]:
-        e, node = self.e, self.e.below[state].get(ch)
-        if node is None:
-            return [] if state else [(tuple(e.fallback(ch)), 0.0 if self.bpe else -e.floor, 0)]
-        arcs = e.arcs[node]
-        if arcs is None:
-            piece = e.ends[node]
-            arcs = e.arcs[node] = [((piece,), 0.0 if self.bpe else -e.score[piece], 0)] if piece >= 0 else []
-            if e.below[node]:
-                arcs.append(((), 0.0, node))
-        if not state and e.ends[node] < 0:
-            return [(tuple(e.fallback(ch)), 0.0 if self.bpe else -e.floor, 0), *arcs]
-        return arcs
+        arcs = self.table[state].get(ch)
+        return arcs if arcs is not None else [] if state else [self._fallback(ch)]
 
     def final(self, state: int) -> tuple[tuple, float] | None:
         return None if state else ((), 0.0)
@@ -336,8 +341,6 @@ class Encoder:
         #: The trie of pieces: each node's children, and the piece that ends there or -1.
         self.below: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
-        #: The arcs into each node, compiled when first needed.
-        self.arcs: list[list[Arc] | None]
         self.byte_ids = {}
         self.unknown = 0
         self.texts: list[str] = []
@@ -369,7 +372,6 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         self.characters = Characters(characters_of(model.charsmap)) if model.charsmap else None
         self.spaces = Spaces(model.dummy_prefix, model.strip, model.escape)
-        self.arcs = [None] * len(self.ends)
         #: From normalised characters to ids.
         self.pieces = compose(Pieces(self), Pairs(self)) if model.kind == BPE else Pieces(self)
 

@@ -113,17 +113,33 @@ def leaning(n, dims, mean, pairs, seed=3):
 def test_links_of_leaning_vectors(spark, n, mean, whole):
     y = leaning(n, 32, mean, 300)
     df = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": [v.tolist() for v in y], "label": 1}), "vec_id long, embedding array<double>, label int")
-    rows = embed_dedup.embedding_near_duplicates(spark, df).toPandas().set_index("vec_id").sort_index()
+    # labels are compared whole only where that is asked for
+    rows = embed_dedup.embedding_near_duplicates(spark, df, whole=1.25 if whole else None).toPandas().set_index("vec_id").sort_index()
     y = embed_dedup.unit(y)
     links = np.zeros(n, dtype=int)
     for s in range(0, n, 1000):
         links[s : s + 1000] = (y[s : s + 1000] @ y.T >= 0.93).sum(axis=1) - 1
     assert (rows["n_links"].to_numpy() == links).mean() > (0.9999 if whole else 0.999)
     assert rows["n_links"].sum() >= 0.99 * links.sum() > 0
-    plan = embed_dedup.Plan.measure(df.selectExpr("vec_id AS id", "CAST(label AS bigint) AS label", "size(embedding) AS dims", "embedding"), 0.93)
+    plan = embed_dedup.Plan.measure(df.selectExpr("vec_id AS id", "CAST(label AS bigint) AS label", "size(embedding) AS dims", "embedding"), 0.93, whole=1.25 if whole else None)
     assert (plan.of(1, 32)[1] == 0) == whole
 
 
+@pytest.mark.parametrize(("n", "mean"), [(50, 0.0), (218, 0.0), (1200, 0.3)])
+def test_windows_decide_the_links_of_small_labels(spark, monkeypatch, n, mean):
+    """Labels larger than a window are linked by passes, not by comparing all their vectors."""
+
+    def never(cosine):
+        raise AssertionError("compared whole")
+
+    monkeypatch.setattr(embed_dedup, "_whole", never)
+    y = leaning(n, 64, mean, n // 10, seed=n)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(np.repeat(y, 2, axis=0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.embedding_near_duplicates(spark, df).toPandas().set_index("vec_id").sort_index()["n_links"].to_numpy()
+    assert n > embed_dedup.WINDOW and (got[::2] == (y @ y.T >= 0.93).sum(axis=1) - 1).all() and (got[::2] == got[1::2]).all()
+
+
 def test_windows_that_overflow(spark):
     rng = np.random.default_rng(9)
     x = np.vstack([rng.standard_normal(16) + 0.02 * rng.standard_normal((1500, 16)), rng.standard_normal((500, 16))])
