@@ -104,17 +104,20 @@ National Bank: National Bank Financial
 # What follows a house's name where it names a publication, not the house.
 PUBLICATIONS = ["Valuation Handbook", "Cost of Capital", "Risk Premium", "Size Study", "Navigator"]
 
+# By rule: a price or a value of equity of a later time, and price targets, at their present value.
+_FUTURE = [" ".join(f"present value(s) of {article} {kind} future {what}".split()) for article in ("", "a", "an", "the") for kind in ("", "illustrative", "projected", "illustrative projected") for what in ("stock", "share", "equity")]
+_TARGETS = [" ".join(f"{verb} {article} {by} {what} price target(s)".split()) for verb in ("discounted", "discounting") for article in ("", "the") for by in ("", "analyst") for what in ("", "stock", "share")]
 # Words that name an analysis, by class.
 ANALYSES = {
-    "ddm": ["dividend discount", "DDM", "discounted dividend", "net present value analysis", "net present value per share"],
-    "pv_future_price": ["present value of future stock", "present value of future share", "present value of illustrative future", "present value of projected future", "future share price", "future stock price", "discounted price target", "discounted equity value"],
+    "ddm": ["dividend discount", "DDM", "discounted dividend", "net present value analysis", "net present value analyses", "net present value per share"],
+    "pv_future_price": [*_FUTURE, "future stock price", "future share price", *_TARGETS, "discounted equity value"],
     "nav": ["net asset value", "NAV"],
     "dcf": ["discounted cash flow", "DCF", "sum-of-the-parts", "sum of the parts", "unlevered free cash flow"],
     "other": ["selected companies", "selected publicly traded companies", "comparable companies", "comparable company", "public trading", "precedent transaction", "selected transaction", "premiums paid", "premium paid", "contribution analysis", "leveraged buyout", "LBO", "accretion", "historical stock price", "historical share price", "historical trading", "trading multiples", "returns analysis"],
 }
 
 # Stems of verbs by which a house acts, and words that may come before them.
-ACTS = ["also", "analy", "appl", "assum", "calculat", "compar", "conduct", "consider", "deriv", "determin", "discount", "estimat", "noted", "perform", "prepar", "review", "select", "then", "use", "using", "utiliz", "valu"]
+ACTS = ["perform", "conduct", "calculat", "appl", "deriv", "use", "using", "assum", "utiliz", "select", "discount", "review", "estimat", "valu", "prepar", "also", "then", "analy", "noted", "consider", "determin", "compar"]
 
 # Phrases that name what a value is. Blanks stand for white space or a hyphen, (s) for an ending that may lack.
 CUES = {
@@ -124,6 +127,9 @@ CUES = {
     "growth": ["dividend growth rate(s)", "growth rate(s) in perpetuity", "long term dividend growth rate(s)", "perpetuity rate(s)"],
     "exit opens": ["exit", "terminal"],
     "exit closes": ["multiple(s)", "multiple(s) method", "ratio(s)"],
+    # a multiple that is no terminal one by its own words: terminal values come behind it, or it is told again
+    "multiple leads": ["multiple(s) of", "multiple(s) range of", "multiple(s) ranging from"],
+    "told again": ["earnings multiple(s) range of", "earnings per share multiple(s) range of", "EPS multiple(s) range of", "price multiple(s) range of", "price per share multiple(s) range of"],
     "worked out": ["applied", "apply", "applying", "based on", "multiple", "multiples", "multiplied", "multiplying", "selected", "used", "using", "utilized", "utilizing"],
     # between "implied" and its cue
     "fillers": ["a", "an", "the", "illustrative", "range", "range of", "of"],
@@ -176,7 +182,7 @@ MONEY_MARKS = {
 # General words for parties.
 PARTIES = {
     "counter": ["Acquirer", "Acquiror", "Acquisition Corp", "Buyer", "Merger Sub", "Parent", "Purchaser"],
-    "pro forma": ["combined business", "combined company", "combined entity", "pro forma"],
+    "pro forma": ["combined business", "combined company", "combined entity", "combined", "pro forma"],
 }
 
 

@@ -26,6 +26,7 @@ PERCENT, TIMES = r"(?:\s*%\)?|\s*per\s?cent\b)", r"(?:\s*x\b|\s*×|\s*times\b)"
 FREE = r"(?<![\w.,$])"
 AMOUNT = r"\$\s?\d{1,4}(?:,\d{3})*(?:\.\d+)?"
 SHARE = r"\s+per\s+(?:\w+\s+){0,2}(?:share|unit)"
+FROM_TO = rf"\s*{NUMBER}{TIMES}?{TO}{NUMBER}{TIMES}"
 SIGNS = "0123456789(nm" + DASHES
 WORD = "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,12 +61,14 @@ RULES: list[tuple[str, str, str]] = [
     ("usd", "$", rf"(?<![\w.]){AMOUNT}(?:\s*(?:thousand|million|billion)\b)?"),
     ("discount", _initials(CUES["discount"]), phrases(CUES["discount"])),
     ("growth", _initials(CUES["growth opens"] + CUES["growth"]), rf"{spanning(CUES['growth opens'], 4, CUES['growth closes'])}|{phrases(CUES['growth'])}"),
-    ("exit", "et", rf"{spanning(CUES['exit opens'], 6, CUES['exit closes'])}|terminal\s+values?(?=[^.;]{{0,120}}\b(?:{phrases(CUES['worked out'])}))"),
+    ("exit", "etmp", rf"{spanning(CUES['exit opens'], 8, CUES['exit closes'])}|terminal\s+(?:values?|year)(?=[^.;]{{0,120}}\b(?:{phrases(CUES['worked out'])}))"
+     rf"|(?:{phrases(CUES['multiple leads'])})(?={FROM_TO}[^.;]{{0,220}}?\bterminal\s+values?)|(?:{phrases(CUES['told again'])})(?={FROM_TO}\s+referred\s+to\s+above)"),
     ("implied", "i", r"\bimpl(?:ied|ying|ies|y)\b"),
     ("reserve", _initials(CUES["reserve"]), phrases(CUES["reserve"])),
     ("fee_other", _initials(FEE_WORDS["other"]), phrases(FEE_WORDS["other"])),
     ("fee", _initials(FEE_WORDS["fee"]), phrases(FEE_WORDS["fee"])),
     *((f"analysis_{name}", _initials(forms), phrases(forms)) for name, forms in ANALYSES.items()),
+    ("analysis_chosen", "s", spanning(["selected"], 3, ["company", "companies"])),
     ("pro_forma", "pc", phrases(PARTIES["pro forma"])),
     ("counter", "exact" + _initials(PARTIES["counter"]), phrases(PARTIES["counter"])),
     ("filer", "exactTtC", r"(?:[Tt]he\s+)?Company\b"),
@@ -76,7 +79,7 @@ STOP = re.compile(r"(?<!\b[A-Z]\.)(?<!Inc\.)(?<!Co\.)(?<!Corp\.)(?<!Ltd\.)(?<!No
 BEGIN = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9]|[$(\n]|[{DASHES}](?=\d)|(?<=[.;!?])\s")
 SCALE = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
 #: A text that states a value of any field holds one of these.
-ANCHORS = r"(?i)discount|\bWACC\b|average[\s-]+cost|costs?\s+of\s+(?:equity|capital)|growth|perpetuity\s+rate|multiple|ratio|terminal\s+value|\$\s?\d"
+ANCHORS = r"(?i)discount|\bWACC\b|average[\s-]+cost|costs?\s+of\s+(?:equity|capital)|growth|perpetuity\s+rate|multiple|ratio|terminal\s+(?:value|year)|\$\s?\d"
 AND = re.compile(r"\sand\s", re.I)
 #: Most text between two lexemes that is kept for the next step, behind a lexeme to tell cells of a table, and around a value.
 GAP, AFTER, AROUND = 80, 14, 600
@@ -206,7 +209,7 @@ def lex(text: str, lines: list[dict] | None = None, names: re.Pattern | None = N
             row["name"] = FORMS.get(" ".join(m.group().split()))
             row["raw_low"] = "acts" if NEXT_ACT.match(text, end, end + 120) else None
         elif kind.startswith("analysis_"):
-            row["kind"], row["name"] = "analysis", kind[9:]
+            row["kind"], row["name"] = "analysis", "other" if kind == "analysis_chosen" else kind[9:]
             row["raw_low"] = "strong" if until - line <= SHORT_LINE or start - line <= LINE_START else None
         elif kind in ("pct", "x", "usd") or kind.endswith("_range"):
             unit, _, ranged = kind.partition("_")
