@@ -6,13 +6,15 @@ the text again, since values carry what stands around them.
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions.lexicon import CUES as LEX_CUES
 from . import parties as P
-from .lexing import lexemes
+from .lexing import dealt, lexemes
 from .sections import REACH, heading_kind, majority
 
 CUES = ["discount", "growth", "exit"]
@@ -36,38 +38,56 @@ ORDER = ["line", "sentence", "start", "n"]
 
 
 def _unit(kind: Column) -> Column:
-    return F.regexp_replace(kind, "_range$", "")
+    return F.replace(kind, F.lit("_range"), F.lit(""))
 
 
 def _windows(*doc: str):
-    """(document, sentence before, sentence after, whole sentence, whole line) in the order of the text."""
-    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    """(document, sentence, whole sentence) in the order of the text."""
     d = Window.partitionBy(*doc).orderBy(*ORDER)
     s = Window.partitionBy(*doc, "line", "sentence").orderBy("start", "n")
-    line = Window.partitionBy(*doc, "line").orderBy("sentence", "start", "n")
-    return d, s, s.rowsBetween(first, last), line.rowsBetween(first, last)
+    return d, s, s.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+#: Columns by the stage at which all that they read is there; windows of one stage and order are one operator.
+Stages = list[dict[str, Column]]
+
+
+def _staged(rows: DataFrame, *families: Stages) -> DataFrame:
+    """Rows with the columns of all families, stage by stage: every operator copies whole rows, so there are as few as can be."""
+    for stage in zip_longest(*families, fillvalue={}):
+        rows = rows.withColumns({k: c for family in stage for k, c in family.items()})
+    return rows
 
 
-def _marked(lexemes: DataFrame, *doc: str) -> DataFrame:
-    """Lexemes with what their neighbours say of them: all columns that valuations read."""
-    d, s, _, _ = _windows(*doc)
+def _last_house(d) -> Column:
+    return F.last(F.when(F.col("kind") == "house", F.struct("start", "name")), ignorenulls=True).over(d.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _marked(*doc: str) -> Stages:
+    """What a lexeme's neighbours say of it: all columns that valuations read."""
+    d, _, _ = _windows(*doc)
     is_cue = F.col("kind").isin(CUES)
-    is_value = F.col("low").isNotNull() & _unit(F.col("kind")).isin("pct", "x")
+    is_value = F.col("low").isNotNull() & F.col("kind").isin("pct", "pct_range", "x", "x_range")
     # cues, values and the words that turn them are what a value's neighbours can be
     part = is_cue | is_value | F.col("kind").isin("implied", "reserve")
     unit, none = _unit(F.col("kind")), Window.unboundedPreceding
-    rows = lexemes.withColumns({"__part": part, "__value": is_value})
     # the last lexeme that takes part, before this one
     prior = F.last(F.when(F.col("__part"), F.struct("kind", "start", "end", "__value")), ignorenulls=True).over(d.rowsBetween(none, -1))
-    rows = rows.withColumn("__prior", prior)
+    # whether the last cue or value before this one is a cue: a value that begins a list is then the first after its cue
+    follows = F.last(F.when(is_cue | is_value, is_cue), ignorenulls=True).over(d.rowsBetween(none, -1))
     listed = is_value & F.col("__prior.__value") & F.col("gap").rlike(LISTED) & (_unit(F.col("__prior.kind")) == unit)
-    rows = rows.withColumn("__listed", F.coalesce(listed, F.lit(False)))
-    # the number of list heads so far tells whether a value is the first after its cue
-    rows = rows.withColumn("__head", F.sum((is_value & ~F.col("__listed")).cast("int")).over(s))
     away = F.col("start") - F.col("__prior.end")
-    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "after", F.col("__head").alias("head"), F.when(F.col("kind") == "exit", "x").otherwise("pct").alias("unit"), F.col("__prior.kind").alias("prior"), F.col("__prior.start").alias("prior_at"), away.alias("away"), F.coalesce((F.length("gap") == away) & F.col("gap").rlike(FILLERS), F.lit(False)).alias("led")))
-    rows = rows.withColumn("__cue", cue)
-    return rows.withColumn("__next", F.struct(F.lead("__cue").over(s).alias("cue"), F.lead("gap").over(s).alias("gap"))).withColumn("__last", F.last("__cue", ignorenulls=True).over(s.rowsBetween(none, -1)))
+    cue = F.when(is_cue, F.struct("kind", F.col("start").alias("at"), F.col("end").alias("to"), "after", "sentence", F.when(F.col("kind") == "exit", "x").otherwise("pct").alias("unit"), F.col("__prior.kind").alias("prior"), F.col("__prior.start").alias("prior_at"), away.alias("away"), F.coalesce((F.length("gap") == away) & F.col("gap").rlike(FILLERS), F.lit(False)).alias("led")))
+    return [
+        {"__part": part, "__value": is_value},
+        {"__prior": prior, "__follows": follows},
+        {"__listed": F.coalesce(listed, F.lit(False)), "__cue": cue},
+        {
+            "__next": F.lead(F.struct(F.col("__cue").alias("cue"), "gap", "sentence")).over(d), "__last": F.last("__cue", ignorenulls=True).over(d.rowsBetween(none, -1)),
+            # of the value that begins this one's list
+            "__first_list": F.last(F.when(is_value & ~F.col("__listed"), F.coalesce("__follows", F.lit(False))), ignorenulls=True).over(d.rowsBetween(none, 0)),
+        },
+    ]
 
 
 def _valuation() -> tuple[Column, Column, Column]:
@@ -77,8 +97,9 @@ def _valuation() -> tuple[Column, Column, Column]:
     value that is not part of the same list stands between. ``implied`` before the cue makes the field implied, if nothing but up to four filling words stands between.
     """
     u = _unit(F.col("kind"))
-    behind = F.coalesce((F.col("__next.cue.unit") == u) & F.col("__next.gap").rlike(BEFORE_CUE), F.lit(False))
-    ahead = (F.col("__last.unit") == u) & (F.col("start") - F.col("__last.to") <= CUE_REACH) & (F.col("__head") - F.col("__last.head") == 1)
+    here = lambda c: F.col(f"{c}.sentence") == F.col("sentence")
+    behind = F.coalesce((F.col("__next.cue.unit") == u) & here("__next") & F.col("__next.gap").rlike(BEFORE_CUE), F.lit(False))
+    ahead = (F.col("__last.unit") == u) & here("__last") & (F.col("start") - F.col("__last.to") <= CUE_REACH) & F.col("__first_list")
     c = F.when(F.col("__value"), F.when(behind, F.col("__next.cue")).when(ahead, F.col("__last")))
     # a central bank's rate is no discount rate
     c = F.when(~((c["kind"] == "discount") & c["prior"].eqNullSafe("reserve") & (c["away"] <= 30)), c)
@@ -92,7 +113,7 @@ def _valuation() -> tuple[Column, Column, Column]:
 def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
     """Rates, growth rates and multiples of each document: columns ``doc``, n, field, start, end, low, high, unit, raw ends, cue."""
     c, field, behind = _valuation()
-    rows = _marked(lexemes, *doc).withColumns({"c": c, "field": field, "reversed": behind}).where("c IS NOT NULL")
+    rows = _staged(lexemes, _marked(*doc)).withColumns({"c": c, "field": field, "reversed": behind}).where("c IS NOT NULL")
     return rows.select(
         *doc, "n", "field", F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", _unit(F.col("kind")).alias("unit"), "raw_low", "raw_high",
         F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence",
@@ -169,8 +190,8 @@ def _offered() -> Column:
     return (F.col("kind") == "usd") & F.col("low").between(0.5, 5000) & F.coalesce(leads & cash & ~other & ~mixed, F.lit(False))
 
 
-def _fees(rows: DataFrame, *doc: str) -> DataFrame:
-    """Rows with ``fees``, the fields that an amount states: total, opinion and contingent part of an advisor's fee.
+def _fees(*doc: str) -> Stages:
+    """``fees``, the fields that an amount states: total, opinion and contingent part of an advisor's fee.
 
     A sentence counts if it has a word for fees and none for other payments, and a house in it or shortly before. An amount is
     introduced if the last word before it that bears on pay is one for fees. What it is for stands behind it, before the next amount: an
@@ -178,16 +199,16 @@ def _fees(rows: DataFrame, *doc: str) -> DataFrame:
     is introduced is the total; it is the opinion's fee too where that is what it is for, unless it is credited. A total that is followed by
     ``of which`` has no part of its own.
     """
-    d, s, sentence, _ = _windows(*doc)
+    d, _, sentence = _windows(*doc)
     has = lambda k: F.max((F.col("kind") == k).cast("int")).over(sentence) == 1
-    house = F.when(F.col("kind") == "house", F.struct("start", "name"))
-    before = F.last(house, ignorenulls=True).over(d.rowsBetween(Window.unboundedPreceding, -1))
-    inside = F.last(house, ignorenulls=True).over(sentence)
-    before = F.when(before["start"] >= F.col("sentence_start") - 250, before["name"])
-    rows = rows.withColumn("fee_house", F.coalesce(before, inside["name"]))
+    inside = F.last(F.when(F.col("kind") == "house", F.col("name")), ignorenulls=True).over(sentence)
+    before = F.when(F.col("__house.start") >= F.col("sentence_start") - 250, F.col("__house.name"))
+    house = F.coalesce(before, F.col("__inside"))
     scaled = F.col("raw_low").rlike("(?i)thousand|million|billion")
     ranged = F.col("left").rlike(r"(?i)between\s*$") | F.col("right").rlike(r"(?i)^\s+and\s+\$")
-    amount = (F.col("kind") == "usd") & has("fee") & ~has("fee_other") & F.col("fee_house").isNotNull() & (scaled | (F.col("low") <= 100e6)) & ~ranged
+    # whether the sentence counts is the same for all amounts of it, so which is the first does not hang on it
+    counts = F.col("__has_fee") & ~F.col("__has_other") & house.isNotNull()
+    amount = (F.col("kind") == "usd") & (scaled | (F.col("low") <= 100e6)) & ~ranged
     introduced = F.coalesce(_last(_before("fee_word", "earlier", "credit", "part", "amount", "percent"))["name"] == "fee_word", F.lit(False))
     own, parts = _behind("given", "opinion", "depends", "closing", "part"), ["opinion", "depends", "more", "fee_word", "amount"]
     # the words right before this amount's own word for a fee: "opinion fee", "contingent fee", "additional fee"
@@ -201,18 +222,24 @@ def _fees(rows: DataFrame, *doc: str) -> DataFrame:
     # as if no total came before
     alone = F.when(~which, kind)
     total = introduced & ~titled("more") & ~(credited & alone.eqNullSafe("fee_opinion"))
-    rows = rows.withColumns({"__fee": F.when(amount, F.struct(kind.alias("kind"), alone.alias("alone"), total.alias("total")))})
-    first = F.min(F.when(F.col("__fee.total"), F.col("n"))).over(sentence)
-    rows = rows.withColumn("__first", first)
+    fee = F.when(amount & counts, F.struct(kind.alias("kind"), alone.alias("alone")))
+    first = F.min(F.when(amount & total, F.col("n"))).over(sentence)
     at_first, behind = F.col("n") == F.col("__first"), F.coalesce(F.col("n") > F.col("__first"), F.lit(False))
     part = F.when(behind, F.col("__fee.kind")).otherwise(F.col("__fee.alone"))
     both = F.when(at_first, F.array(F.lit("fee_total"), F.when(F.col("__fee.alone") == "fee_opinion", F.lit("fee_opinion")))).otherwise(F.array(part))
-    return rows.withColumn("fees", F.when(F.col("__fee").isNotNull(), F.array_compact(both))).drop("__fee", "__first")
+    return [
+        {},
+        {"__house": _last_house(d)},
+        {},
+        {"__has_fee": has("fee"), "__has_other": has("fee_other"), "__inside": inside, "__first": first},
+        {"fee_house": house, "__fee": fee},
+        {"fees": F.when(F.col("__fee").isNotNull(), F.array_compact(both))},
+    ]
 
 
 def money_terms(lexemes: DataFrame, *doc: str) -> DataFrame:
     """Dollar values: per-share ranges, fees (total, opinion, contingent) with their house; columns as ``candidates`` and house."""
-    rows = _fees(lexemes, *doc)
+    rows = _staged(lexemes, _fees(*doc))
     fields = F.coalesce(F.when(_per_share(), F.array(F.lit("value_per_share"))), F.col("fees"))
     out = rows.withColumn("field", F.explode(fields))
     usd = F.col("field") == "value_per_share"
@@ -230,28 +257,35 @@ def offer_price(lexemes: DataFrame, *doc: str) -> DataFrame:
 # Context: sections, houses, analyses and parties around a value.
 
 
-def _contexts(rows: DataFrame, *doc: str) -> DataFrame:
-    """Lexemes with the section they are in and the last house, analysis and party before them, and parties of their sentence."""
-    d, s, sentence, line = _windows(*doc)
+def _contexts(*doc: str) -> Stages:
+    """The section that a lexeme is in and the last house, analysis and party before it, parties of its sentence, houses of opinions."""
+    d, s, sentence = _windows(*doc)
     first, last = Window.unboundedPreceding, Window.unboundedFollowing
     before, here = d.rowsBetween(first, -1), d.rowsBetween(first, 0)
     kind = F.col("kind")
     mark = lambda test: F.last(F.when(test, F.struct("start", "name")), ignorenulls=True).over(before)
     heading = F.when(kind == "line", heading_kind(F.col("name"), F.col("low")))
-    party = F.when(kind.isin("filer", "counter"), F.struct("kind", "start"))
+    party = F.when(kind.isin("filer", "counter"), F.struct("kind", "start", "sentence"))
+    whole = d.rowsBetween(first, last)
     analysis, strong = kind == "analysis", F.col("raw_low").eqNullSafe("strong")
-    rows = rows.withColumn("__heading", heading)
-    rows = rows.withColumns({
-        "__section": F.last(F.when(F.col("__heading").isNotNull(), F.struct(F.col("__heading").alias("kind"), F.col("start"), F.col("end"))), ignorenulls=True).over(here),
-        "__house": mark(kind == "house"), "__actor": mark((kind == "house") & F.col("raw_low").eqNullSafe("acts")),
-        "__strong": mark(analysis & strong), "__weak": mark(analysis & ~strong & (F.col("name") != "other")), "__mark": mark(analysis & (F.col("name") != "other")),
-        "__party": F.last(party, ignorenulls=True).over(before), "__left": F.last(party, ignorenulls=True).over(s.rowsBetween(first, -1)), "__right": F.first(party, ignorenulls=True).over(s.rowsBetween(1, last)),
-        "__joint": F.max((kind == "pro_forma").cast("int")).over(sentence) == 1, "__joint_line": F.max(((kind == "pro_forma") & (F.col("start") - F.col("line") < PARAGRAPH)).cast("int")).over(line) == 1,
-    })
-    rows = rows.withColumn("__seg", F.coalesce("__section.start", F.lit(0)))
-    seg = Window.partitionBy(*doc, "__seg")
     near = (kind == "house") & (F.col("start") >= F.col("__seg")) & (F.col("start") < F.col("__seg") + REACH) & (F.col("__section.kind") == "opinion")
-    return rows.withColumn("__houses", F.collect_list(F.when(near, F.struct("start", "name"))).over(seg))
+    return [
+        {"__heading": heading},
+        {
+            "__section": F.last(F.when(F.col("__heading").isNotNull(), F.struct(F.col("__heading").alias("kind"), F.col("start"), F.col("end"))), ignorenulls=True).over(here),
+            "__house": _last_house(d), "__actor": mark((kind == "house") & F.col("raw_low").eqNullSafe("acts")),
+            "__strong": mark(analysis & strong), "__weak": mark(analysis & ~strong & (F.col("name") != "other")), "__mark": mark(analysis & (F.col("name") != "other")),
+            "__party": F.last(party, ignorenulls=True).over(before),
+            # lines that soon speak of a combined company
+            "__joint_lines": F.collect_set(F.when((kind == "pro_forma") & (F.col("start") - F.col("line") < PARAGRAPH), F.col("line"))).over(whole),
+        },
+        {"__seg": F.coalesce("__section.start", F.lit(0))},
+        {
+            "__right": F.first(party, ignorenulls=True).over(s.rowsBetween(1, last)), "__joint": F.max((kind == "pro_forma").cast("int")).over(sentence) == 1,
+            # of all opinions of the document, in its order: bounded by their number, since none is looked into further than ``REACH``
+            "__houses": F.collect_list(F.when(near, F.struct("start", "name", F.col("__seg").alias("seg")))).over(whole),
+        },
+    ]
 
 
 def _placed(rows: DataFrame, role: Column) -> DataFrame:
@@ -265,16 +299,18 @@ def _placed(rows: DataFrame, role: Column) -> DataFrame:
     # a value that only its surroundings place has no section to look back into
     floor = lambda reach: F.when(own, F.greatest(F.coalesce(seg["start"], F.lit(0)), at - reach)).otherwise(at)
     actor = F.when(F.col("__actor.start") >= floor(HOUSE_REACH), F.col("__actor.name"))
-    section = F.when(own & (seg["kind"] == "opinion"), majority(F.col("__houses"), seg["end"]))
+    section = F.when(own & (seg["kind"] == "opinion"), majority(F.filter("__houses", lambda h: h["seg"] == F.col("__seg")), seg["end"]))
     named = lambda c: F.when(F.col(f"{c}.start") >= floor(ANALYSIS_REACH), F.col(f"{c}.name"))
     away = lambda c: F.abs(F.col(f"{c}.start") - at)
     within = lambda c: F.when(away(c) <= SENTENCE_REACH, F.col(f"{c}.kind"))
-    nearest = F.when(within("__right").isNull() | (within("__left").isNotNull() & (away("__left") <= away("__right"))), within("__left")).otherwise(within("__right"))
+    # the last party before the value, if it is of the same sentence
+    left = F.when(F.col("__party.sentence") == F.col("sentence"), within("__party"))
+    nearest = F.when(within("__right").isNull() | (left.isNotNull() & (away("__party") <= away("__right"))), left).otherwise(within("__right"))
     earlier = F.when(F.col("__party.start") >= F.when(own, floor(SUBJECT_REACH)).otherwise(at - SUBJECT_REACH), F.col("__party.kind"))
     side = F.coalesce(nearest, earlier)
     filer = F.when(role == "acquirer", "acquirer").otherwise("target")
     counter = F.when(role == "acquirer", "target").otherwise("acquirer")
-    joint = F.col("__joint") | F.col("__joint_line") | F.coalesce(F.col("name") == "pro_forma", F.lit(False))
+    joint = F.col("__joint") | F.array_contains("__joint_lines", F.col("line")) | F.coalesce(F.col("name") == "pro_forma", F.lit(False))
     return rows.withColumns({
         "advisor": F.coalesce("house", actor, section, F.lit("unattributed")), "analysis": F.coalesce(named("__strong"), named("__weak"), F.lit("unspecified")),
         "subject": F.when(joint, "pro_forma").when(side == "filer", filer).when(side == "counter", counter).otherwise("unspecified"),
@@ -324,29 +360,30 @@ def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None =
     however many there are. Null and empty texts have no values; repeated documents must differ in ``doc``.
     """
     whole = F.col(text).cast("string")
-    # texts are dealt by document before they are lexed: lexemes are larger, and so need no shuffle of their own
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartition(parts, *doc).withColumn("doc_sha256", E.fingerprint(whole))
+    # dealt here, so that the names of a text's companies are found in all tasks too
+    docs = dealt(docs, *doc).withColumn("doc_sha256", E.fingerprint(whole))
     if company:
         docs = docs.withColumn("__filer", P.aliases(F.col(company)))
         docs = docs.withColumns({"__other": P.other_names(whole, F.col("__filer")), "__role": P.filer_role(whole, F.col("__filer"))})
     else:
         docs = docs.withColumn("__role", F.lit("target"))
     keep = [*doc, "doc_sha256", "__role"]
-    lex = lexemes(docs, text, *keep, prefilter=prefilter, lines=lines, filer="__filer" if company else None, other="__other" if company else None)
+    lex = lexemes(docs, text, *keep, prefilter=prefilter, lines=lines, filer="__filer" if company else None, other="__other" if company else None, by=doc)
     c, field, behind = _valuation()
-    rows = _contexts(_fees(_marked(lex, *doc), *doc), *doc)
+    every = _windows(*doc)[0].rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offers = F.collect_list(F.when(_offered(), F.struct("low", "start"))).over(every)
+    rows = _staged(lex, _marked(*doc), _fees(*doc), _contexts(*doc), [{}, {}, {}, {"__offers": offers}])
     fields = F.coalesce(F.when(c.isNotNull(), F.array(field)), F.when(_per_share(), F.array(F.lit("value_per_share"))), F.col("fees"), F.array().cast("array<string>"))
     rows = rows.withColumns({"__c": c, "__behind": behind, "__fields": F.when(_offered(), F.array_append(fields, F.lit("offer_price"))).otherwise(fields)})
     # a filter behind the explosion, since one before it would compute all fields twice
     rows = rows.withColumn("field", F.explode_outer("__fields")).where("field IS NOT NULL")
     # the price with most votes, ties to the earliest; only its first statement is a fact
-    every = Window.partitionBy(*doc)
     is_offer = F.col("field") == "offer_price"
-    rows = rows.withColumn("__votes", F.when(is_offer, F.count(F.when(is_offer, 1)).over(Window.partitionBy(*doc, "field", "low"))))
-    rows = rows.withColumn("__first", F.when(is_offer, F.min(F.when(is_offer, F.col("start"))).over(Window.partitionBy(*doc, "field", "low"))))
-    best = F.max(F.when(is_offer, F.struct("__votes", (-F.col("__first")).alias("p")))).over(every)
-    rows = rows.withColumn("__best", best).where(~is_offer | ((F.col("__best.__votes") >= 2) & (F.col("start") == -F.col("__best.p"))))
+    said = lambda low: F.filter("__offers", lambda o: o["low"] == low)
+    first = F.array_min(F.transform(said(F.col("low")), lambda o: o["start"]))
+    ranks = F.transform(F.array_distinct(F.transform("__offers", lambda o: o["low"])), lambda low: F.struct(F.size(said(low)), -F.array_min(F.transform(said(low), lambda o: o["start"])), low.alias("low")))
+    best = F.when((F.size(said(F.col("low"))) >= 2) & (F.col("start") == first), F.array_max(ranks)["low"] == F.col("low"))
+    rows = rows.where(~is_offer | best)
     valued, money = F.col("field").isin(VALUATION), F.col("field").startswith("fee_")
     forward = F.when(F.col("field").startswith("implied"), F.col("__c.prior_at")).otherwise(F.col("__c.at"))
     begin = F.when(valued, F.least("start", F.when(F.col("__behind"), F.col("start")).otherwise(forward))).otherwise(F.col("start"))

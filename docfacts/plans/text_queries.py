@@ -14,7 +14,7 @@ from ..operators import extraction as X
 from ..operators import finalize as Z
 from ..operators import parties as P
 from ..operators import sections as S
-from ..operators.lexing import lexemes
+from ..operators.lexing import dealt, lexemes
 from ..sources.html import html_offset, html_to_document
 from .queries import QUERIES, add
 
@@ -173,14 +173,14 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
     text = _join("The Company agreed to pay ", c("house"), " a fee of $", _n(c("fee") + 0.5), " million, $", F.format_string("%.2f", c("fee") / 4), " million upon delivery of its opinion.")
-    return X.money_terms(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", "field", R("low").alias("low"), "house")
+    return X.money_terms(lexemes(dealt(d.select("o_orderkey", text.alias("text")), "o_orderkey"), "text", "o_orderkey", by=("o_orderkey",)), "o_orderkey").select("o_orderkey", "field", R("low").alias("low"), "house")
 
 
 @add("per_share_values", f"WITH {NUMBERS} SELECT o_orderkey, 'value_per_share' AS field, round(a * 10, 4) AS low, round(b * 10 + 1, 4) AS high FROM d")
 def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
     text = _join("This indicated a range of implied values per share of $", F.format_string("%.2f", c("a") * 10), " to $", F.format_string("%.2f", c("b") * 10 + 1), ".")
-    return _out(X.money_terms(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey"))
+    return _out(X.money_terms(lexemes(dealt(d.select("o_orderkey", text.alias("text")), "o_orderkey"), "text", "o_orderkey", by=("o_orderkey",)), "o_orderkey"))
 
 
 @add("offer_price", f"WITH {NUMBERS} SELECT o_orderkey, round(a * 4, 4) AS low, 2 AS votes FROM d")
@@ -188,7 +188,7 @@ def _(spark, sf_dir):
     d, c = _documents(spark, sf_dir), F.col
     price = F.format_string("%.2f", c("a") * 4)
     text = _join("Holders will receive $", price, " in cash. An earlier merger consideration of $3.00 in cash was refused. Each share has the right to receive $", price, " in cash.")
-    return X.offer_price(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", R("low").alias("low"), F.col("votes").cast("int").alias("votes"))
+    return X.offer_price(lexemes(dealt(d.select("o_orderkey", text.alias("text")), "o_orderkey"), "text", "o_orderkey", by=("o_orderkey",)), "o_orderkey").select("o_orderkey", R("low").alias("low"), F.col("votes").cast("int").alias("votes"))
 
 
 @add("fee_cases", f"""WITH {NUMBERS} SELECT o_orderkey, unnest(CASE fee % 6 WHEN 0 THEN ['fee_total', 'fee_opinion', 'fee_contingent'] WHEN 1 THEN ['fee_total', 'fee_opinion'] WHEN 2 THEN ['fee_opinion'] WHEN 3 THEN ['fee_total'] ELSE [] END) AS field,
@@ -206,7 +206,7 @@ def _(spark, sf_dir):
         .when(kind == 4, _join(c("house"), " advised. The Company must pay a termination fee of ", whole, "."))
         .otherwise(_join("In the past two years ", c("house"), " had a fee of ", whole, " for other work."))
     )
-    return X.money_terms(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", "field", R("low").alias("low"), "house")
+    return X.money_terms(lexemes(dealt(d.select("o_orderkey", text.alias("text")), "o_orderkey"), "text", "o_orderkey", by=("o_orderkey",)), "o_orderkey").select("o_orderkey", "field", R("low").alias("low"), "house")
 
 
 @add("per_share_cases", f"WITH {NUMBERS} SELECT o_orderkey, round(a * 10, 4) AS low FROM d WHERE fee % 5 < 2")
@@ -220,7 +220,7 @@ def _(spark, sf_dir):
         .when(kind == 3, _join("The implied values per share beside the 52-week closing price were ", values, "."))
         .otherwise(_join("Implied values per share: | ", values, " | 7"))
     )
-    return X.money_terms(lexemes(d.select("o_orderkey", text.alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", R("low").alias("low"))
+    return X.money_terms(lexemes(dealt(d.select("o_orderkey", text.alias("text")), "o_orderkey"), "text", "o_orderkey", by=("o_orderkey",)), "o_orderkey").select("o_orderkey", R("low").alias("low"))
 
 
 @add("offer_cases", f"WITH {NUMBERS} SELECT o_orderkey, round(a * 4, 4) AS low, 2 AS votes FROM d WHERE fee % 5 = 0")
@@ -234,7 +234,7 @@ def _(spark, sf_dir):
         .when(kind == 3, _join("Each share has the right to receive $", price, " of notes. "))
         .otherwise(_join("The initial proposal was a price of $", price, " in cash. "))
     )
-    return X.offer_price(lexemes(d.select("o_orderkey", F.concat(once, once).alias("text")), "text", "o_orderkey"), "o_orderkey").select("o_orderkey", R("low").alias("low"), F.col("votes").cast("int").alias("votes"))
+    return X.offer_price(lexemes(dealt(d.select("o_orderkey", F.concat(once, once).alias("text")), "o_orderkey"), "text", "o_orderkey", by=("o_orderkey",)), "o_orderkey").select("o_orderkey", R("low").alias("low"), F.col("votes").cast("int").alias("votes"))
 
 
 @add("valuation_dates", f"""WITH {NUMBERS} SELECT o_orderkey, CASE fee % 5 WHEN 0 THEN '2022-09-30' WHEN 1 THEN '2022-09-30' WHEN 2 THEN '2021-12-31' ELSE '' END AS valuation_date FROM d""")
