@@ -55,7 +55,9 @@ def _spoken_of(text: Column, names: Column) -> Column:
     run = rf"((?:[A-Z][\w&'-]*(?:\.[\w&'-]+)*\.?\s+){{1,{LONGEST}}})(?:[A-Z]\s+)?(?i:{'|'.join(s.replace(' ', '[ ]+') for s in SHARES)})\b"
     named = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(1)), lambda r: F.array_join(F.filter(F.split(F.trim(F.regexp_replace(r, "['’]s\\b", "")), r"\s+"), lambda w: ~w.isin(NO_NAMES)), " "))
     other = F.filter(named, lambda n: (n != "") & ~F.exists(names, lambda a: F.startswith(n, a) | F.startswith(a, n)))
-    return F.transform(F.array_distinct(other), lambda n: F.struct(F.size(F.filter(other, lambda x: x == n)).cast("long").alias("mentions"), (-F.array_position(other, n)).alias("place"), n.alias("name")))
+    counted = lambda all_: F.transform(F.array_distinct(all_), lambda n: F.struct(F.size(F.filter(all_, lambda x: x == n)).cast("long").alias("mentions"), (-F.array_position(all_, n)).alias("place"), n.alias("name")))
+    # bound as the one element of an array: written twice within a lambda, the text would be searched anew for each name
+    return F.get(F.transform(F.array(other), counted), F.lit(0))
 
 
 def _foremost(text: Column, names: Column) -> Column:
