@@ -15,7 +15,7 @@ from ..functions import expressions as E
 from ..functions.lexicon import CUES as LEX_CUES
 from . import parties as P
 from .lexing import dealt, lexemes
-from .sections import REACH, heading_kind, majority
+from .sections import REACH, majority, with_heading_kind
 
 CUES = ["discount", "growth", "exit"]
 FIELD = {"discount": "discount_rate", "growth": "terminal_growth", "exit": "exit_multiple"}
@@ -90,30 +90,32 @@ def _marked(*doc: str) -> Stages:
     ]
 
 
-def _valuation() -> tuple[Column, Column, Column]:
-    """(cue, field, whether the cue comes after the value) of a marked lexeme; null cue if it states no valuation.
+def _valued(rows: DataFrame) -> DataFrame:
+    """Marked lexemes with ``__c``, ``__field`` and ``__behind``: cue, field, and whether the cue comes after the value; null cue if one states no valuation.
 
     A value right before a cue of its unit belongs to it; else to the last such cue before it in its sentence, if no other
     value that is not part of the same list stands between. ``implied`` before the cue makes the field implied, if nothing but up to four filling words stands between.
+    Each step is a column of its own: written into one another, the patterns would be sought anew for every use of the cue.
     """
     u = _unit(F.col("kind"))
     here = lambda c: F.col(f"{c}.sentence") == F.col("sentence")
-    behind = F.coalesce((F.col("__next.cue.unit") == u) & here("__next") & F.col("__next.gap").rlike(BEFORE_CUE), F.lit(False))
+    behind = F.coalesce(F.col("__value") & (F.col("__next.cue.unit") == u) & here("__next") & F.col("__next.gap").rlike(BEFORE_CUE), F.lit(False))
     ahead = (F.col("__last.unit") == u) & here("__last") & (F.col("start") - F.col("__last.to") <= CUE_REACH) & F.col("__first_list")
-    c = F.when(F.col("__value"), F.when(behind, F.col("__next.cue")).when(ahead, F.col("__last")))
+    rows = rows.withColumn("__behind", behind)
+    rows = rows.withColumn("__c", F.when(F.col("__value"), F.when(F.col("__behind"), F.col("__next.cue")).when(ahead, F.col("__last"))))
     # a central bank's rate is no discount rate
-    c = F.when(~((c["kind"] == "discount") & c["prior"].eqNullSafe("reserve") & (c["away"] <= 30)), c)
-    implied = (c["prior"] == "implied") & c["led"] & ~behind
-    field = F.when(implied & (c["kind"] == "growth"), "implied_growth").when(implied & (c["kind"] == "exit"), "implied_multiple")
+    c = lambda f: F.col(f"__c.{f}")
+    rows = rows.withColumn("__c", F.when(~((c("kind") == "discount") & c("prior").eqNullSafe("reserve") & (c("away") <= 30)), F.col("__c")))
+    implied = (c("prior") == "implied") & c("led") & ~F.col("__behind")
+    field = F.when(implied & (c("kind") == "growth"), "implied_growth").when(implied & (c("kind") == "exit"), "implied_multiple")
     for k, f in FIELD.items():
-        field = F.coalesce(field, F.when(c["kind"] == k, f))
-    return c, field, behind
+        field = field.when(c("kind") == k, f)
+    return rows.withColumn("__field", field)
 
 
 def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
     """Rates, growth rates and multiples of each document: columns ``doc``, n, field, start, end, low, high, unit, raw ends, cue."""
-    c, field, behind = _valuation()
-    rows = _staged(lexemes, _marked(*doc)).withColumns({"c": c, "field": field, "reversed": behind}).where("c IS NOT NULL")
+    rows = _valued(_staged(lexemes, _marked(*doc))).withColumnsRenamed({"__c": "c", "__field": "field", "__behind": "reversed"}).where("c IS NOT NULL")
     return rows.select(
         *doc, "n", "field", F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", _unit(F.col("kind")).alias("unit"), "raw_low", "raw_high",
         F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence",
@@ -264,13 +266,12 @@ def _contexts(*doc: str) -> Stages:
     before, here = d.rowsBetween(first, -1), d.rowsBetween(first, 0)
     kind = F.col("kind")
     mark = lambda test: F.last(F.when(test, F.struct("start", "name")), ignorenulls=True).over(before)
-    heading = F.when(kind == "line", heading_kind(F.col("name"), F.col("low")))
     party = F.when(kind.isin("filer", "counter"), F.struct("kind", "start", "sentence"))
     whole = d.rowsBetween(first, last)
     analysis, strong = kind == "analysis", F.col("raw_low").eqNullSafe("strong")
     near = (kind == "house") & (F.col("start") >= F.col("__seg")) & (F.col("start") < F.col("__seg") + REACH) & (F.col("__section.kind") == "opinion")
     return [
-        {"__heading": heading},
+        {},
         {
             "__section": F.last(F.when(F.col("__heading").isNotNull(), F.struct(F.col("__heading").alias("kind"), F.col("start"), F.col("end"))), ignorenulls=True).over(here),
             "__house": _last_house(d), "__actor": mark((kind == "house") & F.col("raw_low").eqNullSafe("acts")),
@@ -369,12 +370,14 @@ def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None =
         docs = docs.withColumn("__role", F.lit("target"))
     keep = [*doc, "doc_sha256", "__role"]
     lex = lexemes(docs, text, *keep, prefilter=prefilter, lines=lines, filer="__filer" if company else None, other="__other" if company else None, by=doc)
-    c, field, behind = _valuation()
+    lex = with_heading_kind(lex, "__heading", F.when(F.col("kind") == "line", F.col("name")), F.col("low"))
     every = _windows(*doc)[0].rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offers = F.collect_list(F.when(_offered(), F.struct("low", "start"))).over(every)
-    rows = _staged(lex, _marked(*doc), _fees(*doc), _contexts(*doc), [{}, {}, {}, {"__offers": offers}])
-    fields = F.coalesce(F.when(c.isNotNull(), F.array(field)), F.when(_per_share(), F.array(F.lit("value_per_share"))), F.col("fees"), F.array().cast("array<string>"))
-    rows = rows.withColumns({"__c": c, "__behind": behind, "__fields": F.when(_offered(), F.array_append(fields, F.lit("offer_price"))).otherwise(fields)})
+    offers = F.collect_list(F.when(F.col("__offered"), F.struct("low", "start"))).over(every)
+    rows = _valued(_staged(lex, _marked(*doc), _fees(*doc), _contexts(*doc), [{"__offered": _offered()}, {}, {}, {"__offers": offers}]))
+    # a lexeme's fields differ, as only amounts have several
+    rows = rows.withColumn("__per_share", F.col("__c").isNull() & _per_share())
+    fields = F.when(F.col("__c").isNotNull(), F.array("__field")).when(F.col("__per_share"), F.array(F.lit("value_per_share"))).otherwise(F.coalesce("fees", F.array().cast("array<string>")))
+    rows = rows.withColumn("__fields", F.concat(fields, F.when(F.col("__offered"), F.array(F.lit("offer_price"))).otherwise(F.array().cast("array<string>"))))
     # a filter behind the explosion, since one before it would compute all fields twice
     rows = rows.withColumn("field", F.explode_outer("__fields")).where("field IS NOT NULL")
     # the price with most votes, ties to the earliest; only its first statement is a fact
