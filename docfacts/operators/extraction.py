@@ -113,9 +113,14 @@ def _valued(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__field", field)
 
 
+def stated(lexemes: DataFrame, *doc: str) -> DataFrame:
+    """All lexemes with c, the cue of a value that states a rate, a growth rate or a multiple, its field, and whether they are reversed."""
+    return _valued(_staged(lexemes, _marked(*doc))).withColumnsRenamed({"__c": "c", "__field": "field", "__behind": "reversed"})
+
+
 def candidates(lexemes: DataFrame, *doc: str) -> DataFrame:
     """Rates, growth rates and multiples of each document: columns ``doc``, n, field, start, end, low, high, unit, raw ends, cue."""
-    rows = _valued(_staged(lexemes, _marked(*doc))).withColumnsRenamed({"__c": "c", "__field": "field", "__behind": "reversed"}).where("c IS NOT NULL")
+    rows = stated(lexemes, *doc).where("c IS NOT NULL")
     return rows.select(
         *doc, "n", "field", F.least("start", "c.at").alias("start"), F.greatest("end", F.when(F.col("reversed"), F.col("c.to")).otherwise(F.col("end"))).alias("end"), "low", "high", _unit(F.col("kind")).alias("unit"), "raw_low", "raw_high",
         F.col("c.kind").alias("cue"), "reversed", F.col("start").alias("at"), "sentence",

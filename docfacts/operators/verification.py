@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from .durable import written
-from .extraction import candidates
+from .extraction import stated
 from .lexing import lexemes
 
 #: Fields whose spans state dollars, and what one unit of them is.
 MONEY = {"value_per_share": 1.0, "offer_price": 1.0, "fee_total": 1e6, "fee_opinion": 1e6, "fee_contingent": 1e6}
 #: Whole-document problems; a document's facts share them, and none of its spans is looked at.
 MISSING, CHANGED = "document_missing", "document_changed"
+#: A span that many facts share is read again for each so many parts of them, so that none of it is one task's.
+PARTS = 16
 
 
 def save_by_document(df: DataFrame, table: str, buckets: int) -> None:
@@ -31,27 +33,29 @@ def save_by_document(df: DataFrame, table: str, buckets: int) -> None:
 def _cut(facts: DataFrame, texts: DataFrame) -> DataFrame:
     """Facts with their document's state and with span and snippet cut out of its text; the text itself goes no further."""
     docs = texts.select("accession", F.col("text").cast("string").alias("__text"), F.lit(True).alias("__there"))
+    # once a document, not once a fact
+    docs = docs.withColumn("__digest", E.fingerprint(F.coalesce("__text", F.lit(""))))
     rows = facts.join(docs, "accession", "left")
     n = F.length("__text")
     cut = lambda a, b: F.substr("__text", F.col(a) + 1, F.col(b) - F.col(a))
     in_text = (F.col("span_start") >= 0) & (F.col("span_start") < F.col("span_end")) & (F.col("span_end") <= n)
     around = (F.col("snippet_start") >= 0) & (F.col("snippet_start") <= F.col("span_start")) & (F.col("span_end") <= F.col("snippet_end")) & (F.col("snippet_end") <= n)
-    digest = E.fingerprint(F.coalesce("__text", F.lit("")))
-    state = F.when(F.col("__there").isNull(), MISSING).when(~digest.eqNullSafe(F.col("doc_sha256")), CHANGED)
+    state = F.when(F.col("__there").isNull(), MISSING).when(~F.col("__digest").eqNullSafe(F.col("doc_sha256")), CHANGED)
     return rows.withColumns({
         "__state": state, "__in": F.coalesce(in_text, F.lit(False)), "__around": F.coalesce(around, F.lit(False)),
         "__span": F.when(in_text, cut("span_start", "span_end")), "__snippet": F.when(around, E.collapse(cut("snippet_start", "snippet_end"))),
-    }).drop("__text", "__there")
+    }).drop("__text", "__there", "__digest")
 
 
-def _read_again(spans: DataFrame) -> DataFrame:
-    """(fact_id, span, field, low, high) of all values that the lexer and the grammar read in a span alone; money in dollars as field ``usd``."""
-    lex = lexemes(spans, "__span", "fact_id", "__span")
-    rates = candidates(lex, "fact_id", "__span").select("fact_id", "__span", "field", "low", "high")
-    usd = lex.where(F.col("kind").isin("usd", "usd_range")).groupBy("fact_id", "__span").agg(F.array_sort(F.collect_list(F.struct("start", F.when(F.col("kind") == "usd", F.array("low")).otherwise(F.array("low", "high")).alias("v")))).alias("s"))
-    ends = F.flatten(F.transform("s", lambda s: s["v"]))
-    money = usd.select("fact_id", "__span", F.lit("usd").alias("field"), F.get(ends, F.lit(0)).alias("low"), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))).alias("high"))
-    return rates.unionByName(money)
+def _read_again(spans: DataFrame, *key: str) -> DataFrame:
+    """(key, __read array of (field, low, high)): what the lexer and the grammar read in a span alone; money in dollars as field ``usd``. One pass over the spans."""
+    rows = stated(lexemes(spans, "__span", *key, by=key), *key)
+    rates = F.collect_list(F.when(F.col("c").isNotNull(), F.struct("field", "low", "high")))
+    paid = F.when(F.col("kind").isin("usd", "usd_range"), F.struct("start", F.when(F.col("kind") == "usd", F.array("low")).otherwise(F.array("low", "high")).alias("v")))
+    found = rows.groupBy(*key).agg(rates.alias("__rates"), F.flatten(F.transform(F.array_sort(F.collect_list(paid)), lambda s: s["v"])).alias("__ends"))
+    first, second = F.get("__ends", F.lit(0)), F.get("__ends", F.lit(1))
+    money = F.array_compact(F.array(F.when(first.isNotNull(), F.struct(F.lit("usd").alias("field"), first.alias("low"), F.coalesce(second, first).alias("high")))))
+    return found.select(*key, F.concat("__rates", money).alias("__read"))
 
 
 def verify_release(facts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -63,15 +67,16 @@ def verify_release(facts: DataFrame, texts: DataFrame) -> DataFrame:
     ``snippet_does_not_contain_span``, ``snippet_not_verbatim``, ``snippet_too_long``, ``value_text_not_in_span`` and ``value_not_reproduced``.
 
     Facts are joined with texts once on accession, without a shuffle where both are tables of ``save_by_document``; only cut spans
-    of at most a few hundred characters are read again. Repeated facts are each judged; null bounds are out of range; a null text is an empty
+    of at most a few hundred characters are read again, equal ones together. Repeated facts are each judged; null bounds are out of range; a null text is an empty
     one. No fact gives an empty result.
     """
     # the join leaves a document's facts together; they are read twice below, without their text
-    rows = written(_cut(facts, texts).withColumn("__document", F.max("__state").over(Window.partitionBy("accession"))), "verify")
+    part = F.pmod(F.xxhash64("fact_id"), F.lit(PARTS)).cast("int")
+    rows = written(_cut(facts, texts).withColumns({"__document": F.max("__state").over(Window.partitionBy("accession")), "__slice": part}), "verify")
     ready = F.col("__document").isNull() & F.col("__in")
-    spans = rows.where(ready).select("fact_id", "__span").distinct()
-    read = _read_again(spans).groupBy("fact_id", "__span").agg(F.collect_list(F.struct("field", "low", "high")).alias("__read"))
-    rows = rows.join(read.withColumnsRenamed({"fact_id": "__fact", "__span": "__said"}), F.col("fact_id").eqNullSafe(F.col("__fact")) & F.col("__span").eqNullSafe(F.col("__said")), "left")
+    # what a span says hangs on nothing but its text
+    spans = rows.where(ready).select("__span", "__slice").distinct()
+    rows = rows.join(_read_again(spans, "__span", "__slice"), ["__span", "__slice"], "left")
     unit = F.coalesce(*[F.when(F.col("field") == f, F.lit(u)) for f, u in MONEY.items()])
     near = lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
     rate = F.exists("__read", lambda r: (r["field"] == F.col("field")) & (r["low"] == F.col("low")) & (r["high"] == F.col("high")))

@@ -34,12 +34,16 @@ p AS (SELECT o_orderkey, f.field, CASE WHEN k = 1 OR k = 8 THEN 'document_change
 def _release(spark, sf_dir):
     """(facts, texts) of orders; by o_custkey % 9 a text is changed or gone, or one fact is."""
     c = F.col
-    d = _documents(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (c("o_custkey") % 9).alias("k")), "o_orderkey")
+    d = _documents(spark, sf_dir, (c("o_custkey") % 9).alias("k"))
     before = _join(c("house"), " used ")
     rates = _join("discount rates ranging from ", _n(c("a")), "% to ", _n(c("b")), "%")
     middle, exits = F.lit("  in its analysis,\nand "), _join("exit multiples of ", _n(c("m")), "x")
     fee = _join("$", c("fee").cast("string"), " million")
-    text = F.concat(before, rates, middle, exits, F.lit(". The fee is "), fee, F.lit("."))
+    # columns, so that numbers are written once for all that holds them
+    d = d.withColumns({"rates": rates, "exits": exits, "paid": fee})
+    rates, exits, fee = c("rates"), c("exits"), c("paid")
+    d = d.withColumn("text", F.concat(before, rates, middle, exits, F.lit(". The fee is "), fee, F.lit(".")))
+    text = c("text")
     at = {"discount_rate": F.length(before), "exit_multiple": F.length(F.concat(before, rates, middle)), "fee_total": F.length(text) - 1 - F.length(fee)}
     said = {"discount_rate": rates, "exit_multiple": exits, "fee_total": fee}
     values = {"discount_rate": (c("a"), c("b"), _join(_n(c("a")), "%"), _join(_n(c("b")), "%")), "exit_multiple": (c("m"), c("m"), _join(_n(c("m")), "x"), _join(_n(c("m")), "x")), "fee_total": (c("fee").cast("double"), c("fee").cast("double"), fee, fee)}

@@ -25,7 +25,7 @@ d AS (SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 'Lazard' WHEN 1 THEN 'Go
 """
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey",
@@ -37,6 +37,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 7 == 0).alias("wild"),
         (k % 5 == 0).alias("unnamed"),
         (c % 40 + 1).alias("fee"),
+        *more,
     )
 
 
