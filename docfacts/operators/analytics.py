@@ -40,11 +40,11 @@ def pairwise_differences(values: DataFrame) -> DataFrame:
     return both.withColumn("abs_diff", F.abs(F.col("value_a") - F.col("value_b")))
 
 
-def disagreement(pairs: DataFrame) -> DataFrame:
-    """One row of statistics of ``abs_diff``; its quantiles are found by selection, so no task reads all pairs."""
+def disagreement(pairs: DataFrame, stored: bool = False) -> DataFrame:
+    """One row of statistics of ``abs_diff``; its quantiles are found by selection, so no task reads all pairs. Pairs that are ``stored`` are not written again."""
     d = F.col("abs_diff")
     share = lambda x: F.avg((d >= x).cast("double"))
-    pairs = written(pairs.select("deal_id", "abs_diff"), "pairs")
+    pairs = pairs if stored else written(pairs.select("deal_id", "abs_diff"), "pairs")
     q = exact_quantiles(pairs, "abs_diff", [0.5, 0.25, 0.75]).first()["quantiles"]
     stats = pairs.agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_pp"), share(1.0).alias("share_ge_1pp"), share(2.0).alias("share_ge_2pp"), F.max(d).alias("max_pp"), F.count_distinct("deal_id").alias("n_deals"))
     named = {name: F.lit(v).cast("double") for name, v in zip(("median_pp", "p25_pp", "p75_pp"), q, strict=True)}

@@ -55,9 +55,9 @@ def _beside(parts: list[DataFrame]) -> DataFrame:
 
 def disagreement(facts: DataFrame, field: str, draws: int, seed: int, single_only: bool = False) -> DataFrame:
     """One row: ``analytics.disagreement`` of a field, with the interval of its median."""
-    pairs = written(A.pairwise_differences(A.advisor_values(facts, field, single_only)), "pairs")
+    pairs = written(A.pairwise_differences(A.advisor_values(facts, field, single_only)).select("deal_id", "abs_diff"), "pairs")
     interval = bootstrap_median(pairs, draws, seed).select(F.when(F.col("low").isNotNull(), F.array("low", "high")).alias("median_ci_95"))
-    return _beside([A.disagreement(pairs), interval])
+    return _beside([A.disagreement(pairs, stored=True), interval])
 
 
 def corpus(facts: DataFrame, filings: DataFrame) -> DataFrame:
@@ -92,14 +92,14 @@ def example(facts: DataFrame, company: str, most: int = 1000) -> DataFrame:
     return _beside([deal, listed])
 
 
-def result_tree(facts: DataFrame, filings: DataFrame, yields: DataFrame, draws: int = 2000, seed: int = 0, company: str | None = None, **more: DataFrame) -> DataFrame:
+def result_tree(facts: DataFrame, filings: DataFrame, yields: DataFrame, draws: int = 2000, seed: int = 0, company: str | None = None, stored: bool = False, **more: DataFrame) -> DataFrame:
     """One row of nested structs: seed, draws, corpus and analyses of a released table, and ``more`` one-row frames, such as a verification's report.
 
     Each analysis is a bounded summary and is computed where its own operator says; the row is assembled from them as scalars of one plan, so
     nothing but summaries meets in it. Names that start with ``_`` are left out and NaN is null. Empty tables give zeros, nulls
-    and empty lists.
+    and empty lists. ``facts`` that are ``stored`` as files are read from these, and not written anew.
     """
-    facts = written(facts, "facts")
+    facts = facts if stored else written(facts, "facts")
     rates = written(A.deal_rates(facts, yields), "rates")
     open_rates = rates.where("NOT financial")
     units = written(A.implied_growth_units(facts), "units")

@@ -167,7 +167,7 @@ def _(spark, sf_dir):
     """Statistics of the tree of results, each read from its JSON."""
     f = written(_flags(spark, sf_dir), "flagged")
     filings = f.select("accession", "deal_id", F.col("filing_date").alias("file_date")).distinct()
-    tree = T.as_json(T.result_tree(f, filings, yields(spark, sf_dir), draws=200))
+    tree = T.as_json(T.result_tree(f, filings, yields(spark, sf_dir), draws=200, stored=True))
     paths = [at + k for at, (_, _, stats) in TREE.items() for k in stats]
     each = tree.select(F.explode(F.create_map(*[x for p in paths for x in (F.lit(p), F.get_json_object("json", p).cast("double"))])).alias("path", "value"))
     return each.withColumn("value", F.round(F.when(F.col("path").isin(*SLOPES), F.col("value") * 1e6).otherwise(F.col("value")), 6))
