@@ -127,7 +127,8 @@ def valuation_date(sentence: Column, anchor: Column) -> Column:
 
     dates = F.filter(F.concat(*[found(p, f) for p, f in forms.items()]), lambda d: d["day"].isNotNull())
     about = sentence.rlike("(?i)present|discount|valu")
-    return F.when(about & (F.size(dates) > 0), F.date_format(F.array_min(dates)["day"], "yyyy-MM-dd")).otherwise("")
+    # no test of their number, so that the dates are sought once
+    return F.when(about, F.coalesce(F.date_format(F.array_min(dates)["day"], "yyyy-MM-dd"), F.lit(""))).otherwise("")
 
 
 def fingerprint(text: Column) -> Column:

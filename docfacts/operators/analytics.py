@@ -5,9 +5,12 @@ Facts: deal_id, accession, field, low, high, advisor, subject, analysis, span_st
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import FINANCIAL_SIC2, UNNAMED, midpoint, soft_flags, wilson_interval
@@ -156,14 +159,17 @@ def advisor_table(facts: DataFrame, top: int = 12) -> DataFrame:
 def flags(facts: DataFrame, key: list[str], distance: int = 3000) -> DataFrame:
     """``facts`` with ``flags``: soft flags of each fact, and growth_ge_discount for near pairs with growth high >= discount low.
 
-    ``key`` names a fact uniquely. Both facts of such a pair get the flag.
+    ``key`` names a fact uniquely; one with nulls in it has no pairs. Both facts of such a pair get the flag. The facts are read once: of those within
+    ``distance`` the least rate and the greatest growth tell whether there is such a pair. An advisor's facts of a filing meet in one task.
     """
-    side = lambda f, p: facts.where(F.col("field") == f).select("accession", "advisor", "subject", F.col("span_start").alias(f"{p}_at"), F.col("low").alias(f"{p}_low"), F.col("high").alias(f"{p}_high"), F.struct(*key).alias(f"{p}_key"))
-    pairs = band_pairs(side("terminal_growth", "g"), side("discount_rate", "r"), ["accession", "advisor", "subject"], "g_at", "r_at", distance).where("g_high >= r_low")
-    bad = pairs.select(F.explode(F.array("g_key", "r_key")).alias("k")).select("k.*").distinct().withColumn("__bad", F.lit(True))
-    own = soft_flags(F.col("field"), F.col("low"), F.col("high"))
-    every = F.array_sort(F.when(F.col("__bad"), F.array_append(own, F.lit("growth_ge_discount"))).otherwise(own))
-    return facts.join(bad, key, "left").withColumn("flags", F.array_join(every, ";")).drop("__bad")
+    field, at = F.col("field"), F.col("span_start")
+    near = Window.partitionBy("accession", "advisor", "subject").orderBy(at.cast("long")).rangeBetween(-distance, distance)
+    rate, growth = F.min(F.when(field == "discount_rate", F.col("low"))).over(near), F.max(F.when(field == "terminal_growth", F.col("high"))).over(near)
+    pair = F.when(field == "terminal_growth", F.col("high") >= F.col("__rate")).when(field == "discount_rate", F.col("__growth") >= F.col("low"))
+    known = reduce(and_, [F.col(c).isNotNull() for c in dict.fromkeys([*key, "accession", "advisor", "subject", "span_start"])])
+    own = soft_flags(field, F.col("low"), F.col("high"))
+    every = F.array_sort(F.when(known & pair, F.array_append(own, F.lit("growth_ge_discount"))).otherwise(own))
+    return facts.withColumns({"__rate": rate, "__growth": growth}).withColumn("flags", F.array_join(every, ";")).drop("__rate", "__growth")
 
 
 def flag_histogram(flagged: DataFrame) -> DataFrame:

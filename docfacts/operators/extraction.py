@@ -338,6 +338,15 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("reason", reason)
 
 
+def accepted(found: DataFrame) -> DataFrame:
+    """The facts among judged values: those without a reason.
+
+    The reason goes through an explosion, since Spark moves a filter no further: it would put all that reasons are made of into the
+    filter and work it out again for each value.
+    """
+    return found.withColumn("__reason", F.explode_outer(F.array("reason"))).where("__reason IS NULL").drop("__reason")
+
+
 def verify(facts: DataFrame, span: Column, snippet: Column | None = None) -> DataFrame:
     """Adds ``problems``: what keeps a fact's span, as the extraction cut it, from proving it.
 
@@ -354,7 +363,8 @@ def verify(facts: DataFrame, span: Column, snippet: Column | None = None) -> Dat
     ]
     if snippet is not None:
         tests += [F.when(~F.contains(snippet, E.collapse(span)), F.lit("snippet_does_not_contain_span")), F.when(F.length(snippet) > E.SNIPPET, F.lit("snippet_too_long"))]
-    return facts.withColumn("problems", F.array_compact(F.array(*tests)))
+    # not compacted, as Spark compiles no filter of an array, nor what it is made of
+    return facts.withColumn("problems", F.array_except(F.array(*tests), F.array(F.lit(None).cast("string"))))
 
 
 def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None = None, company: str | None = None, prefilter: bool = True) -> DataFrame:
@@ -401,7 +411,7 @@ def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None =
         "at": F.col("start"), "to": F.col("end"), "house": F.when(money, F.col("fee_house")), "begin": begin, "stop": stop, "unit": F.when(money, "usd_million").when(valued, _unit(F.col("kind"))).otherwise("usd"),
         "low": F.col("low") / scale, "high": F.col("high") / scale, "after": F.when(F.col("__behind") & valued, F.col("__c.after")).otherwise(F.col("after")), "head": _head(), "tail": _tail(),
     })
-    rows = _placed(rows, F.col("__role"))
+    rows = _placed(rows, F.col("__role")).withColumn("__said", F.concat("head", "written", "tail"))
     # pieces of the text around the value: before the span, the span, behind it
     middle = F.concat(F.right("head", F.col("at") - F.col("begin")), "written", F.left("tail", F.col("stop") - F.col("to")))
     rows = rows.withColumn("span", middle).withColumn("__h", F.substr("head", F.lit(1), F.length("head") - (F.col("at") - F.col("begin")))).withColumn("__t", F.substr("tail", F.col("stop") - F.col("to") + 1))
@@ -412,7 +422,7 @@ def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None =
     around = F.concat(F.right("left", F.lit(E.METRIC_BEFORE) + F.col("at") - F.col("begin")), "written", F.left("right", F.lit(E.METRIC_AFTER) + F.col("stop") - F.col("to")))
     rows = rows.withColumns({
         "metric": E.metric_of(around, F.col("unit")),
-        "valuation_date": F.when(F.col("field") == "discount_rate", E.valuation_date(F.concat("head", "written", "tail"), F.length("head") - (F.col("at") - F.col("begin")))).otherwise(""),
+        "valuation_date": F.when(F.col("field") == "discount_rate", E.valuation_date(F.col("__said"), F.length("head") - (F.col("at") - F.col("begin")))).otherwise(""),
         "start": F.col("begin"), "end": F.col("stop"), "analysis": F.when(valued | (F.col("field") == "value_per_share"), F.col("analysis")).otherwise(""), "subject": F.when(valued | (F.col("field") == "value_per_share"), F.col("subject")).otherwise(""),
         "advisor": F.when(is_offer, "unattributed").otherwise(F.col("advisor")),
     })

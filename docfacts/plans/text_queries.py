@@ -312,7 +312,7 @@ def _(spark, sf_dir):
     deal = _join("D", F.floor(c("o_orderkey") / 2).cast("string"))
     filings = d.select(c("o_orderkey").cast("string").alias("accession"), deal.alias("deal_id"), F.lit("1").alias("cik"), c("o_orderkey").cast("string").alias("company"), F.lit("1000").alias("sic"), F.lit("2020-06-01").alias("file_date"))
     # every order speaks for itself here, so that no two filings of a deal state one value
-    out = Z.finalize(X.extract(docs, "accession", lines="lines").where("reason IS NULL").withColumn("subject", c("accession")), filings)
+    out = Z.finalize(X.accepted(X.extract(docs, "accession", lines="lines")).withColumn("subject", c("accession")), filings)
     return out.select("deal_id", "field", R("low").alias("low"), R("high").alias("high"), "tier", "is_point", "valuation_date", "metric", "flags")
 
 
