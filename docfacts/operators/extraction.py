@@ -384,7 +384,7 @@ def extract(docs: DataFrame, *doc: str, text: str = "text", lines: str | None =
     else:
         docs = docs.withColumn("__role", F.lit("target"))
     keep = [*doc, "doc_sha256", "__role"]
-    lex = lexemes(docs, text, *keep, prefilter=prefilter, lines=lines, filer="__filer" if company else None, other="__other" if company else None, by=doc)
+    lex = lexemes(docs, text, *keep, prefilter=prefilter, lines=lines, filer="__filer" if company else None, other="__other" if company else None, by=doc, thin=True)
     lex = with_heading_kind(lex, "__heading", F.when(F.col("kind") == "line", F.col("name")), F.col("low"))
     every = _windows(*doc)[0].rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offers = F.collect_list(F.when(F.col("__offered"), F.struct("low", "start"))).over(every)

@@ -43,17 +43,27 @@ def filer_role(text: Column, names: Column) -> Column:
 
     The whole text counts, sentence by sentence. Without a text or names the role is ``target``.
     """
-    own = _any_of(F.slice(names, 1, ROLE_ALIASES))
-    issued = F.concat(F.lit(r"(?i)\bissu(?:ance|ing|e)\b[^.;]{0,60}?\bshares\s+of\s+(?:the\s+)?"), own, F.lit(r"|"), own, F.lit(r"[^.;]{0,20}?\bissuance\s+proposal"))
-    turned = F.concat(F.lit(r"(?i)\b(?:each|every)\b[^.;]{0,20}?\bshare\s+of\s+(?:the\s+)?"), own, F.lit(r"[^.]{0,300}?\b(?:converted|entitled|right)\b"))
-    more = F.regexp_count(text, issued) > F.regexp_count(text, turned)
+    few = F.slice(names, 1, ROLE_ALIASES)
+    own, firsts = _any_of(few), F.concat(F.lit(r"\Q"), F.array_join(F.transform(few, lambda n: F.left(n, F.lit(1))), ""), F.lit(r"\E"))
+    # a name whose first character was read
+    read = F.concat(F.lit("(?:"), F.array_join(F.transform(few, lambda n: F.concat(F.lit(r"(?<=\Q"), F.left(n, F.lit(1)), F.lit(r"\E)\Q"), F.substring(n, 2, 1 << 30), F.lit(r"\E"))), "|"), F.lit(")"))
+    # each pattern begins with a set of characters, as Java tries a whole pattern at every place of a text otherwise
+    issued = F.concat(F.lit("(?i)[i"), firsts, F.lit(r"](?:(?<=\bi)ssu(?:ance|ing|e)\b[^.;]{0,60}?\bshares\s+of\s+(?:the\s+)?"), own, F.lit(r"|"), read, F.lit(r"[^.;]{0,20}?\bissuance\s+proposal)"))
+    turned = F.concat(F.lit(r"(?i)[e](?<=\be)(?:ach|very)\b[^.;]{0,20}?\bshare\s+of\s+(?:the\s+)?"), own, F.lit(r"[^.]{0,300}?\b(?:converted|entitled|right)\b"))
+    # a pattern is only sought in texts that hold a word of it, and what is turned only where something is issued
+    holds = lambda word: F.contains(F.lower(text), F.lit(word))
+    n_turned = F.when(holds("each") | holds("every"), F.regexp_count(text, turned)).otherwise(0)
+    more = holds("issu") & (F.regexp_count(text, issued) > n_turned)
     return F.when((F.size(names) > 0) & more, "acquirer").otherwise("target")
 
 
 def _spoken_of(text: Column, names: Column) -> Column:
     """Structs (mentions, place of the first, name) of companies whose shares a text speaks of, the filer's own names left out."""
-    run = rf"((?:[A-Z][\w&'-]*(?:\.[\w&'-]+)*\.?\s+){{1,{LONGEST}}})(?:[A-Z]\s+)?(?i:{'|'.join(s.replace(' ', '[ ]+') for s in SHARES)})\b"
-    named = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(1)), lambda r: F.array_join(F.filter(F.split(F.trim(F.regexp_replace(r, "['’]s\\b", "")), r"\s+"), lambda w: ~w.isin(NO_NAMES)), " "))
+    name, shares = r"[A-Z][\w&'-]*(?:\.[\w&'-]+)*\.?\s+", rf"(?:[A-Z]\s+)?(?i:{'|'.join(s.replace(' ', '[ ]+') for s in SHARES)})\b"
+    # sought without a group at its beginning, which Java would open at every place of a text
+    found = F.regexp_extract_all(text, F.lit(rf"{name}(?:{name}){{0,{LONGEST - 1}}}{shares}"), F.lit(0))
+    run = lambda m: F.regexp_extract(m, rf"^((?:{name}){{1,{LONGEST}}}){shares}", 1)
+    named = F.transform(found, lambda m: F.array_join(F.filter(F.split(F.trim(F.regexp_replace(run(m), "['’]s\\b", "")), r"\s+"), lambda w: ~w.isin(NO_NAMES)), " "))
     other = F.filter(named, lambda n: (n != "") & ~F.exists(names, lambda a: F.startswith(n, a) | F.startswith(a, n)))
     counted = lambda all_: F.transform(F.array_distinct(all_), lambda n: F.struct(F.size(F.filter(all_, lambda x: x == n)).cast("long").alias("mentions"), (-F.array_position(all_, n)).alias("place"), n.alias("name")))
     # bound as the one element of an array: written twice within a lambda, the text would be searched anew for each name
