@@ -66,8 +66,6 @@ def ecdf(rows: DataFrame, column: str, parts: int = 256) -> DataFrame:
     Rows are counted by value first; approximate quantiles of the distinct values cut these into ``parts`` ranges, each of
     which has a running sum of its own, and the sums of the ranges below are added from one row for each range.
     """
-    from pyspark.sql import Window
-
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     cuts = counts.agg(F.percentile_approx("value", [i / parts for i in range(1, parts)], 4 * parts).alias("cuts"))
     dealt = counts.withColumn("cuts", cuts.scalar()).select("value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("range"))
